@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import hilbert
+from barloom.llm import hilbert, pieces
 from barloom.llm.common import documents
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.count(documents(spark, sf_dir))
+
+
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(documents(spark, sf_dir))
 
 
+_QUERIES = [op6_sentencepiece, op9_token_counts, op10_hilbert_sharding]
+
+
 def queries() -> dict:
-    return {"op10_hilbert_sharding": op10_hilbert_sharding}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
