@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,7 +39,7 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int) -> Iterator[pa.Re
     if not batch.num_rows:
         return
     values = batch.column(column)
-    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(values), 0), dtype=np.int64))
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(values), 0), dtype=np.int64))
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0

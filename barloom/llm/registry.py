@@ -3,15 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import hilbert, pieces
+from barloom.llm import crf, hilbert, jpeg, pieces
 from barloom.llm.common import documents
 
 
+def op5_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crf.find(documents(spark, sf_dir))
+    kinds = F.filter(F.split("base", ","), lambda s: s != "")
+    counts = [F.size(F.filter(kinds, lambda s, k=k: s.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in crf.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir))
 
 
+def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = jpeg.media(documents(spark, sf_dir))
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "width", "height"), F.transform("pixel_sums", lambda v: v.cast("string"))).alias("feature"),
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.count(documents(spark, sf_dir))
 
@@ -20,7 +42,7 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(documents(spark, sf_dir))
 
 
-_QUERIES = [op6_sentencepiece, op9_token_counts, op10_hilbert_sharding]
+_QUERIES = [op5_crf_pii, op6_sentencepiece, op8_progressive_jpeg, op9_token_counts, op10_hilbert_sharding]
 
 
 def queries() -> dict:
