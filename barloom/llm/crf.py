@@ -36,13 +36,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    bare = digits.lstrip("0")
+    return len(bare) <= 3 and int(bare or 0) <= 255
+
+
 def pattern_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the pattern matches, by kind, then start; kinds may overlap each other."""
     out = []
     if "@" in text:
         out += [(0, *m.span()) for m in _EMAIL.finditer(text)]
     if _DIGIT.search(text):
-        out += [(1, *m.span()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, *m.span()) for m in _IP.finditer(text) if all(_byte(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
