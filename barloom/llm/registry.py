@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import crf, hilbert, jpeg, pieces
+from barloom.llm import bagminhash, crf, hilbert, jpeg, pieces
 from barloom.llm.common import documents
 
 
+def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = crf.find(documents(spark, sf_dir))
     kinds = F.filter(F.split("base", ","), lambda s: s != "")
@@ -42,7 +46,7 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(documents(spark, sf_dir))
 
 
-_QUERIES = [op5_crf_pii, op6_sentencepiece, op8_progressive_jpeg, op9_token_counts, op10_hilbert_sharding]
+_QUERIES = [op2_bagminhash, op5_crf_pii, op6_sentencepiece, op8_progressive_jpeg, op9_token_counts, op10_hilbert_sharding]
 
 
 def queries() -> dict:
