@@ -131,7 +131,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in one array, and the n+1 offsets of the texts in it."""
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32 if texts.type == pa.string() else np.int64, count=len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32 if texts.type in (pa.string(), pa.binary()) else np.int64, count=len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64)
     data = texts.buffers()[2]
     flat = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     return flat, offsets - offsets[0]
@@ -144,3 +144,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def group_runs(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str, rows: int = 20_000) -> DataFrame:
+    """``fn`` over runs of whole groups, about ``rows`` rows at a time: for many small groups. Rows are dealt and sorted by key."""
+    dealt = df.repartition(F.col(key)).sortWithinPartitions(key)
+    at = df.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = batch.column(at).to_numpy(zero_copy_only=False)
+            if sum(b.num_rows for b in held) >= rows:
+                same = col == held[-1].column(at)[held[-1].num_rows - 1].as_py()
+                lead = batch.num_rows if same.all() else int(np.argmin(same))
+                if lead:
+                    held.append(batch.slice(0, lead))
+                if lead == batch.num_rows:
+                    continue
+                yield from fn(pa.Table.from_batches(held))
+                held, batch = [], batch.slice(lead)
+            held.append(batch)
+        if held:
+            yield from fn(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, schema)

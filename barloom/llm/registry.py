@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bagminhash, bm25, crf, hilbert, jpeg, pieces
+from barloom.llm import bagminhash, bm25, crf, hilbert, jpeg, pieces, suffixes
 from barloom.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.drop_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = crf.find(documents(spark, sf_dir))
     kinds = F.filter(F.split("base", ","), lambda s: s != "")
@@ -50,7 +54,7 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(documents(spark, sf_dir))
 
 
-_QUERIES = [op2_bagminhash, op3_bm25_decontamination, op5_crf_pii, op6_sentencepiece, op8_progressive_jpeg, op9_token_counts, op10_hilbert_sharding]
+_QUERIES = [op2_bagminhash, op3_bm25_decontamination, op4_suffix_array, op5_crf_pii, op6_sentencepiece, op8_progressive_jpeg, op9_token_counts, op10_hilbert_sharding]
 
 
 def queries() -> dict:
