@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bagminhash, bm25, crf, hilbert, jpeg, pieces, suffixes
+from barloom.llm import bagminhash, bm25, crf, gru, hilbert, jpeg, pieces, quality, suffixes
 from barloom.llm.common import documents
 
 
+def op1_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.score(documents(spark, sf_dir))
+
+
 def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(documents(spark, sf_dir))
 
@@ -32,6 +36,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(documents(spark, sf_dir))
 
 
+def op7_empirical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = jpeg.media(documents(spark, sf_dir))
     return stored.select(
@@ -54,7 +62,7 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(documents(spark, sf_dir))
 
 
-_QUERIES = [op2_bagminhash, op3_bm25_decontamination, op4_suffix_array, op5_crf_pii, op6_sentencepiece, op8_progressive_jpeg, op9_token_counts, op10_hilbert_sharding]
+_QUERIES = [op1_gru_scoring, op2_bagminhash, op3_bm25_decontamination, op4_suffix_array, op5_crf_pii, op6_sentencepiece, op7_empirical_bayes_quality, op8_progressive_jpeg, op9_token_counts, op10_hilbert_sharding]
 
 
 def queries() -> dict:
