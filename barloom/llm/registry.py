@@ -66,7 +66,9 @@ _QUERIES = [op1_gru_scoring, op2_bagminhash, op3_bm25_decontamination, op4_suffi
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in _QUERIES}
+    import corpus_pipeline
+
+    return {q.__name__: q for q in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
