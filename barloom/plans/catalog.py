@@ -1,11 +1,131 @@
-"""The registered queries of the market-bar operators."""
+"""The registered queries of the market-bar operators, each with its SQL twin."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.operators import candles, extra, levels, momentum, patterns, trend, volatility, volume
+from barloom.plans.oracle import CUM, HL2, RN, TP, TR, UP, DOWN, D, E, L, O, R, W, rsi, sql
+from barloom.sources import bars as sources
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def shown(df: DataFrame, outs: dict[str, str]) -> DataFrame:
+    cast = {"int": lambda c: F.col(c).cast("int"), "bool": F.col, "num": lambda c: F.round(F.col(c).cast("double"), 6), "r8": lambda c: F.round(F.col(c).cast("double"), 8)}
+    return df.select("symbol", "ts", *[cast[t](c).alias(c) for c, t in outs.items()])
+
+
+def add(name: str, bars: str, fn: Callable[[DataFrame], DataFrame], outs: str, stages: list[dict[str, str]] | None, text: str | None = None) -> None:
+    """Register ``fn`` over ``bars``; ``outs`` names its columns (``:int`` and ``:bool`` for flags)."""
+    kinds = {c.split(":")[0]: (c.split(":") + ["num"])[1] for c in outs.split()}
+    _QUERIES[name] = lambda spark, d: shown(fn(getattr(sources, bars)(spark, d)), kinds)
+    if text or stages is not None:
+        _ORACLE[name] = text or sql(bars, kinds, stages)
+
+
+def _flagship(df: DataFrame) -> DataFrame:
+    d = volatility.bbands(momentum.rsi(df), 20)
+    return d.withColumn("signal", F.when((F.col("rsi") < 30) & (F.col("close") < F.col("bb_lower")), 1).when((F.col("rsi") > 70) & (F.col("close") > F.col("bb_upper")), -1).otherwise(0))
+
+
+add("flagship", "hourly", _flagship, "close rsi bb_middle bb_upper bb_lower signal:int", [*rsi("close", 14, "rsi"), {"bb_middle": R("avg", "close", 20), "s": R("stddev_samp", "close", 20)}, {"bb_upper": "bb_middle + 2 * s", "bb_lower": "bb_middle - 2 * s"}, {"signal": "CASE WHEN rsi < 30 AND close < bb_lower THEN 1 WHEN rsi > 70 AND close > bb_upper THEN -1 ELSE 0 END"}])
+
+for _b in ("hourly", "by_type", "daily_orders", "market"):
+    add(f"bars_{_b}", _b, lambda df: df, "open high low close volume", [])
+
+# ---- trend ----
+add("tr1_ema", "by_type", trend.ema, "ema", [{"ema": E("close", 14)}])
+add("tr2_dema", "by_type", trend.dema, "dema", [{"e1": E("close", 14)}, {"dema": f"2 * e1 - {E('e1', 14)}"}])
+add("tr3_tema", "by_type", trend.tema, "tema", [{"e1": E("close", 14)}, {"e2": E("e1", 14)}, {"tema": f"3 * e1 - 3 * e2 + {E('e2', 14)}"}])
+_t3 = lambda n: [{"e1": E("close", n)}, *[{f"e{k}": E(f"e{k - 1}", n)} for k in range(2, 7)]]
+_mix = "-0.343 * e6 + (3 * 0.49 + 3 * 0.343) * e5 + (-6 * 0.49 - 3 * 0.7 - 3 * 0.343) * e4 + (1 + 3 * 0.7 + 0.343 + 3 * 0.49) * e3"
+add("tr4_t3ribbon", "by_type", lambda d: trend.t3ribbon(d, (8, 13)), "t3_8 t3_13", [*_t3(8), {"t3_8": _mix}, *_t3(13), {"t3_13": _mix}])
+add("tr5_trend_lines", "by_type", trend.trend_lines, "support resistance trend", [RN, {"support": R("min", "close", 14), "resistance": R("max", "close", 14), "trend": f"CASE WHEN rn >= 14 THEN {O('regr_slope', 'close, rn', -14, -1)} END"}])
+add("tr6_macd", "by_type", trend.macd, "macd macd_signal macd_hist", [{"macd": f"{E('close', 12)} - {E('close', 26)}"}, {"macd_signal": E("macd", 9)}, {"macd_hist": "macd - macd_signal"}])
+add("tr7_adx", "by_type", trend.adx, "adx plus_di minus_di", [{"tr": TR, "up": f"high - {L('high')}", "dn": f"{L('low')} - low"}, {"p": "CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END"}, {"m": "CASE WHEN dn > p AND dn > 0 THEN dn ELSE 0 END"}, {"a": E("tr", 14)}, {"plus_di": f"100 * {E('p', 14)} / a", "minus_di": f"100 * {E('m', 14)} / a"}, {"dx": D("100 * abs(plus_di - minus_di)", "plus_di + minus_di")}, {"adx": E("dx", 14)}])
+add("tr8_parabolic_sar", "by_type", trend.parabolic_sar, "psar", None)
+_mid = lambda n: f"({R('max', 'high', n)} + {R('min', 'low', n)}) / 2"
+add("tr9_ichimoku", "by_type", trend.ichimoku, "tenkan kijun span_a span_b chikou", [{"tenkan": _mid(9), "kijun": _mid(26), "sb": _mid(52)}, {"span_a": f"({L('tenkan', 26)} + {L('kijun', 26)}) / 2", "span_b": L("sb", 26), "chikou": L("close", -26)}])
+_wma = lambda x, n: f"(({R('sum', f'rn * {x}', n)} - (rn - {n}) * {R('sum', x, n)}) / {n * (n + 1) / 2})"
+add("tr10_hma", "by_type", trend.hma, "hma", [RN, {"raw": f"2 * {_wma('close', 8)} - {_wma('close', 16)}"}, {"hma": _wma("raw", 4)}])
+add("tr12_donchian_channel", "by_type", trend.donchian_channel, "donchian_upper donchian_lower donchian_middle", [{"donchian_upper": R("max", "high", 20), "donchian_lower": R("min", "low", 20)}, {"donchian_middle": "(donchian_upper + donchian_lower) / 2"}])
+add("tr13_keltner_channel", "by_type", trend.keltner_channel, "keltner_middle keltner_upper keltner_lower", [{"tp": TP, "tr": TR}, {"keltner_middle": E("tp", 20), "a": E("tr", 10)}, {"keltner_upper": "keltner_middle + 2 * a", "keltner_lower": "keltner_middle - 2 * a"}])
+_g = {f"short_ema_{n}": n for n in (3, 5, 8, 10, 12, 15)} | {f"long_ema_{n}": n for n in (30, 35, 40, 45, 50, 60)}
+add("tr14_gmma", "by_type", trend.gmma, " ".join(f"{c}:r8" for c in _g), [{c: E("close", n) for c, n in _g.items()}])
+
+# ---- momentum ----
+add("mo1_rsi", "by_type", momentum.rsi, "rsi", rsi("close", 14, "rsi"))
+add("mo2_stoch_rsi", "by_type", momentum.stoch_rsi, "stoch_rsi_k stoch_rsi_d", [*rsi("close", 14, "r"), {"s": f"100 * {D('r - ' + R('min', 'r', 14), R('max', 'r', 14) + ' - ' + R('min', 'r', 14))}"}, {"stoch_rsi_k": R("avg", "s", 3)}, {"stoch_rsi_d": R("avg", "stoch_rsi_k", 3)}])
+add("mo3_stoch", "by_type", momentum.stoch, "stoch_k stoch_d", [{"hh": R("max", "high", 14), "ll": R("min", "low", 14)}, {"stoch_k": f"100 * {D('close - ll', 'hh - ll')}"}, {"stoch_d": R("avg", "stoch_k", 3)}])
+add("mo4_roc", "by_type", momentum.roc, "roc", [{"roc": f"100 * {D('close - ' + L('close', 10), L('close', 10))}"}])
+add("mo5_ao", "by_type", momentum.ao, "ao", [{"m": HL2}, {"ao": f"{R('avg', 'm', 5)} - {R('avg', 'm', 34)}"}])
+add("mo6_cci", "by_type", momentum.cci, "cci", [{"tp": TP}, {"ma": R("avg", "tp", 20), "l": O("list", "tp", -19, 0)}, {"cci": D("tp - ma", "0.015 * list_sum(list_transform(l, lambda v: abs(v - ma))) / 20")}])
+add("mo7_mom", "by_type", momentum.mom, "mom", [{"mom": f"close - {L('close', 10)}"}])
+add("mo8_williamsr", "by_type", momentum.williamsr, "williamsr", [{"hh": R("max", "high", 14), "ll": R("min", "low", 14)}, {"williamsr": f"-100 * {D('hh - close', 'hh - ll')}"}])
+add("mo9_cmo", "by_type", momentum.cmo, "cmo", [{"d": f"close - {L('close')}"}, {"g": R("sum", UP, 14), "l": R("sum", DOWN, 14)}, {"cmo": f"100 * {D('g - l', 'g + l')}"}])
+_uo = lambda n: D(R("sum", "bp", n), R("sum", "tr", n))
+add("mo10_uo", "by_type", momentum.uo, "uo", [{"bp": f"close - least(low, {L('close')})", "tr": TR}, {"uo": f"100 * (4 * {_uo(7)} + 2 * {_uo(14)} + {_uo(28)}) / 7"}])
+add("mo11_rsi_divergence", "by_type", momentum.rsi_divergence, "regular_bullish:int regular_bearish:int", [*rsi("close", 14, "r"), {"p": f"close - {L('close', 2)}", "q": f"r - {L('r', 2)}"}, {"regular_bullish": "CASE WHEN p < 0 AND q > 0 THEN 1 ELSE 0 END", "regular_bearish": "CASE WHEN p > 0 AND q < 0 THEN 1 ELSE 0 END"}])
+add("mo12_kst", "by_type", momentum.kst, "kst kst_signal", [{f"r{n}": f"100 * {D('close - ' + L('close', n), L('close', n))}" for n in (10, 15, 20, 30)}, {"kst": f"{R('avg', 'r10', 10)} + 2 * {R('avg', 'r15', 10)} + 3 * {R('avg', 'r20', 10)} + 4 * {R('avg', 'r30', 15)}"}, {"kst_signal": R("avg", "kst", 9)}])
+_st = lambda x: f"CASE WHEN rn >= 10 AND lo IS NOT NULL THEN CASE WHEN hi = lo THEN 0 ELSE 100 * ({x} - lo) / (hi - lo) END END"
+add("mo13_stc", "by_type", momentum.stc, "stc", [RN, {"m": f"{E('close', 23)} - {E('close', 50)}"}, {"lo": O("min", "m", -10, -1), "hi": O("max", "m", -10, -1)}, {"k": _st("m")}, {"lo": O("min", "k", -10, -1), "hi": O("max", "k", -10, -1)}, {"d": _st("k")}, {"stc": R("avg", "d", 3)}])
+add("mo14_els", "by_type", momentum.els, "impulse:int", [{"m": f"{E('close', 12)} - {E('close', 26)}", "e": E("close", 13)}, {"h": f"m - {E('m', 9)}"}, {"a": f"h - {L('h')}", "b": f"e - {L('e')}"}, {"impulse": "CASE WHEN a > 0 AND b > 0 THEN 1 WHEN a < 0 AND b < 0 THEN -1 ELSE 0 END"}])
+add("mo15_squeeze_momentum", "by_type", momentum.squeeze_momentum, "squeeze_on:int squeeze_momentum", [{"tp": TP, "tr": TR}, {"ma": R("avg", "tp", 20), "s": R("stddev_pop", "tp", 20), "a": R("avg", "tr", 20), "hh": R("max", "high", 20), "ll": R("min", "low", 20)}, {"squeeze_on": "CASE WHEN ma - 2 * s > ma - 1.5 * a AND ma + 2 * s < ma + 1.5 * a THEN 1 ELSE 0 END", "squeeze_momentum": "tp - ((hh + ll) / 2 + ma) / 2"}])
+add("mo16_rvi", "by_type", momentum.rvi, "rvi rvi_signal", [RN, {"v": "(close - open) / CASE WHEN high = low THEN 1 ELSE high - low END"}, {"rvi": _wma("v", 10)}, {"rvi_signal": R("avg", "rvi", 4)}])
+add("mo17_dpo", "by_type", momentum.dpo, "dpo", [{"ma": R("avg", "close", 11)}, {"dpo": f"close - {L('ma', 10)}"}])
+add("mo18_connors_rsi", "daily_orders", momentum.connors_rsi, "connors_rsi", [*rsi("close", 3, "a"), {"s": f"coalesce(sign(close - {L('close')}), 0)", "c": D(f"close - {L('close')}", L("close"))}, {"nw": f"CASE WHEN s = 0 OR {L('s')} IS NULL OR s <> {L('s')} THEN 1 ELSE 0 END"}, {"run": f"sum(nw) OVER ({W} ROWS UNBOUNDED PRECEDING)"}, {"streak": "s * row_number() OVER (PARTITION BY symbol, run ORDER BY ts)"}, *rsi("streak", 2, "b"), {"w": O("list", "c", -99, 0), "n": O("count", "c", -99, 0)}, {"connors_rsi": "CASE WHEN n = 100 THEN (a + b + 100.0 * len(list_filter(w, lambda v: v < c)) / 100) / 3 END"}])
+add("mo19_vortex", "by_type", momentum.vortex, "vi_plus vi_minus", [{"p": f"abs(high - {L('low')})", "m": f"abs(low - {L('high')})", "tr": TR}, {"vi_plus": D(R("sum", "p", 14), R("sum", "tr", 14)), "vi_minus": D(R("sum", "m", 14), R("sum", "tr", 14))}])
+add("mo20_choppiness", "by_type", momentum.choppiness, "choppiness", [{"tr": TR}, {"choppiness": f"100 * log10({D(R('sum', 'tr', 14), R('max', 'high', 14) + ' - ' + R('min', 'low', 14))}) / log10(14)"}])
+
+# ---- volume ----
+_mfv = {"f": f"coalesce({D('(close - low) - (high - close)', 'high - low')}, 0) * volume"}
+add("vo1_obv", "by_type", volume.obv, "obv", [{"x": f"coalesce(sign(close - {L('close')}), 0) * volume"}, {"obv": CUM("x")}])
+add("vo2_vma", "by_type", volume.vma, "vma", [{"vma": R("avg", "volume", 20)}])
+add("vo3_vo", "by_type", volume.vo, "vo vo_percent", [{"vo": f"{R('avg', 'volume', 5)} - {R('avg', 'volume', 10)}"}, {"vo_percent": f"100 * {D('vo', R('avg', 'volume', 10))}"}])
+add("vo4_cmf", "by_type", volume.cmf, "cmf", [_mfv, {"cmf": D(R("sum", "f", 20), R("sum", "volume", 20))}])
+add("vo5_adline", "by_type", volume.adline, "adline", [_mfv, {"adline": CUM("f")}])
+add("vo6_mfi", "by_type", volume.mfi, "mfi", [{"tp": TP}, {"d": f"tp - {L('tp')}"}, {"p": "CASE WHEN d > 0 THEN tp * volume ELSE 0 END", "n": "CASE WHEN d < 0 THEN tp * volume ELSE 0 END"}, {"ps": R("sum", "p", 14), "ns": R("sum", "n", 14)}, {"mfi": "100 - 100 / (1 + CASE WHEN ns = 0 THEN 100 ELSE ps / ns END)"}])
+add("vo7_vwap", "by_type", volume.vwap, "vwap", [{"day": "date_trunc('day', ts)", "pv": f"{TP} * volume"}, {"vwap": "sum(pv) OVER (PARTITION BY symbol, day ORDER BY ts ROWS UNBOUNDED PRECEDING) / nullif(sum(volume) OVER (PARTITION BY symbol, day ORDER BY ts ROWS UNBOUNDED PRECEDING), 0)"}])
+add("vo8_eom", "by_type", volume.eom, "eom", [{"m": f"{HL2} - ({L('high')} + {L('low')}) / 2", "box": D("volume / 10000", "high - low")}, {"e": D("m", "box")}, {"eom": R("avg", "e", 14)}])
+add("vo9_pvt", "by_type", volume.pvt, "pvt", [{"x": f"({D('close', L('close'))} - 1) * volume"}, {"pvt": CUM("x")}])
+add("vo10_fi", "by_type", volume.fi, "fi", [{"x": f"(close - {L('close')}) * volume"}, {"fi": E("x", 13)}])
+add("vo11_kvo", "by_type", volume.kvo, "kvo kvo_signal", [{"tp": TP}, {"x": f"volume * sign(tp - {L('tp')})"}, {"kvo": f"{E('x', 34)} - {E('x', 55)}"}, {"kvo_signal": E("kvo", 13)}])
+add("vo12_vfi", "by_type", volume.vfi, "vfi", [{"m": HL2, "lv": "ln(volume)", "r": "high - low"}, {"d": f"m - {L('m')}", "lr": f"coalesce(lv - {L('lv')}, 0)", "cu": f"0.2 * {R('avg', 'r', 130)}"}, {"mx": f"2.5 * {R('stddev_samp', 'lr', 130)}"}, {"x": "CASE WHEN d > cu THEN 1 WHEN d < -cu THEN -1 ELSE 0 END * CASE WHEN lr > mx THEN lv WHEN lr < -mx THEN -lv ELSE 0 END"}, {"c": CUM("x")}, {"vfi": E("c", 5)}])
+add("vo13_iii", "by_type", volume.iii, "iii", [{"iii": f"coalesce({D('2 * close - high - low', '(high - low) * volume')}, 0)"}])
+add("vo14_nv", "by_type", volume.nv, "nv", [{"nv": D("volume", R("avg", "volume", 14))}])
+add("vo15_rvol", "by_type", volume.rvol, "rvol", [{"rvol": D("volume", R("avg", "volume", 20))}])
+add("vo16_dv", "by_type", volume.dv, "dv", [{"dv": f"volume - {L('volume')}"}])
+add("vo17_tsv", "by_type", volume.tsv, "tsv", [{"x": f"(close - {L('close')}) * volume"}, {"tsv": R("sum", "x", 13)}])
+add("vo18_vzo", "by_type", volume.vzo, "vzo", [{"x": f"coalesce(sign(close - {L('close')}), 0) * volume"}, {"q": D(f"100 * {E('x', 14)}", E("volume", 14))}, {"vzo": E("q", 6)}])
+add("vo19_tvi", "by_type", volume.tvi, "tvi", [{"x": D("volume", f"abs(close - {L('close')}) / 0.01")}, {"tvi": R("avg", "x", 14)}])
+add("vo20_cdv", "by_type", volume.cdv, "delta_volume cdv", [{"delta_volume": f"sign(close - {L('close')}) * volume"}, {"cdv": CUM("delta_volume")}])
+
+# ---- volatility ----
+add("vl1_bbands", "by_type", volatility.bbands, "bb_middle bb_upper bb_lower bb_bandwidth bb_percent", [{"bb_middle": R("avg", "close", 14), "s": R("stddev_samp", "close", 14)}, {"bb_upper": "bb_middle + 2 * s", "bb_lower": "bb_middle - 2 * s"}, {"bb_bandwidth": D("bb_upper - bb_lower", "bb_middle"), "bb_percent": D("close - bb_lower", "bb_upper - bb_lower")}])
+add("vl2_atr", "by_type", volatility.atr, "atr", [{"tr": TR}, {"atr": E("tr", 14)}])
+add("vl3_volatility_stop", "by_type", volatility.volatility_stop, "stop_long stop_short", [{"tr": TR}, {"a": E("tr", 14)}, {"stop_long": f"{R('max', 'high', 14)} - 3 * a", "stop_short": f"{R('min', 'low', 14)} + 3 * a"}])
+add("vl4_high_low_range", "by_type", volatility.high_low_range, "high_low_range", [{"r": "high - low"}, {"high_low_range": D("r", R("avg", "r", 14))}])
+add("vl5_envelope", "by_type", volatility.envelope, "env_middle:r8 env_upper:r8 env_lower:r8", [{"env_middle": R("avg", "close", 20)}, {"env_upper": "env_middle * 1.025", "env_lower": "env_middle * 0.975"}])
+add("vl6_ulcer_index", "by_type", volatility.ulcer_index, "ulcer_index", [{"hh": R("max", "close", 14)}, {"x": f"coalesce(pow(100 * {D('close - hh', 'hh')}, 2), 0)"}, {"ulcer_index": f"sqrt({R('avg', 'x', 14)})"}])
+add("vl7_natr", "by_type", volatility.normalized_atr, "natr", [{"tr": TR}, {"a": E("tr", 14)}, {"natr": f"100 * {D('a', 'close')}"}])
+add("vl8_relative_volatility_index", "by_type", volatility.relative_volatility_index, "rvi_volatility", None)
+add("vl9_cboe_vix", "by_type", volatility.cboe_vix, "vix_short vix_long vix_ratio", [{"r": f"ln({D('close', L('close'))})"}, {"vix_short": f"100 * sqrt(252) * {R('stddev_samp', 'r', 9)}", "vix_long": f"100 * sqrt(252) * {R('stddev_samp', 'r', 30)}"}, {"vix_ratio": D("vix_short", "vix_long")}])
+add("vl10_z_score", "by_type", volatility.z_score, "z_score", [{"z_score": D(f"close - {R('avg', 'close', 20)}", R("stddev_samp", "close", 20))}])
+add("vl11_true_range_percent", "by_type", volatility.true_range_percent, "true_range_percent", [{"true_range_percent": f"100 * {D(TR, L('close'))}"}])
+add("vl12_volatility_ratio", "by_type", volatility.volatility_ratio, "volatility_ratio", [{"p": f"{D('close', L('close'))} - 1"}, {"volatility_ratio": D(R("stddev_samp", "p", 5), R("stddev_samp", "p", 20))}])
+_full = f"{O('count', 'high', -5, -1)} = 5 AND {O('count', 'high', 1, 5)} = 5"
+add("vl13_fractal_chaos_bands", "by_type", volatility.fractal_chaos_bands, "fcb_upper fcb_lower", [{"t": f"CASE WHEN {_full} AND high > {O('max', 'high', -5, -1)} AND high >= {O('max', 'high', 1, 5)} THEN high END", "b": f"CASE WHEN {_full} AND low < {O('min', 'low', -5, -1)} AND low <= {O('min', 'low', 1, 5)} THEN low END"}, {"fcb_upper": f"last_value(t IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING)", "fcb_lower": f"last_value(b IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING)"}])
+add("vl14_directional_volatility", "by_type", volatility.directional_volatility, "atr_roc atr_roc_ema directional_vol:int vol_strength", [{"tr": TR}, {"a": E("tr", 14)}, {"atr_roc": f"100 * {D('a - ' + L('a', 14), L('a', 14))}"}, {"atr_roc_ema": E("atr_roc", 14)}, {"directional_vol": "CASE WHEN atr_roc_ema > 0 THEN 1 ELSE -1 END", "vol_strength": "abs(atr_roc_ema)"}])
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
