@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,18 +96,21 @@ def zlsma(df: DataFrame, n: int = 50) -> DataFrame:
 
 
 def mcginley_dynamic(df: DataFrame, n: int = 14, k: float = 0.6) -> DataFrame:
+    """A mean that follows falls faster than rises; begins with the mean of the first n. Where it leaves all bounds it ends (NULL)."""
+
     def fn(p):
-        x = p["close"].tolist()
-        out = [None] * len(x)
-        for t in range(n - 1, len(x)):
-            if t == n - 1:
-                out[t] = sum(x[:n]) / n
-            else:
+        x = p["close"].to_numpy()
+        out = np.full(len(x), np.nan)
+        if len(x) >= n:
+            out[n - 1] = x[:n].mean()
+        with np.errstate(all="ignore"):
+            for t in range(n, len(x)):
                 last = out[t - 1]
-                out[t] = last + (x[t] - last) / (k * n * (x[t] / last) ** 4) if last and x[t] else last
-        return {"mcginley": out}
+                out[t] = last + (x[t] - last) / (k * n * (x[t] / last) ** 4)
+        return {"mcginley": np.where(np.isfinite(out), out, np.nan)}
 
-    return scan(df, fn, ["mcginley"])
+    d = scan(df, fn, ["mcginley"])
+    return d.withColumn("mcginley", F.when(~F.isnan("mcginley"), F.col("mcginley")))
 
 
 def ib_boxes(df: DataFrame, period: int = 1) -> DataFrame:

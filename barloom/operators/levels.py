@@ -16,14 +16,14 @@ def pivot_points(df: DataFrame, method: str = "standard", period: int = 1) -> Da
     h, lo, c = F.col("__h"), F.col("__l"), F.col("__c")
     span, p = h - lo, (h + lo + c) / 3
     if method == "standard":
-        out = {"pivot": p, "r1": 2 * p - lo, "s1": 2 * p - h, "r2": p + span, "s2": p - span, "r3": 2 * p - lo + span, "s3": 2 * p - h - span}
+        out = {"pivot_point": p, "r1": 2 * p - lo, "s1": 2 * p - h, "r2": p + span, "s2": p - span, "r3": 2 * p - lo + span, "s3": 2 * p - h - span}
     elif method == "fibonacci":
-        out = {"pivot": p} | {f"{n}{k}": p + sign * f * span for k, f in ((1, 0.382), (2, 0.618), (3, 1.0)) for n, sign in (("r", 1), ("s", -1))}
+        out = {"pivot_point": p} | {f"{n}{k}": p + sign * f * span for k, f in ((1, 0.382), (2, 0.618), (3, 1.0)) for n, sign in (("r", 1), ("s", -1))}
     elif method == "camarilla":
-        out = {"pivot": p} | {f"{n}{k}": c + sign * span * 1.1 / f for k, f in ((1, 12), (2, 6), (3, 4)) for n, sign in (("r", 1), ("s", -1))}
+        out = {"pivot_point": p} | {f"{n}{k}": c + sign * span * 1.1 / f for k, f in ((1, 12), (2, 6), (3, 4)) for n, sign in (("r", 1), ("s", -1))}
     elif method == "woodie":
         p = (h + lo + 2 * c) / 4
-        out = {"pivot": p, "r1": 2 * p - lo, "s1": 2 * p - h, "r2": p + span, "s2": p - span}
+        out = {"pivot_point": p, "r1": 2 * p - lo, "s1": 2 * p - h, "r2": p + span, "s2": p - span}
     else:
         raise ValueError("method must be standard, fibonacci, camarilla or woodie")
     return d.withColumns(out).drop("__h", "__l", "__c")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import candles, extra, levels, momentum, patterns, trend, volatility, volume
-from barloom.plans.oracle import CUM, HL2, RN, TP, TR, UP, DOWN, D, E, L, O, R, W, rsi, sql
+from barloom.operators import backtest, candles, extra, labels, levels, momentum, patterns, portfolio, signals, trend, volatility, volume
+from barloom.plans.oracle import BARS, CUM, DOWN, HL2, RN, TP, TR, UP, D, E, L, O, R, W, rsi, sql
 from barloom.sources import bars as sources
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,152 @@ add("vl13_fractal_chaos_bands", "by_type", volatility.fractal_chaos_bands, "fcb_
 add("vl14_directional_volatility", "by_type", volatility.directional_volatility, "atr_roc atr_roc_ema directional_vol:int vol_strength", [{"tr": TR}, {"a": E("tr", 14)}, {"atr_roc": f"100 * {D('a - ' + L('a', 14), L('a', 14))}"}, {"atr_roc_ema": E("atr_roc", 14)}, {"directional_vol": "CASE WHEN atr_roc_ema > 0 THEN 1 ELSE -1 END", "vol_strength": "abs(atr_roc_ema)"}])
 
 
+# ---- extra ----
+add("ex1_supertrend", "by_type", extra.supertrend, "supertrend supertrend_direction", None)
+add("ex2_vervoort_tsi", "by_type", extra.vervoort_tsi, "tsi tsi_signal tsi_hist", [{"d": f"close - {L('close')}"}, {"ad": "abs(d)"}, {"e1": E("d", 25), "f1": E("ad", 25)}, {"tsi": D(f"100 * {E('e1', 13)}", E("f1", 13))}, {"tsi_signal": E("tsi", 7)}, {"tsi_hist": "tsi - tsi_signal"}])
+add("ex3_frama", "by_type", extra.frama, "frama", None)
+_reg = lambda f: f"CASE WHEN {O('count', 'close', -19, 0)} = 20 THEN {O(f, 'close, rn', -19, 0)} END"
+add("ex4_regression_channel", "by_type", extra.regression_channel, "reg_slope reg_intercept reg_r2 reg_line reg_upper reg_lower", [RN, {"reg_slope": _reg("regr_slope"), "i": _reg("regr_intercept"), "reg_r2": _reg("regr_r2"), "syy": _reg("regr_syy"), "sxy": _reg("regr_sxy")}, {"reg_intercept": "i + reg_slope * (rn - 19)", "reg_line": "i + reg_slope * rn", "e": "2 * sqrt(greatest(syy - reg_slope * sxy, 0) / 18)"}, {"reg_upper": "reg_line + e", "reg_lower": "reg_line - e"}])
+add("ex5_vidya", "by_type", extra.vidya, "vidya", None)
+add("ex6_instantaneous_trendline", "by_type", extra.instantaneous_trendline, "it", [{"it": f"list_reduce(list(close) OVER ({W} ROWS UNBOUNDED PRECEDING), lambda p, q: CASE WHEN q > p THEN 0.07::DOUBLE * q + 0.93::DOUBLE * p ELSE 0.14::DOUBLE * q + 0.86::DOUBLE * p END)"}])
+add("ex7_zlsma", "by_type", extra.zlsma, "zlsma", [{"x": f"2 * close - {L('close', 24)}"}, {"zlsma": E("x", 50)}])
+add("ex8_mcginley_dynamic", "by_type", extra.mcginley_dynamic, "mcginley", None)
+add("ex9_ib_boxes", "by_type", extra.ib_boxes, "inside_bar:int ib_high ib_low ib_breakout:int ib_high_line ib_low_line", [{"inside_bar": f"CASE WHEN high <= {L('high')} AND low >= {L('low')} THEN 1 ELSE 0 END"}, {"ib_high": f"CASE WHEN inside_bar = 1 THEN {L('high')} END", "ib_low": f"CASE WHEN inside_bar = 1 THEN {L('low')} END"}, {"ib_breakout": f"CASE WHEN close > {L('ib_high')} THEN 1 WHEN close < {L('ib_low')} THEN -1 ELSE 0 END"}, {"g": f"sum(CASE WHEN ib_breakout <> 0 AND inside_bar = 0 THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING)"}, {"ib_high_line": "first_value(ib_high IGNORE NULLS) OVER (PARTITION BY symbol, g ORDER BY ts ROWS UNBOUNDED PRECEDING)", "ib_low_line": "first_value(ib_low IGNORE NULLS) OVER (PARTITION BY symbol, g ORDER BY ts ROWS UNBOUNDED PRECEDING)"}])
+
+# ---- levels ----
+_hlc = {"h": L("high"), "lo": L("low"), "c": L("close")}
+_methods = {
+    "standard": {"r1": "2 * pivot_point - lo", "s1": "2 * pivot_point - h", "r2": "pivot_point + h - lo", "s2": "pivot_point - (h - lo)", "r3": "2 * pivot_point - lo + h - lo", "s3": "2 * pivot_point - h - (h - lo)"},
+    "fibonacci": {"r1": "pivot_point + 0.382 * (h - lo)", "s1": "pivot_point - 0.382 * (h - lo)", "r2": "pivot_point + 0.618 * (h - lo)", "s2": "pivot_point - 0.618 * (h - lo)", "r3": "pivot_point + (h - lo)", "s3": "pivot_point - (h - lo)"},
+    "camarilla": {"r1": "c + 1.1 * (h - lo) / 12", "s1": "c - 1.1 * (h - lo) / 12", "r2": "c + 1.1 * (h - lo) / 6", "s2": "c - 1.1 * (h - lo) / 6", "r3": "c + 1.1 * (h - lo) / 4", "s3": "c - 1.1 * (h - lo) / 4"},
+    "woodie": {"r1": "2 * pivot_point - lo", "s1": "2 * pivot_point - h", "r2": "pivot_point + h - lo", "s2": "pivot_point - (h - lo)"},
+}
+for _m, _e in _methods.items():
+    add(f"sr1_pivot_points_{_m}", "by_type", lambda d, m=_m: levels.pivot_points(d, m), " ".join(f"{c}:r8" for c in ("pivot_point", *_e)), [_hlc, {"pivot_point": "(h + lo + 2 * c) / 4" if _m == "woodie" else "(h + lo + c) / 3"}, _e])
+_all5 = f"{O('count', 'high', -5, -1)} = 5 AND {O('count', 'high', 1, 5)} = 5"
+add("sr2_swings", "by_type", levels.swings, "swing_high:int swing_low:int", [{"swing_high": f"CASE WHEN {_all5} AND high > greatest({O('max', 'high', -5, -1)}, {O('max', 'high', 1, 5)}) THEN 1 ELSE 0 END", "swing_low": f"CASE WHEN {_all5} AND low < least({O('min', 'low', -5, -1)}, {O('min', 'low', 1, 5)}) THEN 1 ELSE 0 END"}])
+
+
+def _blocks() -> str:
+    """Each strong move marks the last opposite candle of the ten before it."""
+    from barloom.plans.oracle import BARS
+
+    side = lambda name, move, candle: f"m{name} AS (SELECT DISTINCT symbol, j FROM (SELECT a.symbol, max(b.rn) AS j FROM r a JOIN r b ON a.symbol = b.symbol AND b.rn BETWEEN greatest(1, a.rn - 10) AND a.rn - 1 AND {candle} WHERE a.rn >= 10 AND {move} GROUP BY a.symbol, a.rn))"
+    return f"""WITH b0 AS ({BARS['by_type']}), r AS (SELECT *, row_number() OVER ({W}) - 1 AS rn, close / nullif({L('close')}, 0) - 1 AS m FROM b0),
+        {side('u', 'a.m > 0.01', 'b.close < b.open')}, {side('d', 'a.m < -0.01', 'b.close > b.open')}
+        SELECT r.symbol, r.ts, CASE WHEN mu.j IS NOT NULL THEN high END AS bullish_ob_top, CASE WHEN mu.j IS NOT NULL THEN low END AS bullish_ob_bottom,
+        CASE WHEN md.j IS NOT NULL THEN high END AS bearish_ob_top, CASE WHEN md.j IS NOT NULL THEN low END AS bearish_ob_bottom
+        FROM r LEFT JOIN mu ON mu.symbol = r.symbol AND mu.j = r.rn LEFT JOIN md ON md.symbol = r.symbol AND md.j = r.rn"""
+
+
+add("sr3_order_blocks", "by_type", levels.order_blocks, "bullish_ob_top bullish_ob_bottom bearish_ob_top bearish_ob_bottom", None, _blocks())
+add("sr4_zigzag", "by_type", levels.zigzag, "zigzag", None)
+add("sr5_mean_reversion_channel", "by_type", levels.mean_reversion_channel, "ma std upper_band lower_band support_zone resistance_zone", [{"ma": R("avg", "close", 20), "std": R("stddev_samp", "close", 20)}, {"upper_band": "ma + 2 * std", "lower_band": "ma - 2 * std"}, {"support_zone": f"CASE WHEN close < lower_band AND {L('close')} >= {L('lower_band')} THEN lower_band END", "resistance_zone": f"CASE WHEN close > upper_band AND {L('close')} <= {L('upper_band')} THEN upper_band END"}])
+
+# ---- candles: o1 is the open one bar back, and so on ----
+_back = {f"{c}{k}": L(n, k) for c, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close")) for k in (1, 2, 3)}
+_now = {"o": "open", "h": "high", "l": "low", "c": "close"}
+_inv = "h - greatest(o, c) >= 2 * abs(c - o) AND least(o, c) - l <= 0.25 * (h - l) AND abs(c - o) > 0"
+_ham = "least(o, c) - l >= 2 * abs(c - o) AND h - greatest(o, c) <= 0.25 * (h - l) AND abs(c - o) > 0"
+_rules = {
+    "doji": "abs(c - o) <= 0.1 * (h - l)", "inverted_hammer": _inv, "hammer": _ham, "shooting_star": f"{_inv} AND c1 > o1", "hanging_man": f"{_ham} AND c1 > o1",
+    "bullish_engulfing": "c1 < o1 AND c > o AND o <= c1 AND c >= o1", "bearish_engulfing": "c1 > o1 AND c < o AND o >= c1 AND c <= o1",
+    "morning_star": "c2 < o2 AND abs(c1 - o1) < 0.3 * (o2 - c2) AND c > o AND c > o2", "piercing_pattern": "c1 < o1 AND o < c1 AND c > (o1 + c1) / 2 AND c < o1",
+    "dark_cloud_cover": "c1 > o1 AND o > c1 AND c < (o1 + c1) / 2 AND c > o1", "evening_star": "c2 > o2 AND abs(c1 - o1) < 0.3 * (c2 - o2) AND c < o AND c < o2",
+    "three_white_soldiers": "c2 > o2 AND c1 > o1 AND o1 > o2 AND c1 > c2 AND c > o AND o > o1 AND c > c1", "three_black_crows": "c2 < o2 AND c1 < o1 AND o1 < o2 AND c1 < c2 AND c < o AND o < o1 AND c < c1",
+    "rickshaw_man": "abs(c - o) < 0.1 * (h - l) AND h - greatest(o, c) > 0.4 * (h - l) AND least(o, c) - l > 0.4 * (h - l)",
+    "high_wave": "abs(c - o) < h - greatest(o, c) AND abs(c - o) < least(o, c) - l AND h - greatest(o, c) > 0.03 AND least(o, c) - l > 0.03",
+    "matching_low": "c = c1 AND c < o AND c1 < o1", "matching_high": "c = c1 AND c > o AND c1 > o1", "tasuki_gap": "o2 > c2 AND o1 > c1 AND o < c",
+    "advance_block": "c2 > o2 AND c1 > o1 AND c1 > c2 AND c > o AND c > c1 AND h - c > c - o", "deliberation": "c > c1 AND c1 > c2 AND c - o < c1 - o1",
+    "tristar": "abs(c2 - o2) < 0.1 AND abs(c1 - o1) < 0.1 AND abs(c - o) < 0.1", "kicker": "c1 < o1 AND o > c1 AND c > o", "separating_lines": "c1 > o1 AND o = o1 AND c > o",
+    "stick_sandwich": "c2 < o2 AND c1 > o1 AND c < o AND c = c2", "three_inside_up": "c2 < o2 AND c1 > o1 AND c1 > o2 AND c > c1", "three_inside_down": "c2 > o2 AND c1 < o1 AND c1 < o2 AND c < c1",
+    "tower_top": "c2 > o2 AND abs(c1 - o1) < 0.1 AND c < o", "ladder_bottom": "c3 < o3 AND c2 < o2 AND c1 > o1 AND c > c1", "upside_gap_two_crows": "c2 > o2 AND o1 > h2 AND c1 < o1 AND o > c1 AND c < o",
+}
+for _n, _r in _rules.items():
+    add(f"ca_{_n}", "by_type", lambda d, n=_n: candles.pattern(d, n), f"cdl_{_n}:int", [_back, _now, {f"cdl_{_n}": f"CASE WHEN {_r} THEN {candles.PATTERNS[_n][0]} ELSE 0 END"}])
+add("ca1_heikin_ashi", "by_type", candles.heikin_ashi, "open high low close", [{"c": "(open + high + low + close) / 4"}, {"x": f"coalesce({L('c')}, (open + close) / 2)"}, {"o": E("x", 3)}, {"h": "rint_(greatest(high, o, c))", "l": "rint_(least(low, o, c))"}, {"open": "rint_(o)", "close": "rint_(c)", "high": "h", "low": "l"}])
+_ORACLE["ca1_heikin_ashi"] = _ORACLE["ca1_heikin_ashi"].replace("rint_(greatest(high, o, c))", "round_even(greatest(high, o, c) * 100, 0) / 100").replace("rint_(least(low, o, c))", "round_even(least(low, o, c) * 100, 0) / 100").replace("rint_(o)", "round_even(o * 100, 0) / 100").replace("rint_(c)", "round_even(c * 100, 0) / 100")
+add("ca2_marubozu", "by_type", candles.marubozu, "cdl_marubozu:int", [{"cdl_marubozu": "CASE WHEN abs(open - low) < 0.001 AND abs(close - high) < 0.001 THEN 1 WHEN abs(open - high) < 0.001 AND abs(close - low) < 0.001 THEN -1 ELSE 0 END"}])
+add("ca14_spinning_top", "by_type", candles.spinning_top, "cdl_spinning_top:bool", [{"b": "CASE WHEN close = open THEN 1e-6::DOUBLE ELSE abs(close - open) END", "e": "least(open, close)"}, {"cdl_spinning_top": f"coalesce({D('b', 'high - low')} < 0.3 AND (high - e) / b > 2 AND (e - low) / b > 2, false)"}])
+add("ca28_harris_signal", "by_type", candles.harris_signal, "harris_signal:int", [_back, {"harris_signal": "CASE WHEN high > h1 AND h1 > low AND low > h2 AND h2 > l1 AND l1 > h3 AND h3 > l2 AND l2 > l3 THEN 1 WHEN high < h1 AND h1 < low AND low < h2 AND h2 < l1 AND l1 < h3 AND h3 < l2 AND l2 < l3 THEN -1 ELSE 0 END"}])
+
+# ---- chart patterns ----
+
+
+def _extrema(k: int, peak: bool, reach: int, rule: str, out: str) -> str:
+    from barloom.plans.oracle import BARS
+
+    f, sign = ("max", ">") if peak else ("min", "<")
+    point = f"close {sign} {O(f, 'close', -k, -1)} AND close {sign} {O(f, 'close', 1, k)}"
+    return f"""WITH b0 AS ({BARS['by_type']}), p AS (SELECT symbol, ts, close AS m, {point} AS hit FROM b0),
+        q AS (SELECT *, lag(m, {reach}) OVER ({W}) AS a, lead(m, {reach}) OVER ({W}) AS b FROM p WHERE hit)
+        SELECT b0.symbol, b0.ts, CASE WHEN {rule} THEN 1 ELSE 0 END AS {out} FROM b0 LEFT JOIN q ON q.symbol = b0.symbol AND q.ts = b0.ts"""
+
+
+_top, _low = "abs(a - b) / m < 0.01 AND m > a AND m > b", "abs(a - b) / m < 0.01 AND m < a AND m < b"
+_three = "a IS NOT NULL AND b IS NOT NULL AND greatest(a, m, b) - least(a, m, b) < 0.01 * m"
+for _i, (_n, _k, _p, _w, _r) in enumerate((("m_top", 5, True, 1, _top), ("w_bottom", 5, False, 1, _low), ("head_and_shoulders", 5, True, 2, _top), ("inverse_head_and_shoulders", 5, False, 2, _low), ("triple_top", 5, True, 1, _three), ("triple_bottom", 5, False, 1, _three), ("cup_handle", 10, False, 1, "a > m AND m < b AND abs(a - b) / m < 0.1")), 1):
+    add(f"pa{_i}_{_n}", "by_type", getattr(patterns, _n), f"{_n}:int", None, _extrema(_k, _p, _w, _r, _n))
+_quad = " + ".join(f"{i * i - 440 / 12!r} * {L('close', -i) if i else 'close'}" for i in range(-10, 11))
+add("pa8_rounding_bottom", "by_type", patterns.rounding_bottom, "rounding_bottom:int", [{"rounding_bottom": f"CASE WHEN ({_quad}) / {sum((i * i - 440 / 12) ** 2 for i in range(-10, 11))!r} > 0.5 THEN 1 ELSE 0 END"}])
+add("pa9_rectangle", "by_type", patterns.rectangle, "rectangle:int", [{"rectangle": f"CASE WHEN {O('count', 'close', -10, -1)} = 10 AND {O('max', 'close', -10, -1)} - {O('min', 'close', -10, -1)} < 0.01 * {O('avg', 'close', -10, -1)} THEN 1 ELSE 0 END"}])
+for _i, _n, _f, _s in ((10, "ascending_triangle", "max", ">"), (11, "descending_triangle", "min", "<")):
+    add(f"pa{_i}_{_n}", "by_type", getattr(patterns, _n), f"{_n}:int", [RN, {_n: f"CASE WHEN rn >= 10 AND {O('regr_slope', 'close, rn', -10, -1)} {_s} 0 AND abs({O(_f, 'close', -10, -1)} - {L('close')}) < 0.01 * {O(_f, 'close', -10, -1)} THEN 1 ELSE 0 END"}])
+add("pa12_symmetric_triangle", "by_type", patterns.symmetric_triangle, "symmetric_triangle:int", [{**RN, "hh": O("max", "close", -2, 0), "ll": O("min", "close", -2, 0)}, {"u": O("regr_slope", "hh, rn", -8, -1), "v": O("regr_slope", "ll, rn", -8, -1)}, {"symmetric_triangle": "CASE WHEN rn >= 10 AND u < 0 AND v > 0 AND abs(u - v) < 0.05 THEN 1 ELSE 0 END"}])
+
+# ---- labels, regime, portfolio, signals, backtests ----
+add("lb1_three_way", "by_type", labels.three_way, "label:int", [{"m": f"{D(L('close', -5), 'close')} - 1"}, {"label": "CASE WHEN m > 0.002 THEN 2 WHEN m < -0.002 THEN 1 ELSE 0 END"}])
+add("lb2_next_up", "by_type", labels.next_up, "future_return target:int", [{"future_return": f"{D(L('close', -1), 'close')} - 1"}, {"target": "CASE WHEN future_return > 0 THEN 1 ELSE 0 END"}])
+add("lb3_next_sign", "by_type", labels.next_sign, "target", [{"p": f"sign({D('close', L('close'))} - 1)"}, {"target": L("p", -1)}])
+add("ml1_standardised", "by_type", lambda d: labels.standardised(labels.split_by_time(d), ["close", "volume"]), "close volume is_train:bool", [{**RN, "n": "count(*) OVER (PARTITION BY symbol)"}, {"is_train": "rn < floor(n * 0.8)"}, {f"{x}_{f}": f"{g}(CASE WHEN is_train THEN {x} END) OVER (PARTITION BY symbol)" for x in ("close", "volume") for f, g in (("m", "avg"), ("s", "stddev_pop"))}, {x: f"coalesce({D(f'{x} - {x}_m', f'{x}_s')}, 0)" for x in ("close", "volume")}])
+add("rg3_distribution_days", "by_type", portfolio.distribution_days, "close volume distribution_day:bool", [{"distribution_day": f"coalesce(close < {L('close')} AND volume > {L('volume')} AND 100 * ({L('close')} - close) / nullif({L('close')}, 0) > 0.2, false)"}])
+add("pf1_returns", "by_type", portfolio.returns, "ret", None, sql("by_type", {"ret": "num"}, [{"ret": f"{D('close', L('close'))} - 1"}], "WHERE ret IS NOT NULL"))
+for _n, _f in (("sg1_macd_uo_tsv", signals.macd_uo_tsv), ("sg2_harris_t3", signals.harris_t3), ("sg3_mfi_turn", signals.mfi_turn)):
+    add(_n, "by_type", _f, "signal:int", None)
+
+
+def _plain(name: str, fn: Callable[[SparkSession, str], DataFrame], text: str | None = None) -> None:
+    _QUERIES[name] = fn
+    if text:
+        _ORACLE[name] = text
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _traded(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.trades(signals.mfi_turn(sources.hourly(spark, d)), take=0.02, stop=0.02)
+
+
+_b3, _b4 = f"({BARS['daily_orders']})", f"({BARS['market']})"
+_plain(
+    "rg1_hurst",
+    lambda s, d: _rounded(portfolio.hurst(sources.daily_orders(s, d))),
+    f"""WITH r AS (SELECT symbol, close, row_number() OVER ({W}) AS rn FROM {_b3}),
+    s AS (SELECT a.symbol, b.rn - a.rn AS lag, stddev_pop(b.close - a.close) AS s FROM r a JOIN r b ON a.symbol = b.symbol AND b.rn - a.rn BETWEEN 2 AND 99 GROUP BY 1, 2),
+    h AS (SELECT symbol, regr_slope(ln(s), ln(lag)) AS hurst FROM s WHERE s > 0 GROUP BY 1)
+    SELECT symbol, round(hurst, 6) AS hurst, CASE WHEN hurst < 0.5 THEN 'mean reverting' WHEN hurst > 0.5 THEN 'trending' ELSE 'random' END AS regime FROM h""",
+)
+_plain(
+    "pf3_inverse_volatility",
+    lambda s, d: _rounded(portfolio.inverse_volatility(sources.daily_orders(s, d), sources.market(s, d))),
+    f"""WITH j AS (SELECT a.symbol, a.ts, a.close, b.close AS mc FROM {_b3} a JOIN {_b4} b USING (ts)),
+    r AS (SELECT symbol, close / {L('close')} - 1 AS r, mc / {L('mc')} - 1 AS m FROM j),
+    t AS (SELECT symbol, stddev_samp(r) AS v, covar_samp(r, m) / var_samp(m) AS beta FROM r WHERE r IS NOT NULL AND m IS NOT NULL GROUP BY 1)
+    SELECT symbol, round(v, 6) AS volatility, round(beta, 6) AS beta, round((1 / v) / sum(1 / v) OVER (), 6) AS weight FROM t""",
+)
+_plain("bt_trades", lambda s, d: _rounded(_traded(s, d)))
+_plain("bt_metrics", lambda s, d: _rounded(backtest.metrics(backtest.equity(_traded(s, d)))))
+_plain("sg4_latest", lambda s, d: signals.latest(signals.mfi_turn(sources.by_type(s, d))).select("symbol", "ts", "signal", "action"))
+_plain(
+    "sq1_sequences",
+    lambda s, d: labels.windows_ending_here(labels.three_way(sources.by_type(s, d)), 10).select("symbol", "ts", F.round(F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.col("label").cast("int").alias("label")),
+    sql("by_type", {"total": "num", "label": "int"}, [{"m": f"{D(L('close', -5), 'close')} - 1", "n": O("count", "close", -9, 0), "total": f"round({O('sum', 'close', -9, 0)}, 4)"}, {"label": "CASE WHEN m > 0.002 THEN 2 WHEN m < -0.002 THEN 1 ELSE 0 END"}], "WHERE n = 10"),
+)
+_plain("src5_synthetic", lambda s, d: sources.synthetic(s))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
