@@ -129,20 +129,34 @@ class Index:
 
 
 class _Terms(dict):
-    """Term number of a raw word (-1: none of the index); a word with signs inside is the tuple of its terms' numbers."""
+    """Term number of a raw word, or -1 if it is no term of the index; a word of several terms is -2 less its place in ``several``."""
 
     def __init__(self, term: dict[str, int]):
         super().__init__()
-        self.term = term
+        self.term, self.several = term, []
 
-    def __missing__(self, word: str):
+    def __missing__(self, word: str) -> int:
         if len(self) > 300_000:
             self.clear()
         parts = _BARE.findall(word)
-        value = self.term.get(parts[0], -1) if len(parts) == 1 else tuple(self.term.get(p, -1) for p in parts)
+        if len(parts) == 1:
+            value = self.term.get(parts[0], -1)
+        else:
+            value = -2 - len(self.several)
+            self.several.append(tuple(self.term.get(p, -1) for p in parts))
         self[word] = value
         return value
 
+    def numbers(self, raw: list[str]) -> np.ndarray:
+        """The term numbers of a text's words, in order."""
+        if len(self.several) > 300_000:
+            self.clear()
+            self.several.clear()
+        out = np.fromiter(map(self.__getitem__, raw), dtype=np.int64, count=len(raw))
+        if len(out) and out.min() < -1:
+            out = np.array([x for v in out.tolist() for x in (self.several[-2 - v] if v < -1 else (v,))], dtype=np.int64)
+        return out
+
 
 def _containment(part: list[str], grams: set[tuple[str, ...]], size: int) -> float:
     if not part:
@@ -162,16 +176,9 @@ def verify(index: Index, item: int, words: list[str], size: int) -> tuple[float,
     return out[0], out[1]
 
 
-def numbers_of(raw: list[str], lookup: _Terms) -> np.ndarray:
-    got = [lookup[w] for w in raw]
-    if any(type(v) is tuple for v in got):
-        got = [x for v in got for x in (v if type(v) is tuple else (v,))]
-    return np.array(got, dtype=np.int64)
-
-
 def leaks_of(index: Index, raw: list[str], lookup: _Terms, threshold: float, overlap: float, size: int) -> list[tuple[int, float, float, float]]:
     """(item, best score, question overlap, answer overlap) of the leaked items in the words of one text."""
-    terms = numbers_of(raw, lookup)
+    terms = lookup.numbers(raw)
     n = len(terms)
     if not n or not len(index.top):
         return []
@@ -213,8 +220,8 @@ def _counts(docs: DataFrame, term: dict[str, int]) -> tuple[dict[str, int], int]
         total, texts = np.zeros(width + 1, dtype=np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                numbers = np.unique(numbers_of(text.lower().split(), lookup))
-                total[numbers[numbers >= 0]] += 1
+                seen = lookup.numbers(list(set(text.lower().split())))
+                total[np.unique(seen[seen >= 0])] += 1
                 texts += 1
         total[width] = texts
         some = np.flatnonzero(total)
