@@ -309,7 +309,7 @@ def _plausible(kind: int, part: str) -> bool:
         found = _SPELLED.fullmatch(part)
         return bool(found) and not {*found.groups()} & {"at", "dot"}
     if kind == 1:
-        return bool(re.fullmatch(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", part))
+        return bool(re.fullmatch(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", part)) and all(_byte(p) for p in part.split("."))
     if kind == 2:
         return 16 <= digits <= 19 and luhn("".join(c for c in part if c.isdigit()))
     return 10 <= digits <= 15 and bool(re.fullmatch(r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}", part))
