@@ -169,8 +169,9 @@ class Field:
         """One row of label scores a word of a line."""
         parts = [self.score(s) for s in shapes]
         out = np.stack([p[1] for p in parts])
-        out[1:] += [p[0] for p in parts[:-1]]
-        out[:-1] += [p[2] for p in parts[1:]]
+        if len(parts) > 1:
+            out[1:] += [p[0] for p in parts[:-1]]
+            out[:-1] += [p[2] for p in parts[1:]]
         return out
 
 
