@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, candles, extra, labels, levels, momentum, patterns, portfolio, signals, trend, volatility, volume
+from barloom.operators import backtest, candles, extra, features, labels, learning, levels, momentum, patterns, portfolio, signals, trend, volatility, volume
 from barloom.plans.oracle import BARS, CUM, DOWN, HL2, RN, TP, TR, UP, D, E, L, O, R, W, rsi, sql
 from barloom.sources import bars as sources
 
@@ -269,6 +269,32 @@ _plain(
 _plain("src5_synthetic", lambda s, d: sources.synthetic(s))
 
 
+# ---- features and learning ----
+add("fe1_technical", "daily_orders", features.technical, " ".join(features.MODEL), None)
+_flow = [{"tp": TP}, {"d": f"tp - {L('tp')}"}, {"p": "CASE WHEN d > 0 THEN tp * volume ELSE 0 END", "n": "CASE WHEN d < 0 THEN tp * volume ELSE 0 END"}, {"ps": R("sum", "p", 7), "ns": R("sum", "n", 7)}, {"mfi_7": "CASE WHEN ns = 0 AND ps > 0 THEN 100 ELSE 100 - 100 / (1 + ps / nullif(ns, 0)) END"}]
+add("fe1_money_flow", "by_type", lambda d: features.money_flow(d, 7, "mfi_7"), "mfi_7", _flow)
+_u, _v = f"(high - {L('high')})", f"({L('low')} - low)"
+add("fe1_directional_sums", "by_type", features.directional_sums, "plus_di_14 minus_di_14 adx_14", [{"tr": f"CASE WHEN {L('close')} IS NOT NULL THEN {TR} END", "p": f"CASE WHEN {_u} > {_v} THEN greatest({_u}, 0) ELSE 0 END", "m": f"CASE WHEN {_v} > {_u} THEN greatest({_v}, 0) ELSE 0 END"}, {"plus_di_14": f"100 * {D(R('sum', 'p', 14), R('sum', 'tr', 14))}", "minus_di_14": f"100 * {D(R('sum', 'm', 14), R('sum', 'tr', 14))}"}, {"dx": f"100 * {D('abs(plus_di_14 - minus_di_14)', 'plus_di_14 + minus_di_14')}"}, {"adx_14": R("avg", "dx", 14)}])
+add("fe1_own_mean_cci", "by_type", features.own_mean_cci, "cci_20", [{"tp": TP}, {"ma": R("avg", "tp", 20)}, {"x": "abs(tp - ma)"}, {"cci_20": D("tp - ma", f"0.015 * {R('avg', 'x', 20)}")}])
+_five = f"{O('count', 'high', -2, 2)} = 5"
+add("fe1_structure", "by_type", features.structure, "higher_high:int lower_low:int higher_low:int lower_high:int", [{"h": f"CASE WHEN {_five} THEN {O('max', 'high', -2, 2)} END", "l": f"CASE WHEN {_five} THEN {O('min', 'low', -2, 2)} END"}, {n: f"CASE WHEN {c} {o} {L(c, 5)} THEN 1 ELSE 0 END" for n, c, o in (("higher_high", "h", ">"), ("lower_low", "l", "<"), ("higher_low", "l", ">"), ("lower_high", "h", "<"))}])
+add("fe2_levels_and_oscillators", "by_type", features.levels_and_oscillators, "cci tsv macd macd_signal macd_hist rsi support resistance trend bb_middle bb_upper bb_lower bb_bandwidth bb_percent", None)
+for _w, _o in ((1, "directional_vol cci tsv macd uo"), (3, "t3_8 t3_13 harris_signal"), (4, "atr mfi macd")):
+    add(f"fe3_live_{_w}", "by_type", lambda d, w=_w: features.live(d, w), _o, None)
+
+
+def _learnable(spark: SparkSession, d: str) -> DataFrame:
+    table = labels.split_by_time(labels.next_up(features.levels_and_oscillators(sources.by_type(spark, d))))
+    columns = ["cci", "tsv", "macd", "macd_signal", "rsi", "trend", "bb_percent"]
+    return learning.assembled(table.withColumn("target", F.col("target").cast("double")), columns)
+
+
+_plain("ml3_components", lambda s, d: learning.components(_learnable(s, d))[0].select("symbol", "ts", F.size(learning.vector_to_array("pca")).alias("n_components")))
+_plain("ml4_forest", lambda s, d: learning.confusion((t := _learnable(s, d).cache()) and (f := learning.forest_search(t, trials=2)[0]).fit(t.where("is_train")).transform(t.where("not is_train"))))
+_plain("ml6_spread_over_seeds", lambda s, d: learning.spread_over_seeds(_learnable(s, d), samples=2))
+_plain("ml8_walk_forward", lambda s, d: learning.walk_forward(labels.windows_ending_here(labels.three_way(sources.by_type(s, d)), 40)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
