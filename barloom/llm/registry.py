@@ -27,8 +27,8 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = crf.find(documents(spark, sf_dir))
-    kinds = F.filter(F.split("base", ","), lambda s: s != "")
-    counts = [F.size(F.filter(kinds, lambda s, k=k: s.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in crf.KINDS]
+    count = lambda kind: F.size(F.filter(F.split("base", ","), lambda span: span.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in crf.KINDS]
     return found.select("doc_id", *counts, F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans")
 
 
