@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import backtest, candles, extra, features, labels, learning, levels, momentum, patterns, portfolio, signals, trend, volatility, volume
-from barloom.plans.oracle import BARS, CUM, DOWN, HL2, RN, TP, TR, UP, D, E, L, O, R, W, rsi, sql
+from barloom.plans.oracle import BARS, CUM, DOWN, HL2, RN, TP, TR, UP, D, E, EG, L, O, R, W, rsi, sql
 from barloom.sources import bars as sources
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +47,7 @@ _mix = "-0.343 * e6 + (3 * 0.49 + 3 * 0.343) * e5 + (-6 * 0.49 - 3 * 0.7 - 3 * 0
 add("tr4_t3ribbon", "by_type", lambda d: trend.t3ribbon(d, (8, 13)), "t3_8 t3_13", [*_t3(8), {"t3_8": _mix}, *_t3(13), {"t3_13": _mix}])
 add("tr5_trend_lines", "by_type", trend.trend_lines, "support resistance trend", [RN, {"support": R("min", "close", 14), "resistance": R("max", "close", 14), "trend": f"CASE WHEN rn >= 14 THEN {O('regr_slope', 'close, rn', -14, -1)} END"}])
 add("tr6_macd", "by_type", trend.macd, "macd macd_signal macd_hist", [{"macd": f"{E('close', 12)} - {E('close', 26)}"}, {"macd_signal": E("macd", 9)}, {"macd_hist": "macd - macd_signal"}])
-add("tr7_adx", "by_type", trend.adx, "adx plus_di minus_di", [{"tr": TR, "up": f"high - {L('high')}", "dn": f"{L('low')} - low"}, {"p": "CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END"}, {"m": "CASE WHEN dn > p AND dn > 0 THEN dn ELSE 0 END"}, {"a": E("tr", 14)}, {"plus_di": f"100 * {E('p', 14)} / a", "minus_di": f"100 * {E('m', 14)} / a"}, {"dx": D("100 * abs(plus_di - minus_di)", "plus_di + minus_di")}, {"adx": E("dx", 14)}])
+add("tr7_adx", "by_type", trend.adx, "adx plus_di minus_di", [{"tr": TR, "up": f"high - {L('high')}", "dn": f"{L('low')} - low"}, {"p": "CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END"}, {"m": "CASE WHEN dn > p AND dn > 0 THEN dn ELSE 0 END"}, {"a": E("tr", 14)}, {"plus_di": f"100 * {E('p', 14)} / a", "minus_di": f"100 * {E('m', 14)} / a"}, {"dx": D("100 * abs(plus_di - minus_di)", "plus_di + minus_di")}, {"adx": EG("dx", 14)}])
 add("tr8_parabolic_sar", "by_type", trend.parabolic_sar, "psar", None)
 _mid = lambda n: f"({R('max', 'high', n)} + {R('min', 'low', n)}) / 2"
 add("tr9_ichimoku", "by_type", trend.ichimoku, "tenkan kijun span_a span_b chikou", [{"tenkan": _mid(9), "kijun": _mid(26), "sb": _mid(52)}, {"span_a": f"({L('tenkan', 26)} + {L('kijun', 26)}) / 2", "span_b": L("sb", 26), "chikou": L("close", -26)}])
@@ -113,7 +113,7 @@ add("vl4_high_low_range", "by_type", volatility.high_low_range, "high_low_range"
 add("vl5_envelope", "by_type", volatility.envelope, "env_middle:r8 env_upper:r8 env_lower:r8", [{"env_middle": R("avg", "close", 20)}, {"env_upper": "env_middle * 1.025", "env_lower": "env_middle * 0.975"}])
 add("vl6_ulcer_index", "by_type", volatility.ulcer_index, "ulcer_index", [{"hh": R("max", "close", 14)}, {"x": f"coalesce(pow(100 * {D('close - hh', 'hh')}, 2), 0)"}, {"ulcer_index": f"sqrt({R('avg', 'x', 14)})"}])
 add("vl7_natr", "by_type", volatility.normalized_atr, "natr", [{"tr": TR}, {"a": E("tr", 14)}, {"natr": f"100 * {D('a', 'close')}"}])
-add("vl8_relative_volatility_index", "by_type", volatility.relative_volatility_index, "rvi_volatility", None)
+add("vl8_relative_volatility_index", "by_type", volatility.relative_volatility_index, "rvi_volatility", [{"s": R("stddev_samp", "close", 10), "d": f"close - {L('close')}"}, {"u": "CASE WHEN d > 0 THEN s ELSE 0 END", "f": "CASE WHEN d < 0 THEN s ELSE 0 END"}, {"a": EG("u", 14), "b": EG("f", 14)}, {"rvi_volatility": D("100 * a", "a + b")}])
 add("vl9_cboe_vix", "by_type", volatility.cboe_vix, "vix_short vix_long vix_ratio", [{"r": f"ln({D('close', L('close'))})"}, {"vix_short": f"100 * sqrt(252) * {R('stddev_samp', 'r', 9)}", "vix_long": f"100 * sqrt(252) * {R('stddev_samp', 'r', 30)}"}, {"vix_ratio": D("vix_short", "vix_long")}])
 add("vl10_z_score", "by_type", volatility.z_score, "z_score", [{"z_score": D(f"close - {R('avg', 'close', 20)}", R("stddev_samp", "close", 20))}])
 add("vl11_true_range_percent", "by_type", volatility.true_range_percent, "true_range_percent", [{"true_range_percent": f"100 * {D(TR, L('close'))}"}])

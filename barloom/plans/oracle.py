@@ -47,6 +47,14 @@ def E(x: str, n: int) -> str:
     return f"(CASE WHEN {x} IS NOT NULL THEN list_reduce(list_filter(list({x}) OVER ({W} ROWS UNBOUNDED PRECEDING), lambda v: v IS NOT NULL), lambda p, q: p * (1 - {a!r}) + q * {a!r}) END)"
 
 
+def EG(x: str, n: int) -> str:
+    """Exponential mean of a column with gaps: they repeat the last value and weigh as time passed."""
+    a = 2 / (n + 1)
+    b = f"{1 - a!r}::DOUBLE"
+    step = f"CASE WHEN now_.y IS NULL THEN {{'y': acc_.y, 'w': acc_.w * {b}}} WHEN acc_.y IS NULL THEN now_ ELSE {{'y': (acc_.w * {b} * acc_.y + {a!r}::DOUBLE * now_.y) / (acc_.w * {b} + {a!r}::DOUBLE), 'w': 1.0::DOUBLE}} END"
+    return f"(list_reduce(list({{'y': ({x})::DOUBLE, 'w': 1.0::DOUBLE}}) OVER ({W} ROWS UNBOUNDED PRECEDING), lambda acc_, now_: {step})).y"
+
+
 TP, HL2 = "(high + low + close) / 3", "(high + low) / 2"
 TR = f"greatest(high - low, abs(high - {L('close')}), abs(low - {L('close')}))"
 UP, DOWN = "greatest(coalesce(d, 0), 0)", "greatest(-coalesce(d, 0), 0)"

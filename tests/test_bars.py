@@ -85,3 +85,16 @@ def test_sources_refuse_missing_columns(spark):
 def test_csv_round_trip(spark, tmp_path):
     frame(spark, [1, 2, 3]).write.option("header", True).csv(str(tmp_path / "b"))
     assert column(bars.read_csv(spark, str(tmp_path / "b")), "close") == [1, 2, 3]
+
+
+def test_replay_and_sinks(spark, tmp_path):
+    from barloom.sources import replay, sinks
+
+    path = str(tmp_path / "bars")
+    frame(spark, range(1, 31)).union(frame(spark, range(1, 31), "B")).write.parquet(path)
+    got = replay.candles(spark, path, "B", "2024-01-10 00:00:00", "2024-01-12 00:00:00")
+    assert column(got, "close") == [10, 11, 12]
+    assert column(replay.last_days(spark, path, "A", "2024-01-12 00:00:00", 3), "close") == [10, 11, 12]
+    assert column(replay.with_warm_up(spark.read.parquet(path), "2024-01-29 00:00:00", 2), "close") == [27, 28, 29, 30] * 2
+    sinks.features(got, str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 3
