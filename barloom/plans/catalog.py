@@ -47,7 +47,7 @@ _mix = "-0.343 * e6 + (3 * 0.49 + 3 * 0.343) * e5 + (-6 * 0.49 - 3 * 0.7 - 3 * 0
 add("tr4_t3ribbon", "by_type", lambda d: trend.t3ribbon(d, (8, 13)), "t3_8 t3_13", [*_t3(8), {"t3_8": _mix}, *_t3(13), {"t3_13": _mix}])
 add("tr5_trend_lines", "by_type", trend.trend_lines, "support resistance trend", [RN, {"support": R("min", "close", 14), "resistance": R("max", "close", 14), "trend": f"CASE WHEN rn >= 14 THEN {O('regr_slope', 'close, rn', -14, -1)} END"}])
 add("tr6_macd", "by_type", trend.macd, "macd macd_signal macd_hist", [{"macd": f"{E('close', 12)} - {E('close', 26)}"}, {"macd_signal": E("macd", 9)}, {"macd_hist": "macd - macd_signal"}])
-add("tr7_adx", "by_type", trend.adx, "adx plus_di minus_di", [{"tr": TR, "up": f"high - {L('high')}", "dn": f"{L('low')} - low"}, {"p": "CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END"}, {"m": "CASE WHEN dn > p AND dn > 0 THEN dn ELSE 0 END"}, {"a": E("tr", 14)}, {"plus_di": f"100 * {E('p', 14)} / a", "minus_di": f"100 * {E('m', 14)} / a"}, {"dx": D("100 * abs(plus_di - minus_di)", "plus_di + minus_di")}, {"adx": EG("dx", 14)}])
+add("tr7_adx", "by_type", trend.adx, "adx plus_di minus_di", [{"tr": TR, "up": f"high - {L('high')}", "dn": f"{L('low')} - low"}, {"p": "CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END"}, {"m": "CASE WHEN dn > p AND dn > 0 THEN dn ELSE 0 END"}, {"a": E("tr", 14)}, {"plus_di": D(f"100 * {E('p', 14)}", "a"), "minus_di": D(f"100 * {E('m', 14)}", "a")}, {"dx": D("100 * abs(plus_di - minus_di)", "plus_di + minus_di")}, {"adx": EG("dx", 14)}])
 add("tr8_parabolic_sar", "by_type", trend.parabolic_sar, "psar", None)
 _mid = lambda n: f"({R('max', 'high', n)} + {R('min', 'low', n)}) / 2"
 add("tr9_ichimoku", "by_type", trend.ichimoku, "tenkan kijun span_a span_b chikou", [{"tenkan": _mid(9), "kijun": _mid(26), "sb": _mid(52)}, {"span_a": f"({L('tenkan', 26)} + {L('kijun', 26)}) / 2", "span_b": L("sb", 26), "chikou": L("close", -26)}])
