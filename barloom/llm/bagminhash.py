@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import components, cut, grouped, mix64, scan_texts
+from barloom.llm.common import components, cut, grouped, joinable, mix64, scan_texts
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -29,7 +29,7 @@ _MASK = (1 << 64) - 1
 
 class _Memo(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return value
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 30, ro
     links = keys.join(leaders, "key").where("rep != leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     clusters = components(links)
     # Exact comparison inside clusters. The text of a cluster member travels once to each pair of blocks it is in.
-    rep_of = texts.select(F.col("rep").alias("doc_id")).join(clusters.withColumnRenamed("id", "doc_id"), "doc_id")
+    rep_of = joinable(clusters.withColumnRenamed("id", "doc_id"), "clusters")
     body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(rep_of, "doc_id").dropDuplicates(["doc_id"])
     members = cut(body.select("doc_id", "root", "text", F.octet_length("text").cast("long").alias("len")), "members")
     sizes = members.groupBy("root").agg(F.ceil(F.sum("len") / F.lit(float(block_bytes))).cast("int").alias("blocks"))
@@ -202,5 +202,5 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 30, ro
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with one document of each class, the one with the least doc_id; rows with a null doc_id stay."""
     classes = near_duplicates(docs.select("doc_id", "text"), **parameters)
-    lost = classes.where("doc_id != class_id").select("doc_id").distinct()
+    lost = joinable(classes.where("doc_id != class_id").select("doc_id").distinct(), "lost")
     return docs.join(lost, "doc_id", "left_anti").select(docs.columns)

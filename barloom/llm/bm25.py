@@ -16,7 +16,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +138,7 @@ class _Terms(dict):
         self.term, self.several = term, []
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         parts = _BARE.findall(word)
         if len(parts) == 1:
@@ -149,7 +151,7 @@ class _Terms(dict):
 
     def numbers(self, raw: list[str]) -> np.ndarray:
         """The term numbers of a text's words, in order."""
-        if len(self.several) > 300_000:
+        if len(self.several) > 100_000:
             self.clear()
             self.several.clear()
         out = np.fromiter(map(self.__getitem__, raw), dtype=np.int64, count=len(raw))
@@ -232,6 +234,18 @@ def _counts(docs: DataFrame, term: dict[str, int]) -> tuple[dict[str, int], int]
     return {t: by_number.get(k, 0) for t, k in term.items()}, by_number.get(len(term), 0)
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, slice_items: int) -> Iterator[Broadcast]:
+    """The index, in slices of about ``slice_items`` items, each with counts over all texts of ``docs``."""
+    n = benchmark.count()
+    for k in range(max(1, -(-n // slice_items))):
+        part = benchmark.select("item_id", "text")
+        if n > slice_items:
+            part = part.where(f"pmod(xxhash64(item_id), {-(-n // slice_items)}) = {k}")
+        items = sorted(((r[0], r[1] or "") for r in part.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
+        terms = {t: k for k, t in enumerate(dict.fromkeys(w for _, t in items for w in terms_of(t)))}
+        yield docs.sparkSession.sparkContext.broadcast(Index(items, *_counts(docs, terms)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, size: int = 5, slice_items: int = 20_000) -> DataFrame:
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap): each benchmark item that a text holds.
 
@@ -242,16 +256,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
     benchmark. Null or empty texts and items match nothing, a null id stays null, equal items and rows each give rows,
     empty tables give no rows, extra columns are ignored.
     """
-    spark = docs.sparkSession
-    n = benchmark.count()
     out = None
-    for k in range(max(1, -(-n // slice_items))):
-        part = benchmark.select("item_id", "text")
-        if n > slice_items:
-            part = part.where(f"pmod(xxhash64(item_id), {-(-n // slice_items)}) = {k}")
-        items = sorted(((r[0], r[1] or "") for r in part.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        terms = {t: k for k, t in enumerate(dict.fromkeys(w for _, t in items for w in terms_of(t)))}
-        shared = spark.sparkContext.broadcast(Index(items, *_counts(docs, terms)))
+    for shared in _indexes(docs, benchmark, slice_items):
 
         def fn(columns: list[pa.Array], shared=shared) -> Iterator[pa.RecordBatch]:
             index: Index = shared.value
@@ -268,7 +274,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows with a null doc_id stay."""
-    bad = leaks(docs, benchmark, **parameters).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, size: int = 5, slice_items: int = 20_000) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item, as ``leaks`` finds them; no text is dealt out. Rows with a null doc_id stay."""
+    out = docs
+    for shared in _indexes(docs, benchmark, slice_items):
+        out = out.where(F.col("doc_id").isNull() | _free_of(shared, threshold, overlap, size)(F.coalesce("text", F.lit(""))))
+    return out
+
+
+def _free_of(shared: Broadcast, threshold: float, overlap: float, size: int):
+    @F.pandas_udf("boolean")
+    def free(texts: pd.Series) -> pd.Series:
+        index: Index = shared.value
+        if not hasattr(index, "lookup"):
+            index.lookup = _Terms(index.term)
+        return pd.Series([not leaks_of(index, t.lower().split(), index.lookup, threshold, overlap, size) for t in texts], dtype=bool)
+
+    return free

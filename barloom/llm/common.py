@@ -34,6 +34,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joinable(df: DataFrame, name: str, most_rows: int = 1_000_000) -> DataFrame:
+    """``df``, written, to be joined with: broadcast if it was found to have at most ``most_rows`` rows, else left to a shuffle."""
+    written = cut(df, name)
+    return F.broadcast(written) if written.count() <= most_rows else written
+
+
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``max_bytes`` bytes together (one row at least)."""
     if not batch.num_rows:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barloom.llm.common import scan_texts
+from barloom.llm.common import scan_texts, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
@@ -388,22 +388,25 @@ def redact(docs: DataFrame, table: tuple[str, ...] = LABELLED) -> DataFrame:
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            found = all_spans([t or "" for t in texts], field.value)
-            for k, (_, spans) in enumerate(found):
-                if not spans:
-                    continue
-                parts, at = [], 0
-                for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
-                    if a >= at:
-                        parts += [texts[k][at:a], f"<{KINDS[kind]}>"]
-                    at = max(at, b)
-                texts[k] = "".join([*parts, texts[k][at:]])
-            columns = list(batch.columns)
-            columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
-            if chars_at is not None:
-                columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(chars_at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        for whole in batches:
+            for batch in slices(whole, text_at, 4 << 20):
+                yield pa.RecordBatch.from_arrays(masked(batch), schema=batch.schema)
+
+    def masked(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = batch.column(text_at).to_pylist()
+        for k, (_, spans) in enumerate(all_spans([t or "" for t in texts], field.value)):
+            if not spans:
+                continue
+            parts, at = [], 0
+            for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+                if a >= at:
+                    parts += [texts[k][at:a], f"<{KINDS[kind]}>"]
+                at = max(at, b)
+            texts[k] = "".join([*parts, texts[k][at:]])
+        columns = list(batch.columns)
+        columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
+        if chars_at is not None:
+            columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(chars_at).type)
+        return columns
 
     return docs.mapInArrow(run, docs.schema)
