@@ -405,7 +405,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             names=["doc_id", "n_pieces", "round_trip", "ids"],
         )
 
-    return scan_texts(docs, fn, "doc_id long, n_pieces long, round_trip boolean, ids array<int>", max_bytes=8 << 20)
+    return scan_texts(docs, fn, "doc_id long, n_pieces long, round_trip boolean, ids array<int>", max_bytes=2 << 20)
 
 
 def count(docs: DataFrame, model: str = MODEL) -> DataFrame:
