@@ -7,8 +7,8 @@ have their smoothed shares of the counts. So the model gives each word that the
 "unseen", a probability, and all of them sum to one. Biases start at the counts, so an untrained model is the base model.
 
 Weights are fitted by truncated backpropagation: documents run in lanes, the state is carried from window to window
-and reset at the start of a document, gradients stop at the window's edge. In each round every training document of the
-round's share goes through one task; tasks start from the same weights and their results are averaged.
+and reset at the start of a document, gradients stop at the window's edge. Every training document is in one round, and
+there goes through one task; tasks start from the same weights and their results are averaged.
 Scoring carries the state through all windows of a document.
 """
 
@@ -248,6 +248,7 @@ class Trainer:
         self.m, self.v, self.window, self.rate = m, vocabulary, window, rate
         self.grads = Weights(vocabulary, m.hidden, np.zeros_like(m.flat))
         self.squares = np.full_like(m.flat, 1e-7)
+        self.step = np.empty_like(m.flat)
         self.words = 0
 
     def learn(self, docs: list[np.ndarray], lanes: int) -> None:
@@ -265,11 +266,18 @@ class Trainer:
             spread[real] = back
             _backward(self.m, self.grads, inputs, new, states, gates, mixed, spread)
             self.words += int(real.sum())
-            g = self.grads.flat / (read.shape[1] * self.window)  # windows with few lanes left move the weights less
+            g, step = self.grads.flat, self.step
+            g /= read.shape[1] * self.window  # windows with few lanes left move the weights less
             np.clip(g, -1, 1, out=g)
             self.squares *= 0.99
-            self.squares += 0.01 * g * g
-            self.m.flat -= self.rate * g / (np.sqrt(self.squares) + 1e-4)
+            np.multiply(g, g, out=step)
+            step *= 0.01
+            self.squares += step
+            np.sqrt(self.squares, out=step)
+            step += 1e-4
+            np.divide(g, step, out=step)
+            step *= self.rate
+            self.m.flat -= step
             state = states[-1, :, :-1]
 
 
@@ -312,13 +320,15 @@ def word_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
 
 
 def fit(docs: DataFrame, vocabulary: Vocabulary, hidden: int, rounds: int, share: int, lanes: int, window: int, rate: float) -> Weights:
-    """Rounds of local training and averaging. Round r takes the training documents whose id hash is r modulo ``share``.
+    """Rounds of local training and averaging. The training documents are dealt into ``share`` shares by a hash of id and
+    text, and the shares to the rounds in turn, so that the rounds together take every training document once;
+    ``learned`` of the result counts their words.
 
     The weights are a few hundred kilobytes whatever the input; they are averaged block by block in a grouped
     aggregation weighted by words, and one average comes to the driver.
     """
     spark = docs.sparkSession
-    m = Weights(vocabulary, hidden)
+    m, learned = Weights(vocabulary, hidden), 0
     sent = spark.sparkContext.broadcast(vocabulary)
     block = 4096
     for r in range(rounds):
@@ -344,7 +354,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, hidden: int, rounds: int, share
                 parts = [flat[k : k + block] for k in range(0, len(flat), block)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([trainer.words] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], names=["part", "words", "sums"])
 
-        chosen = _bytes(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == r)
+        chosen = _bytes(docs).where(F.pmod(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)), F.lit(rounds)) == r)
         local = chosen.mapInArrow(run, "part int, words long, sums array<double>")
 
         def add(key: tuple, rows: pa.Table) -> pa.Table:
@@ -357,18 +367,19 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, hidden: int, rounds: int, share
         mean = first.groupBy("part").applyInArrow(add, "part int, words long, sums array<double>").orderBy("part").collect()
         if mean:
             m = Weights(vocabulary, hidden, np.concatenate([np.array(x.sums) / x.words for x in mean]))
+            learned += mean[0].words
+    m.learned = learned
     return m
 
 
 def score(
-    docs: DataFrame, known: int = 1000, listed: int = 200_000, classes: int = 32, hidden: int = 16, rounds: int = 2, share: int = 12, lanes: int = 64, window: int = 24, rate: float = 0.01
+    docs: DataFrame, known: int = 2000, listed: int = 200_000, classes: int = 40, hidden: int = 24, rounds: int = 2, share: int = 12, lanes: int = 64, window: int = 24, rate: float = 0.01
 ) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each text, read as words and an end.
 
-    Counts are over all training documents. The recurrent weights are fitted in ``rounds`` rounds on one training
-    document in ``share`` each, chosen by a hash of the id, so what they see grows with the input too. The counts of the
-    ``listed`` most frequent words go to the executors (a fixed number); those of rarer words are joined by word. Scores
-    are log10.
+    Counts are over all training documents, and the recurrent weights are fitted on all of them, each in one of ``rounds``
+    rounds (see ``fit``). The counts of the ``listed`` most frequent words go to the executors (a fixed number); those of
+    rarer words are joined by word. Scores are log10.
 
     Null texts count as empty, a null id hashes as the empty text, repeated rows are scored alike, extra columns are
     ignored; an empty table gives no rows; without training words all words are unseen.

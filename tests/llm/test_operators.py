@@ -108,6 +108,23 @@ def test_gru_beats_the_base_on_held_out_text(spark):
     assert got[0] > got[1]
 
 
+@pytest.mark.parametrize("rounds, share", [(2, 12), (3, 3)])
+def test_gru_learns_from_every_training_document(spark, rounds, share):
+    ids = [None, None, None, 7, 7, *range(20, 60)]
+    texts = [f"a b c{k} d" for k in range(len(ids))]
+    v = gru.Vocabulary([b"a", b"b", b"d", gru.END], np.array([40] * 4), 200, 50, 2)
+    m = gru.fit(table(spark, texts, ids), v, 4, rounds, share, 8, 6, 0.01)
+    assert m.learned == 5 * sum(not gru.held_out(i) for i in ids)
+
+
+def test_gru_beats_the_base_at_its_defaults(spark):
+    rng = random.Random(5)
+    tongues = [[f"{t}{k}" for k in range(60)] for t in "abcd"]
+    texts = [" ".join(rng.choice(tongues[k % 4]) for _ in range(200)) for k in range(600)]
+    got = gru.score(table(spark, texts)).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
 # ---- 2 ----
 
 
