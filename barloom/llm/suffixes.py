@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -244,12 +245,28 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b - a
 
 
-def drop_repeats(docs: DataFrame, length: int = 200, piece: int = 64) -> DataFrame:
+def cells_of(part: bytes, anchor: int, run: int, length: int, piece: int, cell: int = 16) -> Iterator[tuple[int, int, bytes]]:
+    """A span cut into the cells of ``repeated_windows``: (hash of anchor, cell and core; run; bytes of the cell's windows).
+
+    Equal windows lie in cells of one number and one core, so they share the hash.
+    """
+    hashes = piece_hashes(np.frombuffer(part, np.uint8), piece).view(np.int64)
+    lowest = length - piece - int(np.argmax(hashes == anchor))
+    first, windows = run >> 8, run & 255
+    for number in range(lowest // cell, (lowest + windows - 1) // cell + 1):
+        a, b = max(0, number * cell - lowest), min(windows, (number + 1) * cell - lowest)
+        at = number * cell - lowest
+        core = part[at + cell - 1 : at + length]
+        deal = xxhash.xxh3_64_intdigest(core, (anchor + number * _ODD) % (1 << 64))
+        yield deal - (1 << 63), (first + a) << 8 | (b - a), part[a : b - 1 + length]
+
+
+def drop_repeats(docs: DataFrame, length: int = 200, piece: int = 64, hot: int = 20_000) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept): each text without the bytes that repeat.
 
     A byte goes if it lies in a window of ``length`` bytes that also starts anywhere else in the table, the same text
     included; windows are judged on the input. Texts are UTF-8 bytes (null: empty), ``kept`` are the bytes left, n_spans the
-    maximal removed runs. Each row is a text of its own: equal rows repeat each other. Null ids and extra columns pass, an
+    maximal removed runs. Anchors with more than ``hot`` spans to settle are dealt out by cell and core. Each row is a text of its own: equal rows repeat each other. Null ids and extra columns pass, an
     empty table gives no rows. Texts under ``length`` bytes stay whole.
     """
     if length - piece > 200:
@@ -294,21 +311,59 @@ def drop_repeats(docs: DataFrame, length: int = 200, piece: int = 64) -> DataFra
         F.call_function("substring", F.col("text"), (F.shiftright(r["run"], 8) + 1).cast("int"), (r["run"].bitwiseAND(F.lit(255)) + length - 1).cast("int")).alias("part"),
     )
     texts = body.select("key", "text").join(wanted, "key").select("key", F.explode(F.transform("runs", pieces_of)).alias("r"))
-    texts = texts.select("key", "r.anchor", "r.run", "r.repeated", "r.part")
+    crowded = marked.where("anchor is not null").groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
+    texts = texts.select("key", "r.anchor", "r.run", "r.repeated", "r.part").join(F.broadcast(crowded), "anchor", "left")
+    texts = texts.select("key", "anchor", "run", "repeated", "part", F.coalesce("hot", F.lit(False)).alias("hot"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.bool_()]
+        names = ["key", "anchor", "run", "repeated", "part", "deal", "known"]
+        met: dict[tuple[int, bytes], list] = {}
+        for batch in batches:
+            is_hot = batch.column(5)
+            calm = batch.filter(pc.invert(is_hot))
+            if calm.num_rows:
+                yield pa.RecordBatch.from_arrays([*calm.columns[:4], calm.column(4).cast(pa.binary()), calm.column(1), pa.array(np.zeros(calm.num_rows, bool))], names=names)
+            rows = []
+            for key, anchor, run, repeated, part in zip(*(c.to_pylist() for c in batch.filter(is_hot).columns[:5])):
+                for number, cell_run, cell in cells_of(part, anchor, run, length, piece):
+                    # Of equal cells one goes on and stands for those met after it, which are repeated, as it is.
+                    before = met.get((number, cell))
+                    if before is None:
+                        if len(met) >= 100_000:
+                            met.clear()
+                        met[number, cell] = [key, cell_run, repeated, False]
+                        rows.append((key, anchor, cell_run, repeated, cell, number, False))
+                    elif before[:2] != [key, cell_run]:
+                        if not before[3] and not before[2]:
+                            rows.append((before[0], anchor, before[1], False, b"", before[0], True))
+                        before[3] = True
+                        if not repeated:
+                            rows.append((key, anchor, cell_run, False, b"", key, True))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    texts = texts.mapInArrow(deal, "key long, anchor long, run long, repeated boolean, part binary, deal long, known boolean")
 
     def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
+        known = table.filter(table.column("known"))
+        if known.num_rows:
+            yield from known.select(["key", "run"]).to_batches()
+        table = table.filter(pc.invert(table.column("known"))).combine_chunks()
+        if not table.num_rows:
+            return
         part = table.column("part").chunk(0)
         key, run, repeated = (table.column(c).to_numpy() for c in ("key", "run", "repeated"))
         flat, offsets = text_bytes(part)
         # Equal texts gave equal rows: one stays.
-        _, keep = np.unique(np.stack([table.column("anchor").to_numpy(), key, run]), axis=1, return_index=True)
+        _, keep = np.unique(np.stack([table.column("deal").to_numpy(), key, run]), axis=1, return_index=True)
         keep = np.sort(keep)
         if len(keep) < len(key):
             part, key, run, repeated = part.take(pa.array(keep)), key[keep], run[keep], repeated[keep]
             flat, offsets = text_bytes(part)
         anchors = table.column("anchor").to_numpy()[keep]
-        group = np.cumsum(np.diff(anchors, prepend=anchors[:1]) != 0)
+        deals = table.column("deal").to_numpy()[keep]
+        group = np.cumsum(np.diff(deals, prepend=deals[:1]) != 0)
         windows = np.diff(offsets) - length + 1
         hashes = piece_hashes(flat, piece).view(np.int64)
         # The anchor stands where the hash is its own, the first such place in the span.
@@ -325,8 +380,9 @@ def drop_repeats(docs: DataFrame, length: int = 200, piece: int = 64) -> DataFra
                 out_run.append(((int(run[k]) >> 8) + x) << 8 | c)
         yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.int64()), pa.array(out_run, pa.int64())], names=["key", "run"])
 
-    settled = group_runs(texts, "anchor", settle, "key long, run long")
-    removed = whole.union(settled).groupBy("key").agg(F.collect_list("run").alias("runs"))
+    settled = group_runs(texts, "deal", settle, "key long, run long")
+    # Each copy of a text gave its spans: one of each stays, so a text's list is no longer than its own spans.
+    removed = whole.union(settled).distinct().groupBy("key").agg(F.collect_list("run").alias("runs"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

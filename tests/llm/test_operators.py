@@ -250,6 +250,39 @@ def test_repeats_match_brute_force(spark, odd):
     assert suffixes.drop_repeats(table(spark, texts).where("false")).count() == 0
 
 
+def test_hot_anchors_and_many_copies(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, same = letters(420), letters(700)
+    texts = [letters(rng.randint(0, 150)) + rng.choice("xyz") * 16 + passage + rng.choice("xyz") * 16 + letters(rng.randint(0, 150)) for _ in range(120)] + [same] * 40 + [same[:300] + letters(300)]
+    sizes, deal_out = [], suffixes.group_runs
+
+    def spy(df, key, *args):
+        sizes.append(df.where("part != X''").groupBy(key).count().agg(F.max("count")).first()[0])
+        return deal_out(df, key, *args)
+
+    monkeypatch.setattr(suffixes, "group_runs", spy)
+    for hot in (1, 1_000_000):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.drop_repeats(table(spark, texts), hot=hot).collect()}
+        assert [got[k] for k in range(len(texts))] == _without_repeats(texts, 200)
+    assert sizes[0] < sizes[1]
+
+
+def test_lists_of_removed_runs_do_not_grow_with_copies(spark, monkeypatch):
+    text, longest = prose(random.Random(8), 200), []
+    kind = type(table(spark, ["x"]))
+    real = kind.join
+
+    def spy(self, other, *args, **kwargs):
+        if "runs" in other.columns and "key" in other.columns and dict(other.dtypes)["runs"] == "array<bigint>":
+            longest.append(other.agg(F.max(F.size("runs")), F.max(F.size(F.array_distinct("runs")))).first())
+        return real(self, other, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "join", spy)
+    assert {r.n_removed for r in suffixes.drop_repeats(table(spark, [text] * 50)).collect()} == {len(text)}
+    assert longest and all(a == b for a, b in longest)
+
+
 # ---- 5 ----
 
 
