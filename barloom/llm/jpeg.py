@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
-from barloom.llm.common import scan_texts
+from barloom.llm.common import scan_texts, slices
 
 # Fixed values of the format: the zigzag order is a rule; quantisation by one throughout.
 _ZIGZAG = np.array([r * 8 + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))])
@@ -341,13 +342,18 @@ def to_rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
 
 def decode(raw: bytes) -> np.ndarray:
     """A progressive JPEG as a height x width x 3 tensor; grey images are given three equal channels."""
-    image = Image(raw)
+    return tensor_of(Image(raw))
+
+
+def tensor_of(image: Image) -> np.ndarray:
+    """The tensor of a read image. Each pixel takes the sample of each plane that covers it, whatever the sampling factors."""
+    down, right = np.arange(image.height), np.arange(image.width)
     planes = []
     for (_, h, v, q), c in zip(image.parts, image.coefficients):
         rows, columns = c.shape[:2]
         tile = samples(c.reshape(-1, 64) * image.quant[q])
         plane = tile.reshape(rows, columns, 8, 8).swapaxes(1, 2).reshape(rows * 8, columns * 8)
-        planes.append(plane.repeat(image.vmax // v, axis=0).repeat(image.hmax // h, axis=1)[: image.height, : image.width])
+        planes.append(plane[: image.height, : image.width] if (h, v) == (image.hmax, image.vmax) else plane[(down * v // image.vmax)[:, None], right * h // image.hmax])
     if len(planes) == 1:
         return np.repeat(planes[0][:, :, None], 3, axis=2)
     return to_rgb(*planes)
@@ -363,30 +369,50 @@ def read_payload(image: Image) -> bytes:
 
 
 def media(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_bytes, payload, media, width, height, pixel_sums): each text as a progressive JPEG, read back.
+    """Rows (doc_id, n_bytes, payload, media, width, height, pixel_sums, tensor): each text as a progressive JPEG, read back.
 
     The text is UTF-8 (null: empty), filled with spaces to a positive multiple of 192 bytes. ``payload`` is what was
-    read back from ``media``; ``pixel_sums`` are the sums of R, G and B over the decoded tensor. Null ids, repeated
+    read back from ``media``; ``tensor`` are the bytes of its height x width x 3 tensor, row by row, and ``pixel_sums``
+    the sums of R, G and B over it. The files are written without subsampling; ``tensors`` reads given files. Null ids, repeated
     rows and extra columns pass row by row; an empty table gives no rows.
     """
 
     def fn(columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         ids, texts = columns
-        rows, blocks = [], []
+        rows = []
         for text in texts.to_pylist():
             raw = text.encode()
             stored = encode_payload(raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b" "))
             image = Image(stored)
-            blocks.append(np.stack([c.reshape(-1, 64) for c in image.coefficients]))
-            rows.append([len(raw), read_payload(image), stored, image.width, image.height])
-        # One inverse transform for the blocks of the whole batch: unit sampling and steps of one, as written above.
-        pixels = to_rgb(*(samples(np.concatenate([b[c] for b in blocks])) for c in range(3))).sum(axis=(1, 2), dtype=np.int64)
-        starts = np.cumsum([0, *[b.shape[1] for b in blocks[:-1]]])
-        for row, sums in zip(rows, np.add.reduceat(pixels, starts).tolist()):
-            row.append(sums)
+            tensor = tensor_of(image)
+            rows.append([len(raw), read_payload(image), stored, image.width, image.height, tensor.sum(axis=(0, 1), dtype=np.int64).tolist(), tensor.tobytes()])
         yield pa.RecordBatch.from_arrays(
-            [ids, *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64())))]],
-            names=["doc_id", "n_bytes", "payload", "media", "width", "height", "pixel_sums"],
+            [ids, *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()))]],
+            names=["doc_id", "n_bytes", "payload", "media", "width", "height", "pixel_sums", "tensor"],
         )
 
-    return scan_texts(docs, fn, "doc_id long, n_bytes long, payload binary, media binary, width int, height int, pixel_sums array<long>", max_bytes=2 << 20)
+    return scan_texts(docs, fn, "doc_id long, n_bytes long, payload binary, media binary, width int, height int, pixel_sums array<long>, tensor binary", max_bytes=2 << 20)
+
+
+def tensors(files: DataFrame, column: str = "media") -> DataFrame:
+    """``files`` with (width, height, tensor, error): the progressive JPEG in the binary ``column`` as a height x width x 3 tensor, row by row.
+
+    Chroma planes are enlarged to full resolution. Null files give nulls; files that can't be read give nulls and the ``error``.
+    """
+    made = StructType.fromDDL("width int, height int, tensor binary, error string")
+    at = files.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at, 1 << 20):
+                rows = []
+                for raw in part.column(at).to_pylist():
+                    try:
+                        tensor = None if raw is None else decode(raw)
+                        rows.append((None,) * 4 if raw is None else (tensor.shape[1], tensor.shape[0], tensor.tobytes(), None))
+                    except Exception as e:  # whatever a broken file brings about is told in its row
+                        rows.append((None, None, None, str(e) or type(e).__name__))
+                new = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *made.names])
+
+    return files.mapInArrow(run, StructType([*files.schema.fields, *made.fields]))

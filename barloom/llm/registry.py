@@ -51,6 +51,7 @@ def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(":", F.concat_ws("x", "width", "height"), F.transform("pixel_sums", lambda v: v.cast("string"))).alias("feature"),
+        F.sha2("tensor", 256).alias("tensor_sha256"),
     )
 
 

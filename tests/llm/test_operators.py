@@ -455,6 +455,32 @@ def test_general_images_with_small_chroma():
     assert rgb.shape == (16, 16, 3) and np.abs(rgb.astype(int) - want).max() <= 1
 
 
+def test_tensors_of_texts_and_broken_files(spark, odd):
+    stored = jpeg.media(table(spark, odd))
+    for r in stored.collect():
+        assert bytes(r.tensor) == jpeg.decode(bytes(r.media)).tobytes() and len(r.tensor) == 3 * r.width * r.height
+    files = spark.createDataFrame([(1, None), (2, bytearray(b"no image"))], "doc_id long, media binary").union(stored.select("doc_id", "media").where("doc_id > 2"))
+    rows = {r.doc_id: r for r in jpeg.tensors(files).collect()}
+    assert rows[1].tensor is None and rows[1].error is None and rows[2].tensor is None and rows[2].error
+    assert all(bytes(rows[r.doc_id].tensor) == bytes(r.tensor) for r in stored.collect() if r.doc_id > 2)
+
+
+def test_subsampled_chroma_is_enlarged():
+    image = jpeg.Image.__new__(jpeg.Image)
+    image.height, image.width, image.hmax, image.vmax = 20, 22, 3, 2
+    image.parts, image.quant = [(1, 3, 2, 0), (2, 2, 1, 0), (3, 1, 1, 0)], {0: np.ones(64, np.int64)}
+    rng = np.random.default_rng(1)
+    image.coefficients = [np.zeros((4 // (2 // v), h, 64), np.int16) for _, h, v, _ in image.parts]
+    for c in image.coefficients:
+        c[:, :, :6] = rng.integers(-90, 90, (*c.shape[:2], 6))
+    planes = [jpeg.samples(c.reshape(-1, 64)).reshape(*c.shape[:2], 8, 8).swapaxes(1, 2).reshape(c.shape[0] * 8, -1) for c in image.coefficients]
+    got = jpeg.tensor_of(image)
+    for y in range(20):
+        for x in range(22):
+            at = [p[y * v // 2, x * h // 3] for p, (_, h, v, _) in zip(planes, image.parts)]
+            assert got[y, x].tolist() == jpeg.to_rgb(*(np.array([a]) for a in at))[0].tolist()
+
+
 def test_media_of_odd_texts(spark, odd):
     for r in jpeg.media(table(spark, odd)).collect():
         raw = (odd[r.doc_id] or "").encode()
