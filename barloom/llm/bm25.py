@@ -5,7 +5,7 @@ words as the longest item; passages overlap by half. The rarity of a term is cou
 score of an item is its BM25 score divided by the score of the item's own text, so one threshold serves all items. The
 block maxima of a text's terms are summed for all its passages at once; only passages in which they reach the threshold
 for some block of items are walked by ``retrieve``, which gives every item at or above it. Retrieved items are verified on
-the whole training text: the part of the item's shingles that occurs in it, for the question and the answer part apart.
+the whole training text: the part of the item's shingles that occurs in it, for the question and the answer part apart, or for the whole item.
 """
 
 from __future__ import annotations
@@ -178,6 +178,13 @@ def verify(index: Index, item: int, words: list[str], size: int) -> tuple[float,
     return out[0], out[1]
 
 
+def verify_whole(index: Index, item: int, words: list[str], size: int) -> float:
+    """The part of the shingles of the item's whole text that is in ``words``."""
+    part = index.questions[item] + index.answers[item]
+    span = min(size, len(part))
+    return _containment(part, {tuple(words[k : k + span]) for k in range(len(words) - span + 1)}, size)
+
+
 def leaks_of(index: Index, raw: list[str], lookup: _Terms, threshold: float, overlap: float, size: int) -> list[tuple[int, float, float, float]]:
     """(item, best score, question overlap, answer overlap) of the leaked items in the words of one text."""
     terms = lookup.numbers(raw)
@@ -208,7 +215,7 @@ def leaks_of(index: Index, raw: list[str], lookup: _Terms, threshold: float, ove
     out = []
     for item, score in sorted(best.items()):
         question, answer = verify(index, item, words, size)
-        if question >= overlap and answer >= overlap:
+        if (question >= overlap and answer >= overlap) or verify_whole(index, item, words, size) >= overlap:
             out.append((item, score, question, answer))
     return out
 
@@ -250,7 +257,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap): each benchmark item that a text holds.
 
     Every passage of every whole text is a query; an item counts if a passage reaches ``threshold`` of the item's own
-    score and both its parts are in the text by ``overlap`` or more, in shingles of ``size`` words (fewer if the part is
+    score and both its parts, or its whole text, are in the text by ``overlap`` or more, in shingles of ``size`` words (fewer if the part is
     shorter). As passages overlap by half, three quarters of any item lie inside one passage. The index goes to the
     executors in slices of ``slice_items`` items, each a scan of its own, so what is broadcast is bounded whatever the
     benchmark. Null or empty texts and items match nothing, a null id stays null, equal items and rows each give rows,

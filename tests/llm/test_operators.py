@@ -209,6 +209,20 @@ def test_leaks_are_found_and_others_left(spark, odd):
     assert bm25.leaks(table(spark, texts), bench.where("false")).count() == 0
 
 
+def test_copies_with_a_changed_word_in_the_last_sentence_are_leaks(spark):
+    rng = random.Random(11)
+    items = [(k, prose(rng, 32).capitalize() + ". " + prose(rng, 8).capitalize() + ".") for k in range(8)]
+    texts = []
+    for k, (_, text) in enumerate(items):
+        words = text[:-1].split()
+        words[-1 - k] = "otherwise"
+        texts.append(prose(rng, 60) + " " + " ".join(words) + " " + prose(rng, 60))
+    texts += [prose(rng, 200) for _ in range(5)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in bm25.leaks(table(spark, texts), bench).collect()} == {(k, k) for k in range(8)}
+    assert {r.doc_id for r in bm25.clean(table(spark, texts), bench).collect()} == set(range(8, 13))
+
+
 # ---- 4 ----
 
 
