@@ -290,8 +290,8 @@ def _learnable(spark: SparkSession, d: str) -> DataFrame:
 
 
 _plain("ml3_components", lambda s, d: learning.components(_learnable(s, d))[0].select("symbol", "ts", F.size(learning.vector_to_array("pca")).alias("n_components")))
-_plain("ml4_forest", lambda s, d: learning.confusion((t := _learnable(s, d).cache()) and (f := learning.forest_search(t, trials=2)[0]).fit(t.where("is_train")).transform(t.where("not is_train"))))
-_plain("ml6_spread_over_seeds", lambda s, d: learning.spread_over_seeds(_learnable(s, d), samples=2))
+_plain("ml4_forest", lambda s, d: learning.confusion((t := _learnable(s, d).cache()) and (f := learning.forest_search(t, trials=50)[0]).fit(t.where("is_train")).transform(t.where("not is_train"))))
+_plain("ml6_spread_over_seeds", lambda s, d: learning.spread_over_seeds(_learnable(s, d).cache(), samples=100))
 _plain("ml8_walk_forward", lambda s, d: learning.walk_forward(labels.windows_ending_here(labels.three_way(sources.by_type(s, d)), 40)))
 
 

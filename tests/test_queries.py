@@ -36,3 +36,22 @@ def test_matches_sql(spark, duck, sf, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(ORACLE)))
 def test_runs(spark, sf, name):
     assert catalog.queries()[name](spark, sf).count() >= 0
+
+
+def test_searches_and_spreads_are_registered_in_full(spark, sf, monkeypatch):
+    from barloom.plans import catalog
+
+    asked = {}
+
+    def note(df, **given):
+        asked.update(given)
+        raise InterruptedError
+
+    monkeypatch.setattr(catalog.learning, "forest_search", note)
+    monkeypatch.setattr(catalog.learning, "spread_over_seeds", note)
+    for name in ("ml4_forest", "ml6_spread_over_seeds"):
+        try:
+            catalog.queries()[name](spark, sf)
+        except InterruptedError:
+            pass
+    assert asked == {"trials": 50, "samples": 100}
