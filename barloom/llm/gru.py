@@ -7,9 +7,10 @@ have their smoothed shares of the counts. So the model gives each word that the
 "unseen", a probability, and all of them sum to one. Biases start at the counts, so an untrained model is the base model.
 
 Weights are fitted by truncated backpropagation: documents run in lanes, the state is carried from window to window
-and reset at the start of a document, gradients stop at the window's edge. Every training document is in one round, and
-there goes through one task; tasks start from the same weights and their results are averaged.
-Scoring carries the state through all windows of a document.
+and reset at the start of a document, gradients stop at the window's edge. Every training document is learned once: a
+hash of id and text puts it into a group, the groups are dealt over the rounds, and the number of groups follows from the count of
+training tokens. Groups of a round start from the same weights and their results are averaged. So the weights depend on the
+rows alone, not on how a table is cut into partitions. Scoring carries the state through all windows of a document.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ class Vocabulary:
         mass = np.zeros((self.classes, self.size))
         mass.ravel()[: len(words)] = counts + 0.5
         with np.errstate(divide="ignore"):
-            self.in_class = np.where(mass > 0, np.log(mass / mass.sum(axis=1, keepdims=True)), -1e4).astype(np.float32)
+            self.in_class = np.where(mass > 0, np.log(mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-300)), -1e4).astype(np.float32)
             self.of_class = np.log(np.append(mass.sum(axis=1), rest) / (mass.sum() + rest)).astype(np.float32)
         self.rest = rest
 
@@ -125,7 +126,7 @@ def _log_sums(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponents (in place of the logits) and the logs of their row sums. Biases are shares, so logits are small."""
     np.minimum(logits, 60, out=logits)
     np.exp(logits, out=logits)
-    sums = logits.sum(axis=1)
+    sums = logits @ np.ones(logits.shape[1], np.float32)
     return sums, np.log(sums)
 
 
@@ -176,30 +177,48 @@ def _losses(m: Weights, states: np.ndarray, targets: np.ndarray, size: int, grad
 
 
 def _backward(m: Weights, grads: Weights, inputs, fresh, states, gates, mixed, back) -> None:
-    """Gradients through the window; back: gradients at the states after each step."""
+    """Gradients through the window; back: gradients at the states after each step (changed on the way)."""
     h = m.hidden
     steps, lanes = inputs.shape
-    later = np.zeros((lanes, h), np.float32)
+    old = states[:-1, :, :h]
+    if fresh.any():
+        old = np.where(fresh[:, :, None], np.float32(0), old)
+    z, r, n = gates[:, :, :h], gates[:, :, h : 2 * h], gates[:, :, 2 * h :]
+    # The slope of each gate, for all steps at once; what comes back is multiplied in step by step.
     fed = np.empty((steps, lanes, 3 * h), np.float32)
+    dz, dr, dn = fed[:, :, :h], fed[:, :, h : 2 * h], fed[:, :, 2 * h :]
+    move = 1 - z
+    np.multiply(old - n, z, out=dz)
+    dz *= move
+    np.multiply(mixed, 1 - r, out=dr)  # mixed is the old state times r
+    np.multiply(n, n, out=dn)
+    np.subtract(1, dn, out=dn)
+    dn *= move
+    u_gates, u_new = np.ascontiguousarray(m.u[:, : 2 * h].T), np.ascontiguousarray(m.u[:, 2 * h :].T)
+    later = np.zeros((lanes, h), np.float32)
     for t in range(steps - 1, -1, -1):
-        g = later + back[t]
-        old = np.where(fresh[t][:, None], np.float32(0), states[t, :, :h])
-        z, r, n = gates[t, :, :h], gates[t, :, h : 2 * h], gates[t, :, 2 * h :]
-        dn = g * (1 - z) * (1 - n * n)
-        dz = g * (old - n) * z * (1 - z)
-        via = dn @ m.u[:, 2 * h :].T
-        dr = via * old * r * (1 - r)
-        both = np.concatenate([dz, dr], axis=1)
-        grads.u[:, : 2 * h] += old.T @ both
-        grads.u[:, 2 * h :] += mixed[t].T @ dn
-        fed[t, :, : 2 * h], fed[t, :, 2 * h :] = both, dn
-        later = g * z + via * r + both @ m.u[:, : 2 * h].T
-        later[fresh[t]] = 0
-    grads.b += fed.sum(axis=(0, 1))
-    flat = inputs.ravel()
-    order = np.argsort(flat, kind="stable")
-    seen, first = np.unique(flat[order], return_index=True)
-    grads.x[seen] += np.add.reduceat(fed.reshape(-1, 3 * h)[order], first, axis=0)
+        g = back[t]
+        g += later
+        dz[t] *= g
+        dn[t] *= g
+        via = dn[t] @ u_new
+        dr[t] *= via
+        later = fed[t, :, : 2 * h] @ u_gates
+        g *= z[t]
+        later += g
+        via *= r[t]
+        later += via
+        if fresh[t].any():
+            later[fresh[t]] = 0
+    flat = fed.reshape(-1, 3 * h)
+    grads.u[:, : 2 * h] += old.reshape(-1, h).T @ flat[:, : 2 * h]
+    grads.u[:, 2 * h :] += mixed.reshape(-1, h).T @ flat[:, 2 * h :]
+    grads.b += flat.sum(axis=0)
+    words = inputs.ravel()
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    first = np.flatnonzero(np.diff(words, prepend=-1))
+    grads.x[words[first]] += np.add.reduceat(flat[order], first, axis=0)
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -241,6 +260,11 @@ def _numbers(texts: list[bytes], number: dict[bytes, int]) -> tuple[list[list[by
     return tokens, [np.fromiter((get(w, -1) for w in ws), dtype=np.int32, count=len(ws)) for ws in tokens]
 
 
+def segments(doc: np.ndarray, most: int) -> list[np.ndarray]:
+    """A document cut for learning, so that one long document doesn't run on in a lane by itself; each part starts afresh."""
+    return [doc] if len(doc) <= most else [doc[k : k + most] for k in range(0, len(doc), most)]
+
+
 class Trainer:
     """Truncated backpropagation with per-weight step sizes (sums of squared gradients)."""
 
@@ -319,52 +343,80 @@ def word_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
     return _bytes(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary, hidden: int, rounds: int, share: int, lanes: int, window: int, rate: float) -> Weights:
-    """Rounds of local training and averaging. The training documents are dealt into ``share`` shares by a hash of id and
-    text, and the shares to the rounds in turn, so that the rounds together take every training document once;
-    ``learned`` of the result counts their words.
+def fit(docs: DataFrame, vocabulary: Vocabulary, hidden: int, rounds: int, group_words: int, lanes: int, window: int, rate: float, most_groups: int = 16_384) -> Weights:
+    """Rounds of local training and averaging, over every training document once; ``learned`` of the result counts their words.
+
+    A round has as many groups as its share of the training tokens has ``group_words`` (``most_groups`` at most; beyond that
+    groups grow). Documents are dealt to groups by a hash of id and text and come in the order of that hash, as numbers of
+    known words, two bytes a word. A group is one task, which holds a million words at a time. Repeated rows are one group's.
 
-    The weights are a few hundred kilobytes whatever the input; they are averaged block by block in a grouped
+    The weights are some hundred kilobytes whatever the input; they are averaged block by block in a grouped
     aggregation weighted by words, and one average comes to the driver.
     """
     spark = docs.sparkSession
     m, learned = Weights(vocabulary, hidden), 0
     sent = spark.sparkContext.broadcast(vocabulary)
-    block = 4096
+    block, segment = 4096, 1024
+    per_round = min(most_groups, max(1, -(-vocabulary.total // (rounds * group_words))))
+    body = _bytes(docs).withColumn("hash", F.xxhash64("doc_id", "text"))
+    body = body.withColumn("grp", F.pmod(F.col("hash"), F.lit(rounds * per_round)).cast("int"))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = sent.value.number
+        for batch in batches:
+            learn = pa.array([not held_out(i) for i in batch.column(0).to_pylist()])
+            for part in slices(batch.filter(learn), 1, 4 << 20):
+                words = [x.astype(np.int16).tobytes() for x in _numbers(part.column(1).to_pylist(), number)[1]]
+                yield pa.RecordBatch.from_arrays([part.column(3), part.column(2), pa.array(words, pa.binary())], names=["grp", "hash", "words"])
+
     for r in range(rounds):
         start = spark.sparkContext.broadcast(m.flat)
 
         def run(batches: Iterator[pa.RecordBatch], start=start, r=r) -> Iterator[pa.RecordBatch]:
             v: Vocabulary = sent.value
-            trainer = Trainer(Weights(v, hidden, start.value.copy()), v, window, rate / (1 + r))
-            held, held_words = [], 0
+            group, trainer, held, held_words = None, None, [], 0
+
+            def result() -> pa.RecordBatch:
+                if held:
+                    trainer.learn(held, lanes)
+                flat = trainer.m.flat.astype(np.float64) * trainer.words
+                parts = [flat[k : k + block] for k in range(0, len(flat), block)]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(parts)), pa.int32()), pa.array([group] * len(parts), pa.int32()), pa.array([trainer.words] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))],
+                    names=["part", "grp", "words", "sums"],
+                )
+
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if held_out(doc):
-                        continue
-                    held.append(_numbers([text], v.number)[1][0])
-                    held_words += len(held[-1])
+                for grp, raw in zip(batch.column(0).to_pylist(), batch.column(2)):
+                    if grp != group:
+                        if group is not None:
+                            yield result()
+                        group, trainer, held, held_words = grp, Trainer(Weights(v, hidden, start.value.copy()), v, window, rate / (1 + r)), [], 0
+                    doc = np.frombuffer(raw.as_buffer(), np.int16).astype(np.int32)
+                    held += segments(doc, segment)
+                    held_words += len(doc)
                     if held_words > 1_000_000:
                         trainer.learn(held, lanes)
                         held, held_words = [], 0
-            if held:
-                trainer.learn(held, lanes)
-            if trainer.words:
-                flat = trainer.m.flat.astype(np.float64) * trainer.words
-                parts = [flat[k : k + block] for k in range(0, len(flat), block)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([trainer.words] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], names=["part", "words", "sums"])
+            if group is not None:
+                yield result()
 
-        chosen = _bytes(docs).where(F.pmod(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)), F.lit(rounds)) == r)
-        local = chosen.mapInArrow(run, "part int, words long, sums array<double>")
+        chosen = body.where(F.pmod("grp", F.lit(rounds)) == r).mapInArrow(numbered, "grp int, hash long, words binary")
+        dealt = chosen.repartition(per_round, "grp").sortWithinPartitions("grp", "hash")
+        local = dealt.mapInArrow(run, "part int, grp int, words long, sums array<double>")
 
-        def add(key: tuple, rows: pa.Table) -> pa.Table:
-            sums = np.stack([np.asarray(x.values) for x in rows.column("sums").combine_chunks()])
-            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([rows.column("words").to_numpy().sum()], pa.int64()), "sums": pa.array([sums.sum(axis=0)], pa.list_(pa.float64()))})
+        def add(rows: pa.Table, part, grp) -> pa.Table:
+            rows = rows.sort_by("grp")  # one order of the sums, so that equal rows give equal weights
+            sums = np.zeros(len(rows.column("sums")[0]))
+            for x in rows.column("sums"):
+                sums += x.values.to_numpy()
+            return pa.table({"part": pa.array([part], pa.int32()), "grp": pa.array([grp], pa.int32()), "words": pa.array([sum(rows.column("words").to_pylist())], pa.int64()), "sums": pa.array([sums], pa.list_(pa.float64()))})
 
         # Sums meet in two steps, so that no task holds more than some hundred of them.
-        dealt = local.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(256)))
-        first = dealt.groupBy("part", "salt").applyInArrow(lambda key, rows: add(key, rows.drop_columns(["salt"])), "part int, words long, sums array<double>")
-        mean = first.groupBy("part").applyInArrow(add, "part int, words long, sums array<double>").orderBy("part").collect()
+        schema = "part int, grp int, words long, sums array<double>"
+        halves = local.withColumn("half", F.floor(F.col("grp") / 128).cast("int"))
+        first = halves.groupBy("part", "half").applyInArrow(lambda key, rows: add(rows, key[0].as_py(), key[1].as_py()), schema)
+        mean = first.groupBy("part").applyInArrow(lambda key, rows: add(rows, key[0].as_py(), 0), schema).orderBy("part").collect()
         if mean:
             m = Weights(vocabulary, hidden, np.concatenate([np.array(x.sums) / x.words for x in mean]))
             learned += mean[0].words
@@ -372,14 +424,31 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, hidden: int, rounds: int, share
     return m
 
 
+def most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """The words of at least a certain count (rows word, n; the most frequent first): of the lowest count for which they are ``most`` or fewer.
+
+    The count is found from a histogram of counts of some thousand bins, so no task gathers words.
+    """
+    n = F.col("n")
+    bin_of = F.when(n < 4096, n).otherwise(4096 + F.floor((F.log2(n.cast("double")) - 12) * 64)).cast("long")
+    least, taken = None, 0
+    for row in sorted(counts.groupBy(bin_of.alias("bin")).count().collect(), key=lambda row: -row["bin"]):
+        taken += row["count"]
+        if taken > most:
+            break
+        least = row["bin"]
+    top = counts.where(F.lit(False) if least is None else bin_of >= least).select("word", "n").toArrow()
+    return top.sort_by([("n", "descending"), ("word", "ascending")])
+
+
 def score(
-    docs: DataFrame, known: int = 2000, listed: int = 200_000, classes: int = 40, hidden: int = 24, rounds: int = 2, share: int = 12, lanes: int = 64, window: int = 24, rate: float = 0.01
+    docs: DataFrame, known: int = 2000, listed: int = 200_000, classes: int = 40, hidden: int = 24, rounds: int = 2, group_words: int = 2_000_000, lanes: int = 256, window: int = 16, rate: float = 0.015
 ) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each text, read as words and an end.
 
     Counts are over all training documents, and the recurrent weights are fitted on all of them, each in one of ``rounds``
-    rounds (see ``fit``). The counts of the ``listed`` most frequent words go to the executors (a fixed number); those of
-    rarer words are joined by word. Scores are log10.
+    rounds (see ``fit``), so equal rows give equal scores however they are partitioned. The counts of the most frequent words,
+    ``listed`` at most, go to the executors; those of rarer words are joined by word. Scores are log10.
 
     Null texts count as empty, a null id hashes as the empty text, repeated rows are scored alike, extra columns are
     ignored; an empty table gives no rows; without training words all words are unseen.
@@ -387,10 +456,10 @@ def score(
     spark = docs.sparkSession
     counts = cut(word_counts(docs), "words")
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(listed).toArrow()
+    top = most_frequent(counts, listed)
     words, numbers = top.column("word").to_pylist(), top.column("n").to_numpy()
     vocabulary = Vocabulary(words[:known], numbers[:known], whole["n"], whole["v"], classes)
-    m = fit(docs, vocabulary, hidden, rounds, share, lanes, window, rate)
+    m = fit(docs, vocabulary, hidden, rounds, group_words, lanes, window, rate)
     sent = spark.sparkContext.broadcast((vocabulary, m.flat, hidden, {w: k for k, w in enumerate(words)}, np.log(numbers + 0.5)))
     spread = math.log(whole["n"] + 0.5 * (whole["v"] + 1))
 

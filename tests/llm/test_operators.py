@@ -104,27 +104,34 @@ def test_gru_beats_the_base_on_held_out_text(spark):
     rng = random.Random(5)
     tongues = [[f"{t}{k}" for k in range(60)] for t in "abcd"]
     texts = [" ".join(rng.choice(tongues[k % 4]) for _ in range(200)) for k in range(600)]
-    got = gru.score(table(spark, texts), share=2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    got = gru.score(table(spark, texts)).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
 
 
-@pytest.mark.parametrize("rounds, share", [(2, 12), (3, 3)])
-def test_gru_learns_from_every_training_document(spark, rounds, share):
+def test_gru_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(5)
+    docs = table(spark, [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(rng.randint(1, 3000))) for _ in range(120)])
+    runs = [{r.doc_id: (r.base_score, r.score) for r in gru.score(docs.repartition(n), known=50, group_words=20_000, rounds=3).collect()} for n in (1, 4, 16)]
+    for other in runs[1:]:
+        assert all(other[k] == pytest.approx(v, rel=1e-5) for k, v in runs[0].items())
+
+
+def test_most_frequent_words(spark):
+    rows = [(b"w%d" % k, n) for k, n in enumerate([9, 5000, 5, 5, 5, 70000, 1])]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    for most, want in ((0, []), (1, [70000]), (3, [70000, 5000, 9]), (5, [70000, 5000, 9]), (6, [70000, 5000, 9, 5, 5, 5]), (9, [70000, 5000, 9, 5, 5, 5, 1])):
+        assert gru.most_frequent(counts, most).column("n").to_pylist() == want
+
+
+@pytest.mark.parametrize("rounds, words", [(2, 60), (3, 1_000_000)])
+def test_gru_learns_from_every_training_document(spark, rounds, words):
     ids = [None, None, None, 7, 7, *range(20, 60)]
     texts = [f"a b c{k} d" for k in range(len(ids))]
     v = gru.Vocabulary([b"a", b"b", b"d", gru.END], np.array([40] * 4), 200, 50, 2)
-    m = gru.fit(table(spark, texts, ids), v, 4, rounds, share, 8, 6, 0.01)
+    m = gru.fit(table(spark, texts, ids), v, 4, rounds, words, 8, 6, 0.01)
     assert m.learned == 5 * sum(not gru.held_out(i) for i in ids)
 
 
-def test_gru_beats_the_base_at_its_defaults(spark):
-    rng = random.Random(5)
-    tongues = [[f"{t}{k}" for k in range(60)] for t in "abcd"]
-    texts = [" ".join(rng.choice(tongues[k % 4]) for _ in range(200)) for k in range(600)]
-    got = gru.score(table(spark, texts)).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
-
-
 # ---- 2 ----
 
 
