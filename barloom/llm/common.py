@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -19,25 +20,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets one of its own; a cluster has none to offer."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that nothing before it is computed again."""
+    """Write ``df`` to the shared folder and read it back, so that nothing before it is computed again. ``sweep`` removes it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def joinable(df: DataFrame, name: str, most_rows: int = 1_000_000) -> DataFrame:
-    """``df``, written, to be joined with: broadcast if it was found to have at most ``most_rows`` rows, else left to a shuffle."""
+def sweep(spark: SparkSession) -> int:
+    """Remove all that ``cut`` has written so far in this process; for when the results built on it are stored. The number of tables removed."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+def joinable(df: DataFrame, name: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """``df``, written, to be joined with: broadcast if its rows were found to take ``most_bytes`` or less, else left to a shuffle."""
     written = cut(df, name)
-    return F.broadcast(written) if written.count() <= most_rows else written
+    wide = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    taken = written.agg(F.sum(sum(wide, F.lit(16 + 8 * len(df.columns)))).alias("b")).first()["b"]
+    return F.broadcast(written) if (taken or 0) <= most_bytes else written
 
 
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -152,27 +170,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def group_runs(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str, rows: int = 20_000) -> DataFrame:
-    """``fn`` over runs of whole groups, about ``rows`` rows at a time: for many small groups. Rows are dealt and sorted by key."""
+def group_runs(df: DataFrame, key: str, fn: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str, rows: int = 20_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """``fn`` over runs of whole groups, about ``rows`` rows or ``most_bytes`` bytes at a time: for many small groups. Rows are dealt and sorted by key."""
     dealt = df.repartition(F.col(key)).sortWithinPartitions(key)
     at = df.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            col = batch.column(at).to_numpy(zero_copy_only=False)
-            if sum(b.num_rows for b in held) >= rows:
-                same = col == held[-1].column(at)[held[-1].num_rows - 1].as_py()
-                lead = batch.num_rows if same.all() else int(np.argmin(same))
-                if lead:
-                    held.append(batch.slice(0, lead))
-                if lead == batch.num_rows:
-                    continue
-                yield from fn(pa.Table.from_batches(held))
-                held, batch = [], batch.slice(lead)
-            held.append(batch)
+        for whole in batches:
+            # A batch of long texts is taken in parts, so that runs keep to their bytes.
+            step = max(1, whole.num_rows * most_bytes // (4 * max(1, whole.nbytes)))
+            for batch in (whole.slice(k, step) for k in range(0, whole.num_rows, step)):
+                col = batch.column(at).to_numpy(zero_copy_only=False)
+                if held and (sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= most_bytes):
+                    same = col == held[-1].column(at)[held[-1].num_rows - 1].as_py()
+                    lead = batch.num_rows if same.all() else int(np.argmin(same))
+                    if lead:
+                        held.append(batch.slice(0, lead))
+                    if lead == batch.num_rows:
+                        continue
+                    yield from fn(pa.Table.from_batches(held))
+                    held, batch = [], batch.slice(lead)
+                held.append(batch)
         if held:
             yield from fn(pa.Table.from_batches(held))
 
