@@ -51,17 +51,19 @@ def with_hilbert(df: DataFrame, dims: list[str], bits: int, out: str) -> DataFra
     return df.withColumn(out, F.aggregate(levels, start, step, lambda acc: acc["index"]))
 
 
-def shard(docs: DataFrame, n_shards: int = 16, law: str = "rows", bits: int = 4, salts: int = 32) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 16, law: str = "rows", bits: int = 4, part_rows: int = 20_000, most_parts: int = 65_536) -> DataFrame:
     """Deal ``docs`` into runs of the Hilbert order over (source, language, size).
 
     Source and language are hashed, the size is its binary logarithm; each is quantised to ``bits`` bits, so
-    there are at most 2^(3*bits) cells. A cell is split by a hash of doc_id into ``salts`` parts, so that a
-    source with a third of all rows is still sorted by many tasks; the table of part counts is bounded by
-    cells times salts, whatever the input. The ranks run through cells, parts, then doc_id, checksum and size.
+    there are at most 2^(3*bits) cells. A cell is split by a hash of doc_id and size into as many parts as it has
+    ``part_rows`` (or the ``most_parts``-th part of all rows, if that is more), so that a source with a third of all rows is
+    sorted by many tasks; the tables of cells and parts are bounded, whatever the input, and broadcast. The ranks run
+    through cells, parts, then doc_id, checksum and size.
 
     ``law``: "rows" cuts runs whose counts are at most one apart; "bytes" cuts at equal shares of the bytes.
-    Null texts count as empty, null ids sort first, null sources and languages are a cell of their own, equal
-    rows are interchangeable, an empty table gives no rows, further columns are ignored.
+    Equal texts of one source and language are in one cell, but not always in one shard. Null texts count as empty, null ids
+    sort first, null sources and languages are a cell of their own, equal rows are interchangeable, an empty table gives no
+    rows, further columns are ignored.
     """
     if law not in ("rows", "bytes"):
         raise ValueError("law must be 'rows' or 'bytes'")
@@ -76,27 +78,27 @@ def shard(docs: DataFrame, n_shards: int = 16, law: str = "rows", bits: int = 4,
     )
     rows = rows.withColumn("__d2", F.least(F.floor(F.log2(F.col("size").cast("double"))), F.lit(top)))
     rows = with_hilbert(rows, ["__d0", "__d1", "__d2"], bits, "cell").drop("__d0", "__d1", "__d2")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    # Offsets: first over the parts of each cell, then over the cells (at most 2^(3*bits) rows).
-    parts = rows.groupBy("cell", "part").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
-    before = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("cell", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"))
-    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    # What is before each cell (at most 2^(3*bits) rows), and into how many parts it is cut.
     ahead = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
     cells = cells.select(
         "cell",
         F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n1"),
         F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("b1"),
         F.sum("n").over(everything).alias("n_all"),
         F.sum("b").over(everything).alias("b_all"),
+        F.ceil(F.col("n") / F.greatest(F.lit(float(part_rows)), F.sum("n").over(everything) / F.lit(float(most_parts)))).alias("parts"),
     )
-    offsets = parts.join(F.broadcast(cells), "cell").select(  # bounded: one row a cell
-        "cell", "part", (F.col("n0") + F.col("n1")).alias("n0"), (F.col("b0") + F.col("b1")).alias("b0"), "n_all", "b_all"
-    )
+    rows = rows.join(F.broadcast(cells.select("cell", "parts")), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), "parts")).drop("parts")
+    # What is before each part: at most one row a cell and ``most_parts``.
+    before = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("cell", "part").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    parts = parts.select("cell", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"))
+    offsets = parts.join(F.broadcast(cells), "cell").select("cell", "part", (F.col("n0") + F.col("n1")).alias("n0"), (F.col("b0") + F.col("b1")).alias("b0"), "n_all", "b_all")
     inside = Window.partitionBy("cell", "part").orderBy("doc_id", "text_crc32", "size")
     ranked = rows.withColumns({"__r": F.row_number().over(inside) - 1, "__b": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")})
-    ranked = ranked.join(offsets, ["cell", "part"]).withColumns({"__r": F.col("__r") + F.col("n0"), "__b": F.col("__b") + F.col("b0")})
+    ranked = ranked.join(F.broadcast(offsets), ["cell", "part"]).withColumns({"__r": F.col("__r") + F.col("n0"), "__b": F.col("__b") + F.col("b0")})
     whole = lambda a, b: F.expr(f"cast({a} div {b} as int)")
     if law == "rows":
         ranked = ranked.withColumn("shard", whole(f"(__r * {n_shards}L)", "n_all"))
