@@ -26,6 +26,7 @@ from barloom.llm.common import ragged, scan_texts, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _LOW = np.int64(-(1 << 60))
 _CHUNK = re.compile(r" +[^ ]*")
+LONG = 64
 
 
 class Pieces:
@@ -237,15 +238,19 @@ class Pieces:
     def count_all(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Pieces of each chunk, from a trie of all chunks: a forward score once for each shared prefix.
 
+        Chunks of more than ``LONG`` bytes are few and share little; their trie is walked branch by branch.
         Level by level, each node holds its best score and piece count. Open walks (start node, state of the double
         array) go down the trie with the node they are at; where a walk stands on a piece, the node may take it.
         """
         sizes = np.diff(offsets)
-        n = len(sizes)
-        counts = np.zeros(n, dtype=np.int64)
+        counts = np.zeros(len(sizes), dtype=np.int64)
+        long = np.flatnonzero(sizes > LONG)
+        counts[long] = self._count_long([flat[offsets[k] : offsets[k + 1]].tobytes() for k in long.tolist()])
+        short = np.flatnonzero(sizes <= LONG)
+        n = len(short)
         if not n:
             return counts
-        order = _byte_order(flat, offsets)
+        order = short[_byte_order(flat, offsets[:-1][short], sizes[short])]
         begin, size = offsets[:-1][order], sizes[order]
         node = np.zeros(n, dtype=np.int64)  # of each chunk still open, at this depth
         open_rows = np.arange(n)
@@ -305,6 +310,47 @@ class Pieces:
             counts[order[open_rows[done]]] = pieces[node[done]]
         return counts
 
+    def _count_long(self, chunks: list[bytes]) -> list[int]:
+        """The same for long chunks. In byte order, a chunk goes on from the scores at the end of what it shares with the one before."""
+        out, before = [0] * len(chunks), b""
+        best, count = [0], [0]
+        base, check, value, score, low = self.base, self.check, self.value, self.score, int(_LOW)
+        most = max(4, int(self.lengths.max()))
+        for k in sorted(range(len(chunks)), key=chunks.__getitem__):
+            chunk = chunks[k]
+            n, shared = len(chunk), _shared(before, chunk)
+            best[shared + 1 :], count[shared + 1 :] = [low] * (n - shared), [0] * (n - shared)
+            for s in range(max(0, shared + 1 - most), n):
+                if best[s] == low:
+                    continue
+                width = int(_WIDTHS[chunk[s]])
+                single, state, pos = False, 0, s
+                while pos < n:
+                    t = int(base[state]) + chunk[pos]
+                    if check[t] != state:
+                        break
+                    state, pos = t, pos + 1
+                    if value[state] >= 0:
+                        single |= pos == s + width
+                        got = best[s] + int(score[value[state]])
+                        if pos > shared and got > best[pos]:
+                            best[pos], count[pos] = got, count[s] + 1
+                if not single:
+                    pos = min(n, s + width)
+                    got = best[s] + self.byte_score * (pos - s)
+                    if pos > shared and got > best[pos]:
+                        best[pos], count[pos] = got, count[s] + pos - s
+            out[k], before = count[n], chunk
+        return out
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """Bytes that two strings share at their start."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
 
 _WIDTHS = np.ones(256, dtype=np.int64)
 _WIDTHS[0xC0:0xE0], _WIDTHS[0xE0:0xF0], _WIDTHS[0xF0:] = 2, 3, 4
@@ -314,28 +360,20 @@ def _width(lead: int) -> int:
     return int(_WIDTHS[lead])
 
 
-def _byte_order(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The order of byte strings, shorter first among equal prefixes."""
-    n, sizes = len(offsets) - 1, np.diff(offsets)
-    order = np.arange(n)
-    # Most strings are short: order by eight bytes at a time, from the last block of the longest short string on.
-    wide = int(min(sizes.max(initial=0), 64))
+def _byte_order(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The order of short byte strings, shorter first among equal prefixes: eight bytes at a time, from the last on."""
+    n = len(sizes)
     keys = [sizes]
-    for block in range((wide + 7) // 8 - 1, -1, -1):
+    for block in range((int(sizes.max(initial=0)) + 7) // 8 - 1, -1, -1):
         word = np.zeros(n, dtype=np.uint64)
         for k in range(8):
             at = 8 * block + k
             inside = sizes > at
             byte = np.zeros(n, dtype=np.uint64)
-            byte[inside] = flat[offsets[:-1][inside] + at]
+            byte[inside] = flat[begin[inside] + at]
             word = (word << np.uint64(8)) | byte
         keys.append(word)
-    order = np.lexsort(keys)
-    long = np.flatnonzero(sizes > 64)
-    if len(long) > 1:  # few: compare whole strings among those with equal heads
-        blob = flat.tobytes()
-        order = np.array(sorted(range(n), key=lambda i: blob[offsets[i] : offsets[i + 1]]), dtype=np.int64)
-    return order
+    return np.lexsort(keys)
 
 
 def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
