@@ -3,7 +3,7 @@
 A document classifier gives the evidence of a text. The evidence is summed by path and by host; the rate of good
 documents of a host is shrunk toward the global rate, that of a path toward its host's, each by as many pseudo-documents as
 the spread of the rates at that level asks for (method of moments). The posterior of a document is its own evidence with
-the prior of its path.
+the prior of its path, from which the document itself is left out, so that no evidence counts twice.
 
 A good document is one labelled as of quality and not as toxic.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, scan_texts
+from barloom.llm.common import cut, joinable, scan_texts
 
 _WORD = re.compile(r"\w+")
 _SIGNS = "!#$%&*|@="
@@ -79,48 +79,71 @@ class _Parts(dict):
 _parts = _Parts().__getitem__
 
 
-def fit(texts: list[str], good: np.ndarray, n_words: int = 300, passes: int = 300, decay: float = 1e-3) -> Classifier:
-    """Fit on labelled texts: the words whose presence tells most against chance, then weights by Newton-scaled gradient steps."""
-    held = [{p for w in set(t.split()) for p in _parts(w)} for t in texts]
-    bad = ~good
-    in_good, in_bad = Counter(), Counter()
-    for words, g in zip(held, good):
-        (in_good if g else in_bad).update(words)
-    n_good, n_bad = max(1, int(good.sum())), max(1, int(bad.sum()))
-    scores = {}
-    for w in set(in_good) | set(in_bad):
-        a, b = in_good[w], in_bad[w]
-        if a + b >= 8:
-            p = (a + b) / (n_good + n_bad)
-            scores[w] = abs(a / n_good - b / n_bad) / np.sqrt(p * (1 - p) * (1 / n_good + 1 / n_bad) + 1e-12)
-    chosen = sorted((w for w, s in scores.items() if s > 5), key=lambda w: (-scores[w], w))[:n_words]
-    model = Classifier({w: k for k, w in enumerate(chosen)}, np.zeros(N_SHAPES + len(chosen)))
-    x = np.zeros((len(texts), N_SHAPES + len(chosen)))
-    for k, t in enumerate(texts):
-        shapes, words = model.columns(t)
-        x[k, :N_SHAPES] = shapes
-        x[k, words] = 1
+def words_of(text: str) -> set[str]:
+    return {p for w in set(text.split()) for p in _parts(w)}
+
+
+def telling_words(labelled: DataFrame, n_words: int) -> list[str]:
+    """The words whose presence tells good (rows text, good) from other texts most against chance, the most telling first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[good].update(words_of(text))
+        words = list(held[0] | held[1])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([held[g][w] for w in words], pa.int64()) for g in (1, 0)]], names=["word", "a", "b"])
+
+    both = labelled.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).first()
+    n_good, n_bad = max(1, both["good"]), max(1, both["bad"])
+    counts = labelled.select("text", "good").mapInArrow(run, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b >= 8")
+    p = (F.col("a") + F.col("b")) / F.lit(n_good + n_bad)
+    z = F.abs(F.col("a") / n_good - F.col("b") / n_bad) / F.sqrt(p * (1 - p) * (1 / n_good + 1 / n_bad) + 1e-12)
+    return [r.word for r in counts.select("word", z.alias("z")).where("z > 5").orderBy(F.desc("z"), "word").limit(n_words).collect()]
+
+
+def fit(shapes: np.ndarray, words: list[list[int]], good: np.ndarray, vocabulary: list[str], passes: int = 300, decay: float = 1e-3) -> Classifier:
+    """Weights by Newton-scaled gradient steps, from the shapes and the numbers of the chosen words of the labelled texts."""
+    model = Classifier({w: k for k, w in enumerate(vocabulary)}, np.zeros(N_SHAPES + len(vocabulary)))
+    x = np.zeros((len(good), N_SHAPES + len(vocabulary)))
+    x[:, :N_SHAPES] = shapes
+    for k, found in enumerate(words):
+        x[k, found] = 1
     w = model.weights
     scale = 0.25 * (x * x).mean(axis=0) * x.astype(bool).sum(axis=1).mean() + decay
     for _ in range(passes):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += (x.T @ (good - p) / len(texts) - decay * w) / scale
+        w += (x.T @ (good - p) / len(good) - decay * w) / scale
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, n_words: int = 300) -> Classifier:
     """The classifier, fitted on at most ``sample`` labelled documents, the least by a hash of doc_id, whole texts.
 
-    Rows without a quality label are left out; a missing toxic label counts as not toxic. Without labels of both sides the
-    classifier has no evidence: all its logits are zero.
+    Rows without a quality label are left out; a missing toxic label counts as not toxic; of texts that share a doc_id
+    the least by a hash is taken. Texts stay on the executors: the driver gets the chosen words and, for each labelled
+    document, its shapes and the chosen words it has. Without labels of both sides the classifier has no evidence: all its
+    logits are zero.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__q"), F.max(F.coalesce("toxic", F.lit(0))).alias("__t"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "__text").select("__text", "__q", "__t").toArrow()  # at most ``sample`` labels
-    good = (rows.column("__q").to_numpy() == 1) & (rows.column("__t").to_numpy() == 0)
-    if good.all() or not good.any():
+    text = F.coalesce("text", F.lit(""))
+    good = (F.col("__q") == 1) & (F.col("__t") == 0)
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", good.alias("good"))  # at most ``sample`` labels
+    rows = cut(rows.groupBy("doc_id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
+    vocabulary = telling_words(rows, n_words)
+    blank = Classifier({w: k for k, w in enumerate(vocabulary)}, np.zeros(N_SHAPES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [blank.columns(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["doc_id", "good", "shapes", "words"])
+
+    seen = rows.select("doc_id", "good", "text").mapInArrow(run, "doc_id long, good boolean, shapes array<double>, words array<int>").toArrow().sort_by("doc_id")
+    is_good = np.array(seen.column("good").to_pylist(), dtype=bool)
+    if is_good.all() or not is_good.any():
         return Classifier({}, np.zeros(N_SHAPES))
-    return fit(rows.column("__text").to_pylist(), good)
+    return fit(np.array(seen.column("shapes").to_pylist()), seen.column("words").to_pylist(), is_good, vocabulary)
 
 
 def scored(docs: DataFrame, model: Classifier, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -134,36 +157,60 @@ def scored(docs: DataFrame, model: Classifier, extra: tuple[str, ...] = ()) -> D
     return scan_texts(docs, fn, "doc_id long, host string, path string, " + "".join(f"{c} {kinds[c]}, " for c in extra) + "logit double", columns=("doc_id", "host", "path", *extra, "text"))
 
 
-def priors(evidence: DataFrame) -> DataFrame:
-    """Rows (host, path, prior, base): the shrunk rate of good documents of each path, and the global rate."""
+_ODDS = lambda p: F.ln(p / (1 - p))
+_INSIDE = lambda p: F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
+
+
+def sites(evidence: DataFrame) -> DataFrame:
+    """Rows (host, path, n, s, hn, hs, total_n, total_s, k_host, k_path, prior): documents and good ones, by evidence, of each path, its host and all.
+
+    k_host and k_path are the pseudo-documents by which hosts shrink toward all and paths toward their host; ``prior`` is
+    the path's shrunk rate.
+    """
     p = 1 / (1 + F.exp(-F.col("logit")))
     paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"))
     paths = cut(paths, "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).first()
-    if not total["n"]:
-        return paths.select("host", "path", F.lit(0.5).alias("prior"), F.lit(0.5).alias("base"))
-    base = min(max(total["s"] / total["n"], 1e-6), 1 - 1e-6)
+    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s")).first()
+    base = min(max(total["s"] / max(1, total["n"]), 1e-6), 1 - 1e-6)
 
-    def strength(sites: DataFrame, mean) -> float:
+    def strength(level: DataFrame, mean) -> float:
         """Pseudo-documents: within-site noise over the spread of the sites' rates beyond that noise."""
-        got = sites.agg(
+        got = level.agg(
             F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - mean, F.lit(2))).alias("spread"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("k")
         ).first()
         noise = base * (1 - base)
-        room = got["n"] - got["nn"] / got["n"]
+        room = got["n"] - got["nn"] / got["n"] if got["n"] else 0
         between = (got["spread"] - noise * (got["k"] - 1)) / room if room > 0 else 0.0
         return min(max(noise / between - 1, 1.0), 1e6) if between > 0 else 1e6
 
     k_host = strength(hosts, F.lit(base))
-    shrunk = hosts.select(F.col("host").alias("__h"), ((F.col("s") + k_host * base) / (F.col("n") + k_host)).alias("host_rate"))
-    with_host = paths.join(shrunk, F.col("host").eqNullSafe(F.col("__h"))).select("host", "path", "n", "s", "host_rate")
-    k_path = strength(with_host, F.col("host_rate"))
-    return with_host.select("host", "path", ((F.col("s") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("prior"), F.lit(base).alias("base"))
+    host_rate = (F.col("hs") + k_host * base) / (F.col("hn") + k_host)
+    shrunk = hosts.select(F.col("host").alias("__h"), F.col("n").alias("hn"), F.col("s").alias("hs"))
+    with_host = paths.join(shrunk, F.col("host").eqNullSafe(F.col("__h"))).drop("__h")
+    k_path = strength(with_host, host_rate)
+    return with_host.select(
+        "*", F.lit(total["n"]).cast("long").alias("total_n"), F.lit(float(total["s"])).alias("total_s"), F.lit(float(k_host)).alias("k_host"), F.lit(float(k_path)).alias("k_path"),
+        ((F.col("s") + k_path * host_rate) / (F.col("n") + k_path)).alias("prior"),
+    )
+
+
+def _judged(rows: DataFrame, host, path, logit, cut_at: float, out: tuple[str, str, str]) -> DataFrame:
+    """``rows`` with (prior, posterior, keep) under the names of ``out``: the prior of the document's path without the document."""
+    site = joinable(sites(rows.select(host.alias("host"), path.alias("path"), logit.alias("logit"))), "sites")
+    site = site.select(F.struct("*").alias("__site"))
+    at = lambda c: F.col(f"__site.{c}")
+    both = rows.join(site, host.eqNullSafe(at("host")) & path.eqNullSafe(at("path")))
+    p = 1 / (1 + F.exp(-logit))
+    base = _INSIDE(F.when(at("total_n") > 1, (at("total_s") - p) / (at("total_n") - 1)).otherwise(F.lit(0.5)))
+    of_host = (at("hs") - p + at("k_host") * base) / (at("hn") - 1 + at("k_host"))
+    prior = _INSIDE((at("s") - p + at("k_path") * of_host) / (at("n") - 1 + at("k_path")))
+    posterior = 1 / (1 + F.exp(-(logit + _ODDS(F.col(out[0])) - _ODDS(base))))
+    return both.withColumn(out[0], prior).withColumn(out[1], posterior).withColumn(out[2], F.col(out[1]) >= cut_at).drop("__site")
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", cut_at: float = 0.5, sample: int = 4000) -> DataFrame:
-    """Rows (doc_id, host, path, evidence, prior, posterior, keep): each document's own log-odds, its path's prior and the decision.
+    """Rows (doc_id, host, path, evidence, prior, posterior, keep): each document's own log-odds, its path's prior without it, and the decision.
 
     ``host`` and ``path`` name the columns of the two levels; null values are a site of their own. Null or empty texts are
     scored as texts without words. Null ids and repeated rows pass row by row, an empty table gives no rows, extra columns
@@ -171,34 +218,21 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     """
     body = docs.select("doc_id", F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{path}`").cast("string").alias("path"), "text")
     evidence = cut(scored(body, train(body, labels, sample)), "evidence")
-    return _posterior(evidence, priors(evidence), cut_at).select("doc_id", "host", "path", F.col("logit").alias("evidence"), "prior", "posterior", "keep")
-
-
-def _posterior(evidence: DataFrame, prior: DataFrame, cut_at: float) -> DataFrame:
-    prior = prior.withColumnsRenamed({"host": "__h", "path": "__p"})
-    both = evidence.join(prior, F.col("host").eqNullSafe(F.col("__h")) & F.col("path").eqNullSafe(F.col("__p"))).drop("__h", "__p")
-    odds = lambda c: F.ln(F.col(c) / (1 - F.col(c)))
-    posterior = 1 / (1 + F.exp(-(F.col("logit") + odds("prior") - odds("base"))))
-    return both.withColumn("posterior", posterior).withColumn("keep", F.col("posterior") >= cut_at)
+    return _judged(evidence, F.col("host"), F.col("path"), F.col("logit"), cut_at, ("prior", "posterior", "keep")).select("doc_id", "host", "path", F.col("logit").alias("evidence"), "prior", "posterior", "keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", cut_at: float = 0.5, sample: int = 4000) -> DataFrame:
-    """``docs`` without the documents that ``classify`` rejects; rows with a null doc_id stay.
+    """``docs`` without the rows that ``classify`` rejects, those with a null doc_id too.
 
-    The evidence is computed again beside each row, so that texts are not dealt out; only the priors of the sites are joined.
+    Each text is classified once; rows are written with their evidence, and the figures of the sites are joined to them.
     """
     site = {"host": F.col(f"`{host}`").cast("string"), "path": F.col(f"`{path}`").cast("string")}
-    body = docs.select("doc_id", *[c.alias(n) for n, c in site.items()], "text")
-    model = train(body, labels, sample)
-    prior = cut(priors(cut(scored(body, model), "evidence")), "priors").withColumnsRenamed({"host": "__h", "path": "__p", "prior": "__prior", "base": "__base"})
+    model = train(docs.select("doc_id", *[c.alias(n) for n, c in site.items()], "text"), labels, sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def evidence(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.logits(texts.tolist()))
 
-    rows = docs.withColumn("__logit", evidence(F.coalesce("text", F.lit(""))))
-    both = rows.join(prior, site["host"].eqNullSafe(F.col("__h")) & site["path"].eqNullSafe(F.col("__p")))
-    odds = lambda c: F.ln(F.col(c) / (1 - F.col(c)))
-    posterior = 1 / (1 + F.exp(-(F.col("__logit") + odds("__prior") - odds("__base"))))
-    return both.where(F.col("doc_id").isNull() | (posterior >= cut_at)).select(docs.columns)
+    rows = cut(docs.withColumn("__logit", evidence(F.coalesce("text", F.lit("")))), "rows")
+    return _judged(rows, site["host"], site["path"], F.col("__logit"), cut_at, ("__prior", "__posterior", "__keep")).where("__keep").select(docs.columns)
