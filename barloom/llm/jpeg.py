@@ -3,7 +3,8 @@
 ``decode`` reads a progressive JPEG file: scan by scan it accumulates coefficients (spectral selection: a band of
 them; successive approximation: their high bits first, then one bit more), then applies the inverse transform,
 enlarges the chroma planes and gives a full-resolution RGB tensor. ``encode_payload`` stores bytes without loss as
-coefficients, the unit of the format: 192 bytes are one block of each of the three components.
+coefficients, the unit of the format: the first two thirds are the blocks of the luma plane, the rest those of two chroma
+planes of half its height and width.
 
 A byte b becomes the AC value b (b >= 128) or b-255 (else), all of which take eight bits, and the DC value 256+b. So
 each scan of such a file uses one Huffman code, and its codes and extra bits have one width; the decoder reads
@@ -25,7 +26,8 @@ from barloom.llm.common import scan_texts, slices
 # Fixed values of the format: the zigzag order is a rule; quantisation by one throughout.
 _ZIGZAG = np.array([r * 8 + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))])
 UNIT = 192
-_WIDEST = 8191  # blocks in a row
+_SQUARE = 6 * 64  # bytes of 16 x 16 pixels: four luma blocks and one of each chroma plane
+_WIDEST = 4095  # such squares in a row
 
 # The inverse transform in whole numbers: cosines times 2^13, so that all sums are exact and equal inputs give equal outputs.
 _k = np.arange(8)
@@ -50,38 +52,38 @@ def encode_payload(payload: bytes, note: bytes = b"") -> bytes:
     """``payload`` (a positive multiple of 192 bytes) as a progressive JPEG; ``note`` goes into a comment."""
     if not payload or len(payload) % UNIT:
         raise ValueError("the payload must be a positive multiple of 192 bytes")
-    need = len(payload) // UNIT
+    need = -(-len(payload) // _SQUARE)
     high = -(-need // _WIDEST)
     wide = -(-need // high)
-    data = np.zeros(high * wide * UNIT, dtype=np.uint8)
+    n = high * wide
+    data = np.zeros(n * _SQUARE, dtype=np.uint8)
     data[: len(payload)] = np.frombuffer(payload, np.uint8)
-    blocks = data.reshape(-1, 3, 64)
-    n = len(blocks)
+    planes = [x.reshape(-1, 64) for x in np.split(data, [256 * n, 320 * n])]
     out = [b"\xff\xd8", _segment(0xFE, struct.pack(">Q", len(payload)) + note), _segment(0xDB, b"\x00" + b"\x01" * 64)]
-    out.append(_segment(0xC2, struct.pack(">BHHB", 8, 8 * high, 8 * wide, 3) + b"".join(bytes([c, 0x11, 0]) for c in (1, 2, 3))))
-    # DC, high bits: a restart at every unit makes each difference the value itself; 27 bits, filled up to four bytes.
-    dc = blocks[:, :, 0].astype(np.uint32)
-    top = 128 + (dc >> 1)
-    word = (top[:, 0] << 23) | (top[:, 1] << 14) | (top[:, 2] << 5) | 31
-    body = np.zeros((n, 7), dtype=np.uint8)
-    body[:, :4] = word[:, None] >> np.array([24, 16, 8, 0], np.uint32)
-    keep = np.ones((n, 7), dtype=bool)
-    keep[:, 4] = body[:, 3] == 0xFF  # only the last byte can be 0xFF
-    body[:, 5], body[:, 6] = 0xFF, 0xD0 + np.arange(n) % 8
-    keep[-1, 5:] = False
-    out += [_one_code(0x00, 8), _segment(0xDD, struct.pack(">H", 1)), _segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, 0x01])), body[keep].tobytes(), _segment(0xDD, struct.pack(">H", 0))]
+    out.append(_segment(0xC2, struct.pack(">BHHB", 8, 16 * high, 16 * wide, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])))
+    # DC, high bits: a restart at every block makes each difference the value itself; nine bits, filled up to two bytes.
+    out += [_one_code(0x00, 8), _segment(0xDD, struct.pack(">H", 1))]
+    for c, blocks in enumerate(planes):
+        top = 128 + (blocks[:, 0] >> 1).astype(np.int64)
+        body = np.zeros((len(blocks), 5), dtype=np.uint8)
+        body[:, 0], body[:, 1] = top >> 1, (top & 1) << 7 | 127
+        body[:, 3], body[:, 4] = 0xFF, 0xD0 + np.arange(len(blocks)) % 8
+        keep = np.ones(body.shape, dtype=bool)
+        keep[:, 2] = body[:, 1] == 0xFF
+        keep[-1, 3:] = False
+        out += [_segment(0xDA, bytes([1, c + 1, 0, 0, 0, 0x01])), body[keep].tobytes()]
     # AC, high bits: code 0 and seven bits, which are b >> 1; two bands a component.
-    out.append(_one_code(0x10, 7))
-    for c in range(3):
+    out += [_segment(0xDD, struct.pack(">H", 0)), _one_code(0x10, 7)]
+    for c, blocks in enumerate(planes):
         for a, b in ((1, 5), (6, 63)):
-            out += [_segment(0xDA, bytes([1, c + 1, 0, a, b, 0x01])), (blocks[:, c, a : b + 1] >> 1).tobytes()]
+            out += [_segment(0xDA, bytes([1, c + 1, 0, a, b, 0x01])), (blocks[:, a : b + 1] >> 1).tobytes()]
     # The last bit: of DC plain, of AC behind an end-of-block code.
-    out += [_segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 0, 0x10])), _stuff(_pack_ones((dc & 1).astype(np.uint8).ravel()))]
     out.append(_one_code(0x10, 0))
-    low = (blocks & 1) ^ (blocks < 128)
-    low[:, :, 0] = 0
-    for c in range(3):
-        out += [_segment(0xDA, bytes([1, c + 1, 0, 1, 63, 0x10])), _stuff(np.packbits(low[:, c].ravel()))]
+    for c, blocks in enumerate(planes):
+        low = (blocks & 1) ^ (blocks < 128)
+        low[:, 0] = 0
+        out += [_segment(0xDA, bytes([1, c + 1, 0, 0, 0, 0x10])), _stuff(_pack_ones(blocks[:, 0] & 1))]
+        out += [_segment(0xDA, bytes([1, c + 1, 0, 1, 63, 0x10])), _stuff(np.packbits(low.ravel()))]
     return b"".join(out) + b"\xff\xd9"
 
 
@@ -188,35 +190,30 @@ class Image:
 
     def _even_scan(self, data, chosen, codes, first, last, high, low, restart) -> bool:
         """Scans whose code words all have one width; False if this is none of them."""
-        unit_sampling = all(self.parts[k][1:3] == (1, 1) for k in chosen) and self.hmax == self.vmax == 1
-        if not unit_sampling:
+        if len(chosen) != 1 or self._grid(chosen[0]) != self.coefficients[chosen[0]].shape[:2]:
             return False
-        raw = np.frombuffer(data, np.uint8)
-        n = self.mcu_high * self.mcu_wide
-        if first == 0 and not high and low == 1 and restart == 1 and len(chosen) == 3 and all(c[0] == {(1, 0): 8} for c in codes):
+        flat = self.coefficients[chosen[0]].reshape(-1, 64)
+        n, raw = len(flat), np.frombuffer(data, np.uint8)
+        if first == 0 and not high and low == 1 and restart == 1 and codes[0][0] == {(1, 0): 8}:
             mark = (raw[1:] >= 0xD0) & (raw[1:] <= 0xD7) & (raw[:-1] == 0xFF)
             drop = np.zeros(len(raw), dtype=bool)
             drop[:-1] |= mark
             drop[1:] |= mark | ((raw[:-1] == 0xFF) & (raw[1:] == 0))
             word = raw[~drop]
-            if len(word) != 4 * n or mark.sum() != n - 1:
+            if len(word) != 2 * n or mark.sum() != n - 1:
                 return False
-            word = word.reshape(n, 4).astype(np.uint32) @ np.array([1 << 24, 1 << 16, 1 << 8, 1], np.uint32)
-            if (word & np.uint32((1 << 31) | (1 << 22) | (1 << 13))).any() or not ((word >> 30) & (word >> 21) & (word >> 12) & 1).all():
-                return False  # a code of 1, or a negative difference
-            for k, shift in zip(chosen, (23, 14, 5)):
-                self.coefficients[k].reshape(n, 64)[:, 0] = ((word >> np.uint32(shift)) & 255) << 1
+            word = word[::2].astype(np.int16) << 1 | word[1::2] >> 7
+            if (word < 128).any() or (word > 255).any():
+                return False  # a negative difference, or a code of 1
+            flat[:, 0] = (word & 255) << 1
             return True
         if high:
             raw = self._unstuffed(raw)
         if first == 0 and high == 1 and restart == 0:
-            bits = np.unpackbits(raw)[: n * len(chosen)].reshape(n, -1)
-            for i, k in enumerate(chosen):
-                self.coefficients[k].reshape(n, 64)[:, 0] |= bits[:, i]
+            flat[:, 0] |= np.unpackbits(raw)[:n]
             return True
-        if first == 0 or restart or len(chosen) != 1:
+        if first == 0 or restart:
             return False
-        flat = self.coefficients[chosen[0]].reshape(n, 64)
         span = last - first + 1
         if not high and low == 1 and codes[0][1] == {(1, 0): 7} and len(raw) == n * span and (raw < 128).all():
             bits = raw.reshape(n, span).astype(np.int16)
@@ -334,10 +331,13 @@ def samples(blocks: np.ndarray) -> np.ndarray:
 
 
 def to_rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
-    """Full-resolution planes as RGB, in sixteenths of a bit so that the result is exact."""
-    y, cb, cr = y.astype(np.int32) << 16, cb.astype(np.int32) - 128, cr.astype(np.int32) - 128
-    rgb = np.stack([y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb], axis=-1)
-    return np.clip((rgb + 32768) >> 16, 0, 255).astype(np.uint8)
+    """Full-resolution planes as RGB, in whole numbers of 2^-16 so that the result is exact."""
+    y, cb, cr = (y.astype(np.int32) << 16) + 32768, cb.astype(np.int32) - 128, cr.astype(np.int32) - 128
+    out = np.empty((*y.shape, 3), np.uint8)
+    for c, plane in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
+        plane >>= 16
+        out[..., c] = np.clip(plane, 0, 255, out=plane)
+    return out
 
 
 def decode(raw: bytes) -> np.ndarray:
@@ -353,7 +353,10 @@ def tensor_of(image: Image) -> np.ndarray:
         rows, columns = c.shape[:2]
         tile = samples(c.reshape(-1, 64) * image.quant[q])
         plane = tile.reshape(rows, columns, 8, 8).swapaxes(1, 2).reshape(rows * 8, columns * 8)
-        planes.append(plane[: image.height, : image.width] if (h, v) == (image.hmax, image.vmax) else plane[(down * v // image.vmax)[:, None], right * h // image.hmax])
+        if image.hmax % h or image.vmax % v:
+            planes.append(plane[(down * v // image.vmax)[:, None], right * h // image.hmax])
+        else:
+            planes.append(plane.repeat(image.vmax // v, axis=0).repeat(image.hmax // h, axis=1)[: image.height, : image.width])
     if len(planes) == 1:
         return np.repeat(planes[0][:, :, None], 3, axis=2)
     return to_rgb(*planes)
@@ -362,9 +365,9 @@ def tensor_of(image: Image) -> np.ndarray:
 def read_payload(image: Image) -> bytes:
     """The bytes that ``encode_payload`` stored."""
     (size,) = struct.unpack(">Q", image.comment[:8])
-    c = np.stack([x.reshape(-1, 64) for x in image.coefficients], axis=1)
+    c = np.concatenate([x.reshape(-1, 64) for x in image.coefficients])
     data = np.where(c < 0, c + 255, c)
-    data[:, :, 0] = c[:, :, 0] & 255
+    data[:, 0] = c[:, 0] & 255
     return data.astype(np.uint8).tobytes()[:size]
 
 
@@ -373,7 +376,7 @@ def media(docs: DataFrame) -> DataFrame:
 
     The text is UTF-8 (null: empty), filled with spaces to a positive multiple of 192 bytes. ``payload`` is what was
     read back from ``media``; ``tensor`` are the bytes of its height x width x 3 tensor, row by row, and ``pixel_sums``
-    the sums of R, G and B over it. The files are written without subsampling; ``tensors`` reads given files. Null ids, repeated
+    the sums of R, G and B over it. Chroma is stored at half size and enlarged in the tensor; ``tensors`` reads given files. Null ids, repeated
     rows and extra columns pass row by row; an empty table gives no rows.
     """
 
@@ -385,7 +388,7 @@ def media(docs: DataFrame) -> DataFrame:
             stored = encode_payload(raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b" "))
             image = Image(stored)
             tensor = tensor_of(image)
-            rows.append([len(raw), read_payload(image), stored, image.width, image.height, tensor.sum(axis=(0, 1), dtype=np.int64).tolist(), tensor.tobytes()])
+            rows.append([len(raw), read_payload(image), stored, image.width, image.height, [int(tensor[:, :, c].sum(dtype=np.int64)) for c in range(3)], tensor.tobytes()])
         yield pa.RecordBatch.from_arrays(
             [ids, *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()))]],
             names=["doc_id", "n_bytes", "payload", "media", "width", "height", "pixel_sums", "tensor"],
