@@ -242,15 +242,23 @@ def _counts(docs: DataFrame, term: dict[str, int]) -> tuple[dict[str, int], int]
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, slice_items: int) -> Iterator[Broadcast]:
-    """The index, in slices of about ``slice_items`` items, each with counts over all texts of ``docs``."""
+    """The index, in slices of about ``slice_items`` items, each with counts over all texts of ``docs``.
+
+    Items of over four times the middle length have slices of their own, by doublings, as the longest item sets the length of passages.
+    """
     n = benchmark.count()
     for k in range(max(1, -(-n // slice_items))):
         part = benchmark.select("item_id", "text")
         if n > slice_items:
             part = part.where(f"pmod(xxhash64(item_id), {-(-n // slice_items)}) = {k}")
         items = sorted(((r[0], r[1] or "") for r in part.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        terms = {t: k for k, t in enumerate(dict.fromkeys(w for _, t in items for w in terms_of(t)))}
-        yield docs.sparkSession.sparkContext.broadcast(Index(items, *_counts(docs, terms)))
+        sizes = [len(terms_of(t)) for _, t in items]
+        usual = 4 * sorted(sizes)[len(sizes) // 2] if sizes else 0
+        classes = [0 if size <= usual else 1 + int(math.log2(size / max(1, usual))) for size in sizes]
+        for chosen in sorted(set(classes)) or [0]:
+            some = [item for item, c in zip(items, classes) if c == chosen]
+            terms = {t: k for k, t in enumerate(dict.fromkeys(w for _, t in some for w in terms_of(t)))}
+            yield docs.sparkSession.sparkContext.broadcast(Index(some, *_counts(docs, terms)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, size: int = 5, slice_items: int = 20_000) -> DataFrame:
@@ -282,10 +290,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, size: int = 5, slice_items: int = 20_000) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item, as ``leaks`` finds them; no text is dealt out. Rows with a null doc_id stay."""
+    """``docs`` without the documents that hold a benchmark item, as ``leaks`` finds them, whatever their doc_id; no text is dealt out."""
     out = docs
     for shared in _indexes(docs, benchmark, slice_items):
-        out = out.where(F.col("doc_id").isNull() | _free_of(shared, threshold, overlap, size)(F.coalesce("text", F.lit(""))))
+        out = out.where(_free_of(shared, threshold, overlap, size)(F.coalesce("text", F.lit(""))))
     return out
 
 
