@@ -1,9 +1,11 @@
 """Operator 4: exact removal of repeated passages, by suffix arrays.
 
 Every 200-byte window is assigned to the least hash among its 64-byte pieces (its anchor), so equal windows have equal
-anchors, and the windows of one anchor form one span of text. Spans whose anchor occurs once hold nothing repeated; equal
-spans are repeated as a whole. What is left, spans that share an anchor but differ, is settled by suffix arrays of
-their texts: two neighbours in suffix order that agree in 200 bytes are repeated windows.
+anchors, and the windows of one anchor form one span of text. Spans go to tasks by their anchor. The spans of an anchor that
+very many rows hold are first cut into cells of windows by their start against the anchor; a cell goes to tasks by its core, the bytes
+that all its windows share, and equal spans met in one task are sent once. Spans (or cells) alone in their task hold nothing
+repeated; those with equal bytes, by a 128-bit hash, are repeated as a whole. What is left, spans that share an anchor but
+differ, is settled by suffix arrays of their texts: two neighbours in suffix order that agree in 200 bytes are repeated windows.
 
 The suffix array is built by linear grouping: suffixes are grouped by their Lyndon prefixes; groups are taken in
 descending order, and the previous smaller suffixes of a group's members are moved to groups of their own; then the
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, group_runs, mix64, slices, text_bytes
+from barloom.llm.common import cut, group_runs, mix64, ragged, slices, text_bytes
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15  # odd, so it has an inverse
@@ -162,6 +164,18 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
+def _same_bytes(flat: np.ndarray, a: np.ndarray, b: np.ndarray, asked: np.ndarray | None = None) -> np.ndarray:
+    """For each two neighbouring pieces a..b-1 of ``flat`` (those asked for), whether they have the same bytes; their lengths are."""
+    pairs = np.arange(len(a) - 1) if asked is None else np.flatnonzero(asked)
+    out = np.zeros(max(0, len(a) - 1), dtype=bool)
+    for k in range(0, len(pairs), 20_000):
+        p = pairs[k : k + 20_000]
+        size = b[p] - a[p]
+        differ = flat[ragged(a[p], size)] != flat[ragged(a[p + 1], size)]
+        out[p] = ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
+    return out
+
+
 def repeated_windows(flat: np.ndarray, offsets: np.ndarray, lead: np.ndarray, group: np.ndarray, length: int, piece: int, cell: int = 16) -> np.ndarray:
     """For spans in a row (texts cut at ``offsets``, ``lead`` bytes before the anchor, group numbers): which windows occur twice.
 
@@ -193,12 +207,13 @@ def repeated_windows(flat: np.ndarray, offsets: np.ndarray, lead: np.ndarray, gr
     key = mix64(core ^ mix64(group[span].astype(np.uint64) * _U(256) + number.astype(np.uint64)))
     order = np.lexsort((whole, key))
     new = np.ones(len(order), dtype=bool)
-    new[1:] = key[order][1:] != key[order][:-1]
+    new[1:] = (key[order][1:] != key[order][:-1]) | ~_same_bytes(flat, core_a[order], core_b[order])
     sub = np.empty(len(order), dtype=np.int64)
     sub[order] = np.cumsum(new) - 1
     count = np.bincount(sub)[sub]
     twin = np.zeros(len(order), dtype=bool)
-    same = (key[order][1:] == key[order][:-1]) & (whole[order][1:] == whole[order][:-1]) & ((b - a)[order][1:] == (b - a)[order][:-1])
+    same = ~new[1:] & (whole[order][1:] == whole[order][:-1]) & ((b - a)[order][1:] == (b - a)[order][:-1])
+    same &= _same_bytes(flat, (base + a)[order], (base + b - 1 + length)[order], same)
     twin[order[1:]] |= same
     twin[order[:-1]] |= same
     twin_second = np.zeros(len(order), dtype=bool)
@@ -245,8 +260,8 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b - a
 
 
-def cells_of(part: bytes, anchor: int, run: int, length: int, piece: int, cell: int = 16) -> Iterator[tuple[int, int, bytes]]:
-    """A span cut into the cells of ``repeated_windows``: (hash of anchor, cell and core; run; bytes of the cell's windows).
+def cells_of(part: bytes, anchor: int, run: int, length: int, piece: int, cell: int) -> Iterator[tuple[int, int, bytes]]:
+    """A span cut into cells of windows: (hash of anchor, cell and core; run; bytes of the cell's windows).
 
     Equal windows lie in cells of one number and one core, so they share the hash.
     """
@@ -261,128 +276,145 @@ def cells_of(part: bytes, anchor: int, run: int, length: int, piece: int, cell:
         yield deal - (1 << 63), (first + a) << 8 | (b - a), part[a : b - 1 + length]
 
 
-def drop_repeats(docs: DataFrame, length: int = 200, piece: int = 64, hot: int = 20_000) -> DataFrame:
+class _Counters:
+    """Counts of the most frequent values of a stream, each too low by at most total / ``most`` (Misra and Gries)."""
+
+    def __init__(self, most: int):
+        self.most, self.values, self.counts, self.total = most, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.total += len(values)
+        new, n = np.unique(values, return_counts=True)
+        both, at = np.unique(np.concatenate([self.values, new]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([self.counts, n])).astype(np.int64)
+        if len(both) > self.most:
+            counts -= np.partition(counts, len(both) - self.most - 1)[len(both) - self.most - 1]
+        self.values, self.counts = both[counts > 0], counts[counts > 0]
+
+
+def hot_anchors(texts: DataFrame, length: int, piece: int, hot: int, most: int = 100_000) -> np.ndarray:
+    """Anchors (sorted) that more than about ``hot`` spans have, or the ``most`` / 2-th part of all spans, if that is more.
+
+    So there are at most ``most`` / 2 of them. Each task keeps ``most`` counters; they are added up by anchor.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Counters(most)
+        for batch in batches:
+            for part in slices(batch, 0, 1 << 20):
+                held.add(spans_of(*text_bytes(part.column(0)), length, piece)[3].view(np.int64))
+        many = held.counts > 1  # a single one is hot in no task, and there are many
+        yield pa.RecordBatch.from_arrays([pa.array([*held.values[many].tolist(), None], pa.int64()), pa.array([*held.counts[many].tolist(), held.total], pa.int64())], names=["anchor", "n"])
+
+    counts = cut(texts.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    total = counts.where("anchor is null").agg(F.max("n")).first()[0] or 0
+    got = counts.where(F.col("anchor").isNotNull() & (F.col("n") > max(hot, 2 * total // most))).select("anchor").toArrow()
+    return np.sort(got.column("anchor").to_numpy())
+
+
+def drop_repeats(docs: DataFrame, length: int = 200, piece: int = 64, hot: int = 2000, cell: int = 4) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept): each text without the bytes that repeat.
 
     A byte goes if it lies in a window of ``length`` bytes that also starts anywhere else in the table, the same text
     included; windows are judged on the input. Texts are UTF-8 bytes (null: empty), ``kept`` are the bytes left, n_spans the
-    maximal removed runs. Anchors with more than ``hot`` spans to settle are dealt out by cell and core. Each row is a text of its own: equal rows repeat each other. Null ids and extra columns pass, an
+    maximal removed runs. Anchors that more than ``hot`` spans have are dealt out in cells of ``cell`` windows. Each row is a
+    text of its own: equal rows repeat each other, and rows that share an id are apart. Null ids and extra columns pass, an
     empty table gives no rows. Texts under ``length`` bytes stay whole.
     """
     if length - piece > 200:
         raise ValueError("length may exceed piece by 200 at most")
-    # A text is named by a hash and its length: equal texts lose the same bytes.
+    # A text is named by two hashes and its length: equal texts lose the same bytes.
     body = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    body = body.withColumn("key", F.xxhash64("text", F.octet_length("text")))
+    body = body.withColumns({"key": F.xxhash64("text", F.octet_length("text")), "key2": F.xxhash64(F.lit(1), "text")})
+    shared = docs.sparkSession.sparkContext.broadcast(hot_anchors(body.select("text"), length, piece, hot))
+    names = ["route", "anchor", "d1", "d2", "key", "key2", "run", "known"]
+    types = [*[pa.int64()] * 7, pa.bool_()]
+    digest = xxhash.xxh3_128_intdigest
+    low, mask = (1 << 63), (1 << 64) - 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowded = shared.value
+        met: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
-                flat, offsets = text_bytes(part.column(1))
+            for part in slices(batch, 2, 1 << 20):
+                flat, offsets = text_bytes(part.column(2))
                 doc, first, windows, anchor = spans_of(flat, offsets, length, piece)
                 if not len(doc):
                     continue
                 raw = flat.tobytes()
                 begin = offsets[doc] + first
-                digest = xxhash.xxh3_64_intdigest
-                span = np.fromiter((digest(raw[x:y]) for x, y in zip(begin.tolist(), (begin + windows + length - 1).tolist())), np.uint64, len(doc))
-                key = part.column(0).to_numpy()[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key), pa.array(first << 8 | windows)], names=["anchor", "span", "key", "run"])
-
-    spans = body.select("key", "text").mapInArrow(scan, "anchor long, span long, key long, run long")
-    # One pass over the spans of an anchor in order: alone or not, equal to a neighbour or not.
-    near = Window.partitionBy("anchor").orderBy("span")
-    same = lambda c, f: F.coalesce(f(c).over(near) == F.col(c), F.lit(False))
-    marked = spans.select(
-        "*",
-        F.coalesce(F.lag("anchor").over(near), F.lead("anchor").over(near)).isNotNull().alias("shared"),
-        same("span", F.lag).alias("like_before"),
-        same("span", F.lead).alias("like_after"),
-    ).where("shared")
-    marked = marked.withColumn("repeated", F.col("like_before") | F.col("like_after"))
-    marked = marked.withColumn("open", F.max(~F.col("repeated")).over(Window.partitionBy("anchor")))
-    needed = F.col("open") & ~F.col("like_before")  # one of each kind of span, where some are unlike
-    marked = cut(marked.select(F.when(needed, F.col("anchor")).alias("anchor"), "key", "run", "repeated"), "spans")
-    whole = marked.where("repeated").select("key", "run")
-    # The texts of the spans still open.
-    wanted = marked.where("anchor is not null").groupBy("key").agg(F.collect_list(F.struct("anchor", "run", "repeated")).alias("runs"))
+                end = begin + windows + length - 1
+                span = [digest(raw[x:y]) for x, y in zip(begin.tolist(), end.tolist())]
+                anchor, run = anchor.view(np.int64), first << 8 | windows
+                key, key2 = (part.column(c).to_numpy()[doc] for c in (0, 1))
+                is_hot = np.isin(anchor, crowded) if len(crowded) else np.zeros(len(anchor), dtype=bool)
+                d1, d2 = (np.array([f(x) for x in span], dtype=np.uint64).view(np.int64) for f in (lambda x: x >> 64, lambda x: x & mask))
+                calm = ~is_hot
+                yield pa.RecordBatch.from_arrays([pa.array(c[calm]) for c in (anchor, anchor, d1, d2, key, key2, run)] + [pa.array(np.zeros(int(calm.sum()), bool))], names=names)
+                rows = []
+                for k in np.flatnonzero(is_hot).tolist():
+                    name = [int(key[k]), int(key2[k]), int(run[k])]
+                    # Of equal spans one goes on and stands for those met after it, which are repeated, as it is.
+                    before = met.get((int(anchor[k]), span[k]))
+                    if before is not None:
+                        if not before[3]:
+                            rows.append((before[0], int(anchor[k]), 0, 0, *before[:3], True))
+                            before[3] = True
+                        if before[:3] != name:
+                            rows.append((name[0], int(anchor[k]), 0, 0, *name, True))
+                        continue
+                    if len(met) >= 200_000:
+                        met.clear()
+                    met[int(anchor[k]), span[k]] = [*name, False]
+                    for route, cell_run, text in cells_of(raw[begin[k] : end[k]], int(anchor[k]), name[2], length, piece, cell):
+                        d = digest(text)
+                        rows.append((route, int(anchor[k]), (d >> 64) - low, (d & mask) - low, *name[:2], cell_run, False))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    spans = body.select("key", "key2", "text").mapInArrow(scan, "route long, anchor long, d1 long, d2 long, key long, key2 long, run long, known boolean")
+    # One pass over the spans of a route in order: alone or not, equal to a neighbour or not. Known ones have a route of their own text.
+    near = Window.partitionBy("route").orderBy("known", "d1", "d2")
+    twin = lambda f: F.coalesce((f("d1").over(near) == F.col("d1")) & (f("d2").over(near) == F.col("d2")) & ~F.col("known") & ~f("known").over(near), F.lit(False))
+    other = lambda f: F.coalesce(~f("known").over(near), F.lit(False)) & ~F.col("known")
+    marked = spans.select("*", (F.col("known") | other(F.lag) | other(F.lead)).alias("shared"), twin(F.lag).alias("like_before"), twin(F.lead).alias("like_after")).where("shared")
+    marked = marked.withColumn("repeated", F.col("known") | F.col("like_before") | F.col("like_after"))
+    marked = marked.withColumn("open", F.max(~F.col("repeated")).over(Window.partitionBy("route")))
+    needed = F.col("open") & ~F.col("known") & ~F.col("like_before")  # one of each kind of span, where some are unlike
+    marked = cut(marked.where(F.col("repeated") | needed).select(F.when(needed, F.col("route")).alias("route"), "anchor", "key", "key2", "run", "repeated"), "spans")
+    whole = marked.where("repeated").select("key", "key2", "run")
+    # The texts of the spans still open; of equal texts one.
+    wanted = marked.where("route is not null").groupBy("key", "key2").agg(F.collect_list(F.struct("route", "anchor", "run", "repeated")).alias("runs"))
     pieces_of = lambda r: F.struct(
-        r["anchor"].alias("anchor"), r["run"].alias("run"), r["repeated"].alias("repeated"),
+        r["route"].alias("route"), r["anchor"].alias("anchor"), r["run"].alias("run"), r["repeated"].alias("repeated"),
         F.call_function("substring", F.col("text"), (F.shiftright(r["run"], 8) + 1).cast("int"), (r["run"].bitwiseAND(F.lit(255)) + length - 1).cast("int")).alias("part"),
     )
-    texts = body.select("key", "text").join(wanted, "key").select("key", F.explode(F.transform("runs", pieces_of)).alias("r"))
-    crowded = marked.where("anchor is not null").groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
-    texts = texts.select("key", "r.anchor", "r.run", "r.repeated", "r.part").join(F.broadcast(crowded), "anchor", "left")
-    texts = texts.select("key", "anchor", "run", "repeated", "part", F.coalesce("hot", F.lit(False)).alias("hot"))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.bool_()]
-        names = ["key", "anchor", "run", "repeated", "part", "deal", "known"]
-        met: dict[tuple[int, bytes], list] = {}
-        for batch in batches:
-            is_hot = batch.column(5)
-            calm = batch.filter(pc.invert(is_hot))
-            if calm.num_rows:
-                yield pa.RecordBatch.from_arrays([*calm.columns[:4], calm.column(4).cast(pa.binary()), calm.column(1), pa.array(np.zeros(calm.num_rows, bool))], names=names)
-            rows = []
-            for key, anchor, run, repeated, part in zip(*(c.to_pylist() for c in batch.filter(is_hot).columns[:5])):
-                for number, cell_run, cell in cells_of(part, anchor, run, length, piece):
-                    # Of equal cells one goes on and stands for those met after it, which are repeated, as it is.
-                    before = met.get((number, cell))
-                    if before is None:
-                        if len(met) >= 100_000:
-                            met.clear()
-                        met[number, cell] = [key, cell_run, repeated, False]
-                        rows.append((key, anchor, cell_run, repeated, cell, number, False))
-                    elif before[:2] != [key, cell_run]:
-                        if not before[3] and not before[2]:
-                            rows.append((before[0], anchor, before[1], False, b"", before[0], True))
-                        before[3] = True
-                        if not repeated:
-                            rows.append((key, anchor, cell_run, False, b"", key, True))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-    texts = texts.mapInArrow(deal, "key long, anchor long, run long, repeated boolean, part binary, deal long, known boolean")
+    texts = body.select("key", "key2", "text").dropDuplicates(["key", "key2"]).join(wanted, ["key", "key2"]).select("key", "key2", F.explode(F.transform("runs", pieces_of)).alias("r"))
+    texts = texts.select("key", "key2", "r.route", "r.anchor", "r.run", "r.repeated", "r.part")
 
     def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        known = table.filter(table.column("known"))
-        if known.num_rows:
-            yield from known.select(["key", "run"]).to_batches()
-        table = table.filter(pc.invert(table.column("known"))).combine_chunks()
-        if not table.num_rows:
-            return
-        part = table.column("part").chunk(0)
-        key, run, repeated = (table.column(c).to_numpy() for c in ("key", "run", "repeated"))
-        flat, offsets = text_bytes(part)
-        # Equal texts gave equal rows: one stays.
-        _, keep = np.unique(np.stack([table.column("deal").to_numpy(), key, run]), axis=1, return_index=True)
-        keep = np.sort(keep)
-        if len(keep) < len(key):
-            part, key, run, repeated = part.take(pa.array(keep)), key[keep], run[keep], repeated[keep]
-            flat, offsets = text_bytes(part)
-        anchors = table.column("anchor").to_numpy()[keep]
-        deals = table.column("deal").to_numpy()[keep]
-        group = np.cumsum(np.diff(deals, prepend=deals[:1]) != 0)
+        table = table.combine_chunks()
+        key, key2, route, anchor, run, repeated = (table.column(c).to_numpy() for c in ("key", "key2", "route", "anchor", "run", "repeated"))
+        flat, offsets = text_bytes(table.column("part").chunk(0).cast(pa.binary()))
+        group = np.cumsum(np.diff(route, prepend=route[:1]) != 0)
         windows = np.diff(offsets) - length + 1
         hashes = piece_hashes(flat, piece).view(np.int64)
         # The anchor stands where the hash is its own, the first such place in the span.
-        hit = np.flatnonzero(hashes == np.repeat(anchors, np.diff(offsets))[: len(hashes)])
-        where = np.searchsorted(hit, offsets[:-1])
-        lead = hit[where] - offsets[:-1]
+        hit = np.flatnonzero(hashes == np.repeat(anchor, np.diff(offsets))[: len(hashes)])
+        lead = hit[np.searchsorted(hit, offsets[:-1])] - offsets[:-1]
         found = repeated_windows(flat, offsets, lead, group, length, piece)
         ends = np.cumsum(windows)
-        out_key, out_run = [], []
+        out: tuple[list, list, list] = ([], [], [])
         for k in np.flatnonzero(~repeated):
             a, n = _runs(found[ends[k] - windows[k] : ends[k]])
             for x, c in zip(a.tolist(), n.tolist()):
-                out_key.append(int(key[k]))
-                out_run.append(((int(run[k]) >> 8) + x) << 8 | c)
-        yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.int64()), pa.array(out_run, pa.int64())], names=["key", "run"])
+                for column, value in zip(out, (key[k], key2[k], ((int(run[k]) >> 8) + x) << 8 | c)):
+                    column.append(int(value))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["key", "key2", "run"])
 
-    settled = group_runs(texts, "deal", settle, "key long, run long")
+    settled = group_runs(texts, "route", settle, "key long, key2 long, run long")
     # Each copy of a text gave its spans: one of each stays, so a text's list is no longer than its own spans.
-    removed = whole.union(settled).distinct().groupBy("key").agg(F.collect_list("run").alias("runs"))
+    removed = whole.union(settled).distinct().groupBy("key", "key2").agg(F.collect_list("run").alias("runs"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,5 +437,5 @@ def drop_repeats(docs: DataFrame, length: int = 200, piece: int = 64, hot: int =
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-    joined = body.join(removed, "key", "left").select("doc_id", "text", "runs")
+    joined = body.join(removed, ["key", "key2"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
