@@ -4,6 +4,7 @@ import collections
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -150,10 +151,10 @@ def test_bagminhash_estimates_weighted_jaccard():
 
 def _classes(texts):
     bags = [collections.Counter(tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))) for t in texts]
-    root = list(range(len(texts)))
+    root, sizes = list(range(len(texts))), [sum(b.values()) for b in bags]
     for i in range(len(texts)):
         for k in range(i):
-            if sum((bags[i] & bags[k]).values()) >= 0.8 * sum((bags[i] | bags[k]).values()):
+            if min(sizes[i], sizes[k]) >= 0.8 * max(sizes[i], sizes[k]) and sum((bags[i] & bags[k]).values()) >= 0.8 * sum((bags[i] | bags[k]).values()):
                 a, b = root[i], root[k]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     return root
@@ -177,8 +178,46 @@ def test_near_duplicates_match_all_pairs(spark, odd):
 
 def test_near_duplicates_empty_and_null_ids(spark):
     assert bagminhash.near_duplicates(table(spark, ["x"]).where("false")).count() == 0
-    rows = bagminhash.near_duplicates(table(spark, ["a b", "a b"], [None, 4])).collect()
-    assert sorted((r.doc_id is None, r.class_id) for r in rows) == [(False, 4), (True, None)]
+    rows = bagminhash.near_duplicates(table(spark, ["a b", "a b", "c d"], [None, 4, None])).collect()
+    assert sorted((r.doc_id is None, str(r.class_id)) for r in rows) == [(False, "4"), (True, "4"), (True, "None")]
+    kept = bagminhash.keep_one(table(spark, ["a b", "a b", "c d", "C  d"], [None, 4, None, None])).collect()
+    assert len(kept) == 2 and {(r.doc_id, r.text.lower().split()[0]) for r in kept} == {(4, "a"), (None, "c")}
+
+
+def test_rows_that_share_an_id(spark):
+    a, b = " ".join(WORDS[:60]), " ".join(WORDS[100:160])
+    keep = lambda texts, ids: sorted((r.doc_id, r.text) for r in bagminhash.keep_one(table(spark, texts, ids)).collect())
+    assert keep([a, a], [5, 5]) == [(5, a)]
+    assert keep([a, b, b], [5, 5, 4]) == [(4, b), (5, a)]
+    assert keep([a, b, a], [5, 5, 5]) == sorted([(5, a), (5, b)])
+    assert keep([a, a.upper(), b], [5, 5, 6]) in ([(5, a), (6, b)], [(5, a.upper()), (6, b)])
+
+
+def test_large_and_mixed_buckets_match_all_pairs(spark):
+    """A chain in which only neighbours are alike, and a large group of copies dealt out in small blocks."""
+    rng = random.Random(12)
+    texts, words = [], prose(rng, 100).split()
+    for k in range(25):
+        words = words[2:] + prose(rng, 2).split()
+        texts.append(" ".join(words))
+    base = prose(rng, 150).split()
+    for k in range(120):
+        copy = list(base)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(150)] = rng.choice(WORDS)
+        texts.append(" ".join(copy))
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(table(spark, texts), block_bytes=20_000, block_rows=30).collect()}
+    assert [got[k] for k in range(len(texts))] == _classes(texts)
+
+
+def test_similar_pairs_and_leaders_match_each_other():
+    rng = random.Random(13)
+    base = prose(rng, 60).split()
+    texts = [" ".join(base[: rng.randint(40, 60)]) for _ in range(30)] + ["", "a", prose(rng, 30)]
+    lead = np.array([k // 11 * 11 for k in range(33)])
+    alike = bagminhash.like_leaders(texts, lead, 0.8, 5)
+    for k, j in enumerate(lead.tolist()):
+        assert bool(alike[k]) == (k != j and bool(bagminhash.similar_pairs([texts[k], texts[j]], [0, 1], 0.8, 5)))
 
 
 def test_components(spark):
@@ -230,6 +269,18 @@ def test_copies_with_a_changed_word_in_the_last_sentence_are_leaks(spark):
     assert {r.doc_id for r in bm25.clean(table(spark, texts), bench).collect()} == set(range(8, 13))
 
 
+def test_leaks_of_repeated_rows_null_ids_ties_and_a_long_item(spark):
+    rng = random.Random(15)
+    item = prose(rng, 20).capitalize() + ". " + prose(rng, 10).capitalize() + "."
+    long = ". ".join(prose(rng, 30) for _ in range(30)) + "."
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item), (None, prose(rng, 25)), (3, long), (4, prose(rng, 22))], "item_id long, text string")
+    text = prose(rng, 40) + " " + item + " " + prose(rng, 40)
+    docs = table(spark, [text, text, prose(rng, 90), text, prose(rng, 20) + " " + long], [7, 7, 8, None, 9])
+    got = sorted(((r.doc_id is None, r.doc_id), r.item_id) for r in bm25.leaks(docs, bench).collect())
+    assert got == sorted([*[((False, 7), k) for k in (1, 1, 2)] * 2, *[((True, None), k) for k in (1, 1, 2)], ((False, 9), 3)], key=lambda r: (r[0][0], r[0][1] or 0, r[1]))
+    assert [r.doc_id for r in bm25.clean(docs, bench).collect()] == [8]
+
+
 # ---- 4 ----
 
 
@@ -275,33 +326,43 @@ def test_hot_anchors_and_many_copies(spark, monkeypatch):
     rng = random.Random(8)
     letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     passage, same = letters(420), letters(700)
-    texts = [letters(rng.randint(0, 150)) + rng.choice("xyz") * 16 + passage + rng.choice("xyz") * 16 + letters(rng.randint(0, 150)) for _ in range(120)] + [same] * 40 + [same[:300] + letters(300)]
+    texts = [letters(rng.randint(0, 150)) + rng.choice("xyz") * 16 + passage + rng.choice("xyz") * 16 + letters(rng.randint(0, 150)) for _ in range(120)] + [same] * 40 + [same[:300] + letters(300)] + ["line of text. " * 40] * 3
+    ids = [None, 1, 1, *range(3, len(texts))]
     sizes, deal_out = [], suffixes.group_runs
 
     def spy(df, key, *args):
-        sizes.append(df.where("part != X''").groupBy(key).count().agg(F.max("count")).first()[0])
+        sizes.append(df.groupBy(key).count().agg(F.max("count")).first()[0])
         return deal_out(df, key, *args)
 
     monkeypatch.setattr(suffixes, "group_runs", spy)
     for hot in (1, 1_000_000):
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.drop_repeats(table(spark, texts), hot=hot).collect()}
-        assert [got[k] for k in range(len(texts))] == _without_repeats(texts, 200)
-    assert sizes[0] < sizes[1]
-
+        rows = suffixes.drop_repeats(table(spark, texts, ids), hot=hot).collect()
+        got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows)
+        assert got == collections.Counter((i, *w) for i, w in zip(ids, _without_repeats(texts, 200)))
+    assert sizes[0] <= sizes[1] / 2
 
-def test_lists_of_removed_runs_do_not_grow_with_copies(spark, monkeypatch):
-    text, longest = prose(random.Random(8), 200), []
-    kind = type(table(spark, ["x"]))
-    real = kind.join
 
-    def spy(self, other, *args, **kwargs):
-        if "runs" in other.columns and "key" in other.columns and dict(other.dtypes)["runs"] == "array<bigint>":
-            longest.append(other.agg(F.max(F.size("runs")), F.max(F.size(F.array_distinct("runs")))).first())
-        return real(self, other, *args, **kwargs)
-
-    monkeypatch.setattr(kind, "join", spy)
-    assert {r.n_removed for r in suffixes.drop_repeats(table(spark, [text] * 50)).collect()} == {len(text)}
-    assert longest and all(a == b for a, b in longest)
+def test_counters_find_what_is_frequent():
+    rng = np.random.default_rng(0)
+    stream = np.concatenate([rng.integers(0, 1 << 60, 5000), np.repeat([7, 8, 9], [900, 700, 5])])
+    rng.shuffle(stream)
+    held = suffixes._Counters(50)
+    for part in np.split(stream, 20, 0) if len(stream) % 20 == 0 else np.array_split(stream, 20):
+        held.add(part)
+    found = dict(zip(held.values.tolist(), held.counts.tolist()))
+    assert len(found) <= 50 and all(n - len(stream) / 50 <= found[v] <= n for v, n in ((7, 900), (8, 700)))
+
+
+def test_many_copies_take_time_in_proportion(spark):
+    text = prose(random.Random(9), 4000)[:20_000]
+    took = []
+    for n in (1000, 4000):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+        began = time.time()
+        got = suffixes.drop_repeats(docs).groupBy("n_removed", F.length("kept").alias("left")).count().collect()
+        took.append(time.time() - began)
+        assert [tuple(r) for r in got] == [(len(text), 0, n)]
+    assert took[1] < 8 * took[0]
 
 
 # ---- 5 ----
@@ -317,6 +378,68 @@ def test_patterns_and_field():
     assert all(a == b for b, a in crf.all_spans(clean, field))
 
 
+# Lines that are not in the labelled table.
+HELD_OUT = (
+    "please mail {email:nora at post dot example dot net} or {email:otto (at) web (dot) de} by friday",
+    "you can reach {email:p_quist [at] mail [dot] example [dot] com} at any time",
+    "{email:ruth at example dot org} wrote at noon and {email:sven at post dot com} at ten",
+    "the host {ip:172 dot 16 dot 4 dot 9} is slow",
+    "his number is {phone:(555) 987-6543} and hers {phone:555-765-4321}",
+    "call {phone:030 445566} or {phone:040 7788 9900} now",
+    "fax {phone:(0221) 555-0133} and mail {email:udo(at)example.net}",
+    "my card {card:3714 496353 98431} was stolen",
+    "dial {phone:555 222 3333} for help",
+    "they met at the dot of noon and sat at the table",
+    "on 13.04.2018 at 11:15 we paid 1200 for 35 of them",
+    "in 1987 and 1992 there were 12 000 and 18 500 people",
+    "see 5.1.2 and 6.4 of part 10 on pages 30-35",
+    "the match ended 4-1 at home and 2-2 at sea",
+    "lot 2020-000777 came on 2020-11-30 with 24 parts",
+)
+
+
+def test_field_on_held_out_lines():
+    field, hits, found, real = crf.train(), 0, 0, 0
+    for line in HELD_OUT:
+        plain, gold, at = "", set(), 0
+        for m in re.finditer(r"\{(\w+):([^}]*)\}", line):
+            plain += line[at : m.start()]
+            gold.add((crf.KINDS.index(m[1]), len(plain), len(plain) + len(m[2])))
+            plain, at = plain + m[2], m.end()
+        plain += line[at:]
+        got = set(crf.all_spans([plain], field)[0][1])
+        hits, found, real = hits + len(got & gold), found + len(got), real + len(gold)
+    print(f"precision {hits}/{found}, recall {hits}/{real}")
+    assert hits >= 0.85 * found and hits >= 0.85 * real
+
+
+def test_stretches_give_what_whole_texts_give(monkeypatch):
+    field, rng = crf.train(), random.Random(3)
+    kinds = ["at", "dot", "(at)", "5", "12.5", "555-123-4567", "eva@x", "30", "at", "dot"]
+    texts = ["", "12", *(" ".join(rng.choice(kinds) if rng.random() < rng.choice([0.02, 0.1, 0.4]) else rng.choice(WORDS).strip("0123456789") + "a" for _ in range(rng.randint(1, 300))) for _ in range(80))]
+    short = crf.field_spans(texts, field, 0.0)
+    monkeypatch.setattr(crf, "lines_of", lambda text: [[m.span() for m in re.finditer(r"\S+", text)]])
+    assert short == crf.field_spans(texts, field, 0.0) and sum(map(len, short)) > 20
+
+
+def test_patterns_equal_plain_matching():
+    rng = random.Random(4)
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab@@..-_ é1") for _ in range(rng.randint(0, 30)))
+        assert list(crf.emails(text)) == [m.span() for m in email.finditer(text)]
+        text = "".join(rng.choice("12....a ") if rng.random() < 0.97 else "256" for _ in range(rng.randint(0, 40)))
+        assert list(crf.addresses(text)) == [m.span() for m in ip.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+
+
+def test_long_runs_take_seconds():
+    field, n = crf.train(), 1_000_000
+    began = time.time()
+    for text in ("1" * n, "a" * n, "漢" * n, "1." * (n // 2), "a@" * (n // 2), "+1 " * (n // 3), "a." * (n // 2) + "@", "x" * n + "@", "at " * (n // 3), "1 " * (n // 2), "12-" * (n // 3)):
+        crf.all_spans([text], field)
+    assert time.time() - began < 120
+
+
 def test_viterbi_matches_all_paths():
     rng = np.random.default_rng(0)
     n = len(crf.LABELS)
@@ -369,6 +492,24 @@ def test_segmentation_matches_brute_force(vocabulary):
         assert got == vocabulary.segment(b) and b"".join(vocabulary.bytes[i] for i in got) == b and tokens[k] == counts[k]
 
 
+def test_long_chunks_count_like_they_are_cut(vocabulary):
+    rng = random.Random(2)
+    stem = "".join(rng.choice("theandinéß漢😀x\n") for _ in range(400))
+    words = [" " + stem[: rng.randint(0, 400)] + "".join(rng.choice("abeé漢") for _ in range(rng.randint(0, 90))) for _ in range(120)] + [" " + "a" * k for k in range(50, 140)]
+    raw = [w.encode() for w in dict.fromkeys(words)]
+    flat, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+    assert vocabulary.count_all(flat, offsets).tolist() == vocabulary.segment_all(flat, offsets)[1].tolist() == [len(vocabulary.segment(b)) for b in raw]
+
+
+def test_very_long_chunks_take_seconds(spark, vocabulary):
+    rng, n = random.Random(2), 300_000
+    texts = ["a" * n, "漢" * (n // 3), "".join(rng.choice("etaoinshr") for _ in range(n))]
+    began = time.time()
+    counts = {r.doc_id: r.n_tokens for r in pieces.count(table(spark, texts)).collect()}
+    assert time.time() - began < 60
+    assert counts == {r.doc_id: r.n_pieces for r in pieces.encode(table(spark, texts)).collect()}
+
+
 def test_encoding_round_trips_and_counts_agree(spark, odd, vocabulary):
     rows = {r.doc_id: r for r in pieces.encode(table(spark, odd)).collect()}
     counts = {r.doc_id: r.n_tokens for r in pieces.count(table(spark, odd)).collect()}
@@ -401,10 +542,70 @@ def test_quality_keeps_good_and_drops_bad(spark):
 
 def test_sparse_sites_shrink_toward_the_whole(spark):
     rows = [("a", "x", 3.0)] * 200 + [("b", "x", -3.0)] * 200 + [("c", "y", 3.0)]
-    got = {r.host: r.prior for r in quality.priors(spark.createDataFrame(rows, "host string, path string, logit double")).collect()}
+    got = {r.host: r.prior for r in quality.sites(spark.createDataFrame(rows, "host string, path string, logit double")).collect()}
     assert got["a"] > 0.9 and got["b"] < 0.1 and abs(got["c"] - 0.5) < abs(got["a"] - 0.5)
 
 
+def _posteriors(rows):
+    """Each row's (prior, posterior) by plain loops; rows: (host, path, logit)."""
+    sigma = lambda x: 1 / (1 + np.exp(-x))
+    logit = lambda p: np.log(p / (1 - p))
+    inside = lambda p: min(max(p, 1e-6), 1 - 1e-6)
+    base = inside(np.mean([sigma(x) for *_, x in rows]))
+
+    def strength(names, means):
+        groups = collections.defaultdict(list)
+        for name, mean, (*_, x) in zip(names, means, rows):
+            groups[name].append((mean, sigma(x)))
+        sizes = [len(g) for g in groups.values()]
+        spread = sum(len(g) * (np.mean([x for _, x in g]) - g[0][0]) ** 2 for g in groups.values())
+        room, noise = len(rows) - sum(k * k for k in sizes) / len(rows), base * (1 - base)
+        between = (spread - noise * (len(sizes) - 1)) / room if room > 0 else 0
+        return min(max(noise / between - 1, 1), 1e6) if between > 0 else 1e6
+
+    k_host = strength([h for h, *_ in rows], [base] * len(rows))
+    rate = {h: (sum(sigma(x) for g, _, x in rows if g == h) + k_host * base) / (sum(g == h for g, *_ in rows) + k_host) for h, *_ in rows}
+    k_path = strength([(h, p) for h, p, _ in rows], [rate[h] for h, *_ in rows])
+    out = []
+    for i, (h, p, x) in enumerate(rows):
+        others = [r for k, r in enumerate(rows) if k != i]
+        total = inside(np.mean([sigma(y) for *_, y in others])) if others else 0.5
+        of_host = [sigma(y) for g, _, y in others if g == h]
+        of_path = [sigma(y) for g, q, y in others if (g, q) == (h, p)]
+        above = (sum(of_host) + k_host * total) / (len(of_host) + k_host)
+        prior = inside((sum(of_path) + k_path * above) / (len(of_path) + k_path))
+        out.append((prior, sigma(x + logit(prior) - logit(total))))
+    return out
+
+
+def test_posteriors_match_plain_loops(spark):
+    rng = random.Random(14)
+    for n in (1, 2, 150):
+        rows = [(rng.choice([None, "a", "b", "c"]), rng.choice([None, "x", "y"]), rng.gauss(0, 2)) for _ in range(n)]
+        rows = [(h, p, x + (2 if h == "a" else 0) - (3 if (h, p) == ("b", "x") else 0)) for h, p, x in rows]
+        frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, host string, path string, logit double")
+        got = {r.k: r for r in quality._judged(frame, F.col("host"), F.col("path"), F.col("logit"), 0.5, ("prior", "posterior", "keep")).collect()}
+        for k, (prior, posterior) in enumerate(_posteriors(rows)):
+            assert (got[k].prior, got[k].posterior) == pytest.approx((prior, posterior), abs=1e-9) and got[k].keep == (got[k].posterior >= 0.5)
+
+
+def test_quality_of_null_ids_and_ties(spark):
+    docs = table(spark, ["good words here", "BAD!! ##", None, ""], [None, None, 2, 2])
+    marks = spark.createDataFrame([(2, None, None), (None, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.classify(docs, marks).collect()  # no evidence: all stand at the threshold and stay
+    assert len(rows) == 4 and all(r.evidence == 0 and r.posterior == 0.5 and r.keep for r in rows)
+    assert quality.keep_good(docs, marks).count() == 4 and quality.keep_good(docs.where("false"), marks).columns == docs.columns
+
+
+def test_null_ids_are_judged_like_others(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, 60) if k % 2 else prose(rng, 60).upper() + "!! ##" for k in range(200)]
+    marks = spark.createDataFrame([(k, k % 2, 0) for k in range(150)], "doc_id long, quality int, toxic int")
+    docs = table(spark, [*texts, texts[0], texts[1]], [*range(200), None, None])
+    kept = quality.keep_good(docs, marks).collect()
+    assert {r.doc_id for r in kept} == {None, *range(1, 200, 2)} and sum(r.doc_id is None for r in kept) == 1
+
+
 # ---- 8 ----
 
 
@@ -536,11 +737,24 @@ def test_shards_follow_the_law(spark, odd, law):
     assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values()) and set(by) <= set(range(16))
     if law == "rows":
         assert len(by) == 16 and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    for parts in (1, 7):  # small parts: the same law, and a cell stays together
+        other = hilbert.shard(table(spark, texts), law=law, part_rows=parts).collect()
+        assert sorted(r.shard for r in other) == sorted(r.shard for r in rows) or law == "bytes"
     runs = [(r.hilbert, k) for k in sorted(by) for r in sorted(by[k], key=lambda r: r.slot)]
     assert [h for h, _ in runs] == sorted(h for h, _ in runs)
     assert hilbert.shard(table(spark, texts).where("false"), law=law).count() == 0
 
 
+def test_hilbert_files_are_skipped(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    placed = hilbert.shard(docs).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    sources = placed.groupBy("source").agg(F.countDistinct("shard").alias("files"), F.count("*").alias("n")).collect()
+    total = sum(r.n for r in sources)
+    read = sum(r.files * r.n for r in sources) / total  # files that a filter on a row's source reads, of 16
+    print(f"a filter on the source reads {read:.1f} of 16 files; a random order {sum(16 * (1 - (15 / 16) ** r.n) * r.n for r in sources) / total:.1f}")
+    assert read < 10
+
+
 def test_text_bytes_of_slices():
     a = pa.array(["ab", "", "cde", "f"]).slice(1, 2)
     flat, offsets = text_bytes(a)
