@@ -2,8 +2,9 @@
 
 The patterns find emails, IP addresses, card numbers and phone numbers. The field labels the words of each text with
 O or the begin and inside of the same kinds, from the shapes of a word and its neighbours; it is trained here from a
-small labelled table and decoded by Viterbi over many lines at once. Its spans are added where they meet no span of the
-patterns; pattern spans always stay.
+small labelled table and decoded by Viterbi over many lines at once. Its spans are added where the field itself gives them
+a probability of a half or more, they hold what their kind can't be without, and they meet no span of the patterns;
+pattern spans always stay.
 """
 
 from __future__ import annotations
@@ -20,14 +21,38 @@ from barloom.llm.common import scan_texts, slices
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 
-# The patterns.
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The patterns. Those of emails and addresses are tried only where a match can begin (see below), so that a
+# text takes time in proportion to its length.
+_LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of local part, @ and domain. A local part reaches up to its @, so each whole run of its characters is tried once."""
+    free = 0
+    for run in _LOCAL.finditer(text):
+        begin, end = max(free, run.start()), run.end()
+        if begin < end and text.startswith("@", end) and (domain := _DOMAIN.match(text, end + 1)):
+            free = domain.end()
+            yield begin, free
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of four numbers joined by dots: each chain of numbers is cut into fours."""
+    for chain in _NUMBERS.finditer(text):
+        numbers = chain[0].split(".")
+        at = chain.start()
+        for k in range(0, len(numbers) - 3, 4):
+            four = numbers[k : k + 4]
+            size = sum(map(len, four)) + 3
+            if all(map(_byte, four)):
+                yield at, at + size
+            at += size + 1
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -45,9 +70,9 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the pattern matches, by kind, then start; kinds may overlap each other."""
     out = []
     if "@" in text:
-        out += [(0, *m.span()) for m in _EMAIL.finditer(text)]
+        out += [(0, *span) for span in emails(text)]
     if _DIGIT.search(text):
-        out += [(1, *m.span()) for m in _IP.finditer(text) if all(_byte(p) for p in m[0].split("."))]
+        out += [(1, *span) for span in addresses(text)]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -93,6 +118,41 @@ LABELLED = (
     "the cat sat on the mat and slept",
     "und die katze la casa que le chat",
     "a b c d e f g h",
+    "ask {email:frank (at) post (dot) org} or {email:gina at example dot com} about it",
+    "write {email:hans at post dot net} or {email:ida at example dot com}",
+    "{email:joe_king [at] mail [dot] org} is the one to ask",
+    "send it to {email:k.lee(at)post.example.net} and wait",
+    "the box {ip:10 dot 20 dot 30 dot 40} is behind the door",
+    "ping {ip:192 dot 168 dot 0 dot 1} first",
+    "card {card:3782 822463 10005} expires soon",
+    "charge {card:4111.1111.1111.1111} with 20 euros",
+    "phone {phone:030 901820} in the morning",
+    "call {phone:555 123 4567} before noon",
+    "ring {phone:0171-5550199} or {phone:(0171) 555-0199}",
+    "tel {phone:020 7946 0958} at night",
+    "call us at {phone:800 555 0199} today",
+    "phone {phone:089/5551234} for a room",
+    "they sat at the dot and looked at me",
+    "look at 5 of them at 10 or at noon",
+    "from 1990 to 2005 there were 30 000 people",
+    "we sold 120 000 of them for 15 000 euros",
+    "open at 9:00 and shut at 17:30 on 24.12.2020",
+    "isbn 978-3-16-148410-0 is a book",
+    "order 2021-000123 was sent on 2021-05-12",
+    "the score was 3-2 and then 21-19 at home",
+    "chapter 10.2.3.4.5 of the manual",
+    "figures 1 2 3 4 5 6 7 8 9 10 in a row",
+    "row 100 200 300 400 500 of the table",
+    "key = 9f86d081884c7d659a2feaa0c55ad015 was lost",
+    "it is 3.14 or 2.718 and not 1.5",
+    "on page 25 at line 30 there is a dot",
+    "in 2019 2020 and 2021 at 10 per cent",
+    "he looked at the dot of light at the end",
+    "we wait at the dot of the hour at ten",
+    "{email:anna at web dot org} said at noon that {email:hans at mail dot net} left",
+    "then {email:uwe at web dot org} wrote at ten to {email:lea at mail dot net} at home",
+    "is {email:max [at] post [dot] mail [dot] org} or {email:tom(at)mail.net} right",
+    "fax {phone:(030) 555-0177} and mail {email:pia(at)example.org} please",
 )
 
 
@@ -106,16 +166,20 @@ def _words(line: str) -> tuple[list[str], list[int]]:
 
 
 _RUNS = re.compile(r"(.)\1{4,}")
+_INNER = re.compile(r"(?<=\w)[(\[]at[)\]](?=\w)")
+_SIGNS = frozenset(("at", "dot", "[at]", "[dot]", "(at)", "(dot)"))
+_KEPT = _SIGNS | {"the", "a", "of", "in", "and", "or", "is", "was"}
 
 
 def shape(word: str) -> str:
     """Letters as x or X, digits as 9, other characters as they are; runs over four are cut to four.
 
-    The two words that stand for signs in spelled-out addresses keep their spelling.
+    The two words that stand for signs in spelled-out addresses, and some that never are names in one, keep their spelling;
+    an at in brackets inside a word is the sign itself.
     """
-    if word in ("at", "dot", "[at]", "[dot]", "(at)", "(dot)"):
+    if word in _KEPT:
         return word
-    return _shape_of(word.translate(_SHAPES))
+    return _shape_of(_INNER.sub("@", word).translate(_SHAPES))
 
 
 class _Shapes(dict):
@@ -139,7 +203,7 @@ def features(s: str) -> list[str]:
     bare = s.strip(".,;:!?\"'*#$%&|")
     digits = bare.count("9")
     return [
-        f"shape={bare if digits or '@' in bare or bare in ('at', 'dot', '[at]', '[dot]', '(at)', '(dot)') else 'word' if bare else 'sign'}",
+        f"shape={bare if digits or '@' in bare or bare in _KEPT else 'word' if bare else 'sign'}",
         f"digits={min(digits, 5)}",
         f"signs={''.join(sorted(set(c for c in bare if c in '@.-+()[]')))}" if digits or "@" in bare else "signs=",
         f"alpha={'x' in bare or 'X' in bare}",
@@ -147,31 +211,35 @@ def features(s: str) -> list[str]:
     ]
 
 
+REACH = (-2, -1, 0, 1, 2)
+
+
 class Field:
-    """Weights: three tables (shape before, here, after) by label, and label changes."""
+    """Weights: a table of label scores for each feature of the shapes two words back to two ahead (``REACH``), and label changes."""
 
     def __init__(self, emissions: dict[str, np.ndarray], steps: np.ndarray, start: np.ndarray):
         self.emissions, self.steps, self.start = emissions, steps, start
-        self.cache: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.cache: dict[str, np.ndarray] = {}
 
-    def score(self, s: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Label scores that a shape gives to the word after it, to its own word and to the word before it."""
+    def score(self, s: str) -> np.ndarray:
+        """Label scores that a shape gives to the words around it, one row an offset of ``REACH``."""
         got = self.cache.get(s)
         if got is None:
             zero = np.zeros(len(LABELS))
             names = features(s)
-            got = tuple(sum((self.emissions.get(f"{at}{n}", zero) for n in names), zero) for at in ("-", "", "+"))
-            if len(self.cache) < 100_000:
+            got = np.stack([sum((self.emissions.get(f"{at}{n}", zero) for n in names), zero) for at in REACH])
+            if len(self.cache) < 100_000 and len(s) < 100:
                 self.cache[s] = got
         return got
 
     def scores(self, shapes: list[str]) -> np.ndarray:
         """One row of label scores a word of a line."""
-        parts = [self.score(s) for s in shapes]
-        out = np.stack([p[1] for p in parts])
-        if len(parts) > 1:
-            out[1:] += [p[0] for p in parts[:-1]]
-            out[:-1] += [p[2] for p in parts[1:]]
+        parts = np.stack([self.score(s) for s in shapes], axis=1)
+        out, n = np.zeros_like(parts[0]), len(shapes)
+        for at, part in zip(REACH, parts):  # the shape at k + at scores the word at k
+            low, high = max(0, -at), min(n, n - at)
+            if low < high:
+                out[low:high] += part[low + at : high + at]
         return out
 
 
@@ -194,44 +262,41 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 def train(table: tuple[str, ...] = LABELLED, epochs: int = 150, rate: float = 0.3, decay: float = 0.002) -> Field:
     """Fit the field by gradient steps on the likelihood of the labelled lines (forward and backward sums).
 
-    The table is small and given, so this runs where it is called, in a few seconds.
+    The table is small and given, so this runs where it is called, in a second or two.
     """
     lines = [_words(t) for t in table]
     shapes = [[shape(w) for w in words] for words, _ in lines]
     names: dict[str, int] = {}
-    rows = []
-    for line in shapes:
-        row = []
-        for k in range(len(line)):
-            own = [("-", k - 1), ("", k), ("+", k + 1)]
-            row.append([names.setdefault(f"{at}{n}", len(names)) for at, j in own if 0 <= j < len(line) for n in features(line[j])])
-        rows.append(row)
-    n = len(LABELS)
-    weights, steps, start = np.zeros((len(names), n)), np.zeros((n, n)), np.zeros(n)
+    rows = [[[names.setdefault(f"{at}{f}", len(names)) for at in REACH if 0 <= k + at < len(line) for f in features(line[k + at])] for k in range(len(line))] for line in shapes]
+    n, size, longest = len(LABELS), len(lines), max(map(len, shapes))
+    # All lines at once: features of each word (filled up by one that weighs nothing), true labels, and which words there are.
+    held = np.full((size, longest, max(len(f) for row in rows for f in row)), len(names))
+    gold, real = np.zeros((size, longest, n)), np.zeros((size, longest), dtype=bool)
+    for j, (row, (_, labels)) in enumerate(zip(rows, lines)):
+        real[j, : len(row)] = True
+        gold[j, np.arange(len(row)), labels] = 1
+        for k, f in enumerate(row):
+            held[j, k, : len(f)] = f
+    last = real.sum(axis=1) - 1
+    true_steps = np.einsum("jka,jkb->ab", gold[:, :-1], gold[:, 1:])
+    weights, steps, start = np.zeros((len(names) + 1, n)), np.zeros((n, n)), np.zeros(n)
     bad = _allowed()
     no_start = np.array([-1e4 if b[0] == "I" else 0.0 for b in LABELS])
     past = [np.full_like(weights, 1e-2), np.full_like(steps, 1e-2), np.full_like(start, 1e-2)]
     for _ in range(epochs):
-        grads = [-decay * weights, -decay * steps, -decay * start]
-        for row, (_, gold) in zip(rows, lines):
-            e = np.stack([weights[f].sum(axis=0) for f in row])
-            move = steps + bad
-            a = np.empty_like(e)
-            a[0] = start + no_start + e[0]
-            for k in range(1, len(e)):
-                a[k] = _logsum(a[k - 1][:, None] + move, 0) + e[k]
-            b = np.zeros_like(e)
-            for k in range(len(e) - 2, -1, -1):
-                b[k] = _logsum(move + e[k + 1] + b[k + 1], 1)
-            total = _logsum(a[-1], 0)
-            miss = -np.exp(a + b - total)
-            miss[np.arange(len(gold)), gold] += 1
-            for f, m in zip(row, miss):
-                np.add.at(grads[0], f, m)
-            for k in range(1, len(e)):
-                grads[1] -= np.exp(a[k - 1][:, None] + move + e[k] + b[k] - total)
-                grads[1][gold[k - 1], gold[k]] += 1
-            grads[2] += miss[0]
+        e, move = weights[held].sum(axis=2), steps + bad
+        a, b = np.empty_like(e), np.zeros_like(e)
+        a[:, 0] = start + no_start + e[:, 0]
+        for k in range(1, longest):
+            a[:, k] = _logsum(a[:, k - 1, :, None] + move, 1) + e[:, k]
+        for k in range(longest - 2, -1, -1):
+            b[:, k] = np.where(real[:, k + 1, None], _logsum(move + (e[:, k + 1] + b[:, k + 1])[:, None, :], 2), 0)
+        total = _logsum(a[np.arange(size), last], 1)[:, None, None]
+        miss = np.where(real[:, :, None], gold - np.exp(np.minimum(a + b - total, 0)), 0)
+        pairs = np.exp(np.minimum(a[:, :-1, :, None] + move + (e[:, 1:] + b[:, 1:])[:, :, None, :] - total[..., None], 0))
+        grads = [-decay * weights, -decay * steps + true_steps - (pairs * real[:, 1:, None, None]).sum(axis=(0, 1)), -decay * start + miss[:, 0].sum(axis=0)]
+        np.add.at(grads[0], held, miss[:, :, None, :])
+        grads[0][-1] = 0
         for value, grad, square in zip((weights, steps, start), grads, past):
             square += grad * grad
             value += rate * grad / np.sqrt(square)
@@ -274,50 +339,64 @@ _EDGE = ".,;:!?\"'*#$%&|"
 
 
 def lines_of(text: str, reach: int = 4) -> Iterator[list[tuple[int, int]]]:
-    """The stretches of words the field has to label: all within ``reach`` words of a mark.
+    """The stretches of words the field has to label: all words within ``reach`` words of a word with a mark.
 
-    Far from marks all words look alike to the field and are labelled O, so decoding those gives nothing. A stretch
-    begins and ends with such words.
+    Far from marks all words look alike to the field and are labelled O, so decoding those gives nothing.
     """
     marks = [m.start() for m in _MARK.finditer(text)]
-    k = 0
-    while k < len(marks):
-        low = high = marks[k]
-        words_before = 0
-        while low > 0 and words_before <= reach and marks[k] - low < 80 * (reach + 1):
-            low -= 1
-            words_before += text[low].isspace() and not text[low - 1 : low].isspace()
-        while True:
-            words_after, high = 0, max(high, marks[k])
-            while high < len(text) and words_after <= reach and high - marks[k] < 80 * (reach + 1):
-                words_after += text[high].isspace() and not text[high - 1].isspace()
-                high += 1
-            if k + 1 < len(marks) and marks[k + 1] < high:
-                k += 1
-            else:
-                break
-        k += 1
-        yield [m.span() for m in _WORD.finditer(text, low, high)]
-
-
-_SPELLED = re.compile(r"([\w.%+-]+)\s*(?:@|\(at\)|\[at\]|\bat\b)\s*([\w-]+)(?:\s*(?:\.|\(dot\)|\[dot\]|\bdot\b)\s*([\w-]+))*\s*(?:\.|\(dot\)|\[dot\]|\bdot\b)\s*([a-z]{2,6})")
-
-
-def _plausible(kind: int, part: str) -> bool:
-    """Spans of the field are kept if they hold what a kind needs at least."""
-    digits = sum(c.isdigit() for c in part)
+    if not marks:
+        return
+    words = [m.span() for m in _WORD.finditer(text)]
+    at = np.unique(np.searchsorted(np.array([a for a, _ in words]), marks, "right") - 1)
+    first = np.flatnonzero(np.diff(at, prepend=-2 * reach - 9) > 2 * reach + 1)
+    for a, b in zip(at[first].tolist(), at[np.append(first[1:], len(at)) - 1].tolist()):
+        yield words[max(0, a - reach) : b + reach + 1]
+
+
+# A name, an at, a name, a dot, a name; none of the names is itself an at or dot.
+_NAME = r"(?!at\b|dot\b)[\w.%+-]*\w"
+_SPELLED = re.compile(rf"{_NAME}\W*(?:@|\bat\b)\W*(?!at\b|dot\b)[\w-]+\W*?(?:\.|\bdot\b)\W*(?!at\b|dot\b)\w\w+", re.ASCII)
+_NUMBER = re.compile(r"[0-9]+")
+
+
+def _holds(kind: int, part: str) -> bool:
+    """Whether a span has what its kind can't be without: an at before a dot, four bytes, a card's check digit, digits enough."""
+    digits = sum("0" <= c <= "9" for c in part)
     if kind == 0:
-        found = _SPELLED.fullmatch(part)
-        return bool(found) and not {*found.groups()} & {"at", "dot"}
+        return len(part) < 1000 and bool(_SPELLED.match(part))
     if kind == 1:
-        return bool(re.fullmatch(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", part)) and all(_byte(p) for p in part.split("."))
+        numbers = _NUMBER.findall(part)
+        return len(numbers) == 4 and all(map(_byte, numbers))
     if kind == 2:
-        return 16 <= digits <= 19 and luhn("".join(c for c in part if c.isdigit()))
-    return 10 <= digits <= 15 and bool(re.fullmatch(r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}", part))
-
-
-def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
-    """(kind, start, end) that the field finds in each text."""
+        return 12 <= digits <= 19 and luhn("".join(_NUMBER.findall(part)))
+    return 7 <= digits <= 15
+
+
+def span_probability(scores: np.ndarray, labels: np.ndarray, first: int, stop: int, field: Field) -> float:
+    """The field's probability that just the words first..stop-1 of a line are the span that ``labels`` make of them."""
+    n = len(scores)
+    ahead = field.start + scores[0]
+    before = None
+    for k in range(1, n):
+        if k == first:
+            before = ahead
+        ahead = _logsum(ahead[:, None] + field.steps, 0) + scores[k]
+    total = _logsum(ahead, 0)
+    own = (field.start if before is None else _logsum(before[:, None] + field.steps, 0))[labels[first]] + scores[first, labels[first]]
+    for k in range(first + 1, stop):
+        own += field.steps[labels[k - 1], labels[k]] + scores[k, labels[k]]
+    after = np.zeros(len(LABELS))
+    for k in range(n - 1, stop, -1):
+        after = _logsum(field.steps + scores[k] + after, 1)
+    if stop < n:
+        ends = field.steps[labels[stop - 1]] + scores[stop] + after
+        ends[(labels[first] + 1)] = -np.inf  # a span that goes on is another one
+        own += _logsum(ends, 0)
+    return float(np.exp(own - total))
+
+
+def field_spans(texts: list[str], field: Field, least: float = 0.5) -> list[list[tuple[int, int, int]]]:
+    """(kind, start, end) of the best labels of each text, where the field gives the span a probability of ``least`` or more."""
     owners, words, scores = [], [], []
     for k, text in enumerate(texts):
         for line in lines_of(text):
@@ -327,7 +406,8 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
                 scores.append(field.scores([shape(text[a:b]) for a, b in line]))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for begin in range(0, len(scores), 512):
-        for k, line, labels in zip(owners[begin : begin + 512], words[begin : begin + 512], viterbi(scores[begin : begin + 512], field)):
+        part = slice(begin, begin + 512)
+        for k, line, score, labels in zip(owners[part], words[part], scores[part], viterbi(scores[part], field)):
             at = 0
             while at < len(line):
                 if LABELS[labels[at]][0] != "B":
@@ -341,7 +421,7 @@ def field_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int
                     a += 1
                 while b > a and texts[k][b - 1] in _EDGE:
                     b -= 1
-                if a < b and _plausible(int(kind), texts[k][a:b]):
+                if a < b and _holds(int(kind), texts[k][a:b]) and span_probability(score, labels, at, end, field) >= least:
                     out[k].append((int(kind), a, b))
                 at = end
     return out
