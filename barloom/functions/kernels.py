@@ -59,3 +59,46 @@ def scan(df: DataFrame, fn: Callable[[pd.DataFrame], dict], outs: list[str]) ->
         return pdf.assign(**{c: pd.Series(got[c], index=pdf.index, dtype="float64") for c in outs})[[f.name for f in schema]]
 
     return df.groupBy("symbol").applyInPandas(run, schema)
+
+
+def affine(df: DataFrame, a: str, b: str, out: str, block: int = 4096) -> DataFrame:
+    """Append ``out`` = a * (``out`` of the row before) + b, in blocks of rows that are the work of many tasks.
+
+    The map of a whole block is composed from those of its rows; the maps of a symbol's blocks are folded in order, one row a
+    block, and each block then starts from what the blocks before it give. A row with a = 0 starts anew from b; rows before
+    the first such row (a and b NULL) are NULL.
+    """
+    rows = df.withColumn("__rn", place()).withColumn("__block", F.floor(F.col("__rn") / block))
+
+    def through(p: pd.DataFrame, y: float) -> list[float]:
+        got = []
+        for x, z in zip(p[a].tolist(), p[b].tolist()):
+            y = z if x == 0 else x * y + z
+            got.append(y)
+        return got
+
+    def compose(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("__rn")
+        x, z = 1.0, 0.0
+        for u, v in zip(p[a].tolist(), p[b].tolist()):
+            x, z = (0.0, v) if u == 0 else (u * x, u * z + v)
+        return pd.DataFrame({"symbol": [p["symbol"].iloc[0]], "__block": [p["__block"].iloc[0]], "__a": [x], "__b": [z]})
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("__block")
+        y, before = math.nan, []
+        for x, z in zip(p["__a"].tolist(), p["__b"].tolist()):
+            before.append(y)
+            y = z if x == 0 else x * y + z
+        return pd.DataFrame({"symbol": p["symbol"], "__block": p["__block"], "__y": before})
+
+    maps = rows.select("symbol", "__rn", "__block", a, b).groupBy("symbol", "__block").applyInPandas(compose, "symbol string, __block long, __a double, __b double")
+    carried = rows.join(maps.groupBy("symbol").applyInPandas(fold, "symbol string, __block long, __y double"), ["symbol", "__block"])
+    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("__rn", ignore_index=True)
+        return p.assign(**{out: through(p, float(p["__y"].iloc[0]))})[[f.name for f in schema]]
+
+    done = carried.groupBy("symbol", "__block").applyInPandas(run, schema)
+    return done.withColumn(out, F.when(~F.isnan(out), F.col(out)))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.kernels import ewm, fading, memory_of, scan
+from barloom.functions.kernels import affine, ewm, fading, memory_of, scan
 from barloom.functions.windows import by_time, before, diff, flag, lag, middle, place, roll, sma, true_range
 
 
@@ -65,15 +65,9 @@ def vidya(df: DataFrame, n: int = 9, period: int = 26) -> DataFrame:
     d = df.withColumn("__d", diff("close"))
     d = d.withColumns({"__g": roll(F.when(F.col("__d") >= 0, F.col("__d")).otherwise(0.0), F.sum, n), "__l": roll(F.when(F.col("__d") < 0, -F.col("__d")).otherwise(0.0), F.sum, n)})
     weight = 2 / (period + 1) * F.coalesce(F.abs(F.try_divide(F.col("__g") - F.col("__l"), F.col("__g") + F.col("__l"))), F.lit(0.0))
-    d = d.withColumn("__w", weight)
-
-    def fn(p):
-        out, w, x = [None] * len(p), p["__w"].tolist(), p["close"].tolist()
-        for k in range(n, len(p)):
-            out[k] = x[k] if k == n else w[k] * x[k] + (1 - w[k]) * out[k - 1]
-        return {"vidya": out}
-
-    return scan(d, fn, ["vidya"]).drop("__d", "__g", "__l", "__w")
+    d = d.withColumn("__rn", place())
+    d = d.withColumns({"__a": F.when(F.col("__rn") == n, 0.0).when(F.col("__rn") > n, 1 - weight), "__b": F.when(F.col("__rn") == n, F.col("close")).when(F.col("__rn") > n, weight * F.col("close"))})
+    return affine(d.drop("__rn"), "__a", "__b", "vidya").drop("__d", "__g", "__l", "__a", "__b")
 
 
 def instantaneous_trendline(df: DataFrame, alpha: float = 0.07) -> DataFrame:
@@ -134,13 +128,8 @@ def frama(df: DataFrame, n: int = 16, fast: int = 1, slow: int = 200) -> DataFra
     parts = F.col("__n1") + F.col("__n2")
     dimension = F.when(parts > 0, F.when(F.col("__n3") > 0, F.log2(parts / F.col("__n3"))).otherwise(2.0)).otherwise(1.0)
     speed = F.exp(-4.6 * (F.least(F.greatest(dimension, F.lit(1.0)), F.lit(2.0)) - 1))
-    d = d.withColumn("__w", 2 / (speed * (fast - slow) + slow + 1))
-
-    def fn(p):
-        x, w = p["close"].tolist(), p["__w"].tolist()
-        out = [None] * len(x)
-        for k in range(n - 1, len(x)):
-            out[k] = sum(x[:n]) / n if k == n - 1 else w[k] * x[k] + (1 - w[k]) * out[k - 1]
-        return {"frama": out}
-
-    return scan(d, fn, ["frama"]).drop("__n1", "__n2", "__n3", "__w")
+    weight = 2 / (speed * (fast - slow) + slow + 1)
+    first = F.avg("close").over(by_time().rowsBetween(-(n - 1), 0))
+    d = d.withColumns({"__rn": place(), "__w": weight, "__m": first})
+    d = d.withColumns({"__a": F.when(F.col("__rn") == n - 1, 0.0).when(F.col("__rn") >= n, 1 - F.col("__w")), "__b": F.when(F.col("__rn") == n - 1, F.col("__m")).when(F.col("__rn") >= n, F.col("__w") * F.col("close"))})
+    return affine(d.drop("__rn"), "__a", "__b", "frama").drop("__n1", "__n2", "__n3", "__w", "__m", "__a", "__b")

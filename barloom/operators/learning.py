@@ -3,28 +3,37 @@
 from __future__ import annotations
 
 import random
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Fits that the driver asks Spark for at once.
+AT_ONCE = 8
+
+
 def assembled(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
     """Rows with all columns present, as one vector."""
     return VectorAssembler(inputCols=columns, outputCol=out).transform(df.na.drop("any", subset=columns))
 
 
+def _width(df: DataFrame, column: str) -> int:
+    """The length of an assembled vector, from the schema."""
+    return df.schema[column].metadata["ml_attr"]["num_attrs"]
+
+
 def components(df: DataFrame, share: float = 0.96, column: str = "features") -> tuple[DataFrame, int]:
     """``df`` with ``pca``: as many centred components as explain ``share`` of the variance, fitted on the training rows."""
     train = df.where("is_train")
     centred = StandardScaler(inputCol=column, outputCol="__c", withMean=True, withStd=False).fit(train)
     d = centred.transform(df)
-    width = len(d.select(column).first()[0])
+    width = _width(df, column)
     full = PCA(k=width, inputCol="__c", outputCol="__p").fit(d.where("is_train"))
     k = int(np.searchsorted(np.cumsum(full.explainedVariance.toArray()), share) + 1)
     k = min(k, width)
@@ -37,29 +46,48 @@ def forest_search(df: DataFrame, trials: int = 5, seed: int = 42, label: str = "
     train = df.where("is_train")
     edge = train.approxQuantile("__order", [0.8], 0.001)[0] if "__order" in df.columns else None
     fit_on, check = (train.where(F.col("__order") <= edge), train.where(F.col("__order") > edge)) if edge is not None else train.randomSplit([0.8, 0.2], seed)
-    best = (-1.0, None, {})
-    for _ in range(trials):
-        setting = {"numTrees": rng.choice([20, 50, 100]), "maxDepth": rng.randint(3, 10), "minInstancesPerNode": rng.randint(1, 10), "featureSubsetStrategy": rng.choice(["sqrt", "log2", "onethird"])}
+    settings = [{"numTrees": rng.choice([20, 50, 100]), "maxDepth": rng.randint(3, 10), "minInstancesPerNode": rng.randint(1, 10), "featureSubsetStrategy": rng.choice(["sqrt", "log2", "onethird"])} for _ in range(trials)]
+    fit_on, check = fit_on.cache(), check.cache()
+
+    def tried(setting: dict) -> tuple[float, RandomForestClassifier]:
         forest = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed, **setting)
-        got = forest.fit(fit_on).transform(check).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0] or 0.0
-        if got > best[0]:
-            best = (got, forest, setting)
-    return best[1], best[2]
+        got = forest.fit(fit_on).transform(check).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+        return got or 0.0, forest
+
+    with ThreadPool(AT_ONCE) as pool:
+        got = pool.map(tried, settings)
+    fit_on.unpersist()
+    check.unpersist()
+    best = max(range(trials), key=lambda k: got[k][0])  # the first of equals
+    return got[best][1], settings[best]
 
 
 def spread_over_seeds(df: DataFrame, samples: int = 5, label: str = "target", hidden: int = 8) -> DataFrame:
     """Mean and spread of the probability of class 1 over networks of different seeds, with the prediction and its confidence."""
     train = df.where("is_train")
-    width = len(train.select("features").first()[0])
-    parts = None
-    for seed in range(samples):
-        net = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="__x", withMean=True), MultilayerPerceptronClassifier(layers=[width, hidden, 2], featuresCol="__x", labelCol=label, seed=seed, maxIter=50)]).fit(train)
-        one = net.transform(df.where("not is_train")).select("symbol", "ts", label, vector_to_array("probability")[1].alias("p"))
-        parts = one if parts is None else parts.union(one)
+    width = _width(df, "features")
+    scaler = StandardScaler(inputCol="features", outputCol="__x", withMean=True).fit(train)
+    known = scaler.transform(train).select("__x", label).cache()
+    asked = scaler.transform(df.where("not is_train")).select("symbol", "ts", label, "__x")
+    net = lambda seed: MultilayerPerceptronClassifier(layers=[width, hidden, 2], featuresCol="__x", labelCol=label, seed=seed, maxIter=50, tol=1e-3).fit(known)
+    with ThreadPool(AT_ONCE) as pool:
+        nets = pool.map(net, range(samples))
+    known.unpersist()
+    # Each network adds a column; one row then holds all its probabilities.
+    for seed, fitted in enumerate(nets):
+        asked = fitted.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"__p{seed}").transform(asked)
+    parts = asked.select("symbol", "ts", label, F.explode(F.array(*[vector_to_array(f"__p{seed}")[1] for seed in range(samples)])).alias("p"))
     out = parts.groupBy("symbol", "ts", label).agg(F.avg("p").alias("probability"), F.stddev_pop("p").alias("uncertainty"))
     return out.withColumns({"prediction": (F.col("probability") > 0.5).cast("int"), "confidence": F.greatest(F.col("probability"), 1 - F.col("probability"))})
 
 
+def next_bar(df: DataFrame, samples: int = 100, label: str = "target") -> DataFrame:
+    """For the last row of each symbol: class, probability, uncertainty and confidence of the next bar, from networks fitted on the training rows."""
+    last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts"))) == 1
+    marked = df.withColumn("__last", last).where("is_train or __last")
+    return spread_over_seeds(marked.withColumn("is_train", F.col("is_train") & ~F.col("__last")), samples, label)
+
+
 def confusion(predicted: DataFrame, label: str = "target") -> DataFrame:
     return predicted.groupBy(F.col(label).cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("n"))
 
@@ -78,8 +106,6 @@ def walk_forward(samples: DataFrame, train: int = 20, step: int = 5) -> DataFram
 
     Folds are independent: each row is sent to the folds it belongs to, and a fold is a group of ``train`` + 1 rows.
     """
-    from pyspark.sql import Window
-
     rows = samples.withColumn("__rn", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
     first = F.greatest(F.ceil((F.col("__rn") - train) / step), F.lit(0))
     folds = rows.withColumn("fold", F.explode(F.sequence(first, F.floor(F.col("__rn") / step))))

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import by_time, lag, pct, place, sd
+from barloom.functions.windows import lag, pct, sd
 
 
 def hurst(df: DataFrame, longest: int = 100, price: str = "close") -> DataFrame:
     """One row a symbol: the slope of ln(spread of the change over a lag) on ln(lag), for lags 2 .. longest-1, and the regime.
 
-    The changes of a row are exploded by lag, so that each (symbol, lag) is a plain aggregation.
+    All changes of a row are columns of one window, and their spreads one aggregation.
     """
-    w = by_time().rowsBetween(-(longest - 1), 0)
-    d = df.withColumn("__in", F.collect_list(price).over(w)).select("symbol", F.reverse("__in").alias("__in"))
-    moves = d.select("symbol", F.posexplode("__in").alias("lag", "then"), F.element_at("__in", 1).alias("now")).where(f"lag between 2 and {longest - 1}")
-    spread = moves.groupBy("symbol", "lag").agg(F.stddev_pop(F.col("now") - F.col("then")).alias("s")).where("s > 0")
-    out = spread.groupBy("symbol").agg(F.regr_slope(F.ln("s"), F.ln(F.col("lag").cast("double"))).alias("hurst"))
+    lags = range(2, longest)
+    d = df.select("symbol", *[(F.col(price) - lag(price, k)).alias(f"d{k}") for k in lags])
+    wide = d.groupBy("symbol").agg(*[F.stddev_pop(f"d{k}").alias(f"d{k}") for k in lags])
+    spread = wide.select("symbol", F.explode(F.array(*[F.struct(F.lit(float(k)).alias("lag"), F.col(f"d{k}").alias("s")) for k in lags])).alias("x")).select("symbol", "x.lag", "x.s").where("s > 0")
+    out = spread.groupBy("symbol").agg(F.regr_slope(F.ln("s"), F.ln("lag")).alias("hurst"))
     return out.withColumn("regime", F.when(F.col("hurst") < 0.5, "mean reverting").when(F.col("hurst") > 0.5, "trending").otherwise("random"))
 
 
@@ -48,8 +48,12 @@ def inverse_volatility(stocks: DataFrame, market: DataFrame) -> DataFrame:
     both = both.withColumns({"r": pct("close"), "m": pct("__m")}).where(F.col("r").isNotNull() & F.col("m").isNotNull())
     stats = both.groupBy("symbol").agg(F.stddev_samp("r").alias("volatility"), (F.covar_samp("r", "m") / F.var_samp("m")).alias("beta"))
     inverse = sd(F.lit(1.0), "volatility")
-    total = stats.agg(F.sum(inverse).alias("total"))
-    return stats.crossJoin(F.broadcast(total)).select("symbol", "volatility", "beta", (inverse / F.col("total")).alias("weight"))  # one row
+    return stats.select("symbol", "volatility", "beta", (inverse / F.sum(inverse).over(Window.partitionBy())).alias("weight"))  # one row a symbol
+
+
+def heaviest(weights: DataFrame, n: int = 10, column: str = "weight") -> DataFrame:
+    """The ``n`` rows with the largest weights, whatever their sign; ties by symbol."""
+    return weights.orderBy(F.desc(F.abs(column)), "symbol").limit(n)
 
 
 def signal_counts(df: DataFrame) -> DataFrame:

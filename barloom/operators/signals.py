@@ -43,3 +43,10 @@ def latest(df: DataFrame) -> DataFrame:
     """The last row of each symbol, with the side that its signal asks for."""
     last = df.withColumn("__k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where("__k = 1").drop("__k")
     return last.withColumn("action", F.when(F.col("signal") == 1, "BUY").when(F.col("signal") == -1, "SELL"))
+
+
+def confirmed(bars: DataFrame, predicted: DataFrame, n: int = 50, least: float = 0.6) -> DataFrame:
+    """``signal`` where a prediction (symbol, ts, prediction, confidence) is surer than ``least`` and the close is on its side of the exponential mean of ``n``."""
+    d = trend.ema(bars, n).join(predicted.select("symbol", "ts", "prediction", "confidence"), ["symbol", "ts"])
+    sure = F.col("confidence") > least
+    return d.withColumn("signal", _side(sure & (F.col("prediction") == 1) & (F.col("close") > F.col("ema")), sure & (F.col("prediction") == 0) & (F.col("close") < F.col("ema"))))

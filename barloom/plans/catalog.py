@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.windows import diff as _diff
 from barloom.operators import backtest, candles, extra, features, labels, learning, levels, momentum, patterns, portfolio, signals, trend, volatility, volume
-from barloom.plans.oracle import BARS, CUM, DOWN, HL2, RN, TP, TR, UP, D, E, EG, L, O, R, W, rsi, sql
+from barloom.plans.oracle import BARS, CUM, DOWN, HL2, RN, TP, TR, UP, D, E, EG, L, O, R, W, listed, num, rsi, sql, steps, traded
 from barloom.sources import bars as sources
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +49,15 @@ add("tr4_t3ribbon", "by_type", lambda d: trend.t3ribbon(d, (8, 13)), "t3_8 t3_13
 add("tr5_trend_lines", "by_type", trend.trend_lines, "support resistance trend", [RN, {"support": R("min", "close", 14), "resistance": R("max", "close", 14), "trend": f"CASE WHEN rn >= 14 THEN {O('regr_slope', 'close, rn', -14, -1)} END"}])
 add("tr6_macd", "by_type", trend.macd, "macd macd_signal macd_hist", [{"macd": f"{E('close', 12)} - {E('close', 26)}"}, {"macd_signal": E("macd", 9)}, {"macd_hist": "macd - macd_signal"}])
 add("tr7_adx", "by_type", trend.adx, "adx plus_di minus_di", [{"tr": TR, "up": f"high - {L('high')}", "dn": f"{L('low')} - low"}, {"p": "CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END"}, {"m": "CASE WHEN dn > p AND dn > 0 THEN dn ELSE 0 END"}, {"a": E("tr", 14)}, {"plus_di": D(f"100 * {E('p', 14)}", "a"), "minus_di": D(f"100 * {E('m', 14)}", "a")}, {"dx": D("100 * abs(plus_di - minus_di)", "plus_di + minus_di")}, {"adx": EG("dx", 14)}])
-add("tr8_parabolic_sar", "by_type", trend.parabolic_sar, "psar", None)
+_to = f"(p.psar + p.af * (p.ep - p.psar))"
+_rev = f"(p.up AND r.low < {_to} OR NOT p.up AND r.high > {_to})"
+_sar = steps("by_type", [{"h1": L("high"), "h2": L("high", 2), "l1": L("low"), "l2": L("low", 2)}], {"psar": "CAST(low AS DOUBLE)", "ep": "CAST(high AS DOUBLE)", "af": num(0.02), "up": "true"}, {
+    "psar": f"CASE WHEN {_rev} THEN p.ep WHEN p.up THEN least({_to}, r.l1, r.l2) ELSE greatest({_to}, r.h1, r.h2) END",
+    "ep": f"CASE WHEN {_rev} THEN CASE WHEN p.up THEN r.low ELSE r.high END WHEN p.up THEN greatest(p.ep, r.high) ELSE least(p.ep, r.low) END",
+    "af": f"CASE WHEN {_rev} THEN {num(0.02)} WHEN p.up AND r.high > p.ep OR NOT p.up AND r.low < p.ep THEN least(p.af + {num(0.02)}, {num(0.2)}) ELSE p.af END",
+    "up": f"p.up <> {_rev}",
+})
+add("tr8_parabolic_sar", "by_type", trend.parabolic_sar, "psar", None, f"{_sar} SELECT symbol, ts, {listed({'psar': 'num'})} FROM s")
 _mid = lambda n: f"({R('max', 'high', n)} + {R('min', 'low', n)}) / 2"
 add("tr9_ichimoku", "by_type", trend.ichimoku, "tenkan kijun span_a span_b chikou", [{"tenkan": _mid(9), "kijun": _mid(26), "sb": _mid(52)}, {"span_a": f"({L('tenkan', 26)} + {L('kijun', 26)}) / 2", "span_b": L("sb", 26), "chikou": L("close", -26)}])
 _wma = lambda x, n: f"(({R('sum', f'rn * {x}', n)} - (rn - {n}) * {R('sum', x, n)}) / {n * (n + 1) / 2})"
@@ -124,15 +133,28 @@ add("vl14_directional_volatility", "by_type", volatility.directional_volatility,
 
 
 # ---- extra ----
-add("ex1_supertrend", "by_type", extra.supertrend, "supertrend supertrend_direction", None)
+_top = "CASE WHEN r.rn < 10 THEN 0 WHEN r.c1 <= p.top OR r.u < r.u1 THEN least(r.u, p.top) ELSE r.u END"
+_bottom = "CASE WHEN r.rn < 10 THEN 0 WHEN r.c1 >= p.bottom OR r.w > r.w1 THEN greatest(r.w, p.bottom) ELSE r.w END"
+_zero = num(0.0)
+_super = steps("by_type", [{"tr": TR, "c1": L("close")}, {"a": R("avg", "tr", 10)}, {"u": f"{HL2} + 3 * a", "w": f"{HL2} - 3 * a"}, {"u1": L("u"), "w1": L("w")}], {"top": _zero, "bottom": _zero, "supertrend": _zero, "supertrend_direction": "0"}, {
+    "top": _top, "bottom": _bottom,
+    "supertrend": f"CASE WHEN r.rn < 10 THEN 0 WHEN r.close <= {_top} THEN {_top} ELSE {_bottom} END", "supertrend_direction": f"CASE WHEN r.rn < 10 THEN 0 WHEN r.close <= {_top} THEN -1 ELSE 1 END",
+})
+add("ex1_supertrend", "by_type", extra.supertrend, "supertrend supertrend_direction", None, f"{_super} SELECT symbol, ts, {listed({'supertrend': 'num', 'supertrend_direction': 'num'})} FROM s")
 add("ex2_vervoort_tsi", "by_type", extra.vervoort_tsi, "tsi tsi_signal tsi_hist", [{"d": f"close - {L('close')}"}, {"ad": "abs(d)"}, {"e1": E("d", 25), "f1": E("ad", 25)}, {"tsi": D(f"100 * {E('e1', 13)}", E("f1", 13))}, {"tsi_signal": E("tsi", 7)}, {"tsi_hist": "tsi - tsi_signal"}])
-add("ex3_frama", "by_type", extra.frama, "frama", None)
+_wide = lambda a, b, k: f"({O('max', 'close', a, b)} - {O('min', 'close', a, b)}) / {k}"
+_mean_of = lambda first, at, w: {"y": f"CASE WHEN r.rn = {at} THEN {first} WHEN r.rn > {at} THEN {w} * r.close + (1 - {w}) * p.y END"}
+_no = {"y": "CAST(NULL AS DOUBLE)"}
+_frama = steps("by_type", [{"n1": _wide(-16, -9, 8), "n2": _wide(-8, -1, 8), "n3": _wide(-16, -1, 16), "m": O("avg", "close", -15, 0)}, {"dim": f"CASE WHEN n1 + n2 > 0 THEN CASE WHEN n3 > 0 THEN log2((n1 + n2) / n3) ELSE 2 END ELSE 1 END"}, {"w": f"2 / (exp({num(-4.6)} * (least(greatest(dim, 1), 2) - 1)) * -199 + 201)"}], _no, _mean_of("r.m", 15, "r.w"))
+add("ex3_frama", "by_type", extra.frama, "frama", None, f"{_frama} SELECT symbol, ts, round(y, 6) + 0.0 AS frama FROM s")
 _reg = lambda f: f"CASE WHEN {O('count', 'close', -19, 0)} = 20 THEN {O(f, 'close, rn', -19, 0)} END"
 add("ex4_regression_channel", "by_type", extra.regression_channel, "reg_slope reg_intercept reg_r2 reg_line reg_upper reg_lower", [RN, {"reg_slope": _reg("regr_slope"), "i": _reg("regr_intercept"), "reg_r2": _reg("regr_r2"), "syy": _reg("regr_syy"), "sxy": _reg("regr_sxy")}, {"reg_intercept": "i + reg_slope * (rn - 19)", "reg_line": "i + reg_slope * rn", "e": "2 * sqrt(greatest(syy - reg_slope * sxy, 0) / 18)"}, {"reg_upper": "reg_line + e", "reg_lower": "reg_line - e"}])
-add("ex5_vidya", "by_type", extra.vidya, "vidya", None)
+_vidya = steps("by_type", [{"d": f"close - {L('close')}"}, {"g": R("sum", "CASE WHEN d >= 0 THEN d ELSE 0 END", 9), "l": R("sum", "CASE WHEN d < 0 THEN -d ELSE 0 END", 9)}, {"w": f"{num(2 / 27)} * coalesce(abs({D('g - l', 'g + l')}), 0)"}], _no, _mean_of("r.close", 9, "r.w"))
+add("ex5_vidya", "by_type", extra.vidya, "vidya", None, f"{_vidya} SELECT symbol, ts, round(y, 6) + 0.0 AS vidya FROM s")
 add("ex6_instantaneous_trendline", "by_type", extra.instantaneous_trendline, "it", [{"it": f"list_reduce(list(close) OVER ({W} ROWS UNBOUNDED PRECEDING), lambda p, q: CASE WHEN q > p THEN 0.07::DOUBLE * q + 0.93::DOUBLE * p ELSE 0.14::DOUBLE * q + 0.86::DOUBLE * p END)"}])
 add("ex7_zlsma", "by_type", extra.zlsma, "zlsma", [{"x": f"2 * close - {L('close', 24)}"}, {"zlsma": E("x", 50)}])
-add("ex8_mcginley_dynamic", "by_type", extra.mcginley_dynamic, "mcginley", None)
+_mcg = steps("by_type", [{"m": O("avg", "close", -13, 0)}], _no, {"y": f"CASE WHEN r.rn = 13 THEN r.m WHEN r.rn > 13 THEN p.y + (r.close - p.y) / ({num(0.6 * 14)} * pow(r.close / p.y, 4)) END"})
+add("ex8_mcginley_dynamic", "by_type", extra.mcginley_dynamic, "mcginley", None, f"{_mcg} SELECT symbol, ts, CASE WHEN isfinite(y) THEN round(y, 6) + 0.0 END AS mcginley FROM s")
 add("ex9_ib_boxes", "by_type", extra.ib_boxes, "inside_bar:int ib_high ib_low ib_breakout:int ib_high_line ib_low_line", [{"inside_bar": f"CASE WHEN high <= {L('high')} AND low >= {L('low')} THEN 1 ELSE 0 END"}, {"ib_high": f"CASE WHEN inside_bar = 1 THEN {L('high')} END", "ib_low": f"CASE WHEN inside_bar = 1 THEN {L('low')} END"}, {"ib_breakout": f"CASE WHEN close > {L('ib_high')} THEN 1 WHEN close < {L('ib_low')} THEN -1 ELSE 0 END"}, {"g": f"sum(CASE WHEN ib_breakout <> 0 AND inside_bar = 0 THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING)"}, {"ib_high_line": "first_value(ib_high IGNORE NULLS) OVER (PARTITION BY symbol, g ORDER BY ts ROWS UNBOUNDED PRECEDING)", "ib_low_line": "first_value(ib_low IGNORE NULLS) OVER (PARTITION BY symbol, g ORDER BY ts ROWS UNBOUNDED PRECEDING)"}])
 
 # ---- levels ----
@@ -162,7 +184,9 @@ def _blocks() -> str:
 
 
 add("sr3_order_blocks", "by_type", levels.order_blocks, "bullish_ob_top bullish_ob_bottom bearish_ob_top bearish_ob_bottom", None, _blocks())
-add("sr4_zigzag", "by_type", levels.zigzag, "zigzag", None)
+_far = "abs(CASE WHEN p.anchor <> 0 THEN (r.close / p.anchor - 1) * 100 ELSE 0 END) > 5"
+_zig = steps("by_type", [], {"anchor": "CAST(close AS DOUBLE)", "zigzag": "CAST(close AS DOUBLE)"}, {"anchor": f"CASE WHEN {_far} THEN r.close ELSE p.anchor END", "zigzag": f"CASE WHEN {_far} THEN r.close END"})
+add("sr4_zigzag", "by_type", levels.zigzag, "zigzag", None, f"{_zig} SELECT symbol, ts, {listed({'zigzag': 'num'})} FROM s")
 add("sr5_mean_reversion_channel", "by_type", levels.mean_reversion_channel, "ma std upper_band lower_band support_zone resistance_zone", [{"ma": R("avg", "close", 20), "std": R("stddev_samp", "close", 20)}, {"upper_band": "ma + 2 * std", "lower_band": "ma - 2 * std"}, {"support_zone": f"CASE WHEN close < lower_band AND {L('close')} >= {L('lower_band')} THEN lower_band END", "resistance_zone": f"CASE WHEN close > upper_band AND {L('close')} <= {L('upper_band')} THEN upper_band END"}])
 
 # ---- candles: o1 is the open one bar back, and so on ----
@@ -223,8 +247,34 @@ add("lb3_next_sign", "by_type", labels.next_sign, "target", [{"p": f"sign({D('cl
 add("ml1_standardised", "by_type", lambda d: labels.standardised(labels.split_by_time(d), ["close", "volume"]), "close volume is_train:bool", [{**RN, "n": "count(*) OVER (PARTITION BY symbol)"}, {"is_train": "rn < floor(n * 0.8)"}, {f"{x}_{f}": f"{g}(CASE WHEN is_train THEN {x} END) OVER (PARTITION BY symbol)" for x in ("close", "volume") for f, g in (("m", "avg"), ("s", "stddev_pop"))}, {x: f"coalesce({D(f'{x} - {x}_m', f'{x}_s')}, 0)" for x in ("close", "volume")}])
 add("rg3_distribution_days", "by_type", portfolio.distribution_days, "close volume distribution_day:bool", [{"distribution_day": f"coalesce(close < {L('close')} AND volume > {L('volume')} AND 100 * ({L('close')} - close) / nullif({L('close')}, 0) > 0.2, false)"}])
 add("pf1_returns", "by_type", portfolio.returns, "ret", None, sql("by_type", {"ret": "num"}, [{"ret": f"{D('close', L('close'))} - 1"}], "WHERE ret IS NOT NULL"))
-for _n, _f in (("sg1_macd_uo_tsv", signals.macd_uo_tsv), ("sg2_harris_t3", signals.harris_t3), ("sg3_mfi_turn", signals.mfi_turn)):
-    add(_n, "by_type", _f, "signal:int", None)
+# Averaged bars in place of the plain ones, and the indicators over them.
+_even = lambda x: f"round_even({x} * 100, 0) / 100"
+_HA = [{"hc": "(open + high + low + close) / 4"}, {"hx": f"coalesce({L('hc')}, (open + close) / 2)"}, {"ho": E("hx", 3)}, {"hh": "greatest(high, ho, hc)", "hl": "least(low, ho, hc)"}, {"open": _even("ho"), "close": _even("hc"), "high": _even("hh"), "low": _even("hl")}]
+_MACD = [{"macd": f"{E('close', 12)} - {E('close', 26)}"}, {"macd_signal": E("macd", 9)}]
+_UO = [{"bp": f"close - least(low, {L('close')})", "tr": TR}, {"uo": f"100 * (4 * {_uo(7)} + 2 * {_uo(14)} + {_uo(28)}) / 7"}]
+_TSV = [{"x": f"(close - {L('close')}) * volume"}, {"tsv": R("sum", "x", 13)}]
+_MFI10 = [{"tp": TP}, {"d": f"tp - {L('tp')}"}, {"p": "CASE WHEN d > 0 THEN tp * volume ELSE 0 END", "n": "CASE WHEN d < 0 THEN tp * volume ELSE 0 END"}, {"ps": R("sum", "p", 10), "ns": R("sum", "n", 10)}, {"mfi": "100 - 100 / (1 + CASE WHEN ns = 0 THEN 100 ELSE ps / ns END)"}]
+_T3 = [*_t3(8), {"t3_8": _mix}, *_t3(13), {"t3_13": _mix}]
+_HARRIS = [_back, {"harris_signal": "CASE WHEN high > h1 AND h1 > low AND low > h2 AND h2 > l1 AND l1 > h3 AND h3 > l2 AND l2 > l3 THEN 1 WHEN high < h1 AND h1 < low AND low < h2 AND h2 < l1 AND l1 < h3 AND h3 < l2 AND l2 < l3 THEN -1 ELSE 0 END"}]
+_CCI = [{"tp": TP}, {"ma": R("avg", "tp", 20), "l": O("list", "tp", -19, 0)}, {"cci": D("tp - ma", "0.015 * list_sum(list_transform(l, lambda v: abs(v - ma))) / 20")}]
+_SG1 = [*_HA, *_MACD, *_UO, *_TSV, {"signal": "CASE WHEN macd > macd_signal AND uo > 70 AND tsv > 0 THEN 1 WHEN macd < macd_signal AND uo < 30 AND tsv < 0 THEN -1 ELSE 0 END"}]
+_SG2 = [*_HA, *_T3, *_HARRIS, {"a8": L("t3_8"), "a13": L("t3_13")}, {"signal": "CASE WHEN harris_signal = 1 AND (t3_8 >= a8 OR t3_13 >= a13) THEN 1 WHEN harris_signal = -1 AND (t3_8 <= a8 OR t3_13 <= a13) THEN -1 ELSE 0 END"}]
+_turn = {"m1": L("mfi"), "m2": L("mfi", 2), "c1": L("close"), "c2": L("close", 2)}
+_SG3 = [*_HA, *_MFI10, _turn, {"signal": "CASE WHEN mfi <= 40 AND mfi > m1 AND m1 > m2 AND close < c1 AND c1 < c2 THEN 1 WHEN mfi >= 60 AND mfi < m1 AND m1 < m2 AND close > c1 AND c1 > c2 THEN -1 ELSE 0 END"}]
+for _n, _f, _s in (("sg1_macd_uo_tsv", signals.macd_uo_tsv, _SG1), ("sg2_harris_t3", signals.harris_t3, _SG2), ("sg3_mfi_turn", signals.mfi_turn, _SG3)):
+    add(_n, "by_type", _f, "signal:int", _s)
+_sure = [*rsi("close", 14, "rsi"), {"e50": E("close", 50), "prediction": "CASE WHEN rsi > 50 THEN 1 ELSE 0 END", "confidence": "greatest(rsi, 100 - rsi) / 100"}, {"signal": "CASE WHEN confidence > 0.6 AND prediction = 1 AND close > e50 THEN 1 WHEN confidence > 0.6 AND prediction = 0 AND close < e50 THEN -1 ELSE 0 END"}]
+
+
+def _confirmed(df: DataFrame) -> DataFrame:
+    r = momentum.rsi(df)
+    return signals.confirmed(df, r.select("symbol", "ts", F.coalesce((F.col("rsi") > 50).cast("int"), F.lit(0)).alias("prediction"), (F.greatest(F.col("rsi"), 100 - F.col("rsi")) / 100).alias("confidence")))
+
+
+add("sg5_confirmed", "by_type", _confirmed, "signal:int", _sure)
+add("rel2_traded", "by_type", sources.traded, "close volume", None, sql("by_type", {"close": "num", "volume": "num"}, [], "WHERE volume <> 0"))
+_factors = {c: k for c, k in zip("canslim", (1, 2, 3, 5, 8, 13, 21))}
+add("rg4_canslim", "by_type", lambda d: portfolio.canslim(d.withColumns({c: F.coalesce(F.signum(_diff("close", k)), F.lit(0.0)) for c, k in _factors.items()}), tuple(_factors)).withColumn("canslim_words", F.col("canslim")), "canslim_score canslim_words:bool", [{f"x{k}": f"coalesce(sign(close - {L('close', k)}), 0)" for k in _factors.values()}, {"canslim_score": "(" + " + ".join(f"x{k}" for k in _factors.values()) + ") / 7.0"}, {"canslim_words": "CASE WHEN canslim_score >= 0.7 THEN 'Strong Bullish' WHEN canslim_score >= 0.3 THEN 'Bullish' WHEN canslim_score <= -0.7 THEN 'Strong Bearish' WHEN canslim_score <= -0.3 THEN 'Bearish' ELSE 'Neutral' END"}])
 
 
 def _plain(name: str, fn: Callable[[SparkSession, str], DataFrame], text: str | None = None) -> None:
@@ -258,19 +308,69 @@ _plain(
     t AS (SELECT symbol, stddev_samp(r) AS v, covar_samp(r, m) / var_samp(m) AS beta FROM r WHERE r IS NOT NULL AND m IS NOT NULL GROUP BY 1)
     SELECT symbol, round(v, 6) AS volatility, round(beta, 6) AS beta, round((1 / v) / sum(1 / v) OVER (), 6) AS weight FROM t""",
 )
-_plain("bt_trades", lambda s, d: _rounded(_traded(s, d)))
-_plain("bt_metrics", lambda s, d: _rounded(backtest.metrics(backtest.equity(_traded(s, d)))))
-_plain("sg4_latest", lambda s, d: signals.latest(signals.mfi_turn(sources.by_type(s, d))).select("symbol", "ts", "signal", "action"))
+_last = "r.rn = r.n_rows - 1"
+_plan = lambda take, stop, opposite: f"CASE WHEN p.side = 0 THEN NULL WHEN p.side > 0 AND r.low <= p.entry * (1 - {num(stop)}) OR p.side < 0 AND r.high >= p.entry * (1 + {num(stop)}) THEN p.entry * (1 - p.side * {num(stop)}) WHEN p.side > 0 AND r.high >= p.entry * (1 + {num(take)}) OR p.side < 0 AND r.low <= p.entry * (1 - {num(take)}) THEN p.entry * (1 + p.side * {num(take)}) WHEN {'r.signal = -p.side OR ' if opposite else ''}{_last} THEN r.close END"
+_opens = f"CASE WHEN (p.side = 0 OR OUT_ IS NOT NULL) AND NOT ({_last}) THEN r.signal ELSE 0 END"
+_TURNS = traded("hourly", _SG3, _plan(0.02, 0.02, True), _opens, {}, 0.0007)
+_TRADE = "symbol, side, entry_ts, exit_ts, round(entry, 6) AS entry, round(exit, 6) AS exit, bars, round(ret, 6) AS ret"
+_plain("bt_trades", lambda s, d: _rounded(_traded(s, d)), f"{_TURNS} SELECT {_TRADE} FROM t")
+_plain(
+    "bt_metrics",
+    lambda s, d: _rounded(backtest.metrics(backtest.equity(_traded(s, d)))),
+    f"""{_TURNS}, e AS (SELECT *, 100000 * exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol ORDER BY exit_ts, entry_ts ROWS UNBOUNDED PRECEDING)) AS equity FROM t),
+    f AS (SELECT *, equity / greatest(max(equity) OVER (PARTITION BY symbol ORDER BY exit_ts, entry_ts ROWS UNBOUNDED PRECEDING), 100000) - 1 AS drawdown FROM e)
+    SELECT symbol, round(arg_max(equity, exit_ts) / 100000 - 1, 6) AS total_return, count(*) AS n_trades, round(count(*) FILTER (ret > 0) / count(*), 6) AS win_rate, round(avg(ret) FILTER (ret > 0), 6) AS avg_win,
+    round(avg(ret) FILTER (ret <= 0), 6) AS avg_loss, round(sum(ret) FILTER (ret > 0) / nullif(abs(sum(ret) FILTER (ret <= 0)), 0), 6) AS profit_factor, round(min(drawdown), 6) AS max_drawdown, round(avg(bars), 6) AS avg_bars FROM f GROUP BY symbol""",
+)
+_ranges = [*_MFI10, *_MACD, {"tr": TR}, {"atr": R("avg", "tr", 14), **_turn}, {"signal": "CASE WHEN mfi <= 40 AND mfi >= m1 AND m1 >= m2 AND close <= c1 AND c1 <= c2 THEN 1 WHEN mfi >= 60 AND mfi <= m1 AND m1 <= m2 AND close >= c1 AND c1 >= c2 THEN -1 ELSE 0 END"}]
+_ends = f"CASE WHEN p.side <> 0 AND (p.side * (r.close - p.entry) >= 3 * p.atr0 OR p.side * (r.close - p.entry) <= -2 * p.atr0 OR p.side * (r.macd - r.macd_signal) < 0 OR {_last}) THEN r.close END"
+_quiet = f"CASE WHEN p.side = 0 AND NOT ({_last}) AND r.atr IS NOT NULL THEN r.signal ELSE 0 END"
+_RANGES = traded("daily_orders", _ranges, _ends, _quiet, {"atr0": "r.atr"}, 0.0)
+_plain("bt1_range_trades", lambda s, d: _rounded(backtest.range_trades(sources.daily_orders(s, d))), f"{_RANGES} SELECT {_TRADE} FROM t")
+_three = [*_T3, {"h1": L("high"), "h2": L("high", 2), "l1": L("low"), "a8": f"t3_8 - {L('t3_8')}", "a13": f"t3_13 - {L('t3_13')}", "place": RN["rn"]}, {"signal": "CASE WHEN place < 3 THEN 0 WHEN high > h1 AND low > h2 AND h2 > l1 AND (a8 > 0 OR a13 > 0) THEN 1 WHEN high < h1 AND low < h2 AND h2 < l1 AND (a8 < 0 OR a13 < 0) THEN -1 ELSE 0 END"}]
+_THREE = traded("by_type", _three, _plan(0.005, 0.003, False), _opens, {}, 0.0)
+_plain("bt2_three_bar_trades", lambda s, d: _rounded(backtest.three_bar_trades(sources.by_type(s, d))), f"{_THREE} SELECT {_TRADE} FROM t")
+_past = f"OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_ACCOUNT = f"""{_RANGES}, j AS (SELECT b.symbol, b.ts, b.close, i.side AS i, o.exit AS o FROM {f"({BARS['daily_orders']})"} b LEFT JOIN t i ON i.symbol = b.symbol AND i.entry_ts = b.ts LEFT JOIN t o ON o.symbol = b.symbol AND o.exit_ts = b.ts),
+    k AS (SELECT *, coalesce(CASE WHEN count(i) {_past} > count(o) {_past} THEN last_value(i IGNORE NULLS) {_past} * (coalesce(o, close) / nullif({L('close')}, 0) - 1) END, 0) - CASE WHEN i IS NULL THEN 0 ELSE 0.0007 END - CASE WHEN o IS NULL THEN 0 ELSE 0.0007 END AS bar_return FROM j),
+    e AS (SELECT *, 100000 * exp(sum(ln(greatest(1 + bar_return, 1e-12))) OVER ({W} ROWS UNBOUNDED PRECEDING)) AS equity FROM k), f AS (SELECT *, equity / greatest(max(equity) OVER ({W} ROWS UNBOUNDED PRECEDING), 100000) - 1 AS drawdown FROM e)"""
+_plain("bt4_account", lambda s, d: _rounded(backtest.account(b := sources.daily_orders(s, d), backtest.range_trades(b), cost=0.0007)), f"{_ACCOUNT} SELECT symbol, ts, round(bar_return, 6) + 0.0 AS bar_return, round(equity, 6) AS equity, round(drawdown, 6) + 0.0 AS drawdown FROM f")
+_plain(
+    "bt4_performance",
+    lambda s, d: _rounded(backtest.performance(b := sources.daily_orders(s, d), backtest.range_trades(b), cost=0.0007)),
+    f"""{_ACCOUNT}, g AS (SELECT symbol, arg_max(equity, ts) AS final_value, count(*) AS n, stddev_samp(bar_return) * sqrt(252) AS annual_volatility, min(drawdown) AS max_drawdown FROM f GROUP BY 1),
+    h AS (SELECT *, final_value / 100000 - 1 AS total_return, pow(final_value / 100000, 252.0 / n) - 1 AS annual_return FROM g),
+    u AS (SELECT symbol, count(*) AS n_trades, count(*) FILTER (ret > 0) / count(*) AS win_rate, avg(ret) FILTER (ret > 0) AS avg_win, avg(ret) FILTER (ret <= 0) AS avg_loss, sum(ret) FILTER (ret > 0) / nullif(abs(sum(ret) FILTER (ret <= 0)), 0) AS profit_factor, avg(epoch(exit_ts) - epoch(entry_ts)) / 86400 AS days_held FROM t GROUP BY 1)
+    SELECT symbol, round(final_value, 6) AS final_value, round(annual_volatility, 6) AS annual_volatility, round(max_drawdown, 6) AS max_drawdown, round(total_return, 6) AS total_return, round(annual_return, 6) AS annual_return, round(annual_return / nullif(annual_volatility, 0), 6) AS sharpe,
+    coalesce(n_trades, 0) AS n_trades, round(win_rate, 6) AS win_rate, round(avg_win, 6) AS avg_win, round(avg_loss, 6) AS avg_loss, round(profit_factor, 6) AS profit_factor, round(days_held, 6) AS days_held FROM h LEFT JOIN u USING (symbol)""",
+)
+_plain("sg4_latest", lambda s, d: signals.latest(signals.mfi_turn(sources.by_type(s, d))).select("symbol", "ts", "signal", "action"), f"WITH z AS ({sql('by_type', {'signal': 'int'}, _SG3)}) SELECT symbol, ts, signal, CASE signal WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' END AS action FROM z QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1")
+_plain("rel13_signal_counts", lambda s, d: portfolio.signal_counts(signals.mfi_turn(sources.by_type(s, d))), f"WITH z AS ({sql('by_type', {'signal': 'int'}, _SG3)}) SELECT signal, count(*) AS n FROM z GROUP BY 1")
+_plain("rel10_heaviest", lambda s, d: _rounded(portfolio.heaviest(portfolio.inverse_volatility(sources.daily_orders(s, d), sources.market(s, d)), 3)), f"WITH z AS ({_ORACLE['pf3_inverse_volatility']}) SELECT * FROM z ORDER BY abs(weight) DESC, symbol LIMIT 3")
+_slow_features = [*rsi("close", 14, "rsi"), {"ema_200": E("close", 200), "future_return": f"{D(L('close', -5), 'close')} - 1"}, {"target": "CASE WHEN future_return > 0 THEN 1 ELSE 0 END"}]
+add("bt3_slow_mean_and_rsi", "daily_orders", features.slow_mean_and_rsi, "ema_200 rsi future_return target:int", _slow_features)
+_plain(
+    "sq2_sequences_before",
+    lambda s, d: labels.windows_before(labels.three_way(sources.by_type(s, d)), 10).select("symbol", "ts", *[F.round(F.get("sequence", k), 6).alias(f"v{k}") for k in range(10)], F.col("label").cast("int").alias("label")),
+    sql("by_type", {**{f"v{k}": "num" for k in range(10)}, "label": "int"}, [{"m": f"{D(L('close', -5), 'close')} - 1", "n": O("count", "close", -10, -1), **{f"v{k}": L("close", 10 - k) for k in range(10)}}, {"label": "CASE WHEN m > 0.002 THEN 2 WHEN m < -0.002 THEN 1 ELSE 0 END"}], "WHERE n = 10"),
+)
 _plain(
     "sq1_sequences",
-    lambda s, d: labels.windows_ending_here(labels.three_way(sources.by_type(s, d)), 10).select("symbol", "ts", F.round(F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.col("label").cast("int").alias("label")),
-    sql("by_type", {"total": "num", "label": "int"}, [{"m": f"{D(L('close', -5), 'close')} - 1", "n": O("count", "close", -9, 0), "total": f"round({O('sum', 'close', -9, 0)}, 4)"}, {"label": "CASE WHEN m > 0.002 THEN 2 WHEN m < -0.002 THEN 1 ELSE 0 END"}], "WHERE n = 10"),
+    lambda s, d: labels.windows_ending_here(labels.three_way(sources.by_type(s, d)), 10).select("symbol", "ts", *[F.round(F.get("sequence", k), 6).alias(f"v{k}") for k in range(10)], F.col("label").cast("int").alias("label")),
+    sql("by_type", {**{f"v{k}": "num" for k in range(10)}, "label": "int"}, [{"m": f"{D(L('close', -5), 'close')} - 1", "n": O("count", "close", -9, 0), **{f"v{k}": L("close", 9 - k) if k < 9 else "close" for k in range(10)}}, {"label": "CASE WHEN m > 0.002 THEN 2 WHEN m < -0.002 THEN 1 ELSE 0 END"}], "WHERE n = 10"),
 )
 _plain("src5_synthetic", lambda s, d: sources.synthetic(s))
 
 
 # ---- features and learning ----
-add("fe1_technical", "daily_orders", features.technical, " ".join(features.MODEL), None)
+
+
+def _technical(spark: SparkSession, d: str) -> DataFrame:
+    df, names = features.technical(sources.daily_orders(spark, d))
+    return shown(df, dict.fromkeys(names, "num"))
+
+
+_plain("fe1_technical", _technical)
 _flow = [{"tp": TP}, {"d": f"tp - {L('tp')}"}, {"p": "CASE WHEN d > 0 THEN tp * volume ELSE 0 END", "n": "CASE WHEN d < 0 THEN tp * volume ELSE 0 END"}, {"ps": R("sum", "p", 7), "ns": R("sum", "n", 7)}, {"mfi_7": "CASE WHEN ns = 0 AND ps > 0 THEN 100 ELSE 100 - 100 / (1 + ps / nullif(ns, 0)) END"}]
 add("fe1_money_flow", "by_type", lambda d: features.money_flow(d, 7, "mfi_7"), "mfi_7", _flow)
 _u, _v = f"(high - {L('high')})", f"({L('low')} - low)"
@@ -278,9 +378,12 @@ add("fe1_directional_sums", "by_type", features.directional_sums, "plus_di_14 mi
 add("fe1_own_mean_cci", "by_type", features.own_mean_cci, "cci_20", [{"tp": TP}, {"ma": R("avg", "tp", 20)}, {"x": "abs(tp - ma)"}, {"cci_20": D("tp - ma", f"0.015 * {R('avg', 'x', 20)}")}])
 _five = f"{O('count', 'high', -2, 2)} = 5"
 add("fe1_structure", "by_type", features.structure, "higher_high:int lower_low:int higher_low:int lower_high:int", [{"h": f"CASE WHEN {_five} THEN {O('max', 'high', -2, 2)} END", "l": f"CASE WHEN {_five} THEN {O('min', 'low', -2, 2)} END"}, {n: f"CASE WHEN {c} {o} {L(c, 5)} THEN 1 ELSE 0 END" for n, c, o in (("higher_high", "h", ">"), ("lower_low", "l", "<"), ("higher_low", "l", ">"), ("lower_high", "h", "<"))}])
-add("fe2_levels_and_oscillators", "by_type", features.levels_and_oscillators, "cci tsv macd macd_signal macd_hist rsi support resistance trend bb_middle bb_upper bb_lower bb_bandwidth bb_percent", None)
-for _w, _o in ((1, "directional_vol cci tsv macd uo"), (3, "t3_8 t3_13 harris_signal"), (4, "atr mfi macd")):
-    add(f"fe3_live_{_w}", "by_type", lambda d, w=_w: features.live(d, w), _o, None)
+_BANDS = [{"bb_middle": R("avg", "close", 14), "s": R("stddev_samp", "close", 14)}, {"bb_upper": "bb_middle + 2 * s", "bb_lower": "bb_middle - 2 * s"}, {"bb_bandwidth": D("bb_upper - bb_lower", "bb_middle"), "bb_percent": D("close - bb_lower", "bb_upper - bb_lower")}]
+_LINES = [RN, {"support": R("min", "close", 14), "resistance": R("max", "close", 14), "trend": f"CASE WHEN rn >= 14 THEN {O('regr_slope', 'close, rn', -14, -1)} END"}]
+add("fe2_levels_and_oscillators", "by_type", features.levels_and_oscillators, "cci tsv macd macd_signal macd_hist rsi support resistance trend bb_middle bb_upper bb_lower bb_bandwidth bb_percent", [*_CCI, *_TSV, *_MACD, {"macd_hist": "macd - macd_signal"}, *rsi("close", 14, "rsi"), *_LINES, *_BANDS])
+_WAY = [{"tr": TR}, {"atr": E("tr", 14)}, {"atr_roc": f"100 * {D('atr - ' + L('atr', 14), L('atr', 14))}"}, {"directional_vol": f"CASE WHEN {E('atr_roc', 14)} > 0 THEN 1 ELSE -1 END"}]
+for _w, _o, _s in ((1, "directional_vol cci tsv macd uo", [*_HA, *_WAY, *_CCI, *_TSV, *_MACD, *_UO]), (3, "t3_8 t3_13 harris_signal", [*_HA, *_T3, *_HARRIS]), (4, "atr mfi macd", [*_HA, {"tr": TR}, {"atr": E("tr", 10)}, *_MFI10, *_MACD])):
+    add(f"fe3_live_{_w}", "by_type", lambda d, w=_w: features.live(d, w), _o, _s)
 
 
 def _learnable(spark: SparkSession, d: str) -> DataFrame:
@@ -289,7 +392,7 @@ def _learnable(spark: SparkSession, d: str) -> DataFrame:
     return learning.assembled(table.withColumn("target", F.col("target").cast("double")), columns)
 
 
-_plain("ml3_components", lambda s, d: learning.components(_learnable(s, d))[0].select("symbol", "ts", F.size(learning.vector_to_array("pca")).alias("n_components")))
+_plain("ml3_components", lambda s, d: learning.components(_learnable(s, d))[0].select("symbol", "ts", F.transform(learning.vector_to_array("pca"), lambda v: F.round(v, 6)).alias("components")))
 _plain("ml4_forest", lambda s, d: learning.confusion((t := _learnable(s, d).cache()) and (f := learning.forest_search(t, trials=50)[0]).fit(t.where("is_train")).transform(t.where("not is_train"))))
 _plain("ml6_spread_over_seeds", lambda s, d: learning.spread_over_seeds(_learnable(s, d).cache(), samples=100))
 _plain("ml8_walk_forward", lambda s, d: learning.walk_forward(labels.windows_ending_here(labels.three_way(sources.by_type(s, d)), 40)))

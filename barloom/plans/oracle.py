@@ -69,15 +69,52 @@ def rsi(x: str, n: int, out: str) -> list[dict]:
     ]
 
 
-def sql(bars: str, outs: dict[str, str], stages: list[dict[str, str]], where: str = "") -> str:
-    """Bars, then one derived table a stage, each with the columns before it and its own; floats to six decimals."""
+def chain(bars: str, stages: list[dict[str, str]]) -> tuple[list[str], str]:
+    """Bars, then one table a stage, each with the columns before it and its own; and the name of the last."""
     parts, last = [f"b0 AS ({BARS[bars]})"], "b0"
     for k, stage in enumerate(stages, 1):
         own = ", ".join(f"{e} AS {c}" for c, e in stage.items())
         parts.append(f"b{k} AS (SELECT * EXCLUDE ({', '.join(replaced)}), {own} FROM {last})" if (replaced := [c for c in stage if c in _known(stages[: k - 1])]) else f"b{k} AS (SELECT *, {own} FROM {last})")
         last = f"b{k}"
-    shown = ", ".join(f"CAST({c} AS INTEGER) AS {c}" if t == "int" else f"{c}" if t == "bool" else f"round(CAST({c} AS DOUBLE), {8 if t == 'r8' else 6}) + 0.0 AS {c}" for c, t in outs.items())
-    return f"WITH {', '.join(parts)} SELECT symbol, ts, {shown} FROM {last} {where}"
+    return parts, last
+
+
+def listed(outs: dict[str, str]) -> str:
+    return ", ".join(f"CAST({c} AS INTEGER) AS {c}" if t == "int" else f"{c}" if t == "bool" else f"round(CAST({c} AS DOUBLE), {8 if t == 'r8' else 6}) + 0.0 AS {c}" for c, t in outs.items())
+
+
+def sql(bars: str, outs: dict[str, str], stages: list[dict[str, str]], where: str = "") -> str:
+    """The columns ``outs`` of the last stage; floats to six decimals."""
+    parts, last = chain(bars, stages)
+    return f"WITH {', '.join(parts)} SELECT symbol, ts, {listed(outs)} FROM {last} {where}"
+
+
+def steps(bars: str, stages: list[dict[str, str]], start: dict[str, str], step: dict[str, str]) -> str:
+    """Common tables that end in ``s``: a state that goes from row to row of a symbol. In ``step``, p is the state before and r the row."""
+    parts, last = chain(bars, [*stages, {"n_rows": "count(*) OVER (PARTITION BY symbol)", **RN}])
+    parts[-1] = parts[-1].replace(" AS (", " AS MATERIALIZED (", 1)
+    begin, on = (", ".join(f"{e} AS {c}" for c, e in x.items()) for x in (start, step))
+    parts.append(f"s AS (SELECT symbol, ts, rn, {begin} FROM {last} r WHERE rn = 0 UNION ALL SELECT r.symbol, r.ts, r.rn, {on} FROM s p JOIN {last} r ON r.symbol = p.symbol AND r.rn = p.rn + 1)")
+    return "WITH RECURSIVE " + ", ".join(parts)
+
+
+def num(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def traded(bars: str, stages: list[dict[str, str]], out: str, opens: str, extra: dict[str, str], cost: float) -> str:
+    """Common tables that end in ``t``, the trades of a machine with one position. ``out`` is the exit price or NULL, ``opens`` the side of a new position or 0, with p.side, p.entry and ``extra`` kept from the entry bar."""
+    nothing = {"x_side": "0", "x_entry": "CAST(NULL AS DOUBLE)", "x_exit": "CAST(NULL AS DOUBLE)", "x_ts": "CAST(NULL AS TIMESTAMP)", "x_rn": "CAST(NULL AS BIGINT)"}
+    first = opens.replace("p.side", "0").replace("OUT_", "CAST(NULL AS DOUBLE)")
+    start = {"side": f"CAST({first} AS INTEGER)", "entry": "CAST(r.close AS DOUBLE)", "ts0": "r.ts", "rn0": "r.rn", **{k: f"CAST({v} AS DOUBLE)" for k, v in extra.items()}, **nothing}
+    new = opens.replace("OUT_", f"({out})")
+    step = {
+        "side": f"CAST(CASE WHEN ({new}) <> 0 THEN ({new}) WHEN ({out}) IS NOT NULL THEN 0 ELSE p.side END AS INTEGER)",
+        **{k: f"CASE WHEN ({new}) <> 0 THEN {v} ELSE p.{k} END" for k, v in {"entry": "r.close", "ts0": "r.ts", "rn0": "r.rn", **extra}.items()},
+        "x_side": f"CASE WHEN ({out}) IS NOT NULL THEN p.side ELSE 0 END", "x_entry": "p.entry", "x_exit": f"({out})", "x_ts": "p.ts0", "x_rn": "p.rn0",
+    }
+    done = f"t AS (SELECT symbol, x_side AS side, x_ts AS entry_ts, ts AS exit_ts, x_entry AS entry, x_exit AS exit, CAST(rn - x_rn AS INTEGER) AS bars, x_side * (x_exit / x_entry - 1) - {num(2 * cost)} AS ret FROM s WHERE x_side <> 0)"
+    return steps(bars, stages, start, step) + ", " + done
 
 
 def _known(stages: list[dict[str, str]]) -> set[str]:

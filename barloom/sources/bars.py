@@ -11,9 +11,14 @@ BARS = StructType(
 )
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Bars from CSV with a header, with the declared schema; further columns of the file are dropped."""
-    return spark.read.schema(BARS).option("header", True).option("enforceSchema", False).csv(path)
+def read_csv(spark: SparkSession, path: str, symbol: str = "ALL") -> DataFrame:
+    """Bars from CSV with a header: names in any case, time as ts, datetime or date; further columns (a written row number) are dropped."""
+    return normalised(spark.read.option("header", True).csv(path), symbol)
+
+
+def traded(bars: DataFrame) -> DataFrame:
+    """Bars with volume; those without, or with none told, are left out."""
+    return bars.where("volume != 0")
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -15,3 +15,9 @@ def results(trades: DataFrame, equity: DataFrame, metrics: DataFrame, path: str)
     """The three tables of a backtest, side by side."""
     for name, df in (("trades", trades), ("equity", equity), ("metrics", metrics)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def instruments(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """An instrument master; ``kind`` is parquet or csv."""
+    writer = df.write.mode("overwrite")
+    writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)

@@ -72,6 +72,41 @@ def test_trades_take_target_stop_and_opposite(spark):
     assert m.n_trades == 2 and m.win_rate == 0.5
 
 
+def test_trades_by_range_and_their_account(spark):
+    """A fall on rising money flow opens a long, three mean ranges above its entry close it; the account moves with it."""
+    rng = np.random.default_rng(4)
+    df = frame(spark, 100 + np.cumsum(rng.normal(0, 1, 200)))
+    df = df.withColumn("volume", 10 + 5 * F.sin(F.dayofyear("ts").cast("double")))
+    done = backtest.range_trades(df).orderBy("entry_ts").collect()
+    other = backtest.range_trades(df, invert=True).collect()
+    assert done and other and all(abs(r.ret - r.side * (r.exit / r.entry - 1)) < 1e-12 for r in [*done, *other])
+    assert all(a.exit_ts < b.entry_ts for a, b in zip(done, done[1:]))
+    path = backtest.account(df, backtest.range_trades(df)).orderBy("ts").collect()
+    assert len(path) == 200 and path[-1].drawdown <= 0
+    # From entry close to exit price along the bars: a long's account ends where the trade does.
+    if all(r.side > 0 for r in done):
+        assert path[-1].equity == pytest.approx(100_000 * np.prod([1 + r.ret for r in done]))
+    m = backtest.performance(df, backtest.range_trades(df)).first()
+    assert m.final_value == pytest.approx(path[-1].equity) and m.n_trades == len(done)
+    assert m.sharpe == pytest.approx(m.annual_return / m.annual_volatility)
+
+
+def test_affine_in_blocks_equals_one_pass(spark):
+    from barloom.functions.kernels import affine
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(0, 0.7, 300), rng.normal(0, 1, 300)
+    a[[20, 150]] = 0
+    df = frame(spark, a)
+    pairs = spark.createDataFrame([((pd.Timestamp("2024-01-01") + pd.Timedelta(days=k)).to_pydatetime(), *((None, None) if k < 20 else (float(a[k]), float(b[k])))) for k in range(300)], "ts timestamp_ntz, a double, b double")
+    got = column(affine(df.join(pairs, "ts").select("symbol", "ts", "a", "b"), "a", "b", "y", block=7), "y")
+    want, y = [], None
+    for k in range(300):
+        y = None if k < 20 else b[k] if a[k] == 0 else a[k] * y + b[k]
+        want.append(y)
+    assert got[:20] == [None] * 20 and np.allclose(got[20:], want[20:])
+
+
 def test_latest_signal(spark):
     df = frame(spark, [1, 2]).withColumn("signal", F.lit(-1))
     assert [(r.ts.day, r.action) for r in signals.latest(df).collect()] == [(2, "SELL")]
@@ -87,6 +122,41 @@ def test_csv_round_trip(spark, tmp_path):
     assert column(bars.read_csv(spark, str(tmp_path / "b")), "close") == [1, 2, 3]
 
 
+def test_csv_with_a_row_number_and_other_names(spark, tmp_path):
+    (tmp_path / "f.csv").write_text(",datetime,Open,High,Low,Close,Volume,rsi\n0,2024-01-01 09:15:00,1,2,0.5,1.5,10,\n1,2024-01-02 09:15:00,1.5,2,1,NaN,0,50\n")
+    df = bars.read_csv(spark, str(tmp_path / "f.csv"), "INFY")
+    assert df.columns == [f.name for f in bars.BARS] and column(df, "close") == [1.5, None] and {r.symbol for r in df.collect()} == {"INFY"}
+    assert column(bars.traded(df), "volume") == [10]
+
+
+def test_instruments_from_json_and_back(spark, tmp_path):
+    from barloom.sources import sinks
+
+    rows = ['{"name": "NIFTY", "exch_seg": "NFO", "instrumenttype": "OPTIDX", "expiry": "27JUN2024", "strike": "100.5"}', '{"name": "X", "exch_seg": "NSE", "instrumenttype": "EQ", "expiry": null, "strike": "1"}']
+    (tmp_path / "m.json").write_text("\n".join(rows))
+    got = bars.instrument_master(spark, str(tmp_path / "m.json"), "NFO", ["OPTIDX"], ["NIFTY"])
+    sinks.instruments(got, str(tmp_path / "out"))
+    r = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(r) == 1 and r[0].strike == 100.5 and (r[0].expiry.month, r[0].expiry.day) == (6, 27)
+
+
+def test_sequences_before_a_row(spark):
+    from barloom.operators import labels
+
+    got = labels.windows_before(labels.three_way(frame(spark, range(1, 15))), 3).orderBy("ts").collect()
+    assert got[0].sequence == [1, 2, 3] and len(got) == 11
+
+
+def test_results_are_written(spark, tmp_path):
+    from barloom.sources import sinks
+
+    df = frame(spark, [100, 103]).withColumn("signal", F.lit(1))
+    done = backtest.trades(df)
+    account = backtest.equity(done)
+    sinks.results(done, account, backtest.metrics(account), str(tmp_path / "r"))
+    assert all(spark.read.parquet(str(tmp_path / "r" / n)).count() == 1 for n in ("trades", "equity", "metrics"))
+
+
 def test_replay_and_sinks(spark, tmp_path):
     from barloom.sources import replay, sinks
 
