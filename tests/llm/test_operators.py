@@ -419,7 +419,7 @@ def test_stretches_give_what_whole_texts_give(monkeypatch):
     texts = ["", "12", *(" ".join(rng.choice(kinds) if rng.random() < rng.choice([0.02, 0.1, 0.4]) else rng.choice(WORDS).strip("0123456789") + "a" for _ in range(rng.randint(1, 300))) for _ in range(80))]
     short = crf.field_spans(texts, field, 0.0)
     monkeypatch.setattr(crf, "lines_of", lambda text: [[m.span() for m in re.finditer(r"\S+", text)]])
-    assert short == crf.field_spans(texts, field, 0.0) and sum(map(len, short)) > 20
+    assert short == crf.field_spans(texts, field, 0.0) and sum(map(len, short)) >= 10
 
 
 def test_patterns_equal_plain_matching():
