@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.windows import diff as _diff
 from barloom.operators import backtest, candles, extra, features, labels, learning, levels, momentum, patterns, portfolio, signals, trend, volatility, volume
-from barloom.plans.oracle import BARS, CUM, DOWN, HL2, RN, TP, TR, UP, D, E, EG, L, O, R, W, listed, num, rsi, sql, steps, traded
+from barloom.plans.oracle import BARS, CUM, DOWN, HL2, RN, TP, TR, UP, D, E, EG, L, O, R, W, listed, num, over, rsi, sql, steps, traded
 from barloom.sources import bars as sources
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,7 +370,63 @@ def _technical(spark: SparkSession, d: str) -> DataFrame:
     return shown(df, dict.fromkeys(names, "num"))
 
 
-_plain("fe1_technical", _technical)
+def _technical_sql() -> str:
+    """The recurrences in one walk over the rows, the other features in tables over it."""
+    ema = lambda x, n, was: f"{was} * {num(1 - 2 / (n + 1))} + {x} * {num(2 / (n + 1))}"
+    spans, lines = (5, 9, 21, 50, 100, 200), {"line_12_26": (12, 26, 9), "line_5_15": (5, 15, 3)}
+    first, step = {f"mean_{n}": "CAST(close AS DOUBLE)" for n in (*spans, 12, 26, 15)}, {f"mean_{n}": ema("r.close", n, f"p.mean_{n}") for n in (*spans, 12, 26, 15)}
+    for name, (a, b, n) in lines.items():
+        first[f"{name}_signal"], step[f"{name}_signal"] = num(0.0), ema(f"(({step[f'mean_{a}']}) - ({step[f'mean_{b}']}))", n, f"p.{name}_signal")
+    held = "CASE WHEN p.up THEN least(p.stop + p.af * (p.ep - p.stop), r.l1, r.l2) ELSE greatest(p.stop + p.af * (p.ep - p.stop), r.h1, r.h2) END"
+    turn = f"(CASE WHEN p.up THEN r.low < {held} ELSE r.high > {held} END)"
+    first |= {"stop": "CAST(NULL AS DOUBLE)", "ep": "CAST(NULL AS DOUBLE)", "af": num(0.02), "up": "true"}
+    step |= {
+        "stop": f"CASE WHEN r.rn = 1 THEN r.l1 WHEN {turn} THEN p.ep ELSE {held} END",
+        "ep": f"CASE WHEN r.rn = 1 THEN CASE WHEN r.close > r.c1 THEN r.high ELSE r.low END WHEN {turn} THEN CASE WHEN p.up THEN r.low ELSE r.high END WHEN p.up THEN greatest(p.ep, r.high) ELSE least(p.ep, r.low) END",
+        "af": f"CASE WHEN r.rn = 1 OR {turn} THEN {num(0.02)} WHEN p.up AND r.high > p.ep OR NOT p.up AND r.low < p.ep THEN least(p.af + {num(0.02)}, {num(0.2)}) ELSE p.af END",
+        "up": f"CASE WHEN r.rn = 1 THEN r.close > r.c1 ELSE p.up <> {turn} END",
+    }
+    walk = steps("daily_orders", [{"h1": L("high"), "h2": L("high", 2), "l1": L("low"), "l2": L("low", 2), "c1": L("close")}], first, step)
+    crossed = lambda a, b: f"CASE WHEN {a} > {b} AND {L(a)} <= {L(b)} THEN 1 ELSE 0 END"
+    share = lambda k: D(R("sum", "bp", k), R("sum", "tr1", k))
+    place = lambda k: f"100 * {D('close - ' + R('min', 'low', k), R('max', 'high', k) + ' - ' + R('min', 'low', k))}"
+    high, low = f"(high - {L('high')})", f"({L('low')} - low)"
+    five = f"{O('count', 'high', -2, 2)} = 5"
+    stages = [
+        {k: f"mean_{a} - mean_{b}" for k, (a, b, _) in lines.items()},
+        {f"{k}_gap": f"{k} - {k}_signal" for k in lines} | {f"plain_mean_{n}": R("avg", "close", n) for n in (10, 20)} | {f"s{n}": R("stddev_samp", "close", n) for n in (10, 20)} | {f"crossed_{a}_{b}": crossed(f"mean_{a}", f"mean_{b}") for a, b in ((9, 21), (50, 200))},
+        {f"close_to_{m}": D("close", m) for m in ("plain_mean_20", "mean_50", "mean_200")} | {f"change_{n}": f"{D('close', L('close', n))} - 1" for n in (5, 10, 20, 50)} | {f"change_percent_{n}": f"100 * ({D('close', L('close', n))} - 1)" for n in (10, 21)},
+        {"tr1": f"CASE WHEN {L('close')} IS NOT NULL THEN {TR} END", "tp": TP, "hl": HL2},
+        {f"range_{n}": R("avg", "tr1", n) for n in (7, 14, 21)} | {f"band_width_{n}": D(f"4 * s{n}", f"plain_mean_{n}") for n in (10, 20)},
+        {"band_place": D("close - plain_mean_20 + 2 * s20", "4 * s20"), "range_percent": f"100 * {D('range_14', 'close')}", **{f"ranges_from_{m}": D(f"close - {m}", "range_14") for m in ("plain_mean_20", "mean_50")}},
+        {f"volume_mean_{n}": R("avg", "volume", n) for n in (5, 10, 20)} | {"ov": f"coalesce(sign(close - {L('close')}), 0) * volume", "td": f"tp - {L('tp')}", "mv": f"{D('(close - low) - (high - close)', 'high - low')} * volume"},
+        {"volume_change": f"{D('volume', L('volume'))} - 1", **{f"volume_to_{n}": D("volume", f"volume_mean_{n}") for n in (5, 10)}, "obv": CUM("ov"), "tpos": "CASE WHEN td > 0 THEN tp * volume ELSE 0 END", "tneg": "CASE WHEN td < 0 THEN tp * volume ELSE 0 END", "flow_share": D(R("sum", "mv", 20), R("sum", "volume", 20))},
+        {f"money_flow_{n}": f"CASE WHEN {R('sum', 'tneg', n)} = 0 AND {R('sum', 'tpos', n)} > 0 THEN 100 ELSE 100 - 100 / (1 + {D(R('sum', 'tpos', n), R('sum', 'tneg', n))}) END" for n in (7, 14)},
+    ]
+    for n in (2, 7, 14, 21):
+        d, gains, whole = rsi("close", n, f"rsi_{n}")
+        own = lambda x, n=n: x.replace("coalesce(d, 0)", f"coalesce(d_{n}, 0)").replace("l_ ", f"l_{n} ").replace("l_,", f"l_{n},").replace("g_ ", f"g_{n} ")
+        stages += [{f"d_{n}": d["d"]}, {f"g_{n}": own(gains["g_"]), f"l_{n}": own(gains["l_"])}, {f"rsi_{n}": own(whole[f"rsi_{n}"])}]
+    stages += [
+        {"bp": f"CASE WHEN {L('close')} IS NOT NULL THEN close - least(low, {L('close')}) END"},
+        {"ultimate": f"100 * (4 * {share(7)} + 2 * {share(14)} + {share(28)}) / 7", "place_14": place(14), "place_5": place(5)},
+        {"place_14_d": R("avg", "place_14", 3), "place_5_d": R("avg", "place_5", 3), "slow_place": R("avg", "place_14", 3)},
+        {"slow_place_d": R("avg", "slow_place", 3), "williamsr": f"-100 * {D(R('max', 'high', 14) + ' - close', R('max', 'high', 14) + ' - ' + R('min', 'low', 14))}", "ma": R("avg", "tp", 20)},
+        {"apart": "abs(tp - ma)", "ao": f"{R('avg', 'hl', 5)} - {R('avg', 'hl', 34)}"},
+        {"cci_20": D("tp - ma", f"0.015 * {R('avg', 'apart', 20)}"), "dp": f"CASE WHEN {high} > {low} THEN greatest({high}, 0) ELSE 0 END", "dm": f"CASE WHEN {low} > {high} THEN greatest({low}, 0) ELSE 0 END"},
+        {f"{n}_di_14": f"100 * {D(R('sum', x, 14), R('sum', 'tr1', 14))}" for n, x in (("plus", "dp"), ("minus", "dm"))},
+        {"dx": f"100 * {D('abs(plus_di_14 - minus_di_14)', 'plus_di_14 + minus_di_14')}", "fh": f"CASE WHEN {five} THEN {O('max', 'high', -2, 2)} END", "fl": f"CASE WHEN {five} THEN {O('min', 'low', -2, 2)} END", "tenkan": _mid(9), "kijun": _mid(26), "sb": _mid(52)},
+        {"adx_14": R("avg", "dx", 14), **{n: f"CASE WHEN {c} {o} {L(c, 5)} THEN 1 ELSE 0 END" for n, c, o in (("higher_high", "fh", ">"), ("lower_low", "fl", "<"), ("higher_low", "fl", ">"), ("lower_high", "fh", "<"))}},
+        {"span_a": f"({L('tenkan', 26)} + {L('kijun', 26)}) / 2", "span_b": L("sb", 26), "tenkan_kijun_cross": crossed("tenkan", "kijun"), "stop_distance": f"100 * {D('close - stop', 'close')}"},
+        {"above_cloud": "CASE WHEN close > span_a AND close > span_b THEN 1 ELSE 0 END", "below_cloud": "CASE WHEN close < span_a AND close < span_b THEN 1 ELSE 0 END"},
+    ]
+    parts, last = over("w", stages, "c")
+    helpers = {"mean_12", "mean_26", "mean_15", "s10", "s20", "tr1", "tp", "hl", "ov", "td", "mv", "tpos", "tneg", "bp", "ma", "apart", "dp", "dm", "dx", "fh", "fl", "tenkan", "kijun", "sb", "span_a", "span_b", *[f"{c}_{n}" for c in "dgl" for n in (2, 7, 14, 21)]}
+    names = [c for c in [*[c for c in first if c not in ("stop", "ep", "af", "up")], *[c for stage in stages for c in stage]] if c not in helpers]
+    return f"{walk}, w AS (SELECT b0.*, s.* EXCLUDE (symbol, ts, rn) FROM b0 JOIN s ON s.symbol = b0.symbol AND s.ts = b0.ts), {', '.join(parts)} SELECT symbol, ts, {listed(dict.fromkeys(['open', 'high', 'low', 'close', 'volume', *names], 'num'))} FROM {last}"
+
+
+_plain("fe1_technical", _technical, _technical_sql())
 _flow = [{"tp": TP}, {"d": f"tp - {L('tp')}"}, {"p": "CASE WHEN d > 0 THEN tp * volume ELSE 0 END", "n": "CASE WHEN d < 0 THEN tp * volume ELSE 0 END"}, {"ps": R("sum", "p", 7), "ns": R("sum", "n", 7)}, {"mfi_7": "CASE WHEN ns = 0 AND ps > 0 THEN 100 ELSE 100 - 100 / (1 + ps / nullif(ns, 0)) END"}]
 add("fe1_money_flow", "by_type", lambda d: features.money_flow(d, 7, "mfi_7"), "mfi_7", _flow)
 _u, _v = f"(high - {L('high')})", f"({L('low')} - low)"

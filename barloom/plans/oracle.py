@@ -71,11 +71,16 @@ def rsi(x: str, n: int, out: str) -> list[dict]:
 
 def chain(bars: str, stages: list[dict[str, str]]) -> tuple[list[str], str]:
     """Bars, then one table a stage, each with the columns before it and its own; and the name of the last."""
-    parts, last = [f"b0 AS ({BARS[bars]})"], "b0"
+    return [f"b0 AS ({BARS[bars]})", *(more := over("b0", stages))[0]], more[1]
+
+
+def over(table: str, stages: list[dict[str, str]], name: str = "b") -> tuple[list[str], str]:
+    parts, last = [], table
     for k, stage in enumerate(stages, 1):
         own = ", ".join(f"{e} AS {c}" for c, e in stage.items())
-        parts.append(f"b{k} AS (SELECT * EXCLUDE ({', '.join(replaced)}), {own} FROM {last})" if (replaced := [c for c in stage if c in _known(stages[: k - 1])]) else f"b{k} AS (SELECT *, {own} FROM {last})")
-        last = f"b{k}"
+        replaced = [c for c in stage if c in _known(stages[: k - 1])]
+        parts.append(f"{name}{k} AS (SELECT *{f' EXCLUDE ({", ".join(replaced)})' if replaced else ''}, {own} FROM {last})")
+        last = f"{name}{k}"
     return parts, last
 
 
