@@ -76,24 +76,27 @@ def adx(df: DataFrame, n: int = 14, smooth: int = 14) -> DataFrame:
     return fading(d, memory_of(n) + memory_of(smooth), fn, ["adx", "plus_di", "minus_di"]).drop("__tr", "__up", "__down", "__plus", "__minus")
 
 
+def sar_step(state: tuple[float, float, float, bool], high: float, low: float, highs, lows, start: float, step: float, most: float) -> tuple[float, float, float, bool]:
+    """The next (stop, extreme, speed, rising) by a bar, with the highs and lows of the two bars before it. A reversal is tested before the stop is held back."""
+    stop, extreme, speed, up = state
+    stop += speed * (extreme - stop)
+    if up and low < stop:
+        return extreme, low, start, False
+    if not up and high > stop:
+        return extreme, high, start, True
+    if up and high > extreme or not up and low < extreme:
+        extreme, speed = high if up else low, min(speed + step, most)
+    return (min(stop, *lows) if up else max(stop, *highs)), extreme, speed, up
+
+
 def sar_path(high, low, start: float, step: float, most: float) -> list[float]:
-    """Parabolic stop and reverse: begins below the first bar, rising; a reversal is tested before the stop is held back."""
-    stop, extreme, speed, up = low[0], high[0], start, True
-    out = [stop]
+    """Parabolic stop and reverse: begins below the first bar, rising."""
+    state = (low[0], high[0], start, True)
+    out = [state[0]]
     for k in range(1, len(high)):
-        stop += speed * (extreme - stop)
-        if up and low[k] < stop:
-            up, stop, extreme, speed = False, extreme, low[k], start
-        elif not up and high[k] > stop:
-            up, stop, extreme, speed = True, extreme, high[k], start
-        else:
-            if up and high[k] > extreme:
-                extreme, speed = high[k], min(speed + step, most)
-            if not up and low[k] < extreme:
-                extreme, speed = low[k], min(speed + step, most)
-            near = range(max(0, k - 2), k)
-            stop = min(stop, *(low[j] for j in near)) if up else max(stop, *(high[j] for j in near))
-        out.append(stop)
+        near = slice(max(0, k - 2), k)
+        state = sar_step(state, high[k], low[k], high[near], low[near], start, step, most)
+        out.append(state[0])
     return out
 
 
