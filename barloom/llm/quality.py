@@ -17,18 +17,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import cut, joinable, scan_texts
 
 _WORD = re.compile(r"\w+")
 _SIGNS = "!#$%&*|@="
-N_SHAPES = 8
+N_SHAPES = 9
 
 
 def shape_features(text: str, words: list[str]) -> list[float]:
-    """What a text looks like: shares of capitals, signs, words that end in a sign, repeated lines, repeated words."""
+    """What a text looks like: shares of capitals, signs, words that end in a sign, repeated lines, repeated words, words said twice in a row."""
     n = max(1, len(text))
     letters = max(1, sum(map(len, words)))
     upper = sum(w.isupper() and len(w) > 1 for w in words)
@@ -44,6 +44,7 @@ def shape_features(text: str, words: list[str]) -> list[float]:
         len(set(words)) / max(1, len(words)),
         min(1.0, len(words) / 20),
         min(2.0, letters / max(1, len(words)) / 8),
+        min(1.0, 4 * sum(map(str.__eq__, words, words[1:])) / max(1, len(words))),
     ]
 
 
@@ -69,10 +70,13 @@ class Classifier:
 
 
 class _Parts(dict):
+    """The words in a raw word, and the first five letters of longer ones (marked): words with one stem tell the same."""
+
     def __missing__(self, word: str) -> tuple[str, ...]:
         if len(self) > 50_000:
             self.clear()
-        value = self[word] = tuple(_WORD.findall(word.lower()))
+        whole = _WORD.findall(word.lower())
+        value = self[word] = tuple(dict.fromkeys([*whole, *[w[:5] + "*" for w in whole if len(w) > 5]]))
         return value
 
 
@@ -84,25 +88,34 @@ def words_of(text: str) -> set[str]:
 
 
 def telling_words(labelled: DataFrame, n_words: int) -> list[str]:
-    """The words whose presence tells good (rows text, good) from other texts most against chance, the most telling first."""
+    """The words whose presence tells texts of low quality, or toxic ones, from others most against chance (rows text, low, toxic), the most telling first.
+
+    The two kinds are told apart by different words, so each has its own measure; a word counts by the larger.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter, Counter] = (Counter(), Counter())
+        held: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
         for batch in batches:
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held[good].update(words_of(text))
-        words = list(held[0] | held[1])
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([held[g][w] for w in words], pa.int64()) for g in (1, 0)]], names=["word", "a", "b"])
-
-    both = labelled.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).first()
-    n_good, n_bad = max(1, both["good"]), max(1, both["bad"])
-    counts = labelled.select("text", "good").mapInArrow(run, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b >= 8")
-    p = (F.col("a") + F.col("b")) / F.lit(n_good + n_bad)
-    z = F.abs(F.col("a") / n_good - F.col("b") / n_bad) / F.sqrt(p * (1 - p) * (1 / n_good + 1 / n_bad) + 1e-12)
+            for text, *kinds in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                words = words_of(text)
+                for counts in (held[0], *(c for c, kind in zip(held[1:], kinds) if kind)):
+                    counts.update(words)
+        words = list(held[0])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in held]], names=["word", "n", "low", "toxic"])
+
+    whole = labelled.agg(F.count("*").alias("n"), F.count_if("low").alias("low"), F.count_if("toxic").alias("toxic")).first()
+    counts = labelled.select("text", "low", "toxic").mapInArrow(run, "word string, n long, low long, toxic long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "low", "toxic")]).where("n >= 5")
+
+    def against_chance(kind: str) -> Column:
+        a, b = max(1, whole["n"] - whole[kind]), max(1, whole[kind])
+        p = F.col("n") / F.lit(a + b)
+        return F.abs((F.col("n") - F.col(kind)) / a - F.col(kind) / b) / F.sqrt(p * (1 - p) * (1 / a + 1 / b) + 1e-12)
+
+    z = F.greatest(against_chance("low"), against_chance("toxic"))
     return [r.word for r in counts.select("word", z.alias("z")).where("z > 5").orderBy(F.desc("z"), "word").limit(n_words).collect()]
 
 
-def fit(shapes: np.ndarray, words: list[list[int]], good: np.ndarray, vocabulary: list[str], passes: int = 300, decay: float = 1e-3) -> Classifier:
+def fit(shapes: np.ndarray, words: list[list[int]], good: np.ndarray, vocabulary: list[str], passes: int = 1000, decay: float = 3e-4) -> Classifier:
     """Weights by Newton-scaled gradient steps, from the shapes and the numbers of the chosen words of the labelled texts."""
     model = Classifier({w: k for k, w in enumerate(vocabulary)}, np.zeros(N_SHAPES + len(vocabulary)))
     x = np.zeros((len(good), N_SHAPES + len(vocabulary)))
@@ -117,7 +130,7 @@ def fit(shapes: np.ndarray, words: list[list[int]], good: np.ndarray, vocabulary
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, n_words: int = 300) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, n_words: int = 400) -> Classifier:
     """The classifier, fitted on at most ``sample`` labelled documents, the least by a hash of doc_id, whole texts.
 
     Rows without a quality label are left out; a missing toxic label counts as not toxic; of texts that share a doc_id
@@ -128,9 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, n_words: int =
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__q"), F.max(F.coalesce("toxic", F.lit(0))).alias("__t"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = F.coalesce("text", F.lit(""))
-    good = (F.col("__q") == 1) & (F.col("__t") == 0)
-    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", good.alias("good"))  # at most ``sample`` labels
-    rows = cut(rows.groupBy("doc_id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("__q") != 1).alias("low"), (F.col("__t") != 0).alias("toxic"))  # at most ``sample`` labels
+    rows = cut(rows.groupBy("doc_id", "low", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
     vocabulary = telling_words(rows, n_words)
     blank = Classifier({w: k for k, w in enumerate(vocabulary)}, np.zeros(N_SHAPES))
 
@@ -139,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, n_words: int =
             got = [blank.columns(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.list_(pa.float64())), pa.array([g[1] for g in got], pa.list_(pa.int32()))], names=["doc_id", "good", "shapes", "words"])
 
-    seen = rows.select("doc_id", "good", "text").mapInArrow(run, "doc_id long, good boolean, shapes array<double>, words array<int>").toArrow().sort_by("doc_id")
+    seen = rows.select("doc_id", (~F.col("low") & ~F.col("toxic")).alias("good"), "text").mapInArrow(run, "doc_id long, good boolean, shapes array<double>, words array<int>").toArrow().sort_by("doc_id")
     is_good = np.array(seen.column("good").to_pylist(), dtype=bool)
     if is_good.all() or not is_good.any():
         return Classifier({}, np.zeros(N_SHAPES))
