@@ -105,7 +105,6 @@ def round2(x: str | Column) -> Column:
 
 
 def wma(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
-    """Mean with weights 1..n, from a running index inside the frame."""
-    d = df.withColumn("__rn", place())
-    d = d.withColumn("__rx", F.col("__rn") * F.col(x))
-    return d.withColumn(out, (rsum("__rx", n) - (F.col("__rn") - n) * rsum(x, n)) / (n * (n + 1) / 2)).drop("__rn", "__rx")
+    """Mean with weights 1..n of the last n rows, each taken by its own lag, so that nothing cancels in long series."""
+    total = sum(((n - j) * lag(x, j) for j in range(1, n)), n * F.col(x))
+    return df.withColumn(out, total / (n * (n + 1) / 2))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import by_time, flag, place
@@ -20,12 +20,18 @@ def extrema(df: DataFrame, k: int = 5, price: str = "close") -> DataFrame:
 
 
 def _among(df: DataFrame, k: int, kind: str, reach: int, rule: Callable[[Column, Column, Column], Column], out: str) -> DataFrame:
-    """Flag extrema that meet ``rule`` with the extrema ``reach`` before and after them: one window over the extrema only."""
+    """Flag extrema that meet ``rule`` with the extrema ``reach`` before and after them.
+
+    The extrema before come from a running window, those after from one in falling order of time: two sorts of one shuffle.
+    """
     d = extrema(df, k)
-    points = d.where(F.col(kind) == 1).select("symbol", "ts", "close")
-    hit = rule(F.lag("close", reach).over(by_time()), F.col("close"), F.lead("close", reach).over(by_time()))
-    points = points.withColumn(out, flag(hit)).select("symbol", "ts", out)
-    return d.drop("is_peak", "is_trough").join(points, ["symbol", "ts"], "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    met = F.col(kind) == 1
+    past = by_time().rowsBetween(Window.unboundedPreceding, -1)
+    coming = Window.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({"__a": F.col("close"), "__b": F.col("close")})
+    for _ in range(reach):
+        d = d.withColumns({"__a": F.last(F.when(met, F.col("__a")), ignorenulls=True).over(past), "__b": F.last(F.when(met, F.col("__b")), ignorenulls=True).over(coming)})
+    return d.withColumn(out, flag(met & rule(F.col("__a"), F.col("close"), F.col("__b")))).drop("is_peak", "is_trough", "__a", "__b")
 
 
 def m_top(df: DataFrame, k: int = 5, near: float = 0.01) -> DataFrame:
