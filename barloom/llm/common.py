@@ -127,10 +127,14 @@ def grouped(
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (id, root), root the least id of the component.
 
-    Each round, every node takes the least root next to it, then the root of its root; roots are written
-    to the shared folder, and only their count of changes comes to the driver. Ids without edges get no row.
+    All that one id is joined to hangs on the least of it, so that many edges become few. Then, each round, every node takes
+    the least root next to it, and the root of its root; roots are written to the shared folder, and only their count of
+    changes comes to the driver. Ids without edges get no row.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    edges = edges.select("a", "b").distinct()
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    few = cut(least.select("a", F.col("m").alias("b")).union(edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "few")
+    both = cut(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     roots = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
     for _ in range(rounds):
         seen = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
@@ -141,7 +145,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         roots = after.select("id", "root")
         if not changed:
             return roots
-    raise RuntimeError("components did not settle")
+    # A very long chain: go on with the roots so far as nodes.
+    at = lambda old, new: roots.select(F.col("id").alias(old), F.col("root").alias(new))
+    further = components(both.join(at("a", "x"), "a").join(at("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")), rounds)
+    return roots.withColumnRenamed("root", "mid").join(further.withColumnRenamed("id", "mid"), "mid").select("id", "root")
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

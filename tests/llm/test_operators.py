@@ -224,6 +224,8 @@ def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 40), (60, 60)], "a long, b long")
     got = {r.id: r.root for r in components(edges).collect()}
     assert all(got[k] == 0 for k in range(21)) and got[50] == got[40] == 40
+    again = {r.id: r.root for r in components(edges, rounds=1).collect()}
+    assert got == again
 
 
 # ---- 3 ----
