@@ -96,3 +96,22 @@ def test_orders_are_written_once(spark, tmp_path):
     orders = spark.read.parquet(out)
     assert orders.count() == 1
     assert live.flatten(orders).first().side == "SELL"
+
+
+def test_pulled_candles_as_table_and_stream(spark, tmp_path):
+    from barloom.sources import pull
+
+    def fetch(symbol, start, end):
+        days = (datetime(2024, 1, k) for k in range(1, 8))
+        return [(d, 1.0, 2.0, 0.5, d.day + (symbol == "B"), None) for d in days if start < d and (end is None or d <= end)]
+
+    spark.dataSource.register(pull.candle_source(fetch))
+    options = {"symbols": "A,B", "start": "2024-01-02T00:00:00"}
+    table = spark.read.format("candles").options(**options, end="2024-01-04T00:00:00").load()
+    assert table.columns == [f.name for f in bars.BARS]
+    assert sorted((r.symbol, r.ts.day, r.close) for r in table.collect()) == [("A", 3, 3.0), ("A", 4, 4.0), ("B", 3, 4.0), ("B", 4, 5.0)]
+    for _ in range(2):  # a restart brings nothing twice
+        q = spark.readStream.format("candles").options(**options).load().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
