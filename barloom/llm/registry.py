@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bagminhash, bm25, crf, gru, hilbert, jpeg, pieces, quality, suffixes
+from barloom.llm import bagminhash, bm25, crf, gru, hilbert, jpeg, pieces, quality, resample, suffixes
 from barloom.llm.common import documents
 
 
@@ -63,7 +63,11 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(documents(spark, sf_dir))
 
 
-_QUERIES = [op1_gru_scoring, op2_bagminhash, op3_bm25_decontamination, op4_suffix_array, op5_crf_pii, op6_sentencepiece, op7_empirical_bayes_quality, op8_progressive_jpeg, op9_token_counts, op10_hilbert_sharding]
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.weigh(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_QUERIES = [op1_gru_scoring, op2_bagminhash, op3_bm25_decontamination, op4_suffix_array, op5_crf_pii, op6_sentencepiece, op7_empirical_bayes_quality, op8_progressive_jpeg, op9_token_counts, op10_hilbert_sharding, op12_importance_resampling]
 
 
 def queries() -> dict:
