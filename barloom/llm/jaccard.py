@@ -10,13 +10,14 @@ of one subclass, and every linked pair meets under a key.
 Subclasses are as many as suits the size of the set: sets are in brackets by powers of two, and a set that can be linked to some of
 the next bracket is indexed there too. Sets of five shingles or fewer are linked to equal sets only, and equal sets are one throughout.
 
-Sets that meet are verified: each against the leader of its keys, the set that meets most others; then, where sets of several
-components are left under a key, in blocks. What is far from a leader can't be linked to what is close to it, as the distance 1 - J is a metric.
+Sets that meet are verified, in groups of like size: each against the leaders of its groups, sets that meet most others; then, where sets of
+several components are left in a group, pair by pair in blocks of bounded size. Only pairs that their bitmaps leave possible are verified on the shingles. What is far from a leader can't be linked to what is close to it, as the distance 1 - J is a metric.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.bagminhash import shingles
-from barloom.llm.common import components, cut, group_runs, grouped, joinable, mix64, scan_texts, slices
+from barloom.llm.common import components, cut, group_runs, joinable, mix64, scan_texts, slices
 
 _U = np.uint64
 _SEGMENT = 4096
@@ -168,13 +169,48 @@ def _joined(value: np.ndarray, doc: np.ndarray, sub: np.ndarray, first: np.ndarr
         step += 1
 
 
+def bitmaps(value: np.ndarray, doc: np.ndarray, count: int) -> list[bytes]:
+    """For each document a bitmap of the low bits of its shingles, of a power of two of bits: eight, or more than it has shingles and at most twice as many."""
+    bits = np.maximum(8, np.int64(1) << np.frexp(np.bincount(doc, minlength=count))[1].astype(np.int64))
+    ends = np.cumsum(bits)
+    flat = np.zeros(int(ends[-1]) if count else 0, dtype=bool)
+    flat[(ends - bits)[doc] + (value & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)] = True
+    packed = np.packbits(flat, bitorder="little")
+    return [packed[(e - b) // 8 : e // 8].tobytes() for e, b in zip(ends.tolist(), bits.tolist())]
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """A bitmap brought down to ``size`` bytes: a bit is set where one that falls on it is."""
+    return np.bitwise_or.reduce(np.frombuffer(raw, dtype=np.uint8).reshape(-1, size), axis=0)
+
+
+def most_shared(own: np.ndarray, n: int | np.ndarray, others: np.ndarray, n_others: np.ndarray) -> np.ndarray:
+    """A bound of the shingles that a set shares with each of ``others``: a bit that only one of two bitmaps has is a shingle that the other set lacks."""
+    return np.minimum(n - np.bitwise_count(own & ~others).sum(axis=1, dtype=np.int64), n_others - np.bitwise_count(others & ~own).sum(axis=1, dtype=np.int64))
+
+
+def plausible(maps: list[bytes], n: np.ndarray, labels: list[int], percent: int) -> np.ndarray:
+    """Which sets may by their bitmaps be linked to one of another label."""
+    out = np.zeros(len(maps), dtype=bool)
+    if len(set(labels)) < 2:
+        return out
+    size = min(map(len, maps))
+    table = np.stack([folded(m, size) for m in maps])
+    label = np.unique(labels, return_inverse=True)[1]
+    for i in range(len(maps)):
+        shared = most_shared(table[i], n[i], table, n)
+        able = (label != label[i]) & (100 * shared >= percent * (n[i] + n - shared))
+        out[i] |= able.any()
+    return out
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.xxhash64(text, F.octet_length(text)).alias("text_key"), text.alias("text"))
 
 
 def signed(docs: DataFrame, levels: np.ndarray, rare: int, common: int, percent: int, size: int) -> DataFrame:
-    """Rows (doc_id, text_key, n, set_hash, keys), one for each row of ``docs``; a text without words has n = 0 and no hash."""
+    """Rows (doc_id, text_key, n, set_hash, bits, keys), one for each row of ``docs``; a text without words has n = 0 and no hash."""
     table = docs.sparkSession.sparkContext.broadcast(levels)
 
     def fn(columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +222,23 @@ def signed(docs: DataFrame, levels: np.ndarray, rare: int, common: int, percent:
         key, owner = combinations(value, doc, table.value, rare, common, percent)
         offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=count))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([*columns[:2], pa.array(n.astype(np.int64)), pa.array(same, pa.binary()), lists], names=["doc_id", "text_key", "n", "set_hash", "keys"])
+        yield pa.RecordBatch.from_arrays([*columns[:2], pa.array(n.astype(np.int64)), pa.array(same, pa.binary()), pa.array(bitmaps(value, doc, count), pa.binary()), lists], names=["doc_id", "text_key", "n", "set_hash", "bits", "keys"])
+
+    return scan_texts(_keyed(docs), fn, "doc_id long, text_key long, n long, set_hash binary, bits binary, keys array<long>", columns=("doc_id", "text_key", "text"), max_bytes=2 << 20)
+
+
+def _shingles(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Rows (node, n, shingles) of the ``wanted`` nodes: the sorted hashes of their sets, written."""
+    met = joinable(wanted.join(nodes.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.text_key").alias("k")), "met")
+
+    def arrays(columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        value, doc = sets_of(columns[-1], size)
+        ends = np.searchsorted(doc, np.arange(len(columns[0]) + 1))
+        raw = [value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_arrays([columns[0], pa.array(np.diff(ends).astype(np.int64)), pa.array(raw, pa.binary())], names=["node", "n", "shingles"])
 
-    return scan_texts(_keyed(docs), fn, "doc_id long, text_key long, n long, set_hash binary, keys array<long>", columns=("doc_id", "text_key", "text"), max_bytes=2 << 20)
+    rows = _keyed(docs).join(met, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("k"))).select("node", "text")
+    return cut(scan_texts(rows, arrays, "node long, n long, shingles binary", columns=("node", "text"), max_bytes=2 << 20).dropDuplicates(["node"]), "shingles")
 
 
 def _flat(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -213,6 +263,8 @@ def shared_with_leader(sets: list[np.ndarray], leader: np.ndarray) -> np.ndarray
 def linked_pairs(sets: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
     """Pairs of sets with ``100 * shared >= percent * union``; of sets already joined, by a pair or by their label, none."""
     n = len(sets)
+    if len(set(labels)) == 1:
+        return []
     total = np.array([len(s) for s in sets], dtype=np.int64)
     ends = np.concatenate([[0], np.cumsum(total)])
     value = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -255,28 +307,37 @@ def join(docs: DataFrame, percent: int = 85, size: int = 4, rare: int = 7, commo
         raise ValueError("percent has to be 85 or more")
     rows = cut(signed(docs, shingle_levels(docs, size, bits), rare, common, percent, size), "signed")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    nodes = rows.where("n > 0").groupBy("set_hash").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = rows.where("n > 0").groupBy("set_hash").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    # Keys under which several sets meet, each with its leader: the set that meets most others under all its keys.
-    keys = nodes.select("node", "n", F.explode("keys").alias("key"))
+    # Keys under which several sets meet, by size: sets of one group may be linked by their sizes, or nearly so. Each group has a leader,
+    # the set that meets most others under all its keys.
+    keys = nodes.select("node", F.explode("keys").alias("key"))
     crowds = keys.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
     meeting = cut(keys.join(crowds, "key"), "meeting")
     weight = meeting.groupBy("node").agg(F.sum("crowd").alias("weight"))
-    heavy = meeting.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("top"))
-    led = cut(meeting.join(heavy.select("key", F.col("top.node").alias("leader"), F.col("top.n").alias("n_leader")), "key").select("key", "node", "n", "leader", "n_leader"), "led")
+    band = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))
+    sized = meeting.join(weight.join(nodes.select("node", "n"), "node"), "node").select("node", "n", "weight", F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("group"))
+    heavy = sized.groupBy("group").agg(F.max(F.struct("weight", "node", "n")).alias("top"), F.count("*").alias("crowd")).where("crowd > 1")
+    led = cut(sized.join(heavy.select("group", F.col("top.node").alias("leader"), F.col("top.n").alias("n_leader")), "group").select("group", "node", "n", "leader", "n_leader"), "led")
     near_in_size = 100 * F.least("n", "n_leader") >= percent * F.greatest("n", "n_leader")
     links = cut(led.where(near_in_size & (F.col("node") != F.col("leader"))).select("node", "leader").distinct(), "links")
-    # The shingles of all sets that meet.
-    met = joinable(meeting.select("node").distinct().join(nodes.select("node", "row"), "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.text_key").alias("k")), "met")
-
-    def arrays(columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        value, doc = sets_of(columns[-1], size)
-        ends = np.searchsorted(doc, np.arange(len(columns[0]) + 1))
-        raw = [value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-        yield pa.RecordBatch.from_arrays([columns[0], pa.array(np.diff(ends).astype(np.int64)), pa.array(raw, pa.binary())], names=["node", "n", "shingles"])
+    # Bitmaps tell most pairs that can't be linked; a pair's distance is at least what they leave.
+    maps = nodes.select("node", "n", "bits")
+    theirs = maps.select(F.col("node").alias("leader"), F.col("n").alias("n_leader"), F.col("bits").alias("bits_leader"))
 
-    wanted = _keyed(docs).join(met, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("k"))).select("node", "text")
-    body = cut(scan_texts(wanted, arrays, "node long, n long, shingles binary", columns=("node", "text"), max_bytes=2 << 20).dropDuplicates(["node"]), "shingles")
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, leader, n, n_leader, bits, bits_leader = (batch.column(k).to_pylist() for k in range(6))
+            most = []
+            for k in range(len(node)):
+                size = min(len(bits[k]), len(bits_leader[k]))
+                most.append(int(most_shared(folded(bits[k], size), n[k], folded(bits_leader[k], size)[None], np.array([n_leader[k]]))[0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(most, pa.int64())], names=["node", "leader", "n", "n_leader", "most"])
+
+    both = links.join(maps, "node").join(theirs, "leader").select("node", "leader", "n", "n_leader", "bits", "bits_leader")
+    bounded = cut(both.mapInArrow(bound, "node long, leader long, n long, n_leader long, most long"), "bounded")
+    links = bounded.where(100 * F.col("most") >= percent * (F.col("n") + F.col("n_leader") - F.col("most"))).select("node", "leader")
+    body = _shingles(docs, nodes, links.select("node").union(links.select("leader")).distinct(), size)
     # Each set against its leaders. The sets of one leader are dealt out by their size, each part with the leader's own.
     fan = cut(links.join(body.select("node", "n"), "node").groupBy("leader").agg(F.greatest(F.ceil(F.sum("n") / F.lit(2e5)), F.lit(1)).cast("int").alias("parts")), "fan")
     followers = links.join(fan, "leader").select("leader", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node")
@@ -295,32 +356,45 @@ def join(docs: DataFrame, percent: int = 85, size: int = 4, rare: int = 7, commo
     judged = cut(group_runs(dealt, "deal", compare_leaders, "node long, leader long, shared long, joint long", rows=4000, most_bytes=8 << 20), "judged")
     edges = cut(judged.where(100 * F.col("shared") >= percent * F.col("joint")).select(F.col("node").alias("a"), F.col("leader").alias("b")), "edges")
     known = cut(components(edges).select(F.col("id").alias("node"), F.col("root").alias("label")), "known")
-    # What is left under a key: sets beyond the leader's reach, and those within it that such a set may be linked to. 1 - J is a metric: sets
+    # What is left in a group: sets beyond the leader's reach, and those within it that such a set may be linked to. 1 - J is a metric: sets
     # can be linked if their distances from the leader differ by at most that of a link. Sets too unlike in size to be compared have bounds only.
     reach = 1 - percent / 100 + 1e-9
     d = 1 - F.col("shared") / F.col("joint")
-    least = F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.coalesce(d, 1 - F.least("n", "n_leader") / F.greatest("n", "n_leader")))
-    far = led.join(judged, ["node", "leader"], "left").withColumn("d", least).join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    nearest = far.where(F.col("d") > reach).groupBy("key").agg(F.min("d").alias("nearest"), F.min("label").alias("x"), F.max("label").alias("y"))
-    several = far.join(nearest, "key").where((F.col("d") > reach) | (F.col("d") + reach >= F.col("nearest")))
-    mixed = several.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("d", "node")).alias("apart")).where("x != y").select("key", F.col("apart.node").alias("hub"))
-    left = cut(several.select("key", "node", "n", "label").join(mixed, "key").select("node", "n", "label", "hub").distinct(), "left")
-    clusters = components(left.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    members = cut(clusters.withColumnRenamed("id", "node").join(left.select("node", "n", "label").distinct(), "node"), "clusters")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / F.lit(float(block_values))), F.ceil(F.count("*") / F.lit(float(block_rows))), F.lit(1)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    by_bits = 1 - F.col("most") / (F.col("n") + F.col("n_leader") - F.col("most"))
+    least = F.coalesce(d, by_bits, 1 - F.least("n", "n_leader") / F.greatest("n", "n_leader"))
+    far = led.where("node != leader").join(judged, ["node", "leader"], "left").join(bounded.select("node", "leader", "most"), ["node", "leader"], "left").withColumn("d", least).join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nearest = far.where(F.col("d") > reach).groupBy("group").agg(F.min("d").alias("nearest"))
+    several = far.join(nearest, "group").where((F.col("d") > reach) | (F.col("d") + reach >= F.col("nearest"))).select("group", "node", "n", "label")
+    # Groups of one label are settled; of groups with the same sets one stands for all.
+    mixed = several.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("same"), F.count("*").alias("rows"), F.sum("n").alias("values")).where("x != y")
+    parts = F.greatest(F.ceil(F.col("values") / F.lit(float(block_values))), F.ceil(F.col("rows") / F.lit(float(block_rows))), F.lit(1)).cast("int")
+    mixed = mixed.groupBy("same", "rows").agg(F.min_by(F.struct("group", "values"), "group").alias("g")).select("g.group", "g.values", "rows").select("group", parts.alias("blocks"))
+    placed = cut(several.join(mixed, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "left")
     pairs = placed.select(
-        "root", "node", "label",
+        "group", "node", "label",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))).alias("p"),
-    ).select("root", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "node", "label").join(body.select("node", "shingles"), "node")
+    ).select(F.xxhash64("group", "p").alias("deal"), "node", "label")
+
+    def runs(table: pa.Table) -> Iterator[slice]:
+        deal = table.column("deal").to_numpy()
+        cuts = np.flatnonzero(np.append(True, deal[1:] != deal[:-1])).tolist() if len(deal) else []
+        yield from (slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(deal)]))
+
+    def may_link(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        bits, n, label = table.column("bits").to_pylist(), table.column("n").to_numpy(), table.column("label").to_pylist()
+        able = np.concatenate([plausible(bits[r], n[r], label[r], percent) for r in runs(table)] or [np.zeros(0, bool)])
+        yield from table.select(["deal", "node", "label"]).filter(pa.array(able)).combine_chunks().to_batches()
+
+    open_pairs = cut(group_runs(pairs.join(maps, "node"), "deal", may_link, "deal long, node long, label long", rows=20_000, most_bytes=16 << 20), "open")
+    rest = _shingles(docs, nodes, open_pairs.select("node").distinct(), size)
+    open_pairs = open_pairs.join(rest.select("node", "shingles"), "node")
 
-    def compare_all(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        node = table.column("node").to_pylist()
-        found = linked_pairs(_flat(table.column("shingles")), table.column("label").to_pylist(), percent)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in found], pa.int64()), pa.array([node[k] for _, k in found], pa.int64())], names=["a", "b"])
+    def compare_all(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, label, sets = table.column("node").to_pylist(), table.column("label").to_pylist(), _flat(table.column("shingles"))
+        found = [(node[r][i], node[r][k]) for r in runs(table) for i, k in linked_pairs(sets[r], label[r], percent)]
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    more = grouped(pairs, ["root", "x", "y"], compare_all, "a long, b long", presorted=["node"])
+    more = group_runs(open_pairs, "deal", compare_all, "a long, b long", rows=4000, most_bytes=16 << 20)
     joined = components(edges.union(more)).select(F.col("id").alias("node"), "root")
     whole = nodes.select("node", "set_hash", "row").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = whole.groupBy("root").agg(F.min("row").alias("first"))

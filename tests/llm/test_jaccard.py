@@ -102,6 +102,19 @@ def test_equals_sql_on_the_smallest_tables(spark, sf):
     assert got == sorted(want, key=str) and any(r[0] != r[2] for r in got)
 
 
+def test_bitmaps_bound_what_is_shared():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 8, 100, 1000):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for kept in {0, n // 2, n - 1, n}:
+            other = np.concatenate([base[:kept], rng.integers(0, 2**64, n // 3 + 1, dtype=np.uint64)])
+            a, b = jaccard.bitmaps(np.concatenate([base, other]), np.repeat([0, 1], [n, len(other)]), 2)
+            size = min(len(a), len(b))
+            most = jaccard.most_shared(jaccard.folded(a, size), n, jaccard.folded(b, size)[None], np.array([len(other)]))[0]
+            assert kept <= most <= min(n, len(other))
+            assert kept or n < 100 or most < 0.4 * n
+
+
 def test_a_chain_of_links(spark):
     words = [f"w{k}" for k in range(600)]
     texts = [" ".join(words[k * 4 : k * 4 + 100]) for k in range(120)]
