@@ -29,6 +29,8 @@ NO_RUN = re.compile("[^A-Za-zÀ-ÿ]")
 _P = (np.uint64(2**31 - 1), np.uint64(2**31 - 19))
 _BASE = (np.uint64(1_103_515_245), np.uint64(1_566_083_941))
 
+_KEY = np.dtype([("key", np.uint64), ("id", np.int64), ("place", np.int32), ("kind", np.int8)])
+
 #: What a key is made from: the whole word, a deletion, a deletion with its place.
 WHOLE, LESS, PLACE = 0, 1, 2
 
@@ -179,18 +181,28 @@ def near_words(words: DataFrame, batch_bytes: int = 256 << 10, radix_rows: int =
         for batch in batches:
             for part in slices(batch, 1, batch_bytes):
                 key, owner, kind, place = deletion_keys(part.column(1).to_pylist())
-                ids = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((key >> np.uint64(64 - bits)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(ids[owner]), pa.array(kind), pa.array(place)],
-                    names=["radix", "key", "id", "kind", "place"],
-                )
+                radix = (key >> np.uint64(64 - bits)).astype(np.int64)
+                order = np.argsort(radix, kind="stable")
+                rows = np.empty(len(key), dtype=_KEY)
+                rows["key"], rows["id"], rows["place"], rows["kind"] = key, part.column(0).to_numpy()[owner], place, kind
+                rows = rows[order]
+                cuts = np.flatnonzero(np.append(True, radix[order][1:] != radix[order][:-1]))
+                blocks = [rows[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(rows)))]
+                yield pa.RecordBatch.from_arrays([pa.array(radix[order][cuts], pa.int64()), pa.array(blocks, pa.binary())], names=["radix", "keys"])
 
     def met(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield from table.take(pa.array(shared(table.column("key").to_numpy()))).combine_chunks().to_batches()
-
-    form = "radix int, key long, id long, kind byte, place long"
-    keys = words.select("id", "word").mapInArrow(spread, form)
-    meeting = group_runs(keys, "radix", met, form, rows=radix_rows, most_bytes=256 << 20).join(words, "id")
+        radix = table.column("radix").to_numpy()
+        blocks = [np.frombuffer(x, dtype=_KEY) for x in table.column("keys").to_pylist()]
+        for r in np.unique(radix).tolist():
+            rows = np.concatenate([blocks[k] for k in np.flatnonzero(radix == r)])
+            rows = rows[shared(rows["key"])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(rows), r)), *(pa.array(rows[c].astype(np.int64)) for c in ("id", "place")), pa.array(rows["kind"].astype(np.int8)), pa.array(rows["key"].copy().view(np.int64))],
+                names=["radix", "id", "place", "kind", "key"],
+            )
+
+    keys = words.select("id", "word").mapInArrow(spread, "radix long, keys binary")
+    meeting = group_runs(keys, "radix", met, "radix long, id long, place long, kind byte, key long", rows=1_000_000, most_bytes=16 << 20).join(words, "id")
 
     def verify(table: pa.Table) -> Iterator[pa.RecordBatch]:
         at = shared(table.column("key").to_numpy())
