@@ -10,7 +10,9 @@ pattern spans always stay.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -232,14 +234,17 @@ class Field:
                 self.cache[s] = got
         return got
 
-    def scores(self, shapes: list[str]) -> np.ndarray:
+    def scores(self, shapes: list[str], chunk: int = 4096) -> np.ndarray:
         """One row of label scores a word of a line."""
-        parts = np.stack([self.score(s) for s in shapes], axis=1)
-        out, n = np.zeros_like(parts[0]), len(shapes)
-        for at, part in zip(REACH, parts):  # the shape at k + at scores the word at k
-            low, high = max(0, -at), min(n, n - at)
-            if low < high:
-                out[low:high] += part[low + at : high + at]
+        n, far = len(shapes), max(REACH)
+        out = np.zeros((n, len(LABELS)))
+        for first in range(0, n, chunk):
+            begin, stop = max(0, first - far), min(n, first + chunk + far)
+            parts = np.stack([self.score(s) for s in shapes[begin:stop]], axis=1)
+            for at, part in zip(REACH, parts):  # the shape at k + at scores the word at k
+                low, high = max(first, -at), min(first + chunk, n, n - at)
+                if low < high:
+                    out[low:high] += part[low + at - begin : high + at - begin]
         return out
 
 
@@ -303,32 +308,93 @@ def train(table: tuple[str, ...] = LABELLED, epochs: int = 150, rate: float = 0.
     return Field({f: weights[k] for f, k in names.items()}, steps + bad, start + no_start)
 
 
+SEGMENT = 256
+_NEVER = -1e30
+
+
+class _Segments:
+    """Many lines, cut into segments of up to ``SEGMENT`` words that are computed side by side, one array step a word.
+
+    What a segment makes of each label it may be entered with is a matrix; those of a long line are folded in order, and tell
+    each of its segments what comes before and after. So time and memory follow the words of all lines, whatever their lengths.
+    ``add`` is the sum over paths: the greatest for the best labels, the log of the sum for probabilities.
+    """
+
+    def __init__(self, scores: list[np.ndarray], field: Field, add: Callable[[np.ndarray, int], np.ndarray]) -> None:
+        self.scores, self.field, self.add = scores, field, add
+        spans = [(k, a, min(a + SEGMENT, len(x))) for k, x in enumerate(scores) for a in range(0, len(x), SEGMENT)]
+        self.spans = spans
+        self.goes_on = np.array([b < len(scores[k]) for k, _, b in spans], dtype=bool)
+        self.follows = np.array([a > 0 for _, a, _ in spans], dtype=bool)
+        self.enter = np.tile(field.start, (len(spans), 1))
+        self.end = np.zeros((len(spans), len(LABELS)))
+        self._fold()
+
+    def groups(self, wanted: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Wanted segments by falling length: their numbers, how many are left at each word, and their scores (word, segment, label)."""
+        sizes = np.array([b - a for _, a, b in self.spans], dtype=np.int64)
+        order = wanted[np.argsort(-sizes[wanted], kind="stable")]
+        start = 0
+        while start < len(order):
+            longest = int(sizes[order[start]])
+            group = order[start : start + max(1, most // longest)]
+            start += len(group)
+            table = np.zeros((longest, len(group), len(LABELS)))
+            for j, s in enumerate(group.tolist()):
+                k, a, b = self.spans[s]
+                table[: b - a, j] = self.scores[k][a:b]
+            yield group, np.searchsorted(-sizes[group], -np.arange(longest), "left"), table
+
+    def _fold(self) -> None:
+        long = np.flatnonzero(self.goes_on | self.follows)
+        if not len(long):
+            return
+        n, steps, add = len(LABELS), self.field.steps, self.add
+        through = np.empty((len(self.spans), n, n))  # from the label of the first word to that of the next segment's first
+        whole = np.empty((len(self.spans), n))
+        for group, live, table in self.groups(long, 1 << 14):
+            now = np.where(np.eye(n, dtype=bool), 0.0, _NEVER)[None] + table[0][:, None, :]
+            for t in range(1, len(table)):
+                now[: live[t]] = add(now[: live[t], :, :, None] + steps, 2) + table[t, : live[t], None, :]
+            whole[group] = add(now, 2)
+            through[group] = add(now[..., None] + steps, 2)
+        for s in long.tolist():
+            if self.follows[s]:
+                self.enter[s] = add(self.enter[s - 1][:, None] + through[s - 1], 0)
+        after = np.empty((len(self.spans), n))
+        for s in long[::-1].tolist():
+            after[s] = add(through[s] + after[s + 1], 1) if self.goes_on[s] else whole[s]
+            if self.goes_on[s]:
+                self.end[s] = add(steps + after[s + 1], 1)
+
+
 def viterbi(scores: list[np.ndarray], field: Field) -> list[np.ndarray]:
-    """The best labels of many lines at once: lines by falling length, one array step a word."""
-    order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
-    longest = len(scores[order[0]]) if order else 0
-    sizes = np.array([len(scores[k]) for k in order])
-    n = len(LABELS)
-    table = np.zeros((longest, len(order), n), dtype=np.float64)
-    for j, k in enumerate(order):
-        table[: len(scores[k]), j] = scores[k]
-    best = table[0] + field.start if longest else np.zeros((0, n))
-    back = np.zeros((longest, len(order), n), dtype=np.int8)
-    for t in range(1, longest):
-        live = int(np.searchsorted(-sizes, -t, "left"))  # lines with more than t words
-        reach = best[:live, :, None] + field.steps
-        back[t, :live] = reach.argmax(axis=1)
-        best[:live] = reach.max(axis=1) + table[t, :live]
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)
-    labels = np.zeros((longest, len(order)), dtype=np.int64)
-    now = best.argmax(axis=1)
-    for t in range(longest - 1, -1, -1):
-        live = int(np.searchsorted(-sizes, -t, "left"))
-        labels[t, :live] = now[:live]
-        if t:
-            now[:live] = back[t, np.arange(live), now[:live]]
-    for j, k in enumerate(order):
-        out[k] = labels[: sizes[j], j]
+    """The best labels of many lines at once."""
+    cut = _Segments(scores, field, lambda x, axis: x.max(axis=axis))
+    count, n = len(cut.spans), len(LABELS)
+    last = np.empty((count, n))
+    paths: list[np.ndarray] = [np.zeros((0, n), np.int8)] * count
+    for group, live, table in cut.groups(np.arange(count)):
+        best = cut.enter[group] + table[0]
+        back = np.zeros(table.shape, dtype=np.int8)
+        for t in range(1, len(table)):
+            reach = best[: live[t], :, None] + field.steps
+            back[t, : live[t]] = reach.argmax(axis=1)
+            best[: live[t]] = reach.max(axis=1) + table[t, : live[t]]
+        # The path to each label that the segment may end with.
+        now = np.tile(np.arange(n, dtype=np.int8), (len(group), 1))
+        path = np.zeros(table.shape, dtype=np.int8)
+        for t in range(len(table) - 1, -1, -1):
+            path[t, : live[t]] = now[: live[t]]
+            now[: live[t]] = np.take_along_axis(back[t, : live[t]], now[: live[t]].astype(np.int64), 1)
+        last[group] = best
+        for j, s in enumerate(group.tolist()):
+            paths[s] = path[: cut.spans[s][2] - cut.spans[s][1], j]
+    out = [np.zeros(len(x), np.int64) for x in scores]
+    for s in range(count - 1, -1, -1):
+        k, a, b = cut.spans[s]
+        label = int((last[s] + field.steps[:, out[k][b]] if cut.goes_on[s] else last[s]).argmax())
+        out[k][a:b] = paths[s][:, label]
     return out
 
 
@@ -353,9 +419,11 @@ def lines_of(text: str, reach: int = 4) -> Iterator[list[tuple[int, int]]]:
         yield words[max(0, a - reach) : b + reach + 1]
 
 
-# A name, an at, a name, a dot, a name; none of the names is itself an at or dot.
-_NAME = r"(?!at\b|dot\b)[\w.%+-]*\w"
-_SPELLED = re.compile(rf"{_NAME}\W*(?:@|\bat\b)\W*(?!at\b|dot\b)[\w-]+\W*?(?:\.|\bdot\b)\W*(?!at\b|dot\b)\w\w+", re.ASCII)
+# The two signs as they are spelled, with what is no word around them; then a name, a dot, a name.
+_SPELLED_AT = re.compile(r"(?<!\W)\W*(?:@|\bat\b)\W*|(?<=\W)@\W*", re.ASCII)
+_SPELLED_DOT = re.compile(r"(?<!\W)\W*\bdot\b\W*", re.ASCII)
+_NAME = re.compile(r"[\w.%+-]*\w", re.ASCII)
+_HOST = re.compile(r"[\w-]++[^\w.]*+\.\W*+\w\w", re.ASCII)
 _NUMBER = re.compile(r"[0-9]+")
 
 
@@ -363,7 +431,8 @@ def _holds(kind: int, part: str) -> bool:
     """Whether a span has what its kind can't be without: an at before a dot, four bytes, a card's check digit, digits enough."""
     digits = sum("0" <= c <= "9" for c in part)
     if kind == 0:
-        return len(part) < 1000 and bool(_SPELLED.match(part))
+        name, at, host = _SPELLED_DOT.sub(".", _SPELLED_AT.sub("@", part)).partition("@")
+        return bool(at and _NAME.fullmatch(name) and _HOST.match(host))
     if kind == 1:
         numbers = _NUMBER.findall(part)
         return len(numbers) == 4 and all(map(_byte, numbers))
@@ -372,27 +441,50 @@ def _holds(kind: int, part: str) -> bool:
     return 7 <= digits <= 15
 
 
-def span_probability(scores: np.ndarray, labels: np.ndarray, first: int, stop: int, field: Field) -> float:
-    """The field's probability that just the words first..stop-1 of a line are the span that ``labels`` make of them."""
-    n = len(scores)
-    ahead = field.start + scores[0]
-    before = None
-    for k in range(1, n):
-        if k == first:
-            before = ahead
-        ahead = _logsum(ahead[:, None] + field.steps, 0) + scores[k]
-    total = _logsum(ahead, 0)
-    own = (field.start if before is None else _logsum(before[:, None] + field.steps, 0))[labels[first]] + scores[first, labels[first]]
-    for k in range(first + 1, stop):
-        own += field.steps[labels[k - 1], labels[k]] + scores[k, labels[k]]
-    after = np.zeros(len(LABELS))
-    for k in range(n - 1, stop, -1):
-        after = _logsum(field.steps + scores[k] + after, 1)
-    if stop < n:
-        ends = field.steps[labels[stop - 1]] + scores[stop] + after
-        ends[(labels[first] + 1)] = -np.inf  # a span that goes on is another one
-        own += _logsum(ends, 0)
-    return float(np.exp(own - total))
+def span_probabilities(scores: list[np.ndarray], labels: list[np.ndarray], spans: list[tuple[int, int, int]], field: Field) -> list[float]:
+    """The field's probability of each span (line, first, stop): that just these words of the line are the span that ``labels`` make of them.
+
+    The sums over all ways before and after a word are taken once a line, and serve all of its spans.
+    """
+    lines = sorted({k for k, _, _ in spans})
+    at_line = {k: j for j, k in enumerate(lines)}
+    cut = _Segments([scores[k] for k in lines], field, _logsum)
+    starts = np.cumsum([0, *(len(scores[k]) for k in lines)])
+    # Words whose sums are asked for: before a span's first word, and after its last; of each line the last.
+    before = np.array([starts[at_line[k]] + a for k, a, _ in spans], dtype=np.int64)
+    stop = np.array([starts[at_line[k]] + b for k, _, b in spans], dtype=np.int64)
+    ended = stop == starts[1:][[at_line[k] for k, _, _ in spans]]
+    ask_in, ask_out = np.unique(before), np.unique(stop[~ended])
+    n = len(LABELS)
+    entered, left, total = np.empty((len(ask_in), n)), np.empty((len(ask_out), n)), np.empty(len(lines))
+    offset = np.array([starts[k] + a for k, a, _ in cut.spans], dtype=np.int64)
+    for group, live, table in cut.groups(np.arange(len(cut.spans))):
+        ways, rest = np.empty_like(table), np.empty_like(table)  # into a word's label; from it on, itself included
+        ways[0] = cut.enter[group]
+        for t in range(1, len(table)):
+            ways[t, : live[t]] = _logsum((ways[t - 1, : live[t]] + table[t - 1, : live[t]])[:, :, None] + field.steps, 1)
+        rest[-1] = table[-1] + cut.end[group]
+        for t in range(len(table) - 2, -1, -1):
+            more = live[t + 1]
+            rest[t, :more] = _logsum(field.steps + rest[t + 1, :more, None, :], 2) + table[t, :more]
+            rest[t, more:] = table[t, more:] + cut.end[group[more:]]
+        for j, s in enumerate(group.tolist()):
+            k, a, b = cut.spans[s]
+            for asked, out, value in ((ask_in, entered, ways), (ask_out, left, rest)):
+                low, high = np.searchsorted(asked, [offset[s], offset[s] + b - a])
+                out[low:high] = value[asked[low:high] - offset[s], j]
+            if not a:
+                total[k] = _logsum(ways[0, j] + rest[0, j], 0)
+    out = []
+    for (k, a, b), i, done in zip(spans, before, ended):
+        path, given = labels[k][a:b], scores[k][a:b]
+        own = entered[np.searchsorted(ask_in, i), path[0]] + given[np.arange(b - a), path].sum() + field.steps[path[:-1], path[1:]].sum()
+        if not done:
+            ends = field.steps[path[-1]] + left[np.searchsorted(ask_out, i + b - a)]
+            ends[path[0] + 1] = _NEVER  # a span that goes on is another one
+            own += _logsum(ends, 0)
+        out.append(float(np.exp(own - total[at_line[k]])))
+    return out
 
 
 def field_spans(texts: list[str], field: Field, least: float = 0.5) -> list[list[tuple[int, int, int]]]:
@@ -404,26 +496,27 @@ def field_spans(texts: list[str], field: Field, least: float = 0.5) -> list[list
                 owners.append(k)
                 words.append(line)
                 scores.append(field.scores([shape(text[a:b]) for a, b in line]))
+    labels = viterbi(scores, field)
+    able: list[tuple[int, int, int]] = []
+    found: list[tuple[int, int, int]] = []
+    for j, (k, line, best) in enumerate(zip(owners, words, labels)):
+        begins = best % 2 == 1
+        goes_on = (best[:-1] > 0) & (best[1:] == best[:-1] + begins[:-1])
+        stops = np.flatnonzero(~np.append(goes_on, False))  # words that their span ends with, or that are in none
+        for first in np.flatnonzero(begins).tolist():
+            end = int(stops[np.searchsorted(stops, first)]) + 1
+            a, b = line[first][0], line[end - 1][1]
+            while a < b and texts[k][a] in _EDGE:
+                a += 1
+            while b > a and texts[k][b - 1] in _EDGE:
+                b -= 1
+            if a < b and _holds(int(best[first] - 1) // 2, texts[k][a:b]):
+                able.append((j, first, end))
+                found.append((int(best[first] - 1) // 2, a, b))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for begin in range(0, len(scores), 512):
-        part = slice(begin, begin + 512)
-        for k, line, score, labels in zip(owners[part], words[part], scores[part], viterbi(scores[part], field)):
-            at = 0
-            while at < len(line):
-                if LABELS[labels[at]][0] != "B":
-                    at += 1
-                    continue
-                kind, end = (labels[at] - 1) // 2, at + 1
-                while end < len(line) and labels[end] == labels[at] + 1:
-                    end += 1
-                a, b = line[at][0], line[end - 1][1]
-                while a < b and texts[k][a] in _EDGE:
-                    a += 1
-                while b > a and texts[k][b - 1] in _EDGE:
-                    b -= 1
-                if a < b and _holds(int(kind), texts[k][a:b]) and span_probability(score, labels, at, end, field) >= least:
-                    out[k].append((int(kind), a, b))
-                at = end
+    for (j, _, _), span, probability in zip(able, found, span_probabilities(scores, labels, able, field) if able else []):
+        if probability >= least:
+            out[owners[j]].append(span)
     return out
 
 
@@ -433,7 +526,13 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
     more = field_spans(texts, field)
     out = []
     for b, m in zip(base, more):
-        extra = [s for s in m if all(s[2] <= x[1] or s[1] >= x[2] for x in b)]
+        by_start = sorted((x[1], x[2]) for x in b)
+        starts, far = [x[0] for x in by_start], list(accumulate((x[1] for x in by_start), max))
+        extra = []
+        for span in m:
+            k = bisect_left(starts, span[2])  # pattern spans that begin before this one ends
+            if not k or far[k - 1] <= span[1]:
+                extra.append(span)
         out.append((b, sorted({*b, *extra})))
     return out
 

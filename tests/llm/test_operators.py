@@ -454,6 +454,66 @@ def test_viterbi_matches_all_paths():
         assert got.tolist() == list(best)
 
 
+def test_segments_of_long_lines_match_one_pass(monkeypatch):
+    rng = np.random.default_rng(1)
+    n = len(crf.LABELS)
+    field = crf.Field({}, rng.normal(size=(n, n)) + crf._allowed(), rng.normal(size=n) + np.where(np.arange(n) % 2 == 0, -1e4, 0) * (np.arange(n) > 0))
+    lines = [rng.normal(size=(k, n)) for k in (40, 1, 7, 8, 9, 3, 64, 100)]
+    whole = crf.viterbi(lines, field)
+    spans = []
+    for k, best in enumerate(whole):
+        for t in np.flatnonzero(best % 2 == 1).tolist():
+            end = t + 1
+            while end < len(best) and best[end] == best[t] + 1:
+                end += 1
+            spans.append((k, t, end))
+    odds = crf.span_probabilities(lines, whole, spans, field)
+    monkeypatch.setattr(crf, "SEGMENT", 8)
+    assert all((a == b).all() for a, b in zip(crf.viterbi(lines, field), whole))
+    assert np.allclose(crf.span_probabilities(lines, whole, spans, field), odds)
+    # By all paths: the share of those that hold just this span.
+    short = [rng.normal(size=(4, n))]
+    labels = crf.viterbi(short, field)
+    labels[0][:] = [0, 3, 4, 0]
+    import itertools
+
+    weight = lambda p: np.exp(field.start[p[0]] + short[0][np.arange(4), p].sum() + field.steps[list(p[:-1]), list(p[1:])].sum())
+    paths = list(itertools.product(range(n), repeat=4))
+    want = sum(weight(p) for p in paths if p[1:3] == (3, 4) and p[3] != 4) / sum(map(weight, paths))
+    assert crf.span_probabilities(short, labels, [(0, 1, 3)], field)[0] == pytest.approx(want)
+
+
+def test_many_spans_and_long_stretches_take_seconds():
+    field, n = crf.train(), 20_000
+    began = time.time()
+    for text, least in (("call (020) 555-1234 now " * n, n), ("eva at mail dot org " * n, 0), ("a.b@c.de (020) 555-1234 " * n, 2 * n)):
+        assert len(crf.all_spans([text], field)[0][1]) >= least
+    assert time.time() - began < 120
+
+
+def test_a_long_stretch_among_short_ones_is_not_copied():
+    import tracemalloc
+
+    field, rng = crf.train(), np.random.default_rng(2)
+    lines = [rng.normal(size=(k, len(crf.LABELS))) for k in [300_000, *[5] * 511]]
+    tracemalloc.start()
+    labels = crf.viterbi(lines, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) for x in labels] == [len(x) for x in lines] and peak < 500e6
+
+
+def test_addresses_of_any_length_count():
+    field = crf.train()
+    name = "a" * 1500
+    assert crf._holds(0, f"{name} at mail dot org") and crf._holds(0, "eva (at) web (dot) de") and crf._holds(0, "max [at] post [dot] mail [dot] org")
+    assert not crf._holds(0, "at mail dot org") and not crf._holds(0, "eva at mail") and not crf._holds(0, "eva mail dot org")
+    began = time.time()
+    for text in ("a." * 50_000 + "at", "." * 100_000, "at " * 50_000, "a@" * 50_000, "-" * 100_000 + "dot", "x.at." * 40_000):
+        crf._holds(0, text)
+    assert time.time() - began < 10 and field is not None
+
+
 def test_redaction(spark, odd):
     docs = table(spark, [*odd, "mail a.b@c.de or +1 (743) 555-3824 now"])
     got = {r.doc_id: r for r in crf.redact(docs).collect()}
