@@ -1,4 +1,5 @@
-"""Recurrences over time. Those that forget run in chunks with a warm-up; the others run through a symbol in one pass."""
+"""Recurrences over time. Those that forget run in chunks with a warm-up; affine ones are composed in blocks; the others go bar by bar,
+a symbol in one pass or, in a frame that is cut (``slices``), from guessed states that are then put right."""
 
 from __future__ import annotations
 
@@ -6,11 +7,13 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from barloom.functions.windows import place
+from barloom.functions import slices
+from barloom.functions.slices import MARKS, place
+from barloom.functions.store import kept
 
 
 def ewm(x: pd.Series, n: int) -> pd.Series:
@@ -27,11 +30,13 @@ def fading(df: DataFrame, halo: int, fn: Callable[[pd.DataFrame], dict[str, pd.S
     """Append the columns ``outs`` of ``fn`` (a symbol's bars in time order in, columns out), for recurrences that forget.
 
     A symbol is cut into chunks of ``chunk`` rows; each is computed with the ``halo`` rows before it, so that a long
-    series is the work of many tasks. Results differ from those of one pass by what ``halo`` rows leave of the past.
+    series is the work of many tasks; a frame that is cut is taken by its slices instead. Results differ from those of one pass by what ``halo`` rows leave of the past.
     """
+    if slices.is_cut(df):
+        return slices.over(df, lambda d: fading(d, halo, fn, outs, chunk), halo)
     chunk = max(chunk, halo)
     schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in outs]])
-    rows = df.withColumn("__rn", place()).withColumn("__own", F.floor(F.col("__rn") / chunk))
+    rows = df.withColumn("__rn", place(df) - (F.col("__first") if "__first" in df.columns else 0)).withColumn("__own", F.floor(F.col("__rn") / chunk))
     late = F.col("__rn") >= (F.col("__own") + 1) * chunk - halo
     rows = rows.withColumn("__chunk", F.explode(F.when(late, F.array(F.col("__own"), F.col("__own") + 1)).otherwise(F.array(F.col("__own")))))
 
@@ -61,6 +66,71 @@ def scan(df: DataFrame, fn: Callable[[pd.DataFrame], dict], outs: list[str]) ->
     return df.groupBy("symbol").applyInPandas(run, schema)
 
 
+Step = Callable[[tuple | None, tuple], tuple[tuple, tuple]]
+
+
+def walk(df: DataFrame, inputs: list[str], step: Step, outs: list[str], warm: int = 500) -> DataFrame:
+    """Append ``outs``: ``step`` takes the state (floats; None before the first bar) and the ``inputs`` of a bar, and gives the next state and the values.
+
+    A symbol's bars are the work of one task. In a cut frame its slices are: each is first run from a state guessed by ``warm``
+    bars before it; where the state that a slice was entered with isn't the one that the slice before it was left with, it runs again
+    from that one, until all agree. So results are those of one pass, whatever the guesses. Only states come back from these runs.
+    """
+    schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in outs]])
+
+    def through(p: pd.DataFrame, state: tuple | None) -> tuple[tuple | None, list[tuple]]:
+        values = []
+        for bar in zip(*(p[c].tolist() for c in inputs)):
+            state, value = step(state, bar)
+            values.append(value)
+        return state, values
+
+    def appended(p: pd.DataFrame, values: list[tuple]) -> pd.DataFrame:
+        got = list(zip(*values)) if values else [()] * len(outs)
+        return p.assign(**{c: pd.Series(v, index=p.index, dtype="float64") for c, v in zip(outs, got)})[[f.name for f in schema]]
+
+    if not slices.is_cut(df):
+
+        def run(p: pd.DataFrame) -> pd.DataFrame:
+            p = p.sort_values("ts", ignore_index=True)
+            return appended(p, through(p, None)[1])
+
+        return df.groupBy("symbol").applyInPandas(run, schema)
+
+    states = "symbol string, __slice long, entry array<double>, exit array<double>"
+    listed = lambda state: None if state is None else [float(x) for x in state]
+
+    def guess(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("__row", ignore_index=True)
+        entry = through(p[~p["__mine"]], None)[0]
+        own = p[p["__mine"]]
+        return pd.DataFrame({"symbol": own["__name"].iloc[:1], "__slice": own["__slice"].iloc[:1], "entry": [listed(entry)], "exit": [listed(through(own, entry)[0])]})
+
+    def again(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("__row", ignore_index=True)
+        entry = p["__entry"].iloc[0]
+        entry = None if entry is None else tuple(entry)
+        return pd.DataFrame({"symbol": [key[0]], "__slice": [key[1]], "entry": [listed(entry)], "exit": [listed(through(p, entry)[0])]})
+
+    def final(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("__row", ignore_index=True)
+        entry = p["__entry"].iloc[0]
+        return appended(p, through(p, None if entry is None else tuple(entry))[1])
+
+    bars = df.select("symbol", "ts", *MARKS, *[c for c in inputs if c not in ("symbol", "ts")])
+    known = kept(slices.neighbours(bars, warm).groupBy("symbol").applyInPandas(guess, states), "states")
+    left = F.lag("exit").over(Window.partitionBy("symbol").orderBy("__slice"))
+    while True:
+        checked = known.withColumn("__entry", left)
+        wrong = kept(checked.where(~F.col("entry").eqNullSafe(F.col("__entry"))).select("symbol", "__slice", "__entry"), "wrong")
+        if not wrong.limit(1).count():
+            break
+        mended = bars.join(wrong, ["symbol", "__slice"]).groupBy("symbol", "__slice").applyInPandas(again, states)
+        known = kept(known.join(wrong, ["symbol", "__slice"], "left_anti").unionByName(mended), "states")
+    entries = known.select("symbol", "__slice", F.col("entry").alias("__entry"))
+    return df.join(entries, ["symbol", "__slice"]).select(*[F.col(f"`{c}`") for c in df.columns], "__entry").groupBy("symbol", "__slice").applyInPandas(final, schema)
+
+
 def affine(df: DataFrame, a: str, b: str, out: str, block: int = 4096) -> DataFrame:
     """Append ``out`` = a * (``out`` of the row before) + b, in blocks of rows that are the work of many tasks.
 
@@ -68,7 +138,7 @@ def affine(df: DataFrame, a: str, b: str, out: str, block: int = 4096) -> DataFr
     block, and each block then starts from what the blocks before it give. A row with a = 0 starts anew from b; rows before
     the first such row (a and b NULL) are NULL.
     """
-    rows = df.withColumn("__rn", place()).withColumn("__block", F.floor(F.col("__rn") / block))
+    rows = df.withColumn("__rn", place(df)).withColumn("__block", F.floor(F.col("__rn") / block))
 
     def through(p: pd.DataFrame, y: float) -> list[float]:
         got = []

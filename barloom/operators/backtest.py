@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import by_time, flag, lag, place, sd, sma, true_range
+from barloom.functions.slices import place
+from barloom.functions.windows import by_time, flag, lag, sd, sma, true_range
 from barloom.operators import trend, volume
 
 TRADES = "symbol string, side int, entry_ts timestamp_ntz, exit_ts timestamp_ntz, entry double, exit double, bars int, ret double"
@@ -77,7 +78,7 @@ def range_trades(df: DataFrame, n: int = 14, target: float = 3.0, stop: float =
 def three_bar_signal(df: DataFrame) -> DataFrame:
     """``signal``: 1 if the high beats the last one, the low beats the high before that, and that high the last low; mirrored for -1. Begins on the fourth bar."""
     h, lo = F.col("high"), F.col("low")
-    late = place() >= 3
+    late = place(df) >= 3
     up = late & (h > lag("high")) & (lo > lag("high", 2)) & (lag("high", 2) > lag("low"))
     down = late & (h < lag("high")) & (lo < lag("high", 2)) & (lag("high", 2) < lag("low"))
     return df.withColumn("signal", flag(up) - flag(down))
@@ -125,7 +126,7 @@ def performance(bars: DataFrame, done: DataFrame, cash: float = 100_000.0, cost:
         F.max_by("equity", "ts").alias("final_value"), F.count("*").alias("__n"), (F.stddev_samp("bar_return") * F.sqrt(F.lit(periods))).alias("annual_volatility"), F.min("drawdown").alias("max_drawdown")
     )
     steps = steps.withColumn("total_return", F.col("final_value") / cash - 1)
-    steps = steps.withColumn("annual_return", F.pow(1 + F.col("total_return"), periods / F.col("__n")) - 1).withColumn("sharpe", sd("annual_return", "annual_volatility"))
+    steps = steps.withColumn("annual_return", F.pow(F.col("final_value") / cash, periods / F.col("__n")) - 1).withColumn("sharpe", sd("annual_return", "annual_volatility"))
     win, loss = F.when(F.col("ret") > 0, F.col("ret")), F.when(F.col("ret") <= 0, F.col("ret"))
     seconds = F.unix_timestamp(F.col("exit_ts").cast("timestamp")) - F.unix_timestamp(F.col("entry_ts").cast("timestamp"))
     of_trades = done.groupBy("symbol").agg(

@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.kernels import affine, ewm, fading, memory_of, scan
-from barloom.functions.windows import by_time, before, diff, flag, lag, middle, place, roll, sma, true_range
+from barloom.functions.kernels import affine, ewm, fading, memory_of, walk
+from barloom.functions.slices import bounded, place
+from barloom.functions.windows import by_time, before, diff, flag, lag, middle, roll, sma, true_range
 
 
 def supertrend(df: DataFrame, n: int = 10, multiple: float = 3.0) -> DataFrame:
     """Bands of the mean range that only tighten while the price stays inside; rows before n are 0."""
-    d = df.withColumn("__tr", true_range()).withColumn("__a", sma("__tr", n))
+    d = bounded(df, lambda d: d.withColumn("__tr", true_range()).withColumn("__a", sma("__tr", n)), n + 1)
     d = d.withColumns({"__up": middle() + multiple * F.col("__a"), "__low": middle() - multiple * F.col("__a")})
 
-    def fn(p):
-        up, low, close = p["__up"].tolist(), p["__low"].tolist(), p["close"].tolist()
-        size = len(close)
-        line, way = [0.0] * size, [0] * size
-        top = bottom = 0.0
-        for k in range(n, size):
-            top = min(up[k], top) if close[k - 1] <= top or up[k] < up[k - 1] else up[k]
-            bottom = max(low[k], bottom) if close[k - 1] >= bottom or low[k] > low[k - 1] else low[k]
-            falling = close[k] <= top
-            line[k], way[k] = (top, -1) if falling else (bottom, 1)
-        return {"supertrend": line, "supertrend_direction": way}
+    def go(state: tuple | None, bar: tuple) -> tuple[tuple, tuple]:
+        # The state: both lines, and the last bar's close and bands.
+        row, close, up, low = bar
+        top, bottom, last, last_up, last_low = state or (0.0, 0.0, close, up, low)
+        line, way = 0.0, 0.0
+        if row >= n:
+            top = min(up, top) if last <= top or up < last_up else up
+            bottom = max(low, bottom) if last >= bottom or low > last_low else low
+            line, way = (top, -1.0) if close <= top else (bottom, 1.0)
+        return (top, bottom, close, up, low), (line, way)
 
-    return scan(d, fn, ["supertrend", "supertrend_direction"]).drop("__a", "__tr", "__up", "__low")
+    d = d.withColumn("__rn", place(d))
+    return walk(d, ["__rn", "close", "__up", "__low"], go, ["supertrend", "supertrend_direction"]).drop("__rn", "__a", "__tr", "__up", "__low")
 
 
 def vervoort_tsi(df: DataFrame, slow: int = 25, fast: int = 13, signal: int = 7) -> DataFrame:
@@ -44,7 +46,7 @@ def vervoort_tsi(df: DataFrame, slow: int = 25, fast: int = 13, signal: int = 7)
 
 def regression_channel(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
     """Least squares over the last n rows: slope, intercept at the first of them, r2 (NULL for constant prices), end and bands."""
-    d = df.withColumn("__rn", place())
+    d = df.withColumn("__rn", place(df))
     w = by_time().rowsBetween(-(n - 1), 0)
     full = F.count("close").over(w) == n
     x, y = F.col("__rn"), F.col("close")
@@ -62,10 +64,10 @@ def regression_channel(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFr
 
 def vidya(df: DataFrame, n: int = 9, period: int = 26) -> DataFrame:
     """A mean whose weight follows the momentum of the last n changes; begins at row n with the price."""
-    d = df.withColumn("__d", diff("close"))
-    d = d.withColumns({"__g": roll(F.when(F.col("__d") >= 0, F.col("__d")).otherwise(0.0), F.sum, n), "__l": roll(F.when(F.col("__d") < 0, -F.col("__d")).otherwise(0.0), F.sum, n)})
+    rises = {"__g": roll(F.when(F.col("__d") >= 0, F.col("__d")).otherwise(0.0), F.sum, n), "__l": roll(F.when(F.col("__d") < 0, -F.col("__d")).otherwise(0.0), F.sum, n)}
+    d = bounded(df, lambda d: d.withColumn("__d", diff("close")).withColumns(rises), n + 1)
     weight = 2 / (period + 1) * F.coalesce(F.abs(F.try_divide(F.col("__g") - F.col("__l"), F.col("__g") + F.col("__l"))), F.lit(0.0))
-    d = d.withColumn("__rn", place())
+    d = d.withColumn("__rn", place(d))
     d = d.withColumns({"__a": F.when(F.col("__rn") == n, 0.0).when(F.col("__rn") > n, 1 - weight), "__b": F.when(F.col("__rn") == n, F.col("close")).when(F.col("__rn") > n, weight * F.col("close"))})
     return affine(d.drop("__rn"), "__a", "__b", "vidya").drop("__d", "__g", "__l", "__a", "__b")
 
@@ -73,15 +75,15 @@ def vidya(df: DataFrame, n: int = 9, period: int = 26) -> DataFrame:
 def instantaneous_trendline(df: DataFrame, alpha: float = 0.07) -> DataFrame:
     """A mean that takes double weight while the price is not above it."""
 
-    def fn(p):
-        x = p["close"].tolist()
-        out = x[:1]
-        for v in x[1:]:
-            a = alpha if v > out[-1] else 2 * alpha
-            out.append(a * v + (1 - a) * out[-1])
-        return {"it": out}
+    def go(state: tuple | None, bar: tuple) -> tuple[tuple, tuple]:
+        (v,) = bar
+        if state is None:
+            return (v,), (v,)
+        a = alpha if v > state[0] else 2 * alpha
+        out = a * v + (1 - a) * state[0]
+        return (out,), (out,)
 
-    return scan(df, fn, ["it"])
+    return walk(df, ["close"], go, ["it"])
 
 
 def zlsma(df: DataFrame, n: int = 50) -> DataFrame:
@@ -92,19 +94,21 @@ def zlsma(df: DataFrame, n: int = 50) -> DataFrame:
 def mcginley_dynamic(df: DataFrame, n: int = 14, k: float = 0.6) -> DataFrame:
     """A mean that follows falls faster than rises; begins with the mean of the first n. Where it leaves all bounds it ends (NULL)."""
 
-    def fn(p):
-        x = p["close"].to_numpy()
-        out = np.full(len(x), np.nan)
-        if len(x) >= n:
-            out[n - 1] = x[:n].mean()
-        with np.errstate(all="ignore"):
-            for t in range(n, len(x)):
-                last = out[t - 1]
-                out[t] = last + (x[t] - last) / (k * n * (x[t] / last) ** 4)
-        return {"mcginley": np.where(np.isfinite(out), out, np.nan)}
+    def go(state: tuple | None, bar: tuple) -> tuple[tuple, tuple]:
+        row, x, first = bar
+        if row < n:
+            out = first if row == n - 1 else math.nan
+        else:
+            last = first if state is None else state[0]  # a guess begins anywhere
+            try:
+                pace = (x / last) ** 4
+            except (ZeroDivisionError, OverflowError):
+                pace = math.inf if x else math.nan
+            out = last + (x - last) / (k * n * pace) if pace else math.nan
+        return (out,), (out if math.isfinite(out) else None,)
 
-    d = scan(df, fn, ["mcginley"])
-    return d.withColumn("mcginley", F.when(~F.isnan("mcginley"), F.col("mcginley")))
+    d = bounded(df, lambda d: d.withColumns({"__rn": place(d), "__m": sma("close", n)}), n)
+    return walk(d, ["__rn", "close", "__m"], go, ["mcginley"]).drop("__rn", "__m")
 
 
 def ib_boxes(df: DataFrame, period: int = 1) -> DataFrame:
@@ -124,12 +128,12 @@ def frama(df: DataFrame, n: int = 16, fast: int = 1, slow: int = 200) -> DataFra
     half = n // 2
     edge = lambda f, a, b: f("close").over(by_time().rowsBetween(a, b))
     span = lambda a, b, k: (edge(F.max, a, b) - edge(F.min, a, b)) / k
-    d = df.withColumns({"__n1": span(-n, -half - 1, half), "__n2": span(-half, -1, half), "__n3": span(-n, -1, n)})
+    first = F.avg("close").over(by_time().rowsBetween(-(n - 1), 0))
+    d = bounded(df, lambda d: d.withColumns({"__n1": span(-n, -half - 1, half), "__n2": span(-half, -1, half), "__n3": span(-n, -1, n), "__m": first}), n)
     parts = F.col("__n1") + F.col("__n2")
     dimension = F.when(parts > 0, F.when(F.col("__n3") > 0, F.log2(parts / F.col("__n3"))).otherwise(2.0)).otherwise(1.0)
     speed = F.exp(-4.6 * (F.least(F.greatest(dimension, F.lit(1.0)), F.lit(2.0)) - 1))
     weight = 2 / (speed * (fast - slow) + slow + 1)
-    first = F.avg("close").over(by_time().rowsBetween(-(n - 1), 0))
-    d = d.withColumns({"__rn": place(), "__w": weight, "__m": first})
+    d = d.withColumns({"__rn": place(d), "__w": weight})
     d = d.withColumns({"__a": F.when(F.col("__rn") == n - 1, 0.0).when(F.col("__rn") >= n, 1 - F.col("__w")), "__b": F.when(F.col("__rn") == n - 1, F.col("__m")).when(F.col("__rn") >= n, F.col("__w") * F.col("close"))})
     return affine(d.drop("__rn"), "__a", "__b", "frama").drop("__n1", "__n2", "__n3", "__w", "__m", "__a", "__b")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import by_time, flag, lag, pct, place, sd
+from barloom.functions.slices import place
+from barloom.functions.windows import by_time, flag, lag, pct, sd
 
 
 def three_way(df: DataFrame, ahead: int = 5, least: float = 0.002) -> DataFrame:
@@ -40,7 +41,7 @@ def windows_before(df: DataFrame, k: int = 10, column: str = "close", label: str
 def split_by_time(df: DataFrame, share: float = 0.8) -> DataFrame:
     """``is_train`` for the first ``share`` of each symbol's rows."""
     whole = F.count("*").over(Window.partitionBy("symbol"))
-    return df.withColumn("is_train", place() < F.floor(whole * share))
+    return df.withColumn("is_train", place(df) < F.floor(whole * share))
 
 
 def standardised(df: DataFrame, columns: list[str], train: str = "is_train") -> DataFrame:

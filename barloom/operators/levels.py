@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.kernels import scan
-from barloom.functions.windows import by_time, high_of, lag, low_of, place, sma, std
+from barloom.functions.kernels import walk
+from barloom.functions.slices import place
+from barloom.functions.windows import by_time, high_of, lag, low_of, sma, std
 
 
 def pivot_points(df: DataFrame, method: str = "standard", period: int = 1) -> DataFrame:
@@ -41,7 +42,7 @@ def swings(df: DataFrame, k: int = 5, threshold: float = 0.0) -> DataFrame:
 
 def order_blocks(df: DataFrame, n: int = 10, move: float = 0.01) -> DataFrame:
     """The last opposite candle before a close-to-close move of more than ``move``, at most n bars back: the candle's high and low; looks ahead by n."""
-    d = df.withColumns({"__rn": place(), "__m": F.try_divide(F.col("close"), lag("close")) - 1})
+    d = df.withColumns({"__rn": place(df), "__m": F.try_divide(F.col("close"), lag("close")) - 1})
     ahead = by_time().rowsBetween(1, n)
     out = {}
     for name, strong, opposite in (("bullish_ob", F.col("__m") > move, F.col("close") < F.col("open")), ("bearish_ob", F.col("__m") < -move, F.col("close") > F.col("open"))):
@@ -52,22 +53,20 @@ def order_blocks(df: DataFrame, n: int = 10, move: float = 0.01) -> DataFrame:
     return d.withColumns(out).drop("__rn", "__m")
 
 
-def zigzag_path(close: list[float], percent: float) -> list[float | None]:
-    """Turning points: the anchor moves with the trend, and against it, when the price is more than ``percent`` away."""
-    out: list[float | None] = [None] * len(close)
-    anchor, trend = close[0], 0
-    out[0] = anchor
-    for k in range(1, len(close)):
-        change = (close[k] / anchor - 1) * 100 if anchor else 0.0
-        trend = trend or (1 if change > 0 else -1)
-        if abs(change) > percent:
-            trend = trend if (change > 0) == (trend > 0) else -trend
-            out[k] = anchor = close[k]
-    return out
+def zigzag_walk(percent: float):
+    """Turning points bar by bar, for ``walk``: the anchor moves, with the trend or against it, when the price is more than ``percent`` away from it."""
+
+    def go(state: tuple | None, bar: tuple) -> tuple[tuple, tuple]:
+        (close,) = bar
+        if state is None or state[0] and abs((close / state[0] - 1) * 100) > percent:
+            return (close,), (close,)
+        return state, (None,)
+
+    return go
 
 
 def zigzag(df: DataFrame, percent: float = 5.0) -> DataFrame:
-    return scan(df, lambda p: {"zigzag": zigzag_path(p["close"].tolist(), percent)}, ["zigzag"])
+    return walk(df, ["close"], zigzag_walk(percent), ["zigzag"])
 
 
 def mean_reversion_channel(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:

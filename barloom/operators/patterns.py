@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import by_time, flag, place
+from barloom.functions.slices import place
+from barloom.functions.windows import by_time, flag
 
 
 def extrema(df: DataFrame, k: int = 5, price: str = "close") -> DataFrame:
@@ -81,7 +82,7 @@ def rectangle(df: DataFrame, n: int = 10, near: float = 0.01) -> DataFrame:
 
 
 def _triangle(df: DataFrame, n: int, near: float, up: bool, out: str) -> DataFrame:
-    d = df.withColumn("__rn", place())
+    d = df.withColumn("__rn", place(df))
     w = by_time().rowsBetween(-n, -1)
     slope, last = F.regr_slope(F.col("close"), F.col("__rn")).over(w), F.lag("close").over(by_time())
     edge = (F.max if up else F.min)("close").over(w)
@@ -99,7 +100,7 @@ def descending_triangle(df: DataFrame, n: int = 10, near: float = 0.01) -> DataF
 
 def symmetric_triangle(df: DataFrame, n: int = 10, near: float = 0.05) -> DataFrame:
     """Falling highs and rising lows of three rows each inside the window, at about one pace."""
-    d = df.withColumns({"__rn": place(), "__h": F.max("close").over(by_time().rowsBetween(-2, 0)), "__l": F.min("close").over(by_time().rowsBetween(-2, 0))})
+    d = df.withColumns({"__rn": place(df), "__h": F.max("close").over(by_time().rowsBetween(-2, 0)), "__l": F.min("close").over(by_time().rowsBetween(-2, 0))})
     w = by_time().rowsBetween(-(n - 2), -1)
     top, low = F.regr_slope(F.col("__h"), F.col("__rn")).over(w), F.regr_slope(F.col("__l"), F.col("__rn")).over(w)
     return d.withColumn("symmetric_triangle", flag((F.col("__rn") >= n) & (top < 0) & (low > 0) & (F.abs(top - low) < near))).drop("__rn", "__h", "__l")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.kernels import ewm, fading, memory_of, scan
-from barloom.functions.windows import by_time, diff, high_of, lag, low_of, place, true_range, typical, wma
+from barloom.functions.kernels import ewm, fading, memory_of, walk
+from barloom.functions.slices import place
+from barloom.functions.windows import by_time, diff, high_of, lag, low_of, true_range, typical, wma
 
 
 def ema(df: DataFrame, n: int = 14, price: str = "close") -> DataFrame:
@@ -45,7 +46,7 @@ def t3ribbon(df: DataFrame, lengths: tuple[int, ...] = (5, 8, 13, 21, 34), price
 
 def trend_lines(df: DataFrame, n: int = 14, price: str = "close") -> DataFrame:
     """Support and resistance of the last n rows; the slope is that of the n rows before this one."""
-    d = df.withColumn("__rn", place())
+    d = df.withColumn("__rn", place(df))
     w = by_time().rowsBetween(-n, -1)
     slope = F.when(F.col("__rn") >= n, F.regr_slope(F.col(price), F.col("__rn")).over(w))
     return d.withColumns({"support": low_of(price, n), "resistance": high_of(price, n), "trend": slope}).drop("__rn")
@@ -89,19 +90,22 @@ def sar_step(state: tuple[float, float, float, bool], high: float, low: float, h
     return (min(stop, *lows) if up else max(stop, *highs)), extreme, speed, up
 
 
-def sar_path(high, low, start: float, step: float, most: float) -> list[float]:
-    """Parabolic stop and reverse: begins below the first bar, rising."""
-    state = (low[0], high[0], start, True)
-    out = [state[0]]
-    for k in range(1, len(high)):
-        near = slice(max(0, k - 2), k)
-        state = sar_step(state, high[k], low[k], high[near], low[near], start, step, most)
-        out.append(state[0])
-    return out
+def sar_walk(start: float, step: float, most: float):
+    """The stop bar by bar, for ``walk``: its state is the stop, the extreme, the speed, the side and the last two bars. It begins below the first bar, rising."""
+
+    def go(state: tuple | None, bar: tuple) -> tuple[tuple, tuple]:
+        high, low = bar
+        if state is None:
+            return (low, high, start, 1.0, high, low, high, low), (low,)
+        stop, extreme, speed, up, h1, l1, h2, l2 = state
+        stop, extreme, speed, up = sar_step((stop, extreme, speed, up > 0), high, low, (h1, h2), (l1, l2), start, step, most)
+        return (stop, extreme, speed, float(up), high, low, h1, l1), (stop,)
+
+    return go
 
 
 def parabolic_sar(df: DataFrame, start: float = 0.02, step: float = 0.02, most: float = 0.2) -> DataFrame:
-    return scan(df, lambda p: {"psar": sar_path(p["high"].tolist(), p["low"].tolist(), start, step, most)}, ["psar"])
+    return walk(df, ["high", "low"], sar_walk(start, step, most), ["psar"])
 
 
 def ichimoku(df: DataFrame, tenkan: int = 9, kijun: int = 26, span_b: int = 52, shift: int = 26) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.kernels import ewm, fading, memory_of
+from barloom.functions.slices import bounded, running
 from barloom.functions.windows import cum, diff, lag, middle, pct, rsum, sd, sma, std, typical
 
 
 def obv(df: DataFrame) -> DataFrame:
-    d = df.withColumn("__v", F.coalesce(F.signum(diff("close")), F.lit(0.0)) * F.col("volume"))
-    return d.withColumn("obv", cum("__v")).drop("__v")
+    d = bounded(df, lambda d: d.withColumn("__v", F.coalesce(F.signum(diff("close")), F.lit(0.0)) * F.col("volume")), 1)
+    return running(d, "__v", "obv").drop("__v")
 
 
 def vma(df: DataFrame, n: int = 20) -> DataFrame:
@@ -34,7 +35,7 @@ def cmf(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def adline(df: DataFrame) -> DataFrame:
-    return _flow(df).withColumn("adline", cum("__mfv")).drop("__mfv")
+    return running(_flow(df), "__mfv", "adline").drop("__mfv")
 
 
 def mfi(df: DataFrame, n: int = 14, out: str = "mfi") -> DataFrame:
@@ -60,7 +61,7 @@ def eom(df: DataFrame, n: int = 14, divisor: float = 10000) -> DataFrame:
 
 
 def pvt(df: DataFrame) -> DataFrame:
-    return df.withColumn("__x", pct("close") * F.col("volume")).withColumn("pvt", cum("__x")).drop("__x")
+    return running(bounded(df, lambda d: d.withColumn("__x", pct("close") * F.col("volume")), 1), "__x", "pvt").drop("__x")
 
 
 def fi(df: DataFrame, n: int = 13) -> DataFrame:
@@ -117,7 +118,7 @@ def tvi(df: DataFrame, tick: float = 0.01, n: int = 14) -> DataFrame:
 
 def cdv(df: DataFrame) -> DataFrame:
     d = df.withColumn("delta_volume", F.signum(diff("close")) * F.col("volume"))
-    return d.withColumn("cdv", cum("delta_volume"))
+    return running(d, "delta_volume", "cdv")
 
 
 def vfi(df: DataFrame, n: int = 130, coef: float = 0.2, vcoef: float = 2.5, smooth: int = 5) -> DataFrame:

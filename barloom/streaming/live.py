@@ -56,15 +56,13 @@ def ema(stream: DataFrame, n: int = 14, price: str = "close") -> DataFrame:
 def parabolic_sar(stream: DataFrame, start: float = 0.02, pace: float = 0.02, most: float = 0.2) -> DataFrame:
     """The stop of ``trend.parabolic_sar`` on a stream: its state is the stop, the extreme, the speed, the side and the last two bars."""
 
+    go = trend.sar_walk(start, pace, most)
+
     def step(state: tuple | None, bar: dict) -> tuple[tuple, float]:
-        high, low = float(bar["high"]), float(bar["low"])
-        if state is None:
-            return (low, high, start, True, high, low, high, low), low
-        stop, extreme, speed, up, h1, l1, h2, l2 = state
-        stop, extreme, speed, up = trend.sar_step((stop, extreme, speed, up), high, low, (h1, h2), (l1, l2), start, pace, most)
-        return (stop, extreme, speed, up, high, low, h1, l1), stop
-
-    fields = "stop double, extreme double, speed double, up boolean, h1 double, l1 double, h2 double, l2 double"
+        now, (stop,) = go(state, (float(bar["high"]), float(bar["low"])))
+        return now, stop
+
+    fields = "stop double, extreme double, speed double, up double, h1 double, l1 double, h2 double, l2 double"
     return walk(stream, step, fields, "psar", ("high", "low"))
 
 
