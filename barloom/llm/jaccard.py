@@ -170,8 +170,8 @@ def _joined(value: np.ndarray, doc: np.ndarray, sub: np.ndarray, first: np.ndarr
 
 
 def bitmaps(value: np.ndarray, doc: np.ndarray, count: int) -> list[bytes]:
-    """For each document a bitmap of the low bits of its shingles, of a power of two of bits: eight, or more than it has shingles and at most twice as many."""
-    bits = np.maximum(8, np.int64(1) << np.frexp(np.bincount(doc, minlength=count))[1].astype(np.int64))
+    """For each document a bitmap of the low bits of its shingles, of a power of two of bits: more than four times its shingles, and at most eight times as many."""
+    bits = np.maximum(8, np.int64(4) << np.frexp(np.bincount(doc, minlength=count))[1].astype(np.int64))
     ends = np.cumsum(bits)
     flat = np.zeros(int(ends[-1]) if count else 0, dtype=bool)
     flat[(ends - bits)[doc] + (value & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)] = True
@@ -312,8 +312,11 @@ def join(docs: DataFrame, percent: int = 85, size: int = 4, rare: int = 7, commo
     # Keys under which several sets meet, by size: sets of one group may be linked by their sizes, or nearly so. Each group has a leader,
     # the set that meets most others under all its keys.
     keys = nodes.select("node", F.explode("keys").alias("key"))
-    crowds = keys.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    meeting = cut(keys.join(crowds, "key"), "meeting")
+    crowds = keys.groupBy("key").agg(F.count("*").alias("crowd"), F.min("node").alias("first"), F.max("node").alias("last")).where("crowd > 1")
+    crowds = cut(crowds, "crowds")
+    pairs = crowds.where("crowd = 2").select(F.explode(F.array("first", "last")).alias("node"), "key", "crowd")
+    larger = keys.join(joinable(crowds.where("crowd > 2").select("key", "crowd"), "larger", 16 << 20), "key").select("node", "key", "crowd")
+    meeting = cut(pairs.union(larger), "meeting")
     weight = meeting.groupBy("node").agg(F.sum("crowd").alias("weight"))
     band = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))
     sized = meeting.join(weight.join(nodes.select("node", "n"), "node"), "node").select("node", "n", "weight", F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("group"))
