@@ -14,7 +14,7 @@ order inside all groups is read off from the smallest suffix on, along the same
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -292,24 +292,62 @@ class _Counters:
         self.values, self.counts = both[counts > 0], counts[counts > 0]
 
 
-def hot_anchors(texts: DataFrame, length: int, piece: int, hot: int, most: int = 100_000) -> np.ndarray:
-    """Anchors (sorted) that more than about ``hot`` spans have, or the ``most`` / 2-th part of all spans, if that is more.
+Values = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 
-    So there are at most ``most`` / 2 of them. Each task keeps ``most`` counters; they are added up by anchor.
+def _frequent(texts: DataFrame, values: Callable[[], Values], hot: int, most: int, name: str) -> np.ndarray:
+    """The values (sorted) of texts, by a function made anew in each task, that occur more than about ``hot`` times, or more often than the ``most`` / 2-th part of all, if that is more.
+
+    So there are at most ``most`` / 2 of them. Each task keeps ``most`` counters; they are added up by value.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Counters(most)
+        held, of = _Counters(most), values()
         for batch in batches:
             for part in slices(batch, 0, 1 << 20):
-                held.add(spans_of(*text_bytes(part.column(0)), length, piece)[3].view(np.int64))
+                held.add(of(*text_bytes(part.column(0))))
         many = held.counts > 1  # a single one is hot in no task, and there are many
-        yield pa.RecordBatch.from_arrays([pa.array([*held.values[many].tolist(), None], pa.int64()), pa.array([*held.counts[many].tolist(), held.total], pa.int64())], names=["anchor", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([*held.values[many].tolist(), None], pa.int64()), pa.array([*held.counts[many].tolist(), held.total], pa.int64())], names=["value", "n"])
+
+    counts = cut(texts.mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")), name)
+    total = counts.where("value is null").agg(F.max("n")).first()[0] or 0
+    got = counts.where(F.col("value").isNotNull() & (F.col("n") > max(hot, 2 * total // most))).select("value").toArrow()
+    return np.sort(got.column("value").to_numpy())
+
+
+def hot_anchors(texts: DataFrame, length: int, piece: int, hot: int, most: int = 100_000) -> np.ndarray:
+    """Anchors that many spans have."""
+    return _frequent(texts, lambda: lambda flat, offsets: spans_of(flat, offsets, length, piece)[3].view(np.int64), hot, most, "anchors")
+
+
+def hot_cells(texts: DataFrame, crowded: np.ndarray, length: int, piece: int, cell: int, hot: int, most: int = 100_000) -> np.ndarray:
+    """Routes of cells of the ``crowded`` anchors that many spans have: their texts share a passage somewhat shorter than a window. Equal spans of a task count once."""
+    if not len(crowded):
+        return crowded
+    shared = texts.sparkSession.sparkContext.broadcast(crowded)
+
+    def routes() -> Values:
+        met: set[int] = set()
+
+        def of(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+            doc, first, windows, anchor = spans_of(flat, offsets, length, piece)
+            anchor = anchor.view(np.int64)
+            at = np.flatnonzero(np.isin(anchor, shared.value))
+            begin, raw, runs = (offsets[doc] + first).tolist(), flat.tobytes(), first << 8 | windows
+            found = []
+            for k in at.tolist():
+                part = raw[begin[k] : begin[k] + int(windows[k]) + length - 1]
+                name = xxhash.xxh3_64_intdigest(part)
+                if name not in met:
+                    if len(met) >= 200_000:
+                        met.clear()
+                    met.add(name)
+                    found += [route for route, *_ in cells_of(part, int(anchor[k]), int(runs[k]), length, piece, cell)]
+            return np.array(found, dtype=np.int64)
 
-    counts = cut(texts.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
-    total = counts.where("anchor is null").agg(F.max("n")).first()[0] or 0
-    got = counts.where(F.col("anchor").isNotNull() & (F.col("n") > max(hot, 2 * total // most))).select("anchor").toArrow()
-    return np.sort(got.column("anchor").to_numpy())
+        return of
+
+    return _frequent(texts, routes, hot, most, "cells")
 
 
 def drop_repeats(docs: DataFrame, length: int = 200, piece: int = 64, hot: int = 2000, cell: int = 4) -> DataFrame:
@@ -317,7 +355,8 @@ def drop_repeats(docs: DataFrame, length: int = 200, piece: int = 64, hot: int =
 
     A byte goes if it lies in a window of ``length`` bytes that also starts anywhere else in the table, the same text
     included; windows are judged on the input. Texts are UTF-8 bytes (null: empty), ``kept`` are the bytes left, n_spans the
-    maximal removed runs. Anchors that more than ``hot`` spans have are dealt out in cells of ``cell`` windows. Each row is a
+    maximal removed runs. Anchors that more than ``hot`` spans have are dealt out in cells of ``cell`` windows, and cells that more than
+    ``hot`` spans have window by window. Each row is a
     text of its own: equal rows repeat each other, and rows that share an id are apart. Null ids and extra columns pass, an
     empty table gives no rows. Texts under ``length`` bytes stay whole.
     """
@@ -326,14 +365,15 @@ def drop_repeats(docs: DataFrame, length: int = 200, piece: int = 64, hot: int =
     # A text is named by two hashes and its length: equal texts lose the same bytes.
     body = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     body = body.withColumns({"key": F.xxhash64("text", F.octet_length("text")), "key2": F.xxhash64(F.lit(1), "text")})
-    shared = docs.sparkSession.sparkContext.broadcast(hot_anchors(body.select("text"), length, piece, hot))
+    anchors = hot_anchors(body.select("text"), length, piece, hot)
+    shared = docs.sparkSession.sparkContext.broadcast((anchors, frozenset(hot_cells(body.select("text"), anchors, length, piece, cell, hot).tolist())))
     names = ["route", "anchor", "d1", "d2", "key", "key2", "run", "known"]
     types = [*[pa.int64()] * 7, pa.bool_()]
     digest = xxhash.xxh3_128_intdigest
     low, mask = (1 << 63), (1 << 64) - 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowded = shared.value
+        crowded, crowded_cells = shared.value
         met: dict[tuple[int, int], list] = {}
         for batch in batches:
             for part in slices(batch, 2, 1 << 20):
@@ -352,23 +392,36 @@ def drop_repeats(docs: DataFrame, length: int = 200, piece: int = 64, hot: int =
                 calm = ~is_hot
                 yield pa.RecordBatch.from_arrays([pa.array(c[calm]) for c in (anchor, anchor, d1, d2, key, key2, run)] + [pa.array(np.zeros(int(calm.sum()), bool))], names=names)
                 rows = []
+
+                def goes_on(at: tuple[int, int], name: list[int], own: int) -> bool:
+                    """Of equal spans, or windows, one goes on and stands for those met after it, which are repeated, as it is."""
+                    before = met.get(at)
+                    if before is None:
+                        if len(met) >= 200_000:
+                            met.clear()
+                        met[at] = [*name, False]
+                        return True
+                    if not before[3]:
+                        rows.append((before[0], own, 0, 0, *before[:3], True))
+                        before[3] = True
+                    if before[:3] != name:
+                        rows.append((name[0], own, 0, 0, *name, True))
+                    return False
+
                 for k in np.flatnonzero(is_hot).tolist():
-                    name = [int(key[k]), int(key2[k]), int(run[k])]
-                    # Of equal spans one goes on and stands for those met after it, which are repeated, as it is.
-                    before = met.get((int(anchor[k]), span[k]))
-                    if before is not None:
-                        if not before[3]:
-                            rows.append((before[0], int(anchor[k]), 0, 0, *before[:3], True))
-                            before[3] = True
-                        if before[:3] != name:
-                            rows.append((name[0], int(anchor[k]), 0, 0, *name, True))
+                    own, name = int(anchor[k]), [int(key[k]), int(key2[k]), int(run[k])]
+                    if not goes_on((own, span[k]), name, own):
                         continue
-                    if len(met) >= 200_000:
-                        met.clear()
-                    met[int(anchor[k]), span[k]] = [*name, False]
-                    for route, cell_run, text in cells_of(raw[begin[k] : end[k]], int(anchor[k]), name[2], length, piece, cell):
-                        d = digest(text)
-                        rows.append((route, int(anchor[k]), (d >> 64) - low, (d & mask) - low, *name[:2], cell_run, False))
+                    for route, cell_run, text in cells_of(raw[begin[k] : end[k]], own, name[2], length, piece, cell):
+                        if route not in crowded_cells:
+                            d = digest(text)
+                            rows.append((route, own, (d >> 64) - low, (d & mask) - low, *name[:2], cell_run, False))
+                            continue
+                        for i in range(cell_run & 255):  # windows that are equal share the route; there is nothing else in it
+                            d = digest(text[i : i + length])
+                            window = [*name[:2], ((cell_run >> 8) + i) << 8 | 1]
+                            if goes_on((~own, d), window, own):
+                                rows.append(((d & mask) - low, own, (d >> 64) - low, (d & mask) - low, *window, False))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 

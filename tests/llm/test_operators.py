@@ -324,6 +324,49 @@ def test_repeats_match_brute_force(spark, odd):
     assert suffixes.drop_repeats(table(spark, texts).where("false")).count() == 0
 
 
+def test_passages_a_little_shorter_than_a_window(spark):
+    """Texts that share a passage somewhat shorter than a window meet in one cell; its windows are dealt out one by one."""
+    rng = random.Random(12)
+    letters = "abcdefghij"
+    texts = []
+    for length in (190, 197, 198, 199, 200):
+        passage = "".join(rng.choice("klmnop") for _ in range(length))
+        for _ in range(60):
+            before, after = ("".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in "xy")
+            texts.append(before + passage + after)
+    rng.shuffle(texts)
+    body = table(spark, texts).select(F.encode("text", "UTF-8").alias("text"))
+    anchors = suffixes.hot_anchors(body, 200, 64, 20)
+    assert len(suffixes.hot_cells(body, anchors, 200, 64, 4, 20)) > 0
+    seen = collections.Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    want = {}
+    for i, t in enumerate(texts):
+        gone = [any(seen[t[j : j + 200]] > 1 for j in range(max(0, k - 199), min(k, len(t) - 200) + 1)) for k in range(len(t))]
+        want[i] = "".join(c for c, g in zip(t, gone) if not g)
+    for hot in (20, 1_000_000):
+        got = {r.doc_id: bytes(r.kept).decode() for r in suffixes.drop_repeats(table(spark, texts).repartition(5), hot=hot).collect()}
+        assert got == want
+
+
+def test_no_group_holds_all_that_share_a_passage(spark, monkeypatch):
+    rng = random.Random(13)
+    passage = "".join(rng.choice("klmnop") for _ in range(198))
+    texts = ["".join(rng.choice("abcdefghijqrstuvwxyz") for _ in range(30)) + passage + "".join(rng.choice("abcdefghijqrstuvwxyz") for _ in range(30)) for _ in range(12_000)]
+    sizes = []
+    whole = suffixes.cut
+
+    def noted(df, name):
+        out = whole(df, name)
+        if name == "spans":
+            sizes.append(out.where("route is not null").groupBy("route").count().agg(F.max("count")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(suffixes, "cut", noted)
+    removed = suffixes.drop_repeats(table(spark, texts).repartition(8)).agg(F.sum(F.when(F.col("n_removed") > 0, 1).otherwise(0))).first()[0]
+    seen = collections.Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    assert removed == sum(any(seen[t[k : k + 200]] > 1 for k in range(len(t) - 199)) for t in texts) and sizes[0] <= 2000
+
+
 def test_hot_anchors_and_many_copies(spark, monkeypatch):
     rng = random.Random(8)
     letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
