@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from datetime import datetime
+from dataclasses import dataclass
+from datetime import datetime, timedelta
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from barloom.sources.bars import BARS
 
@@ -13,41 +14,75 @@ from barloom.sources.bars import BARS
 Fetch = Callable[[str, datetime, datetime | None], Iterable[tuple]]
 
 
-def candle_source(fetch: Fetch, name: str = "candles") -> type[DataSource]:
-    """A data source to register with ``spark.dataSource.register``. Options: symbols (joined by commas), start and, for tables, end (ISO times).
+@dataclass
+class Span(InputPartition):
+    """What one task asks the service for: the candles of a symbol with start < ts <= end."""
 
-    A table reads each symbol in a task of its own. A stream asks, at each trigger, for what is later than the last bar it has;
-    its offset is the time of the last bar of each symbol, so a restart goes on there. Keys and addresses stay inside ``fetch``.
+    symbol: str
+    start: datetime
+    end: datetime | None
+
+
+def spans(symbols: list[str], start: datetime, end: datetime | None, days: float | None) -> list[Span]:
+    """A span for each symbol, cut every ``days`` if given and if it has an end."""
+    if end is None or days is None:
+        return [Span(s, start, end) for s in symbols]
+    step, cuts = timedelta(days=days), [start]
+    while cuts[-1] + step < end:
+        cuts.append(cuts[-1] + step)
+    return [Span(s, a, b) for s in symbols for a, b in zip(cuts, [*cuts[1:], end])]
+
+
+def candle_source(fetch: Fetch, name: str = "candles", now: Callable[[], datetime] = datetime.now) -> type[DataSource]:
+    """A data source to register with ``spark.dataSource.register``. Options: symbols (joined by commas), start and, for tables, end (ISO times);
+    ``days`` cuts what a task asks for, ``delay`` (seconds) is how far a stream stays behind ``now``, for candles that the service still completes.
+
+    Fetching is the work of tasks, one for each symbol and span of time; the driver only reads the clock. A stream's offset is the time up to
+    which it has asked, so a restart asks for the rest, and a batch that runs again asks for the same candles; ``now`` may
+    not go back between runs. Keys and addresses stay inside ``fetch``.
     """
 
-    def rows(symbol: str, start: str, end: str | None) -> Iterator[tuple]:
-        for ts, *values in fetch(symbol, datetime.fromisoformat(start), datetime.fromisoformat(end) if end else None):
-            yield (symbol, ts, *(None if v is None else float(v) for v in values))
+    def options_of(options: dict) -> tuple[list[str], datetime, float | None]:
+        days = options.get("days")
+        return options["symbols"].split(","), datetime.fromisoformat(options["start"]), None if days is None else float(days)
+
+    def rows(span: Span) -> Iterator[tuple]:
+        for ts, *values in fetch(span.symbol, span.start, span.end):
+            yield (span.symbol, ts, *(None if v is None else float(v) for v in values))
 
     class Reader(DataSourceReader):
         def __init__(self, options: dict):
-            self.symbols, self.start, self.end = options["symbols"].split(","), options["start"], options.get("end")
+            self.symbols, self.start, self.days = options_of(options)
+            self.end = datetime.fromisoformat(options["end"]) if options.get("end") else None
 
         def partitions(self) -> list[InputPartition]:
-            return [InputPartition(s) for s in self.symbols]
+            return spans(self.symbols, self.start, self.end, self.days)
 
-        def read(self, partition: InputPartition) -> Iterator[tuple]:
-            return rows(partition.value, self.start, self.end)
+        def read(self, partition: Span) -> Iterator[tuple]:
+            return rows(partition)
 
-    class Stream(SimpleDataSourceStreamReader):
+    class Stream(DataSourceStreamReader):
         def __init__(self, options: dict):
-            self.symbols, self.start = options["symbols"].split(","), options["start"]
+            self.symbols, self.start, self.days = options_of(options)
+            self.delay = timedelta(seconds=float(options.get("delay", 0)))
+            self.known = self.start
 
         def initialOffset(self) -> dict:
-            return {s: self.start for s in self.symbols}
+            return {"until": self.start.isoformat()}
+
+        def latestOffset(self) -> dict:
+            self.known = max(self.known, now() - self.delay)
+            return {"until": self.known.isoformat()}
+
+        def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+            a, b = (datetime.fromisoformat(x["until"]) for x in (start, end))
+            return spans(self.symbols, a, b, self.days) if a < b else []
 
-        def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-            got = [row for s in self.symbols for row in rows(s, start[s], None)]
-            end = start | {s: max((r[1] for r in got if r[0] == s), default=datetime.fromisoformat(start[s])).isoformat() for s in self.symbols}
-            return iter(got), end
+        def read(self, partition: Span) -> Iterator[tuple]:
+            return rows(partition)
 
-        def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-            return (row for s in self.symbols for row in rows(s, start[s], end[s]))
+        def commit(self, end: dict) -> None:
+            pass
 
     class Source(DataSource):
         @classmethod
@@ -60,7 +95,7 @@ def candle_source(fetch: Fetch, name: str = "candles") -> type[DataSource]:
         def reader(self, schema) -> DataSourceReader:
             return Reader(self.options)
 
-        def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        def streamReader(self, schema) -> DataSourceStreamReader:
             return Stream(self.options)
 
     return Source

@@ -101,17 +101,37 @@ def test_orders_are_written_once(spark, tmp_path):
 def test_pulled_candles_as_table_and_stream(spark, tmp_path):
     from barloom.sources import pull
 
+    clock = tmp_path / "clock"  # read in the driver's Python at each trigger
+
     def fetch(symbol, start, end):
-        days = (datetime(2024, 1, k) for k in range(1, 8))
-        return [(d, 1.0, 2.0, 0.5, d.day + (symbol == "B"), None) for d in days if start < d and (end is None or d <= end)]
+        from pyspark import TaskContext
+
+        days = (datetime(2024, 1, k) for k in range(1, 31))
+        return [(d, 1.0, 2.0, 0.5, d.day + (symbol == "B"), float(TaskContext.get() is not None)) for d in days if start < d and (end is None or d <= end)]
 
-    spark.dataSource.register(pull.candle_source(fetch))
+    spark.dataSource.register(pull.candle_source(fetch, now=lambda: datetime.fromisoformat(clock.read_text())))
     options = {"symbols": "A,B", "start": "2024-01-02T00:00:00"}
     table = spark.read.format("candles").options(**options, end="2024-01-04T00:00:00").load()
     assert table.columns == [f.name for f in bars.BARS]
     assert sorted((r.symbol, r.ts.day, r.close) for r in table.collect()) == [("A", 3, 3.0), ("A", 4, 4.0), ("B", 3, 4.0), ("B", 4, 5.0)]
-    for _ in range(2):  # a restart brings nothing twice
-        q = spark.readStream.format("candles").options(**options).load().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+    parts = spark.read.format("candles").options(**options, end="2024-01-09T00:00:00", days="2").load()
+    assert parts.rdd.getNumPartitions() == 8 and parts.count() == 14
+    out = str(tmp_path / "out")
+    for now in ("2024-01-05T12:00:00", "2024-01-11T00:00:00", "2024-01-11T02:00:00"):  # restarts, also without anything new
+        clock.write_text(now)
+        stream = spark.readStream.format("candles").options(**options, days="3", delay="3600").load()
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).start()
         q.processAllAvailable()
         q.stop()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+    got = spark.read.parquet(out).collect()
+    assert sorted((r.symbol, r.ts.day) for r in got) == [(s, d) for s in "AB" for d in range(3, 12)]
+    assert {r.volume for r in got} == {1.0}  # fetched in tasks
+
+
+def test_spans_of_time():
+    from barloom.sources import pull
+
+    day = lambda k: datetime(2024, 1, k)
+    assert [(s.symbol, s.start, s.end) for s in pull.spans(["A"], day(1), day(4), 2)] == [("A", day(1), day(3)), ("A", day(3), day(4))]
+    assert [(s.start, s.end) for s in pull.spans(["A", "B"], day(1), None, 2)] == [(day(1), None)] * 2
+    assert [(s.start, s.end) for s in pull.spans(["A"], day(1), day(3), 2)] == [(day(1), day(3))]
