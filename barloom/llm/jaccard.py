@@ -319,11 +319,13 @@ def join(docs: DataFrame, percent: int = 85, size: int = 4, rare: int = 7, commo
     meeting = cut(pairs.union(larger), "meeting")
     weight = meeting.groupBy("node").agg(F.sum("crowd").alias("weight"))
     band = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))
-    sized = meeting.join(weight.join(nodes.select("node", "n"), "node"), "node").select("node", "n", "weight", F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("group"))
-    heavy = sized.groupBy("group").agg(F.max(F.struct("weight", "node", "n")).alias("top"), F.count("*").alias("crowd")).where("crowd > 1")
-    led = cut(sized.join(heavy.select("group", F.col("top.node").alias("leader"), F.col("top.n").alias("n_leader")), "group").select("group", "node", "n", "leader", "n_leader"), "led")
+    sized = meeting.join(weight.join(nodes.select("node", "n"), "node"), "node").select("key", "node", "n", "weight", F.explode(F.array(band, band + 1)).alias("band"))
+    heavy = sized.groupBy("key", "band").agg(F.max(F.struct("weight", "node", "n")).alias("top"), F.count("*").alias("crowd")).where("crowd > 1")
+    # From here on the sets of one leader and one band are a group, under whichever keys they meet.
+    led = sized.join(heavy.select("key", "band", F.col("top.node").alias("leader"), F.col("top.n").alias("n_leader")), ["key", "band"]).where("node != leader")
+    led = cut(led.groupBy("leader", "band", "node").agg(F.first("n").alias("n"), F.first("n_leader").alias("n_leader")).select(F.xxhash64("leader", "band").alias("group"), "node", "n", "leader", "n_leader"), "led")
     near_in_size = 100 * F.least("n", "n_leader") >= percent * F.greatest("n", "n_leader")
-    links = cut(led.where(near_in_size & (F.col("node") != F.col("leader"))).select("node", "leader").distinct(), "links")
+    links = cut(led.where(near_in_size).select("node", "leader").distinct(), "links")
     # Bitmaps tell most pairs that can't be linked; a pair's distance is at least what they leave.
     maps = nodes.select("node", "n", "bits")
     theirs = maps.select(F.col("node").alias("leader"), F.col("n").alias("n_leader"), F.col("bits").alias("bits_leader"))
@@ -365,7 +367,7 @@ def join(docs: DataFrame, percent: int = 85, size: int = 4, rare: int = 7, commo
     d = 1 - F.col("shared") / F.col("joint")
     by_bits = 1 - F.col("most") / (F.col("n") + F.col("n_leader") - F.col("most"))
     least = F.coalesce(d, by_bits, 1 - F.least("n", "n_leader") / F.greatest("n", "n_leader"))
-    far = led.where("node != leader").join(judged, ["node", "leader"], "left").join(bounded.select("node", "leader", "most"), ["node", "leader"], "left").withColumn("d", least).join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    far = led.join(judged, ["node", "leader"], "left").join(bounded.select("node", "leader", "most"), ["node", "leader"], "left").withColumn("d", least).join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
     nearest = far.where(F.col("d") > reach).groupBy("group").agg(F.min("d").alias("nearest"))
     several = far.join(nearest, "group").where((F.col("d") > reach) | (F.col("d") + reach >= F.col("nearest"))).select("group", "node", "n", "label")
     # Groups of one label are settled; of groups with the same sets one stands for all.
