@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.kernels import walk
 from barloom.functions.slices import place
 from barloom.functions.windows import by_time, flag, lag, sd, sma, true_range
 from barloom.operators import trend, volume
@@ -119,6 +120,34 @@ def account(bars: DataFrame, done: DataFrame, cash: float = 100_000.0, cost: flo
     return d.withColumn("drawdown", F.col("equity") / F.greatest(F.max("equity").over(w), F.lit(cash)) - 1).select("symbol", "ts", "bar_return", "equity", "drawdown")
 
 
+def costed(df: DataFrame, size: float = 1.0, commission: float = 0.0005, slippage: float = 0.0002, cash: float = 100_000.0) -> DataFrame:
+    """Append ``cash``, ``units`` and ``equity``: the account of each symbol bar by bar, for a frame with a ``signal``.
+
+    A signal of 1 buys if nothing or less is held, -1 sells if nothing or more is held; what was held the other way is closed first, so the position
+    turns. A position takes ``size`` of the cash then free; purchases cost the close and ``slippage`` more, sales bring that much less, and
+    ``commission`` is taken from both. What a short sale brings is cash. An account that is worth nothing or less ends: it stays at zero.
+    Bars without a close or signal leave the position as it is. In a frame that is cut, slices are run side by side (``walk``).
+    """
+
+    def go(state: tuple | None, bar: tuple) -> tuple[tuple, tuple]:
+        close, signal = bar
+        free, units, last = state or (cash, 0.0, 0.0)
+        if close is None or close != close:
+            return (free, units, last), (free, units, free + units * last)
+        price = close * (1 + slippage * signal) if signal == signal and signal is not None else close
+        if signal in (1, -1) and signal * units <= 0:
+            free += units * price - commission * abs(units) * price
+            value = free * size
+            units = signal * value * (1 - commission) / price if price else 0.0
+            free -= units * price + value * commission
+        equity = free + units * close
+        if equity <= 0:
+            free = units = equity = 0.0
+        return (free, units, close), (free, units, equity)
+
+    return walk(df, ["close", "signal"], go, ["cash", "units", "equity"])
+
+
 def performance(bars: DataFrame, done: DataFrame, cash: float = 100_000.0, cost: float = 0.0, periods: float = 252.0) -> DataFrame:
     """One row a symbol: total and annualised return, annualised volatility and their quotient (Sharpe, without a riskless rate), worst fall and final value
     from the account after each bar (``periods`` bars a year), and the trades' number, win rate, mean win and loss, profit factor and days held."""

@@ -330,6 +330,20 @@ _plain("bt1_range_trades", lambda s, d: _rounded(backtest.range_trades(sources.d
 _three = [*_T3, {"h1": L("high"), "h2": L("high", 2), "l1": L("low"), "a8": f"t3_8 - {L('t3_8')}", "a13": f"t3_13 - {L('t3_13')}", "place": RN["rn"]}, {"signal": "CASE WHEN place < 3 THEN 0 WHEN high > h1 AND low > h2 AND h2 > l1 AND (a8 > 0 OR a13 > 0) THEN 1 WHEN high < h1 AND low < h2 AND h2 < l1 AND (a8 < 0 OR a13 < 0) THEN -1 ELSE 0 END"}]
 _THREE = traded("by_type", _three, _plan(0.005, 0.003, False), _opens, {}, 0.0)
 _plain("bt2_three_bar_trades", lambda s, d: _rounded(backtest.three_bar_trades(sources.by_type(s, d))), f"{_THREE} SELECT {_TRADE} FROM t")
+# The account with part positions: what is free after closing, and what a turn makes of it.
+_price, _turns = "r.close * (1 + 0.0002 * r.signal)", "(r.signal <> 0 AND r.signal * p.units <= 0)"
+_free = f"(p.cash + p.units * {_price} - 0.0005 * abs(p.units) * {_price})"
+_units = f"CASE WHEN {_turns} THEN r.signal * {_free} * 0.2 * 0.9995 / ({_price}) ELSE p.units END"
+_cash = f"CASE WHEN {_turns} THEN {_free} * (1 - r.signal * 0.2 * 0.9995 - 0.2 * 0.0005) ELSE p.cash END"
+_worth = f"({_cash} + ({_units}) * r.close)"
+_alive = lambda x: f"CASE WHEN {_worth} > 0 THEN {x} ELSE 0 END"
+_first = {"signal": "r.signal", "cash": "CAST(100000 AS DOUBLE)", "units": "CAST(0 AS DOUBLE)", "equity": "CAST(100000 AS DOUBLE)"}
+_COSTED = steps("by_type", _SG3, _first, {"signal": "r.signal", "cash": _alive(_cash), "units": _alive(_units), "equity": _alive(_worth)})
+_plain(
+    "bt4_costed",
+    lambda s, d: _rounded(backtest.costed(signals.mfi_turn(sources.by_type(s, d)), size=0.2).select("symbol", "ts", "signal", "cash", "units", "equity")),
+    f"{_COSTED} SELECT symbol, ts, signal, round(cash, 6) + 0.0 AS cash, round(units, 6) + 0.0 AS units, round(equity, 6) + 0.0 AS equity FROM s",
+)
 _past = f"OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _ACCOUNT = f"""{_RANGES}, j AS (SELECT b.symbol, b.ts, b.close, i.side AS i, o.exit AS o FROM {f"({BARS['daily_orders']})"} b LEFT JOIN t i ON i.symbol = b.symbol AND i.entry_ts = b.ts LEFT JOIN t o ON o.symbol = b.symbol AND o.exit_ts = b.ts),
     k AS (SELECT *, coalesce(CASE WHEN count(i) {_past} > count(o) {_past} THEN last_value(i IGNORE NULLS) {_past} * (coalesce(o, close) / nullif({L('close')}, 0) - 1) END, 0) - CASE WHEN i IS NULL THEN 0 ELSE 0.0007 END - CASE WHEN o IS NULL THEN 0 ELSE 0.0007 END AS bar_return FROM j),

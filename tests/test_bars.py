@@ -168,3 +168,27 @@ def test_replay_and_sinks(spark, tmp_path):
     assert column(replay.with_warm_up(spark.read.parquet(path), "2024-01-29 00:00:00", 2), "close") == [27, 28, 29, 30] * 2
     sinks.features(got, str(tmp_path / "f"))
     assert spark.read.parquet(str(tmp_path / "f")).count() == 3
+
+
+def test_costed_accounts(spark):
+    from barloom.functions import slices
+    from barloom.operators import backtest
+
+    def run(closes, sides, **given):
+        rows = [("A", (pd.Timestamp("2024-01-01") + pd.Timedelta(days=k)).to_pydatetime(), c, s) for k, (c, s) in enumerate(zip(closes, sides))]
+        df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double, signal int")
+        out = [(r.cash, r.units, r.equity) for r in backtest.costed(df, **given).orderBy("ts").collect()]
+        cut = [(r.cash, r.units, r.equity) for r in backtest.costed(slices.cut(df, 2), **given).orderBy("ts").collect()]
+        assert out == cut
+        return out
+
+    plain = {"commission": 0.0, "slippage": 0.0, "cash": 100.0}
+    assert run([10.0, 10.0, 20.0, 5.0], [0, 1, -1, None], size=0.5, **plain) == [(100, 0, 100), (50, 5, 100), (225, -3.75, 150), (225, -3.75, 206.25)]
+    # A short that costs more than there is ends the account.
+    assert run([10.0, 30.0, 10.0, 10.0], [-1, 0, 1, -1], size=1.0, **plain) == [(200, -10, 100), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
+    # Costs: 1 % slippage, 2 % commission; a repeated signal and a missing close change nothing.
+    got = run([100.0, None, 100.0, 100.0], [1, 1, 1, -1], size=0.5, commission=0.02, slippage=0.01, cash=1000.0)
+    units = 500 * 0.98 / 101
+    assert got[0] == pytest.approx((500, units, 500 + units * 100)) and got[1] == got[0] == got[2]
+    free = 500 + units * 99 * 0.98
+    assert got[3] == pytest.approx((free + free * 0.5 * 0.96, -free * 0.5 * 0.98 / 99, free + free * 0.5 * 0.96 - free * 0.5 * 0.98 / 99 * 100))
