@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import diff as _diff
-from barloom.operators import backtest, candles, extra, features, labels, learning, levels, momentum, patterns, portfolio, signals, trend, volatility, volume
+from barloom.operators import backtest, candles, extra, features, labels, learning, levels, momentum, networks, patterns, portfolio, signals, trend, volatility, volume
 from barloom.plans.oracle import BARS, CUM, DOWN, HL2, RN, TP, TR, UP, D, E, EG, L, O, R, W, listed, num, over, rsi, sql, steps, traded
 from barloom.sources import bars as sources
 
@@ -465,6 +465,19 @@ def _learnable(spark: SparkSession, d: str) -> DataFrame:
 _plain("ml3_components", lambda s, d: learning.components(_learnable(s, d))[0].select("symbol", "ts", F.transform(learning.vector_to_array("pca"), lambda v: F.round(v, 6)).alias("components")))
 _plain("ml4_forest", lambda s, d: learning.confusion((t := _learnable(s, d).cache()) and (f := learning.forest_search(t, trials=50)[0]).fit(t.where("is_train")).transform(t.where("not is_train"))))
 _plain("ml6_spread_over_seeds", lambda s, d: learning.spread_over_seeds(_learnable(s, d).cache(), samples=100))
+_LEARNED = ["cci", "tsv", "macd", "macd_signal", "rsi", "trend", "bb_percent"]
+_folds = lambda kind: lambda s, d: networks.walk_forward(labels.next_up(features.levels_and_oscillators(sources.by_type(s, d))), _LEARNED, kind)
+_plain("ml5_dropout", _folds("dropout"))
+_plain("ml5_variational", _folds("variational"))
+_said = lambda df: labels.next_up(df).withColumn("prediction", F.when(_diff("close") > 0, 1).otherwise(0))
+_plain(
+    "ml6_report",
+    lambda s, d: _rounded(networks.report(_said(sources.by_type(s, d)))),
+    f"""WITH q AS (SELECT CASE WHEN {L('close', -1)} / nullif(close, 0) - 1 > 0 THEN 1 ELSE 0 END AS a, CASE WHEN close - {L('close')} > 0 THEN 1 ELSE 0 END AS p FROM ({BARS['by_type']})),
+    t AS (SELECT a, p FROM q), c AS (SELECT unnest([0, 1]) AS class)
+    SELECT CAST(class AS INTEGER) AS class, round(count(*) FILTER (a = class AND p = class) / nullif(count(*) FILTER (p = class), 0), 6) AS precision, round(count(*) FILTER (a = class AND p = class) / nullif(count(*) FILTER (a = class), 0), 6) AS recall,
+    round(2 * count(*) FILTER (a = class AND p = class) / nullif(count(*) FILTER (a = class) + count(*) FILTER (p = class), 0), 6) AS f1, count(*) FILTER (a = class) AS support, round(count(*) FILTER (a = p) / count(*), 6) AS accuracy FROM t, c GROUP BY class""",
+)
 _plain("ml8_walk_forward", lambda s, d: learning.walk_forward(labels.windows_ending_here(labels.three_way(sources.by_type(s, d)), 40)))
 
 
