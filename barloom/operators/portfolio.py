@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import lag, pct, sd
+from barloom.functions.slices import MARKS, bounded
+from barloom.functions.windows import by_time, lag, pct, sd
 
 
 def hurst(df: DataFrame, longest: int = 100, price: str = "close") -> DataFrame:
     """One row a symbol: the slope of ln(spread of the change over a lag) on ln(lag), for lags 2 .. longest-1, and the regime.
 
-    All changes of a row are columns of one window, and their spreads one aggregation.
+    Each bar carries the prices before it as one array (one window), and gives its changes as rows, which are aggregated before they are shuffled.
     """
-    lags = range(2, longest)
-    d = df.select("symbol", *[(F.col(price) - lag(price, k)).alias(f"d{k}") for k in lags])
-    wide = d.groupBy("symbol").agg(*[F.stddev_pop(f"d{k}").alias(f"d{k}") for k in lags])
-    spread = wide.select("symbol", F.explode(F.array(*[F.struct(F.lit(float(k)).alias("lag"), F.col(f"d{k}").alias("s")) for k in lags])).alias("x")).select("symbol", "x.lag", "x.s").where("s > 0")
+
+    def changes(d: DataFrame) -> DataFrame:
+        past = F.collect_list(F.struct(F.col(price).alias("v"))).over(by_time().rowsBetween(1 - longest, 0))
+        return d.withColumn("__past", past)
+
+    d = bounded(df.select("symbol", "ts", price, *[c for c in MARKS if c in df.columns]), changes, longest)
+    held = F.size("__past")
+    change = F.transform(F.sequence(F.lit(2), held - 1), lambda k: F.struct(k.cast("double").alias("lag"), (F.col(price) - F.element_at("__past", -1 - k)["v"]).alias("d")))
+    spread = d.where(held > 2).select("symbol", F.explode(change).alias("x")).groupBy("symbol", "x.lag").agg(F.stddev_pop("x.d").alias("s")).where("s > 0")
     out = spread.groupBy("symbol").agg(F.regr_slope(F.ln("s"), F.ln("lag")).alias("hurst"))
     return out.withColumn("regime", F.when(F.col("hurst") < 0.5, "mean reverting").when(F.col("hurst") > 0.5, "trending").otherwise("random"))
 

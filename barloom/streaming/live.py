@@ -26,20 +26,24 @@ def bars(ticks: DataFrame, key: str, ts: str, price: str, every: str = "1 hour",
 def walk(stream: DataFrame, step: Callable[[tuple | None, dict], tuple[tuple, float | None]], state: str, out: str, inputs: tuple[str, ...] = ("close",)) -> DataFrame:
     """(symbol, ts, ``out``) of a stream of bars: ``step`` takes the symbol's state (None at first; its fields are ``state``) and a bar, and gives the next state and a value.
 
-    A symbol's state is all that is kept. Bars of a batch are taken in order of time.
+    A symbol's state and the time of its last bar are all that is kept. Bars are taken in order of time: one that isn't later than the last of its symbol
+    gives nothing, as it can't change what has been said.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(held.get) if held.exists else None
-        rows = pd.concat(list(batches)).sort_values("ts", ignore_index=True)
+        now, last = (tuple(held.get[:-1]), held.get[-1]) if held.exists else (None, None)
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable").drop_duplicates("ts")
+        rows = (rows if last is None else rows[rows["ts"] > last]).reset_index(drop=True)
+        if rows.empty:
+            return
         values = []
         for bar in rows[list(inputs)].to_dict("records"):
             now, value = step(now, bar)
             values.append(value)
-        held.update(now)
+        held.update((*now, rows["ts"].iloc[-1].to_pydatetime()))
         yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"], out: pd.Series(values, dtype="float64")})
 
-    return stream.groupBy("symbol").applyInPandasWithState(run, f"symbol string, ts timestamp, {out} double", state, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("symbol").applyInPandasWithState(run, f"symbol string, ts timestamp, {out} double", f"{state}, last timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
 def ema(stream: DataFrame, n: int = 14, price: str = "close") -> DataFrame:

@@ -17,7 +17,7 @@ def test_ema_of_a_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, "symbol string, ts timestamp, close double")
     path = str(tmp_path / "in")
     for k in range(3):
-        spark.createDataFrame(rows[10 * k : 10 * k + 10], df.schema).coalesce(1).write.mode("append").parquet(path)
+        spark.createDataFrame(rows[max(0, 10 * k - 2) : 10 * k + 10], df.schema).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(df.schema).parquet(path)
     q = live.ema(stream, 5).writeStream.format("memory").queryName("ema_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
