@@ -4,7 +4,7 @@ a symbol in one pass or, in a frame that is cut (``slices``), from guessed state
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -69,6 +69,15 @@ def scan(df: DataFrame, fn: Callable[[pd.DataFrame], dict], outs: list[str]) ->
 Step = Callable[[tuple | None, tuple], tuple[tuple, tuple]]
 
 
+def path(step: Step, bars: Iterable[tuple]) -> list[tuple]:
+    """The values that ``step`` gives along ``bars``, from the first on."""
+    state, out = None, []
+    for bar in bars:
+        state, value = step(state, bar)
+        out.append(value)
+    return out
+
+
 def walk(df: DataFrame, inputs: list[str], step: Step, outs: list[str], warm: int = 500) -> DataFrame:
     """Append ``outs``: ``step`` takes the state (floats; None before the first bar) and the ``inputs`` of a bar, and gives the next state and the values.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.kernels import walk
+from barloom.functions.kernels import path, walk
 from barloom.functions.slices import place
 from barloom.functions.windows import by_time, high_of, lag, low_of, sma, std
 
@@ -65,6 +65,11 @@ def zigzag_walk(percent: float):
     return go
 
 
+def zigzag_path(close: list[float], percent: float) -> list[float | None]:
+    """The turning points along the closes of one symbol."""
+    return [turn for (turn,) in path(zigzag_walk(percent), zip(close))]
+
+
 def zigzag(df: DataFrame, percent: float = 5.0) -> DataFrame:
     return walk(df, ["close"], zigzag_walk(percent), ["zigzag"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.kernels import ewm, fading, memory_of, walk
+from barloom.functions.kernels import ewm, fading, memory_of, path, walk
 from barloom.functions.slices import place
 from barloom.functions.windows import by_time, diff, high_of, lag, low_of, true_range, typical, wma
 
@@ -104,6 +104,11 @@ def sar_walk(start: float, step: float, most: float):
     return go
 
 
+def sar_path(high, low, start: float, step: float, most: float) -> list[float]:
+    """The stop along the bars of one symbol."""
+    return [stop for (stop,) in path(sar_walk(start, step, most), zip(high, low))]
+
+
 def parabolic_sar(df: DataFrame, start: float = 0.02, step: float = 0.02, most: float = 0.2) -> DataFrame:
     return walk(df, ["high", "low"], sar_walk(start, step, most), ["psar"])
 
