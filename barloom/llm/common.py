@@ -50,6 +50,14 @@ def sweep(spark: SparkSession) -> int:
     return n
 
 
+def forget(df: DataFrame) -> None:
+    """Remove a table that ``cut`` has written, now that nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def joinable(df: DataFrame, name: str, most_bytes: int = 32 << 20) -> DataFrame:
     """``df``, written, to be joined with: broadcast if its rows were found to take ``most_bytes`` or less, else left to a shuffle."""
     written = cut(df, name)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.bagminhash import shingles
-from barloom.llm.common import components, cut, group_runs, joinable, mix64, scan_texts, slices
+from barloom.llm.common import components, cut, forget, group_runs, joinable, mix64, scan_texts, slices
 
 _U = np.uint64
 _SEGMENT = 4096
@@ -170,8 +170,8 @@ def _joined(value: np.ndarray, doc: np.ndarray, sub: np.ndarray, first: np.ndarr
 
 
 def bitmaps(value: np.ndarray, doc: np.ndarray, count: int) -> list[bytes]:
-    """For each document a bitmap of the low bits of its shingles, of a power of two of bits: more than four times its shingles, and at most eight times as many."""
-    bits = np.maximum(8, np.int64(4) << np.frexp(np.bincount(doc, minlength=count))[1].astype(np.int64))
+    """For each document a bitmap of the low bits of its shingles, of a power of two of bits: more than twice its shingles, and at most four times as many."""
+    bits = np.maximum(8, np.int64(2) << np.frexp(np.bincount(doc, minlength=count))[1].astype(np.int64))
     ends = np.cumsum(bits)
     flat = np.zeros(int(ends[-1]) if count else 0, dtype=bool)
     flat[(ends - bits)[doc] + (value & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)] = True
@@ -305,10 +305,12 @@ def join(docs: DataFrame, percent: int = 85, size: int = 4, rare: int = 7, commo
     """
     if percent < 85:
         raise ValueError("percent has to be 85 or more")
-    rows = cut(signed(docs, shingle_levels(docs, size, bits), rare, common, percent, size), "signed")
+    every = cut(signed(docs, shingle_levels(docs, size, bits), rare, common, percent, size), "signed")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    nodes = rows.where("n > 0").groupBy("set_hash").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    nodes = every.where("n > 0").groupBy("set_hash").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = cut(every.select("doc_id", "n", "set_hash"), "rows")
+    forget(every)  # keys and bitmaps are with the nodes
     # Keys under which several sets meet, by size: sets of one group may be linked by their sizes, or nearly so. Each group has a leader,
     # the set that meets most others under all its keys.
     keys = nodes.select("node", F.explode("keys").alias("key"))
