@@ -1,4 +1,5 @@
-"""Small Bayesian classifiers, fitted fold by fold: a network with dropout in training and prediction, and one with distributions for weights.
+"""Small Bayesian classifiers, fitted fold by fold: a network with dropout in training and prediction, one with distributions for weights, and
+a recurrent one with dropout that reads the rows before.
 
 A fold is a window of ``train`` rows of a symbol and the ``step`` rows after it, so a group is bounded whatever the series; folds are the
 work of many tasks. The last fifth of a fold's training rows (by time) stops the fit: the weights with the least loss there stay.
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.slices import place
+from barloom.operators.labels import windows_before
 
 Weights = list[tuple[np.ndarray, np.ndarray]]
 FORM = "symbol string, fold long, ts timestamp_ntz, target int, probability double, uncertainty double, prediction int, confidence double, epochs int"
@@ -45,15 +47,24 @@ def loss_of(odds: np.ndarray, y: np.ndarray) -> float:
 def gradients(weights: Weights, x: np.ndarray, y: np.ndarray, masks: list[np.ndarray] | None = None) -> Weights:
     """Of ``loss_of``, by each weight."""
     odds, inputs = forward(weights, x, masks)
-    back = ((1 / (1 + np.exp(-np.clip(odds, -500, 500))) - y) / len(y))[:, None]
-    out: Weights = []
+    return backward(weights, inputs, slope_of(odds, y), masks)[0]
+
+
+def slope_of(odds: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of ``loss_of``, by the log odds of each row."""
+    return (1 / (1 + np.exp(-np.clip(odds, -500, 500))) - y) / len(y)
+
+
+def backward(weights: Weights, inputs: list[np.ndarray], slope: np.ndarray, masks: list[np.ndarray] | None = None) -> tuple[Weights, np.ndarray]:
+    """Gradients by each weight and by the first input, from those by the log odds."""
+    back, out = slope[:, None], []
     for k in range(len(weights) - 1, -1, -1):
         out.append((inputs[k].T @ back, back.sum(axis=0)))
         if k:
             back = (back @ weights[k][0].T) * (inputs[k] > 0)
             if masks is not None:
                 back = back * masks[k - 1]
-    return out[::-1]
+    return out[::-1], back @ weights[0][0].T
 
 
 class Adam:
@@ -145,7 +156,108 @@ class Variational:
         return forward(self.drawn(self.noise()), x)[0]
 
 
-KINDS = {"dropout": Dropout, "variational": Variational}
+def _squash(a: np.ndarray) -> np.ndarray:
+    return 0.5 + 0.5 * np.tanh(0.5 * a)
+
+
+def gated(w: np.ndarray, b: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """The outputs of a layer of cells with input, forget and output gates over ``x`` (row, step, channel), and what its gradients need."""
+    m = len(b) // 4
+    h = c = np.zeros((len(x), m))
+    out, kept = [], []
+    for t in range(x.shape[1]):
+        z = np.concatenate([x[:, t], h], axis=1)
+        a = z @ w + b
+        gates, new = _squash(a[:, : 3 * m]), np.tanh(a[:, 3 * m :])
+        take, keep, show = gates[:, :m], gates[:, m : 2 * m], gates[:, 2 * m :]
+        before, c = c, keep * c + take * new
+        shown = np.tanh(c)
+        h = show * shown
+        out.append(h)
+        kept.append((z, take, keep, show, new, before, shown))
+    return np.stack(out, axis=1), kept
+
+
+def gated_back(w: np.ndarray, kept: list[tuple], slope: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients by weights, offsets and inputs of ``gated``, through all steps, from those by its outputs."""
+    n, steps, m = slope.shape
+    channels = len(w) - m
+    by_w, by_b, by_x = np.zeros_like(w), np.zeros(w.shape[1]), np.empty((n, steps, channels))
+    by_h = by_c = np.zeros((n, m))
+    for t in range(steps - 1, -1, -1):
+        z, take, keep, show, new, before, shown = kept[t]
+        d = slope[:, t] + by_h
+        dc = by_c + d * show * (1 - shown**2)
+        da = np.concatenate([dc * new * take * (1 - take), dc * before * keep * (1 - keep), d * shown * show * (1 - show), dc * take * (1 - new**2)], axis=1)
+        by_w += z.T @ da
+        by_b += da.sum(axis=0)
+        back = da @ w.T
+        by_x[:, t], by_h, by_c = back[:, :channels], back[:, channels:], dc * keep
+    return by_w, by_b, by_x
+
+
+class Recurrent:
+    """Two layers of gated cells over the ``steps`` rows before, then a network with one hidden layer; the outputs of all layers are dropped
+    with probability ``rate``, in training and in each sample. A row is its steps one after the other, each of width / steps values."""
+
+    def __init__(self, width: int, rng: np.random.Generator, steps: int = 10, hidden: tuple[int, int] = (8, 8), dense: int = 8, rate: float = 0.2) -> None:
+        if width % steps:
+            raise ValueError("a row has to hold as many values in each step")
+        self.steps, self.hidden, self.dense, self.rate, self.rng = steps, hidden, dense, rate, rng
+        sizes = [width // steps, *hidden]
+        self.cells: Weights = []
+        for a, m in zip(sizes, hidden):
+            offset = np.zeros(4 * m)
+            offset[m : 2 * m] = 1  # cells remember at first
+            self.cells.append((rng.normal(0, np.sqrt(1 / (a + m)), (a + m, 4 * m)), offset))
+        self.head = started([hidden[-1], dense, 1], rng)
+
+    def values(self) -> list[np.ndarray]:
+        return [v for pair in [*self.cells, *self.head] for v in pair]
+
+    def masks(self, rows: int) -> list[np.ndarray]:
+        return [(self.rng.random((rows, n)) >= self.rate) / (1 - self.rate) for n in (*self.hidden, self.dense)]
+
+    def run(self, x: np.ndarray, masks: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray], list[list[tuple]]]:
+        """The log odds, the inputs of the network on top, and what the cells kept. A unit is dropped in all steps or in none."""
+        series, kept = x.reshape(len(x), self.steps, -1), []
+        for k, (w, b) in enumerate(self.cells):
+            series, memory = gated(w, b, series)
+            if masks is not None:
+                series = series * masks[k][:, None]
+            kept.append(memory)
+        odds, inputs = forward(self.head, series[:, -1], masks and masks[2:])
+        return odds, inputs, kept
+
+    def slopes(self, x: np.ndarray, y: np.ndarray, masks: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """Gradients of the loss, in the order of ``values``."""
+        odds, inputs, kept = self.run(x, masks)
+        on_top, last = backward(self.head, inputs, slope_of(odds, y), masks and masks[2:])
+        slope = np.zeros((len(x), self.steps, self.hidden[-1]))
+        slope[:, -1] = last
+        out: Weights = []
+        for k in range(len(self.cells) - 1, -1, -1):
+            if masks is not None:
+                slope = slope * masks[k][:, None]
+            by_w, by_b, slope = gated_back(self.cells[k][0], kept[k], slope)
+            out.append((by_w, by_b))
+        return [g for pair in [*out[::-1], *on_top] for g in pair]
+
+    def fit(self, x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, epochs: int = 200, patience: int = 20, pace: float = 0.02) -> int:
+        adam = Adam(self.values(), pace)
+        return until_worse(adam.values, lambda: adam.step(self.slopes(x, y, self.masks(len(x)))), lambda: loss_of(self.run(xv)[0], yv), epochs, patience)
+
+    def sample(self, x: np.ndarray) -> np.ndarray:
+        return self.run(x, self.masks(len(x)))[0]
+
+
+KINDS = {"dropout": Dropout, "variational": Variational, "recurrent": Recurrent}
+
+
+def sequences(df: DataFrame, columns: list[str], steps: int = 10, label: str = "target") -> DataFrame:
+    """(symbol, ts, sequence, ``label``): the ``columns`` of the ``steps`` rows before each row, one row after the other in one array."""
+    one = df.withColumn("__row", F.array(*[F.col(c).cast("double") for c in columns]))
+    return windows_before(one, steps, "__row", label).withColumn("sequence", F.flatten("sequence"))
 
 
 def folds(df: DataFrame, train: int, step: int) -> DataFrame:
@@ -155,13 +267,14 @@ def folds(df: DataFrame, train: int, step: int) -> DataFrame:
     return rows.withColumn("fold", F.explode(F.sequence(first, F.floor(F.col("__rn") / step))))
 
 
-def walk_forward(df: DataFrame, columns: list[str], kind: str = "dropout", train: int = 80, step: int = 20, samples: int = 100, seed: int = 42) -> DataFrame:
+def walk_forward(df: DataFrame, columns: list[str] | str, kind: str = "dropout", train: int = 80, step: int = 20, samples: int = 100, seed: int = 42, form: dict | None = None) -> DataFrame:
     """Predictions of the test rows of all folds: mean and spread of the probability of class 1 over ``samples`` draws of one fit.
 
     Needs ``target`` (0 or 1); rows with a missing column are left out. A fold needs all its ``train`` rows and one to test.
-    Columns are centred and scaled by the training rows. ``epochs`` is how long the fit went on to the weights that were kept.
+    ``columns`` may name one array of doubles, of one length in all rows; ``form`` has further arguments of the network. Columns are centred and scaled by the training rows. ``epochs`` is how long the fit went on to the weights that were kept.
     """
-    asked = df.select("symbol", "ts", F.col("target").cast("int").alias("target"), F.array(*[F.col(c).cast("double") for c in columns]).alias("__x")).where(~F.exists("__x", lambda v: v.isNull() | F.isnan(v)) & F.col("target").isNotNull())
+    x = F.col(columns) if isinstance(columns, str) else F.array(*[F.col(c).cast("double") for c in columns])
+    asked = df.select("symbol", "ts", F.col("target").cast("int").alias("target"), x.alias("__x")).where(~F.exists("__x", lambda v: v.isNull() | F.isnan(v)) & F.col("target").isNotNull())
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         symbol, fold = key
@@ -173,7 +286,7 @@ def walk_forward(df: DataFrame, columns: list[str], kind: str = "dropout", train
         mean, spread = x.mean(axis=0), x.std(axis=0)
         scaled = lambda v: (v - mean) / np.where(spread > 0, spread, 1)
         edge = train - max(1, train // 5)
-        net = KINDS[kind](x.shape[1], np.random.default_rng([seed, zlib.crc32(str(symbol).encode()), int(fold)]))
+        net = KINDS[kind](x.shape[1], np.random.default_rng([seed, zlib.crc32(str(symbol).encode()), int(fold)]), **(form or {}))
         epochs = net.fit(scaled(x[:edge]), y[:edge], scaled(x[edge:]), y[edge:])
         z = scaled(np.stack(test["__x"].to_numpy()))
         chance = np.stack([1 / (1 + np.exp(-np.clip(net.sample(z), -500, 500))) for _ in range(samples)])

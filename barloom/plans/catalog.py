@@ -469,6 +469,7 @@ _LEARNED = ["cci", "tsv", "macd", "macd_signal", "rsi", "trend", "bb_percent"]
 _folds = lambda kind: lambda s, d: networks.walk_forward(labels.next_up(features.levels_and_oscillators(sources.by_type(s, d))), _LEARNED, kind)
 _plain("ml5_dropout", _folds("dropout"))
 _plain("ml5_variational", _folds("variational"))
+_plain("ml5_recurrent", lambda s, d: networks.walk_forward(networks.sequences(labels.next_up(features.levels_and_oscillators(sources.by_type(s, d))), _LEARNED), "sequence", "recurrent"))
 _said = lambda df: labels.next_up(df).withColumn("prediction", F.when(_diff("close") > 0, 1).otherwise(0))
 _plain(
     "ml6_report",

@@ -41,6 +41,17 @@ def test_gradients_of_distributions():
     differences(loss, values, net.slopes(x, y, noise))
 
 
+def test_gradients_through_the_steps():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(12, 8)), rng.integers(0, 2, 12).astype(float)
+    net = networks.Recurrent(8, rng, steps=4, hidden=(3, 2), dense=4, rate=0.3)
+    net.head[0][1][:] = rng.normal(size=4)
+    masks = net.masks(12)
+    differences(lambda: networks.loss_of(net.run(x, masks)[0], y), net.values(), net.slopes(x, y, masks))
+    with pytest.raises(ValueError):
+        networks.Recurrent(7, rng, steps=4)
+
+
 def test_stops_and_puts_the_best_back():
     value, losses = [np.array([0.0])], iter([5.0, 3.0, 4.0, 4.0, 4.0, 1.0])
 
@@ -69,6 +80,23 @@ def test_folds_learn_and_do_not_depend_on_partitions(table, kind):
     assert np.mean([r.prediction == r.target for r in got]) > 0.85 and all(r.uncertainty > 0 and 0.5 <= r.confidence <= 1 and 0 < r.epochs <= 300 for r in got)
 
 
+def test_sequences_are_read_in_order(spark):
+    """The class follows from the value three rows before alone: a recurrent network learns it from the rows before, whatever the partitions."""
+    rng, rows = np.random.default_rng(5), []
+    for symbol in "AB":
+        u = rng.normal(size=240).tolist()
+        rows += [(symbol, datetime(2024, 1, 1) + timedelta(hours=k), u[k], 2.0 * k, int(u[k - 3] > 0)) for k in range(240)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, u double, v double, target int")
+    table = networks.sequences(bars, ["u", "v"], 4)
+    third = {r.ts: r.sequence for r in table.where("symbol = 'A'").collect()}
+    assert len(third) == 236 and third[rows[4][1]] == [x for k in range(4) for x in rows[k][2:4]]
+    cut = table.select("symbol", "ts", "target", networks.F.expr("filter(sequence, (x, i) -> i % 2 = 0)").alias("s"))
+    fit = lambda n: {(r.symbol, r.fold, r.ts): r for r in networks.walk_forward(cut.repartition(n), "s", "recurrent", train=160, step=76, samples=30, form={"steps": 4}).collect()}
+    one, six = fit(1), fit(6)
+    assert one.keys() == six.keys() and all(abs(r.probability - six[k].probability) < 1e-9 for k, r in one.items())
+    assert len(one) == 2 * 76 and np.mean([r.prediction == r.target for r in one.values()]) > 0.8
+
+
 def test_report(spark):
     rows = [(1, 1)] * 3 + [(1, 0)] * 2 + [(0, 0)] * 4 + [(0, 1)] + [(2, 1)] + [(None, 1), (1, None)]
     got = {r["class"]: r for r in networks.report(spark.createDataFrame(rows, "target int, prediction int")).collect()}
