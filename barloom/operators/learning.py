@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators import additive
 
 #: Fits that the driver asks Spark for at once.
 AT_ONCE = 8
@@ -54,10 +55,12 @@ def forest_search(df: DataFrame, trials: int = 5, seed: int = 42, label: str = "
         got = forest.fit(fit_on).transform(check).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
         return got or 0.0, forest
 
-    with ThreadPool(AT_ONCE) as pool:
-        got = pool.map(tried, settings)
-    fit_on.unpersist()
-    check.unpersist()
+    try:
+        with ThreadPool(AT_ONCE) as pool:
+            got = pool.map(tried, settings)
+    finally:
+        fit_on.unpersist()
+        check.unpersist()
     best = max(range(trials), key=lambda k: got[k][0])  # the first of equals
     return got[best][1], settings[best]
 
@@ -70,9 +73,11 @@ def spread_over_seeds(df: DataFrame, samples: int = 5, label: str = "target", hi
     known = scaler.transform(train).select("__x", label).cache()
     asked = scaler.transform(df.where("not is_train")).select("symbol", "ts", label, "__x")
     net = lambda seed: MultilayerPerceptronClassifier(layers=[width, hidden, 2], featuresCol="__x", labelCol=label, seed=seed, maxIter=50, tol=1e-3).fit(known)
-    with ThreadPool(AT_ONCE) as pool:
-        nets = pool.map(net, range(samples))
-    known.unpersist()
+    try:
+        with ThreadPool(AT_ONCE) as pool:
+            nets = pool.map(net, range(samples))
+    finally:
+        known.unpersist()
     # Each network adds a column; one row then holds all its probabilities.
     for seed, fitted in enumerate(nets):
         asked = fitted.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"__p{seed}").transform(asked)
@@ -101,8 +106,10 @@ def _one_against_rest(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: floa
     return w
 
 
-def walk_forward(samples: DataFrame, train: int = 20, step: int = 5) -> DataFrame:
-    """One prediction a fold: a one-against-rest logistic model on ``train`` sequences, tested on the next one.
+def walk_forward(samples: DataFrame, train: int = 20, step: int = 5, kind: str = "linear") -> DataFrame:
+    """One prediction a fold: a one-against-rest model on ``train`` sequences, tested on the next one.
+
+    ``linear`` is a logistic model of the sequence, ``kernels`` a sum of a linear, a periodic and a smooth part (``additive``).
 
     Folds are independent: each row is sent to the folds it belongs to, and a fold is a group of ``train`` + 1 rows.
     """
@@ -116,8 +123,12 @@ def walk_forward(samples: DataFrame, train: int = 20, step: int = 5) -> DataFram
             return pd.DataFrame(columns=["symbol", "fold", "ts", "label", "prediction"])
         x, y = np.stack(pdf["sequence"].to_numpy()), pdf["label"].to_numpy().astype(int)
         mean, spread = x[:train].mean(axis=0), x[:train].std(axis=0)
-        x = np.column_stack([(x - mean) / np.where(spread > 0, spread, 1), np.ones(len(x))])
-        w = _one_against_rest(x[:train], y[:train])
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "fold": [int(pdf["fold"].iloc[0])], "ts": [pdf["ts"].iloc[train]], "label": [y[train]], "prediction": [int((x[train] @ w).argmax())]})
+        x = (x - mean) / np.where(spread > 0, spread, 1)
+        if kind == "kernels":
+            said = int(additive.one_against_rest(x[: train + 1], y, train)[0])
+        else:
+            x = np.column_stack([x, np.ones(len(x))])
+            said = int((x[train] @ _one_against_rest(x[:train], y[:train])).argmax())
+        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "fold": [int(pdf["fold"].iloc[0])], "ts": [pdf["ts"].iloc[train]], "label": [y[train]], "prediction": [said]})
 
     return folds.groupBy("symbol", "fold").applyInPandas(run, "symbol string, fold long, ts timestamp_ntz, label int, prediction int")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import diff as _diff
-from barloom.operators import backtest, candles, extra, features, labels, learning, levels, momentum, networks, patterns, portfolio, signals, trend, volatility, volume
+from barloom.operators import additive, backtest, candles, extra, features, labels, learning, levels, momentum, networks, patterns, portfolio, signals, trend, volatility, volume
 from barloom.plans.oracle import BARS, CUM, DOWN, HL2, RN, TP, TR, UP, D, E, EG, L, O, R, W, listed, num, over, rsi, sql, steps, traded
 from barloom.sources import bars as sources
 
@@ -480,6 +480,8 @@ _plain(
     round(2 * count(*) FILTER (a = class AND p = class) / nullif(count(*) FILTER (a = class) + count(*) FILTER (p = class), 0), 6) AS f1, count(*) FILTER (a = class) AS support, round(count(*) FILTER (a = p) / count(*), 6) AS accuracy FROM t, c GROUP BY class""",
 )
 _plain("ml8_walk_forward", lambda s, d: learning.walk_forward(labels.windows_ending_here(labels.three_way(sources.by_type(s, d)), 40)))
+_plain("ml8_kernels_walk_forward", lambda s, d: learning.walk_forward(labels.windows_ending_here(labels.three_way(sources.by_type(s, d)), 40), kind="kernels"))
+_plain("ml5_kernel_parts", lambda s, d: additive.parts(sources.by_type(s, d)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
