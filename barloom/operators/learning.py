@@ -54,15 +54,17 @@ def forest_search(df: DataFrame, trials: int = 5, seed: int = 42, label: str = "
     fit_on, check = (train.where(F.col("__order") <= edge), train.where(F.col("__order") > edge)) if edge is not None else train.randomSplit([0.8, 0.2], seed)
     settings = [{"numTrees": rng.choice([20, 50, 100]), "maxDepth": rng.randint(3, 10), "minInstancesPerNode": rng.randint(1, 10), "featureSubsetStrategy": rng.choice(["sqrt", "log2", "onethird"])} for _ in range(trials)]
     fit_on, check = fit_on.cache(), check.cache()
+    fit_on.count(), check.count()  # once, before several fits ask for them
 
     def tried(setting: dict) -> tuple[float, RandomForestClassifier]:
-        forest = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed, **setting)
+        forest = RandomForestClassifier(labelCol=label, featuresCol="features", seed=seed, cacheNodeIds=True, **setting)  # rows keep their places in the trees: else each level walks them down from the root
         got = forest.fit(fit_on).transform(check).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
         return got or 0.0, forest
 
+    longest = sorted(range(trials), key=lambda k: -settings[k]["numTrees"] * settings[k]["maxDepth"])
     try:
         with ThreadPool(AT_ONCE) as pool:
-            got = pool.map(tried, settings)
+            got = dict(zip(longest, pool.map(tried, [settings[k] for k in longest], chunksize=1)))
     finally:
         fit_on.unpersist()
         check.unpersist()

@@ -112,3 +112,14 @@ def test_networks_side_by_side_are_those_of_spark(spark):
         assert np.allclose(got[seed], theirs.weights.toArray(), atol=1e-4), seed
     many = learning.fitted(known.repartition(3), start, 3, 4)
     assert np.median(np.abs(got - many)) < 1e-4  # a rounded sum may send one of them another way
+
+
+def test_forests_keep_places_and_grow_the_same_trees(spark, sf):
+    from barloom.operators import learning
+
+    table = catalog._learnable(spark, sf).cache()
+    forest, _ = learning.forest_search(table, trials=1)
+    assert forest.getCacheNodeIds()
+    train = table.where("is_train").cache()
+    kept, walked = (forest.copy({forest.cacheNodeIds: keep}).fit(train).toDebugString.split("\n")[1:] for keep in (True, False))
+    assert kept == walked
