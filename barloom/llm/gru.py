@@ -90,36 +90,42 @@ def _forward(m: Weights, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarra
     """
     h = m.hidden
     steps, lanes = inputs.shape
-    half = np.repeat(np.array([0.5, 0.5, 1.0], np.float32), h)
-    u, fed = m.u * half, ((m.x + m.b) * half)[inputs]
-    u_gates, u_new = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
-    states = np.ones((steps + 1, lanes, h + 1), np.float32)
-    states[0, :, :h] = state
-    gates = fed if keep else None
+    # Each gate has arrays of its own, without gaps between rows: operations on slices of wider rows cost several times as much.
+    half = np.array([0.5, 0.5, 1.0], np.float32)[:, None, None]
+    u = np.ascontiguousarray(m.u.reshape(h, 3, h).transpose(1, 0, 2)) * half
+    tables = np.ascontiguousarray((m.x + m.b).reshape(-1, 3, h).transpose(1, 0, 2)) * half
+    gates = np.empty((3, steps if keep else 1, lanes, h), np.float32)  # of one step only, if they aren't kept
+    u_gates, u_new = u[:2], u[2]
+    hidden = np.empty((steps + 1, lanes, h), np.float32)
+    hidden[0] = state
     mixed = np.empty((steps, lanes, h), np.float32) if keep else None
+    part, fed = np.empty((lanes, h), np.float32), np.empty((2, lanes, h), np.float32)
+    fed_new = fed[0]
     any_fresh = fresh.any(axis=1)
     for t in range(steps):
-        old = states[t, :, :h]
+        old = hidden[t]
         if any_fresh[t]:
             old = old.copy()
             old[fresh[t]] = 0
-        g = fed[t]
-        zr = g[:, : 2 * h]
-        zr += old @ u_gates
+        at = t if keep else 0
+        for k in range(3):
+            np.take(tables[k], inputs[t], axis=0, out=gates[k, at], mode="clip")
+        zr, new, after = gates[:2, at], gates[2, at], hidden[t + 1]
+        zr += np.matmul(old, u_gates, out=fed)
         np.tanh(zr, out=zr)
         zr *= 0.5
         zr += 0.5
-        part = zr[:, h:] * old
-        new = g[:, 2 * h :]
-        new += part @ u_new
+        if keep:
+            part = mixed[t]
+        np.multiply(zr[1], old, out=part)
+        new += np.matmul(part, u_new, out=fed_new)
         np.tanh(new, out=new)
-        after = states[t + 1, :, :h]
         np.subtract(old, new, out=after)
-        after *= zr[:, :h]
+        after *= zr[0]
         after += new
-        if keep:
-            mixed[t] = part
-    return states, gates, mixed
+    states = np.ones((steps + 1, lanes, h + 1), np.float32)
+    states[:, :, :h] = hidden
+    return states, gates if keep else None, mixed
 
 
 def _log_sums(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +155,9 @@ def _losses(m: Weights, states: np.ndarray, targets: np.ndarray, size: int, grad
         grads.c += states.T @ logits
         back = logits @ m.c.T
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(classes + 1))
-    sorted_states = states[order[: cuts[classes]]]
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=classes + 1))]).tolist()
+    order = order[: cuts[classes]]  # the last class has no words of its own
+    sorted_states = np.take(states, order, axis=0)
     within = targets[order] - cls[order] * size
     local_out = np.zeros(len(sorted_states), np.float32)
     local_back = np.empty_like(sorted_states) if grads is not None else None
@@ -169,9 +176,9 @@ def _losses(m: Weights, states: np.ndarray, targets: np.ndarray, size: int, grad
             logits[ours, at] -= 1
             grads.w[k] += mine.T @ logits
             local_back[a:b] = logits @ m.w[k].T
-    out[order[: len(local_out)]] += local_out
+    out[order] += local_out
     if grads is not None:
-        back[order[: len(local_out)]] += local_back
+        back[order] += local_back
         back = back[:, :-1]
     return out, back
 
@@ -180,45 +187,50 @@ def _backward(m: Weights, grads: Weights, inputs, fresh, states, gates, mixed, b
     """Gradients through the window; back: gradients at the states after each step (changed on the way)."""
     h = m.hidden
     steps, lanes = inputs.shape
-    old = states[:-1, :, :h]
+    old = np.ascontiguousarray(states[:-1, :, :h])
     if fresh.any():
-        old = np.where(fresh[:, :, None], np.float32(0), old)
-    z, r, n = gates[:, :, :h], gates[:, :, h : 2 * h], gates[:, :, 2 * h :]
+        old[fresh] = 0
+    z, r, n = gates
     # The slope of each gate, for all steps at once; what comes back is multiplied in step by step.
-    fed = np.empty((steps, lanes, 3 * h), np.float32)
-    dz, dr, dn = fed[:, :, :h], fed[:, :, h : 2 * h], fed[:, :, 2 * h :]
+    fed = np.empty((3, steps, lanes, h), np.float32)
+    dz, dr, dn = fed
     move = 1 - z
-    np.multiply(old - n, z, out=dz)
+    np.subtract(old, n, out=dz)
+    dz *= z
     dz *= move
-    np.multiply(mixed, 1 - r, out=dr)  # mixed is the old state times r
+    np.subtract(1, r, out=dr)
+    dr *= mixed  # the old state times r
     np.multiply(n, n, out=dn)
     np.subtract(1, dn, out=dn)
     dn *= move
-    u_gates, u_new = np.ascontiguousarray(m.u[:, : 2 * h].T), np.ascontiguousarray(m.u[:, 2 * h :].T)
-    later = np.zeros((lanes, h), np.float32)
+    u = np.ascontiguousarray(m.u.reshape(h, 3, h).transpose(1, 2, 0))  # each gate's, turned
+    later, via, more = (np.zeros((lanes, h), np.float32) for _ in range(3))
+    any_fresh = fresh.any(axis=1)
     for t in range(steps - 1, -1, -1):
         g = back[t]
         g += later
         dz[t] *= g
         dn[t] *= g
-        via = dn[t] @ u_new
+        np.matmul(dn[t], u[2], out=via)
         dr[t] *= via
-        later = fed[t, :, : 2 * h] @ u_gates
         g *= z[t]
-        later += g
         via *= r[t]
+        np.matmul(dz[t], u[0], out=later)
+        later += np.matmul(dr[t], u[1], out=more)
+        later += g
         later += via
-        if fresh[t].any():
+        if any_fresh[t]:
             later[fresh[t]] = 0
-    flat = fed.reshape(-1, 3 * h)
-    grads.u[:, : 2 * h] += old.reshape(-1, h).T @ flat[:, : 2 * h]
-    grads.u[:, 2 * h :] += mixed.reshape(-1, h).T @ flat[:, 2 * h :]
-    grads.b += flat.sum(axis=0)
+    flat = fed.reshape(3, -1, h)
+    for k, before in enumerate((old, old, mixed)):
+        grads.u[:, k * h : (k + 1) * h] += before.reshape(-1, h).T @ flat[k]
+        grads.b[k * h : (k + 1) * h] += flat[k].sum(axis=0)
     words = inputs.ravel()
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words.astype(np.int16) if len(m.x) < 1 << 15 else words, kind="stable")
     words = words[order]
     first = np.flatnonzero(np.diff(words, prepend=-1))
-    grads.x[words[first]] += np.add.reduceat(flat[order], first, axis=0)
+    sums = [np.add.reduceat(np.take(flat[k], order, axis=0), first, axis=0) for k in range(3)]
+    grads.x[words[first]] += np.concatenate(sums, axis=1)
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -305,8 +317,8 @@ class Trainer:
             state = states[-1, :, :-1]
 
 
-def score_words(m: Weights, v: Vocabulary, docs: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
-    """Natural log probability of each word (of its class only, for words of the last class), documents in a row."""
+def score_words(m: Weights, v: Vocabulary, docs: list[np.ndarray], lanes: int = 256, window: int = 128) -> np.ndarray:
+    """Natural log probability of each word (of its class only, for words of the last class), documents in a row; the same for all lanes and windows."""
     total = sum(map(len, docs))
     out = np.zeros(total, dtype=np.float64)
     read, guess, fresh, place = lanes_of(docs, lanes, len(m.x) - 1)

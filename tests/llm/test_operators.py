@@ -864,3 +864,21 @@ def test_text_bytes_of_slices():
     a = pa.array(["ab", "", "cde", "f"]).slice(1, 2)
     flat, offsets = text_bytes(a)
     assert flat.tobytes() == b"cde" and offsets.tolist() == [0, 0, 3]
+
+
+def test_gru_gates_have_arrays_of_their_own():
+    """Slices of wider rows made the steps of learning and scoring slower; what is said stays the same in any windows."""
+    v = gru.Vocabulary([b"%d" % k for k in range(10)], np.arange(20, 10, -1), 200, 14, 3)
+    m, rng = gru.Weights(v, 4), np.random.default_rng(2)
+    read, fresh = rng.integers(0, 10, (5, 6)), rng.random((5, 6)) < 0.2
+    states, gates, mixed = gru._forward(m, read, fresh, np.zeros((6, 4), np.float32), True)
+    assert len(gates) == 3 and all(g.flags.c_contiguous and g.shape == (5, 6, 4) for g in gates) and mixed.flags.c_contiguous
+    assert np.array_equal(states, gru._forward(m, read, fresh, np.zeros((6, 4), np.float32), False)[0])
+    old = np.zeros((6, 4))
+    for t in range(5):
+        old = np.where(fresh[t][:, None], 0, old)
+        fed, u = (m.x + m.b)[read[t]], m.u
+        z, r = (1 / (1 + np.exp(-(fed[:, a : a + 4] + old @ u[:, a : a + 4]))) for a in (0, 4))
+        new = np.tanh(fed[:, 8:] + (r * old) @ u[:, 8:])
+        old = z * old + (1 - z) * new
+        assert np.allclose(states[t + 1, :, :4], old, atol=1e-5) and np.allclose(gates[0][t], z, atol=1e-5)
