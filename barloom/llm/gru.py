@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +30,39 @@ from barloom.llm.common import cut, slices
 END = b"\n"  # no word has a line break in it, so this names the end
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """Words of UTF-8 bytes, A-Z lower-cased, cut at space and 9..13 only (as byte strings do), and the end."""
-    out = text.lower().split()
-    out.append(END)
-    return out
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (UTF-8 bytes) in a row, A-Z lower-cased, cut at space and 9..13 only, and the number of words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(_as_strings(texts)))
+    words, offsets = lists.flatten(), lists.offsets.to_numpy()
+    full = pc.binary_length(words).to_numpy() > 0  # white space at either end gives an empty word
+    if not full.all():
+        words, offsets = words.filter(pa.array(full)), np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]]
+    return words, np.diff(offsets)
+
+
+def _as_strings(texts: pa.Array) -> pa.Array:
+    """Bytes seen as strings, not copied: Arrow cuts and lower-cases strings only."""
+    return texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string())
+
+
+def _as_bytes(words: pa.Array) -> pa.Array:
+    return words.view(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()).cast(pa.binary())
+
+
+def numbers_of(texts: pa.Array, listed: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The place of each token in the list (-1: not in it), texts in a row, the end after each; the number of tokens of each text; the tokens that aren't in the list."""
+    words, sizes = words_of(texts)
+    sizes = sizes + 1
+    is_end = np.zeros(int(sizes.sum()), dtype=bool)
+    is_end[np.cumsum(sizes) - 1] = True
+    listed, end = _as_strings(listed).cast(words.type), pa.array([END.decode()], words.type)
+    numbers = np.empty(len(is_end), dtype=np.int32)
+    for mine, tokens in ((~is_end, words), (is_end, end)):
+        numbers[mine] = pc.fill_null(pc.index_in(tokens, value_set=listed), -1).to_numpy()
+    at = np.full(len(is_end), len(words))
+    at[~is_end] = np.arange(len(words))
+    rare = pa.concat_arrays([words, end]).take(pa.array(at[numbers < 0]))
+    return numbers, sizes, _as_bytes(rare)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -86,14 +114,15 @@ def _forward(m: Weights, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarra
     """States (steps+1 x lanes x hidden; the last column of each is 1, for biases) and, if ``keep``, the gates.
 
     ``inputs`` is the word read at each step; the state after reading it guesses the next word. Sigmoids are taken as
-    (1 + tanh(x/2)) / 2, with the half in the weights.
+    1 / (1 + exp(-x)) and tanh as 2 / (1 + exp(-2x)) - 1, with the factors in the weights: numpy's exp takes half of its tanh's time.
     """
     h = m.hidden
     steps, lanes = inputs.shape
     # Each gate has arrays of its own, without gaps between rows: operations on slices of wider rows cost several times as much.
-    half = np.array([0.5, 0.5, 1.0], np.float32)[:, None, None]
-    u = np.ascontiguousarray(m.u.reshape(h, 3, h).transpose(1, 0, 2)) * half
-    tables = np.ascontiguousarray((m.x + m.b).reshape(-1, 3, h).transpose(1, 0, 2)) * half
+    factors = np.array([-1.0, -1.0, -2.0], np.float32)[:, None, None]
+    u = np.ascontiguousarray(m.u.reshape(h, 3, h).transpose(1, 0, 2)) * factors
+    tables = np.add(m.x.reshape(-1, 3, h).transpose(1, 0, 2), m.b.reshape(3, 1, h), order="C")
+    tables *= factors
     gates = np.empty((3, steps if keep else 1, lanes, h), np.float32)  # of one step only, if they aren't kept
     u_gates, u_new = u[:2], u[2]
     hidden = np.empty((steps + 1, lanes, h), np.float32)
@@ -101,88 +130,138 @@ def _forward(m: Weights, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarra
     mixed = np.empty((steps, lanes, h), np.float32) if keep else None
     part, fed = np.empty((lanes, h), np.float32), np.empty((2, lanes, h), np.float32)
     fed_new = fed[0]
-    any_fresh = fresh.any(axis=1)
-    for t in range(steps):
-        old = hidden[t]
-        if any_fresh[t]:
-            old = old.copy()
-            old[fresh[t]] = 0
-        at = t if keep else 0
-        for k in range(3):
-            np.take(tables[k], inputs[t], axis=0, out=gates[k, at], mode="clip")
-        zr, new, after = gates[:2, at], gates[2, at], hidden[t + 1]
-        zr += np.matmul(old, u_gates, out=fed)
-        np.tanh(zr, out=zr)
-        zr *= 0.5
-        zr += 0.5
-        if keep:
-            part = mixed[t]
-        np.multiply(zr[1], old, out=part)
-        new += np.matmul(part, u_new, out=fed_new)
-        np.tanh(new, out=new)
-        np.subtract(old, new, out=after)
-        after *= zr[0]
-        after += new
+    inputs = inputs.astype(np.intp)  # else take converts them, three times over
+    any_fresh = fresh.any(axis=1).tolist()
+    with np.errstate(over="ignore"):  # an exponent beyond all numbers gives the gate's limit, 0
+        for t in range(steps):
+            old = hidden[t]
+            if any_fresh[t]:
+                old = old.copy()
+                old[fresh[t]] = 0
+            at = t if keep else 0
+            for k in range(3):
+                tables[k].take(inputs[t], axis=0, out=gates[k, at], mode="clip")
+            zr, new, after = gates[:2, at], gates[2, at], hidden[t + 1]
+            zr += np.matmul(old, u_gates, out=fed)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.divide(1, zr, out=zr)
+            if keep:
+                part = mixed[t]
+            np.multiply(zr[1], old, out=part)
+            new += np.dot(part, u_new, out=fed_new)
+            np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1
+            np.subtract(old, new, out=after)
+            after *= zr[0]
+            after += new
     states = np.ones((steps + 1, lanes, h + 1), np.float32)
     states[:, :, :h] = hidden
     return states, gates if keep else None, mixed
 
 
-def _log_sums(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponents (in place of the logits) and the logs of their row sums. Biases are shares, so logits are small."""
-    np.minimum(logits, 60, out=logits)
+BLOCK = 4096  # rows whose logits are worked on at a time, so that they stay in the cache
+
+
+def _log_shares(logits: np.ndarray, chosen: np.ndarray, bounded: bool, slopes: bool) -> np.ndarray:
+    """The log of the share that the ``chosen`` column has of each row's exponents. The logits become exponents or, if ``slopes``, the gradients of -log."""
+    at = np.arange(0, logits.size, logits.shape[1])
+    at += chosen
+    flat = logits.reshape(-1)
+    out = flat.take(at)
+    if not bounded:
+        np.minimum(logits, 60, out=logits)
     np.exp(logits, out=logits)
     sums = logits @ np.ones(logits.shape[1], np.float32)
-    return sums, np.log(sums)
+    out -= np.log(sums)
+    if slopes:
+        logits *= np.divide(1, sums, out=sums)[:, None]
+        flat[at] -= 1
+    return out
 
 
 def _losses(m: Weights, states: np.ndarray, targets: np.ndarray, size: int, grads: Weights | None):
     """Natural log probability of each target's class, and of the word in it for known words; with gradients if asked.
 
-    targets: word number, or -1 for words of the last class.
+    targets: word number, or -1 for words of the last class. Rows are taken class by class; products are made for each class, all else for blocks of rows.
     """
-    classes = m.w.shape[0]
-    cls = np.where(targets >= 0, targets // size, classes)
-    rows = np.arange(len(targets))
-    logits = states @ m.c
-    out = logits[rows, cls]
-    sums, logs = _log_sums(logits)
-    out -= logs
-    back = None
-    if grads is not None:
-        logits /= sums[:, None]
-        logits[rows, cls] -= 1
-        grads.c += states.T @ logits
-        back = logits @ m.c.T
-    order = np.argsort(cls.astype(np.int16), kind="stable")
+    classes, slopes = m.w.shape[0], grads is not None
+    cls = np.where(targets >= 0, targets // size, classes).astype(np.int16)
+    order = np.argsort(cls, kind="stable")
     cuts = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=classes + 1))]).tolist()
-    order = order[: cuts[classes]]  # the last class has no words of its own
-    sorted_states = np.take(states, order, axis=0)
-    within = targets[order] - cls[order] * size
-    local_out = np.zeros(len(sorted_states), np.float32)
-    local_back = np.empty_like(sorted_states) if grads is not None else None
-    for k in range(classes):
-        a, b = cuts[k], cuts[k + 1]
-        if a == b:
-            continue
-        mine = sorted_states[a:b]
-        logits = mine @ m.w[k]
-        ours, at = rows[: b - a], within[a:b]
-        local_out[a:b] = logits[ours, at]
-        sums, logs = _log_sums(logits)
-        local_out[a:b] -= logs
-        if grads is not None:
-            logits /= sums[:, None]
-            logits[ours, at] -= 1
-            grads.w[k] += mine.T @ logits
-            local_back[a:b] = logits @ m.w[k].T
-    out[order] += local_out
-    if grads is not None:
-        back[order] += local_back
-        back = back[:, :-1]
+    states, targets, cls = np.take(states, order, axis=0), targets[order], cls[order]
+    # Biases are shares, so logits are small; where the weights can't give over 60, none needs to be cut.
+    bounded = bool(max((x[..., -1, :] + np.abs(x[..., :-1, :]).sum(axis=-2)).max() for x in (m.c, m.w)) <= 60)
+    shares = np.empty(len(targets), np.float32)
+    back = np.empty((len(targets), m.hidden), np.float32) if slopes else None
+    for a in range(0, len(targets), BLOCK):
+        part = slice(a, a + BLOCK)
+        logits = states[part] @ m.c
+        shares[part] = _log_shares(logits, cls[part], bounded, slopes)
+        if slopes:
+            grads.c += states[part].T @ logits
+            np.matmul(logits, m.c[:-1].T, out=back[part])
+    first = 0
+    while first < classes:  # the last class has no words of its own
+        stop = first + 1
+        while stop < classes and cuts[stop + 1] - cuts[first] <= BLOCK:
+            stop += 1
+        a, b = cuts[first], cuts[stop]
+        logits = np.empty((b - a, size), np.float32)
+        filled = [(k, slice(cuts[k], cuts[k + 1]), logits[cuts[k] - a : cuts[k + 1] - a]) for k in range(first, stop) if cuts[k] < cuts[k + 1]]
+        for k, rows, mine in filled:
+            np.dot(states[rows], m.w[k], out=mine)
+        shares[a:b] += _log_shares(logits, targets[a:b] - cls[a:b].astype(np.int32) * size, bounded, slopes)
+        if slopes:
+            more = np.empty((b - a, m.hidden), np.float32)
+            for k, rows, mine in filled:
+                grads.w[k] += np.dot(states[rows].T, mine)
+                np.dot(mine, m.w[k, :-1].T, out=more[rows.start - a : rows.stop - a])
+            back[a:b] += more
+        first = stop
+    out = np.empty_like(shares)
+    out[order] = shares
+    if slopes:
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        back = np.take(back, place, axis=0)
     return out, back
 
 
+def _sums_by_word(flat: np.ndarray, words: np.ndarray, often: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words and, for each, the sums of its rows of each of the gates (gates x rows x hidden).
+
+    The first rows of all words are added up with their second rows, their third, and so on; words with more than ``often`` rows are summed one by one.
+    """
+    order = np.argsort(words.astype(np.int16) if words.max() < 1 << 15 else words, kind="stable")
+    ranked = words[order]
+    first = np.flatnonzero(np.diff(ranked, prepend=-1))
+    counts = np.diff(first, append=len(words))
+    by_count = np.argsort(-counts, kind="stable")
+    first, counts = first[by_count], counts[by_count]
+    many = int(np.searchsorted(-counts, -often))
+    sums = np.empty((len(flat), len(first), flat.shape[2]), np.float32)
+    for w in range(many):
+        mine = order[first[w] : first[w] + counts[w]]
+        for k, rows in enumerate(flat):
+            sums[k, w] = np.ones(len(mine), np.float32) @ rows.take(mine, axis=0)
+    few = first[many:]
+    deep = int(counts[many]) if len(few) else 0
+    layers = np.searchsorted(-counts[many:], -np.arange(deep), "left").tolist()  # words with more than 0, 1, 2, ... rows
+    at = np.concatenate([few[:n] + k for k, n in enumerate(layers)]) if deep else few
+    rows = np.empty((len(flat), len(at), flat.shape[2]), np.float32)
+    for k in range(len(flat)):
+        flat[k].take(order[at], axis=0, out=rows[k], mode="clip")
+    total, begin = rows[:, : len(few)], len(few)
+    for n in layers[1:]:
+        total[:, :n] += rows[:, begin : begin + n]
+        begin += n
+    sums[:, many:] = total
+    return ranked[first], sums
+
+
 def _backward(m: Weights, grads: Weights, inputs, fresh, states, gates, mixed, back) -> None:
     """Gradients through the window; back: gradients at the states after each step (changed on the way)."""
     h = m.hidden
@@ -211,12 +290,12 @@ def _backward(m: Weights, grads: Weights, inputs, fresh, states, gates, mixed, b
         g += later
         dz[t] *= g
         dn[t] *= g
-        np.matmul(dn[t], u[2], out=via)
+        np.dot(dn[t], u[2], out=via)
         dr[t] *= via
         g *= z[t]
         via *= r[t]
-        np.matmul(dz[t], u[0], out=later)
-        later += np.matmul(dr[t], u[1], out=more)
+        np.dot(dz[t], u[0], out=later)
+        later += np.dot(dr[t], u[1], out=more)
         later += g
         later += via
         if any_fresh[t]:
@@ -224,13 +303,10 @@ def _backward(m: Weights, grads: Weights, inputs, fresh, states, gates, mixed, b
     flat = fed.reshape(3, -1, h)
     for k, before in enumerate((old, old, mixed)):
         grads.u[:, k * h : (k + 1) * h] += before.reshape(-1, h).T @ flat[k]
-        grads.b[k * h : (k + 1) * h] += flat[k].sum(axis=0)
-    words = inputs.ravel()
-    order = np.argsort(words.astype(np.int16) if len(m.x) < 1 << 15 else words, kind="stable")
-    words = words[order]
-    first = np.flatnonzero(np.diff(words, prepend=-1))
-    sums = [np.add.reduceat(np.take(flat[k], order, axis=0), first, axis=0) for k in range(3)]
-    grads.x[words[first]] += np.concatenate(sums, axis=1)
+    words, sums = _sums_by_word(flat, inputs.ravel())
+    sums = sums.transpose(1, 0, 2).reshape(-1, 3 * h)
+    grads.x[words] += sums
+    grads.b += sums.sum(axis=0)
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -266,12 +342,6 @@ def lanes_of(docs: list[np.ndarray], lanes: int, start: int) -> tuple[np.ndarray
     return read, guess, fresh, place
 
 
-def _numbers(texts: list[bytes], number: dict[bytes, int]) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    tokens = [tokens_of(t) for t in texts]
-    get = number.get
-    return tokens, [np.fromiter((get(w, -1) for w in ws), dtype=np.int32, count=len(ws)) for ws in tokens]
-
-
 def segments(doc: np.ndarray, most: int) -> list[np.ndarray]:
     """A document cut for learning, so that one long document doesn't run on in a lane by itself; each part starts afresh."""
     return [doc] if len(doc) <= most else [doc[k : k + most] for k in range(0, len(doc), most)]
@@ -297,9 +367,13 @@ class Trainer:
             states, gates, mixed = _forward(self.m, inputs, new, state[:live], True)
             real = place[part, :live] >= 0
             self.grads.flat[:] = 0
-            _, back = _losses(self.m, states[1:][real], guess[part, :live][real], self.v.size, self.grads)
-            spread = np.zeros((*real.shape, self.m.hidden), np.float32)
-            spread[real] = back
+            if real.all():
+                _, back = _losses(self.m, states[1:].reshape(real.size, -1), guess[part, :live].ravel(), self.v.size, self.grads)
+                spread = back.reshape(*real.shape, -1)
+            else:
+                _, back = _losses(self.m, states[1:][real], guess[part, :live][real], self.v.size, self.grads)
+                spread = np.zeros((*real.shape, self.m.hidden), np.float32)
+                spread[real] = back
             _backward(self.m, self.grads, inputs, new, states, gates, mixed, spread)
             self.words += int(real.sum())
             g, step = self.grads.flat, self.step
@@ -328,8 +402,9 @@ def score_words(m: Weights, v: Vocabulary, docs: list[np.ndarray], lanes: int =
         part = slice(t, t + window)
         states, _, _ = _forward(m, read[part, :live], fresh[part, :live], state[:live], False)
         real = place[part, :live] >= 0
-        got, _ = _losses(m, states[1:][real], guess[part, :live][real], v.size, None)
-        out[place[part, :live][real]] = got
+        real = ... if real.all() else real.ravel()
+        got, _ = _losses(m, states[1:].reshape(-1, m.hidden + 1)[real], guess[part, :live].ravel()[real], v.size, None)
+        out[place[part, :live].ravel()[real]] = got
         state = states[-1, :, :-1]
     return out
 
@@ -342,15 +417,25 @@ def word_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
     """Rows (word, n) over the training documents. Each task counts first; its partial counts are summed by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
+        ends = 0
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not held_out(doc):
-                    counts.update(tokens_of(text))
-                    if len(counts) > flush:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-                        counts = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            learn = pa.array([not held_out(doc) for doc in batch.column(0).to_pylist()], pa.bool_())
+            for part in slices(batch.filter(learn), 1, 4 << 20):
+                ends += part.num_rows
+                counts = words_of(part.column(1))[0].value_counts()
+                held.append(pa.table({"word": _as_bytes(counts.field("values")), "n": counts.field("counts")}))
+                if sum(map(len, held)) > 2 * flush:
+                    held = [merged()]
+                    if len(held[0]) > flush:
+                        yield from held.pop().to_batches()
+        held.append(pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([ends], pa.int64())}))
+        if ends:
+            yield from merged().to_batches()
 
     return _bytes(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -374,12 +459,14 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, hidden: int, rounds: int, group
     body = body.withColumn("grp", F.pmod(F.col("hash"), F.lit(rounds * per_round)).cast("int"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = sent.value.number
+        known = pa.array(list(sent.value.number), pa.binary())
         for batch in batches:
-            learn = pa.array([not held_out(i) for i in batch.column(0).to_pylist()])
+            learn = pa.array([not held_out(i) for i in batch.column(0).to_pylist()], pa.bool_())
             for part in slices(batch.filter(learn), 1, 4 << 20):
-                words = [x.astype(np.int16).tobytes() for x in _numbers(part.column(1).to_pylist(), number)[1]]
-                yield pa.RecordBatch.from_arrays([part.column(3), part.column(2), pa.array(words, pa.binary())], names=["grp", "hash", "words"])
+                numbers, sizes, _ = numbers_of(part.column(1), known)
+                offsets = np.concatenate([[0], 2 * np.cumsum(sizes)]).astype(np.int32)
+                words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(numbers.astype(np.int16))])
+                yield pa.RecordBatch.from_arrays([part.column(3), part.column(2), words], names=["grp", "hash", "words"])
 
     for r in range(rounds):
         start = spark.sparkContext.broadcast(m.flat)
@@ -472,24 +559,20 @@ def score(
     words, numbers = top.column("word").to_pylist(), top.column("n").to_numpy()
     vocabulary = Vocabulary(words[:known], numbers[:known], whole["n"], whole["v"], classes)
     m = fit(docs, vocabulary, hidden, rounds, group_words, lanes, window, rate)
-    sent = spark.sparkContext.broadcast((vocabulary, m.flat, hidden, {w: k for k, w in enumerate(words)}, np.log(numbers + 0.5)))
+    sent = spark.sparkContext.broadcast((vocabulary, m.flat, hidden, top.column("word").combine_chunks(), np.log(numbers + 0.5)))
     spread = math.log(whole["n"] + 0.5 * (whole["v"] + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, flat, hidden, number, logs = sent.value
-        m, get = Weights(v, hidden, flat), number.get
+        v, flat, hidden, listed, logs = sent.value
+        m = Weights(v, hidden, flat)
         held: list[tuple] = []
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
-                tokens = [tokens_of(t) for t in part.column(1).to_pylist()]
-                sizes = np.array([len(ws) for ws in tokens])
-                flat_tokens = [w for ws in tokens for w in ws]
-                numbers = np.fromiter((get(w, -1) for w in flat_tokens), dtype=np.int32, count=len(flat_tokens))
-                unlisted = np.flatnonzero(numbers < 0)
-                per = np.bincount(np.searchsorted(np.cumsum(sizes), unlisted, "right"), minlength=len(tokens))
-                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array([flat_tokens[k] for k in unlisted.tolist()], pa.binary()))
+                numbers, sizes, rare = numbers_of(part.column(1), listed)
+                per = np.add.reduceat((numbers < 0).astype(np.int64), np.cumsum(sizes) - sizes)
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), rare)
                 held.append((part.column(0), part.column(2), sizes, numbers, rare))
-                if sum(len(h[3]) for h in held) > 3_000_000:  # long documents need many others beside them
+                if sum(len(h[3]) for h in held) > 2_000_000:  # long documents need many others beside them
                     yield from settle(held, v, m, logs)
                     held = []
         if held:

@@ -882,3 +882,59 @@ def test_gru_gates_have_arrays_of_their_own():
         new = np.tanh(fed[:, 8:] + (r * old) @ u[:, 8:])
         old = z * old + (1 - z) * new
         assert np.allclose(states[t + 1, :, :4], old, atol=1e-5) and np.allclose(gates[0][t], z, atol=1e-5)
+
+
+def test_gru_numbers_of_tokens(odd):
+    """Tokens are cut, counted and looked up as Arrow arrays, not one by one in Python; they are those of byte strings."""
+    texts = [(t or "").encode() for t in odd] + ["\x0b\x0cÀB\x1fc D\x85 ".encode(), b"   ", b"Same TEXT\r\nhere"]
+    tokens = [[*t.lower().split(), gru.END] for t in texts]
+    for kind in (pa.binary(), pa.large_binary()):
+        array = pa.array([b"left out", *texts], kind).slice(1)
+        words, sizes = gru.words_of(array)
+        assert [w.encode() for w in words.to_pylist()] == [w for ws in tokens for w in ws[:-1]] and sizes.tolist() == [len(ws) - 1 for ws in tokens]
+        for listed in ([b"same", gru.END, b"text", "Àb\x1fc d\x85".encode(), b"w3"], [b"here", b"w1"], []):
+            numbers, sizes, rare = gru.numbers_of(array, pa.array(listed, pa.binary()))
+            flat = [w for ws in tokens for w in ws]
+            assert numbers.tolist() == [listed.index(w) if w in listed else -1 for w in flat] and sizes.tolist() == [len(ws) for ws in tokens]
+            assert rare.type == pa.binary() and rare.to_pylist() == [w for w in flat if w not in listed]
+    numbers, sizes, rare = gru.numbers_of(pa.array([], pa.binary()), pa.array([b"a"], pa.binary()))
+    assert len(numbers) == len(sizes) == len(rare) == 0
+
+
+@pytest.mark.parametrize("often", [1, 5, 128])
+def test_gru_sums_by_word(often):
+    """Gradients of word vectors are added up layer by layer of occurrences; reduceat took 20 ns for each word and column."""
+    rng = np.random.default_rng(often)
+    words = np.concatenate([np.full(300, 7), np.full(5, 2), rng.integers(0, 90, 400), [40_000 if often == 5 else 91]])
+    rng.shuffle(words)
+    flat = rng.normal(size=(3, len(words), 4)).astype(np.float32)
+    found, sums = gru._sums_by_word(flat, words, often)
+    assert sorted(found.tolist()) == sorted(set(words.tolist())) and sums.shape == (3, len(found), 4)
+    for k, w in enumerate(found):
+        assert np.allclose(sums[:, k], flat[:, words == w].sum(axis=1), atol=1e-4)
+
+
+def test_gru_losses_in_blocks(monkeypatch):
+    """Blocks of any number of rows give the same shares and gradients, also where logits have to be cut at 60."""
+    v = gru.Vocabulary([b"%d" % k for k in range(10)], np.arange(20, 10, -1), 200, 14, 3)
+    rng = np.random.default_rng(4)
+    states, targets = np.ones((40, 5), np.float32), rng.integers(-1, 10, 40)
+    states[:, :4] = rng.uniform(-1, 1, (40, 4))
+    for scale in (0.5, 30):
+        m = gru.Weights(v, 4)
+        m.w[:], m.c[:] = rng.normal(0, scale, m.w.shape), rng.normal(0, scale, m.c.shape)
+        found = []
+        for rows in (4096, 3):
+            monkeypatch.setattr(gru, "BLOCK", rows)
+            grads = gru.Weights(v, 4, np.zeros_like(m.flat))
+            found.append((*gru._losses(m, states, targets, v.size, grads), grads.flat))
+        assert all(np.allclose(a, b, rtol=1e-4, atol=1e-4) and np.isfinite(a).all() for a, b in zip(*found))
+        cut = lambda x: np.minimum(x, 60)
+        logits = states.astype(float) @ m.c
+        cls = np.where(targets >= 0, targets // v.size, v.classes)
+        want = logits[np.arange(40), cls] - np.log(np.exp(cut(logits)).sum(axis=1))
+        for k, t in enumerate(targets):
+            if t >= 0:
+                words = states[k].astype(float) @ m.w[cls[k]]
+                want[k] += words[t % v.size] - np.log(np.exp(cut(words)).sum())
+        assert np.allclose(found[0][0], want, rtol=1e-4, atol=1e-4)
