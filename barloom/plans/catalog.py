@@ -462,8 +462,15 @@ def _learnable(spark: SparkSession, d: str) -> DataFrame:
     return learning.assembled(table.withColumn("target", F.col("target").cast("double")), columns)
 
 
+def _forest(spark: SparkSession, d: str) -> DataFrame:
+    table = _learnable(spark, d).cache()
+    forest, _ = learning.forest_search(table, trials=50)
+    known = learning.dealt(table.where("is_train"))
+    return learning.confusion(learning.predicted(forest, known, table.where("not is_train")))
+
+
 _plain("ml3_components", lambda s, d: learning.components(_learnable(s, d))[0].select("symbol", "ts", F.transform(learning.vector_to_array("pca"), lambda v: F.round(v, 6)).alias("components")))
-_plain("ml4_forest", lambda s, d: learning.confusion((t := _learnable(s, d).cache()) and (f := learning.forest_search(t, trials=50)[0]).fit(t.where("is_train")).transform(t.where("not is_train"))))
+_plain("ml4_forest", _forest)
 _plain("ml6_spread_over_seeds", lambda s, d: learning.spread_over_seeds(_learnable(s, d).cache(), samples=100))
 _LEARNED = ["cci", "tsv", "macd", "macd_signal", "rsi", "trend", "bb_percent"]
 _folds = lambda kind: lambda s, d: networks.walk_forward(labels.next_up(features.levels_and_oscillators(sources.by_type(s, d))), _LEARNED, kind)

@@ -123,3 +123,33 @@ def test_forests_keep_places_and_grow_the_same_trees(spark, sf):
     train = table.where("is_train").cache()
     kept, walked = (forest.copy({forest.cacheNodeIds: keep}).fit(train).toDebugString.split("\n")[1:] for keep in (True, False))
     assert kept == walked
+
+
+def test_a_search_makes_no_trees_in_python(spark, sf, monkeypatch):
+    """Wrapping the trees of its forests took longer than growing them; predictions are those of ``fit`` and ``transform``."""
+    from barloom.operators import learning
+
+    table = catalog._learnable(spark, sf).cache()
+    forest, _ = learning.forest_search(table, trials=1)
+    train, asked = table.where("is_train"), table.where("not is_train")
+    theirs = [r.probability for r in forest.fit(train).transform(asked).orderBy("symbol", "ts").collect()]
+    monkeypatch.setattr(type(forest), "_create_model", lambda *_: 1 / 0)
+    assert [r.probability for r in learning.predicted(forest, train, asked).orderBy("symbol", "ts").collect()] == theirs
+    learning.forest_search(table, trials=2)
+
+
+def test_rows_of_a_search_are_dealt_by_their_number(spark, sf, monkeypatch):
+    """Not by the partitions that they come in, each of which was a task of each of some hundred jobs; nor do forests depend on these."""
+    from barloom.operators import learning
+
+    table = catalog._learnable(spark, sf).cache()
+    many = table.repartition(23)
+    assert learning.forest_search(many, trials=2)[1] == learning.forest_search(table, trials=2)[1]
+    grown = [learning.predicted(learning.RandomForestClassifier(labelCol="target", seed=1), learning.dealt(t.where("is_train")), t.where("not is_train")).orderBy("symbol", "ts").collect() for t in (table, many)]
+    assert grown[0] == grown[1]
+    known = learning.dealt(many.where("is_train"))
+    assert known.rdd.getNumPartitions() == 1 and known.schema["features"].metadata == many.schema["features"].metadata
+    monkeypatch.setattr(learning, "ROWS", 100)
+    few = learning.dealt(many.where("is_train"))
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert few.rdd.getNumPartitions() == -(-known.count() // 100) > 1 and rows(few) == rows(known) == rows(many.where("is_train"))
