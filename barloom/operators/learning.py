@@ -59,7 +59,7 @@ def dealt(df: DataFrame) -> DataFrame:
 
 
 def predicted(forest: RandomForestClassifier, known: DataFrame, asked: DataFrame) -> DataFrame:
-    """``forest.fit(known).transform(asked)``, without objects in Python for each tree and its parameters, made on one core of the driver (63 of the 103 s of a search on few rows)."""
+    """``forest.fit(known).transform(asked)``, without objects in Python for each tree and its parameters, made on one core of the driver (100 trees: 1.6 s beside 2.8 s for their fit on few rows, under a profiler)."""
     return DataFrame(forest._fit_java(known).transform(asked._jdf), asked.sparkSession)
 
 

@@ -126,7 +126,7 @@ def test_forests_keep_places_and_grow_the_same_trees(spark, sf):
 
 
 def test_a_search_makes_no_trees_in_python(spark, sf, monkeypatch):
-    """Wrapping the trees of its forests took most of its time; predictions are those of ``fit`` and ``transform``."""
+    """Wrapping the trees of its forests takes time on one core of the driver; predictions are those of ``fit`` and ``transform``."""
     from barloom.operators import learning
 
     table = catalog._learnable(spark, sf).cache()
